@@ -31,3 +31,169 @@ def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
     return hits.groupBy(row_id, "word").agg(
         F.sum(F.col("polarity") * F.coalesce("_neg", F.lit(1))).cast("long").alias("contribution"),
         F.count(F.lit(1)).cast("long").alias("occurrences"))
+
+
+# ------------------------------------------------------------ M3 / M3b
+def fit_kmeans(df: DataFrame, features_col: str = "features", k: int = 3, seed: int = 42,
+               n_init: int = 10, max_iter: int = 300):
+    """M3: k-means with ``n_init`` seeded starts (seed, seed+1, ...), keeping
+    the model with the lowest within-cluster cost.  Each fit is a
+    distributed Lloyd iteration; only k centroids travel to the driver."""
+    from pyspark.ml.clustering import KMeans
+    best = None
+    for i in range(n_init):
+        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features_col,
+                       predictionCol="cluster").fit(df)
+        cost = model.summary.trainingCost
+        if best is None or cost < best[0]:
+            best = (cost, model)
+    return best[1]
+
+
+def class_centroids(df: DataFrame, vec_col: str, class_col: str, max_classes: int = 10_000):
+    """Per-class mean vectors ``[(class, [mean...]), ...]`` sorted by class.
+
+    Aggregated distributedly over ``(class, position)``; the result is
+    bounded by classes x dimensions and checked before it is collected.
+    """
+    per_dim = (df.select(class_col, F.posexplode(F.col(vec_col).cast("array<double>")).alias("i", "x"))
+               .groupBy(class_col, "i").agg(F.avg("x").alias("m")))
+    n_classes = per_dim.select(class_col).distinct().limit(max_classes + 1).count()
+    if n_classes > max_classes:
+        raise ValueError(f"more than {max_classes} classes; centroids are not bounded")
+    rows = (per_dim.groupBy(class_col).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
+            .orderBy(class_col).collect())
+    return [(r[class_col], [s["m"] for s in r["v"]]) for r in rows]
+
+
+def assign_nearest(df: DataFrame, vec_col: str, centroids, out: str = "cluster") -> DataFrame:
+    """Nearest centroid by squared Euclidean distance (first on ties).
+
+    The (bounded) centroids are inlined as a literal array, so assignment is
+    a projection: no join, no shuffle -- the same strategy KMeansModel uses.
+    """
+    ids = F.array(*[F.lit(c) for c, _ in centroids])
+    cents = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for _, v in centroids])
+    tmp = df.withColumn("_v", F.col(vec_col).cast("array<double>"))
+    tmp = tmp.withColumn("_d", F.transform(cents, lambda c: F.aggregate(
+        F.zip_with("_v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
+    return tmp.withColumn(out, F.element_at(ids, F.array_position("_d", F.array_min("_d")).cast("int"))).drop("_v", "_d")
+
+
+# ------------------------------------------------------------ M4 / M5
+def train_classifier(df: DataFrame, ws_col: str, label_col: str, extra_cols: Sequence[str] = (),
+                     vocab_size: int = 500, reg_param: float = 0.01, max_iter: int = 100):
+    """M4: CountVectorizer -> IDF -> L2 Normalizer -> (+ extra features) ->
+    multinomial logistic regression, as one Spark ML Pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer, VectorAssembler
+    stages = [
+        StringIndexer(inputCol=label_col, outputCol="label_index", stringOrderType="alphabetAsc"),
+        CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size),
+        IDF(inputCol="_tf", outputCol="_idf"),
+        Normalizer(p=2.0, inputCol="_idf", outputCol="_text_vec"),
+        VectorAssembler(inputCols=["_text_vec", *extra_cols], outputCol="features", handleInvalid="keep"),
+        LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features",
+                           regParam=reg_param, maxIter=max_iter),
+    ]
+    return Pipeline(stages=stages).fit(df)
+
+
+def predict_labels(model, df: DataFrame, out: str = "predicted_label") -> DataFrame:
+    """M5: batch scoring with a fitted pipeline; appends the label string."""
+    from pyspark.ml.feature import IndexToString
+    labels = model.stages[0].labels
+    scored = model.transform(df)
+    return IndexToString(inputCol="prediction", outputCol=out, labels=labels).transform(scored)
+
+
+def softmax_probs(df: DataFrame, scores_col: str, out: str = "probability") -> DataFrame:
+    """M6: softmax of a score array; each intermediate is its own column so
+    the max and the sum are computed once per row, not once per element."""
+    from opinio.functions.labels import array_sum, divide_by, shifted_exp
+    return (df.withColumn("_m", F.array_max(F.col(scores_col).cast("array<double>")))
+            .withColumn("_e", shifted_exp(scores_col, "_m"))
+            .withColumn("_s", array_sum("_e"))
+            .withColumn(out, divide_by("_e", "_s"))
+            .drop("_m", "_e", "_s"))
+
+
+# ---------------------------------------------------------------- M9
+def linear_attribution(weights: DataFrame, coefs: DataFrame, means: DataFrame,
+                       row_id: str = "row_id") -> DataFrame:
+    """M9 (linear model): exact attribution ``coef[c, w] * (x[d, w] - mean[w])``
+    for the words present in a row, plus one baseline term per
+    ``(row, class)`` for the absent words, ``-sum coef * mean`` over them.
+
+    ``weights(row_id, word, x)``, ``coefs(class, word, coef)``,
+    ``means(word, mean)``.  Coefficients are per vocabulary word (bounded by
+    the vocabulary size) and broadcast after a size check.
+    """
+    cm = bounded_broadcast(coefs.join(means, "word"))
+    present = weights.join(cm, "word").select(
+        row_id, "class", "word", (F.col("coef") * (F.col("x") - F.col("mean"))).alias("attribution"))
+    full_base = cm.groupBy("class").agg(F.sum(-F.col("coef") * F.col("mean")).alias("_all"))
+    present_base = weights.join(cm, "word").groupBy(row_id, "class").agg(
+        F.sum(-F.col("coef") * F.col("mean")).alias("_present"))
+    base = present_base.join(F.broadcast(full_base), "class").select(
+        row_id, "class", F.lit(None).cast("string").alias("word"),
+        (F.col("_all") - F.col("_present")).alias("attribution"))
+    return present.unionByName(base)
+
+
+# --------------------------------------------------------------- M10
+def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_size: int = 1000,
+               max_iter: int = 10, top_terms: int = 10):
+    """Topic model (declared in the original workflow, never coded):
+    term counts + online LDA; returns ``(topic, rank, word, weight)``."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    cv = CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size).fit(df)
+    lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf").fit(cv.transform(df))
+    spark = df.sparkSession
+    vocab = spark.createDataFrame([(i, w) for i, w in enumerate(cv.vocabulary)], "term_index int, word string")
+    topics = lda.describeTopics(top_terms).select(
+        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
+    return topics.select("topic", "rank", F.col("t.termIndices").alias("term_index"),
+                         F.col("t.termWeights").alias("weight")).join(F.broadcast(vocab), "term_index")
+
+
+# --------------------------------------------------------------- M11
+def select_model(df: DataFrame, ws_col: str, label_col: str, reg_params=(0.0, 0.01, 0.1),
+                 train_ratio: float = 0.8, seed: int = 42):
+    """Keep the candidate with the best validation log loss."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+    lr = LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features", maxIter=50)
+    pipe = Pipeline(stages=[
+        StringIndexer(inputCol=label_col, outputCol="label_index", stringOrderType="alphabetAsc"),
+        CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=500),
+        IDF(inputCol="_tf", outputCol="_idf"),
+        Normalizer(p=2.0, inputCol="_idf", outputCol="features"), lr])
+    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
+    ev = MulticlassClassificationEvaluator(labelCol="label_index", metricName="logLoss")
+    return TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev,
+                                trainRatio=train_ratio, seed=seed).fit(df)
+
+
+def early_stop(metrics: DataFrame, run_col: str, epoch_col: str, loss_col: str,
+               patience: int = 3) -> DataFrame:
+    """Per run, the epoch where training stops (``patience`` epochs in
+    a row without a new best loss; null if it never stops) and the best epoch
+    kept up to that point.  Windows are per run over its epochs only."""
+    w = Window.partitionBy(run_col).orderBy(epoch_col)
+    prev_best = F.min(loss_col).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    m = metrics.withColumn("_imp", (prev_best.isNull() | (F.col(loss_col) < prev_best)).cast("int"))
+    m = m.withColumn("_grp", F.sum("_imp").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("_since", F.row_number().over(Window.partitionBy(run_col, "_grp").orderBy(epoch_col)) - 1)
+    stops = m.groupBy(run_col).agg(F.min(F.when(F.col("_since") == patience, F.col(epoch_col))).alias("stop_epoch"))
+    m = m.join(stops, run_col)
+    kept = m.filter(F.col("stop_epoch").isNull() | (F.col(epoch_col) <= F.col("stop_epoch")))
+    return kept.groupBy(run_col, "stop_epoch").agg(
+        F.min(F.struct(F.col(loss_col), F.col(epoch_col))).alias("_b")).select(
+        run_col, F.col(f"_b.{epoch_col}").alias("best_epoch"), F.col(f"_b.{loss_col}").alias("best_loss"),
+        "stop_epoch")
