@@ -15,9 +15,9 @@ COMMENT_SCHEMA = "no BIGINT, comment STRING, label STRING"
 CORRUPT_COL = "_corrupt_record"
 
 
-def _csv_reader(spark: SparkSession, schema, multiline: bool = True):
+def _csv_reader(spark: SparkSession, schema, multiline: bool = True, header: bool = True):
     # RFC-4180 quoting: a quote inside a field is doubled, fields may span lines.
-    return (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
+    return (spark.read.schema(schema).option("header", header).option("multiLine", multiline)
             .option("quote", '"').option("escape", '"'))
 
 
@@ -77,11 +77,11 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quarantine_malformed(spark: SparkSession, path: str, schema: StructType,
-                         multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+                         multiline: bool = True, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """Parse permissively; return ``(good_rows, bad_rows)``.  A malformed
     record is data, not a crash: it lands in ``bad_rows`` with its raw text."""
     full = StructType(list(schema.fields) + [StructField(CORRUPT_COL, StringType(), True)])
-    raw = (_csv_reader(spark, full, multiline).option("mode", "PERMISSIVE")
+    raw = (_csv_reader(spark, full, multiline, header).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT_COL).csv(path))
     names = [f.name for f in schema.fields]
     good = raw.filter(F.col(CORRUPT_COL).isNull()).select(*names)
