@@ -83,6 +83,11 @@ def quarantine_malformed(spark: SparkSession, path: str, schema: StructType,
     full = StructType(list(schema.fields) + [StructField(CORRUPT_COL, StringType(), True)])
     raw = (_csv_reader(spark, full, multiline, header).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT_COL).csv(path))
+    # Spark fills the corrupt-record column reliably only on a materialised
+    # parse (documented for raw CSV/JSON scans), so the parse is persisted
+    # once -- memory then disk, recomputed from the files if an executor is
+    # lost -- and both outputs read that copy.
+    raw = raw.persist()
     names = [f.name for f in schema.fields]
     good = raw.filter(F.col(CORRUPT_COL).isNull()).select(*names)
     bad = raw.filter(F.col(CORRUPT_COL).isNotNull()).select(*names, CORRUPT_COL)
