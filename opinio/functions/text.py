@@ -121,8 +121,14 @@ def replace_emoji(c, names: Mapping[str, str]) -> Column:
     return out
 
 
-def clean_text(c, stopwords: Iterable[str] = (), null_text: str = "") -> Column:
-    """Text cast, lower, digits out, punctuation out, stopwords out,
-    single spaces -- one fused projection."""
+def clean_words(c, stopwords: Iterable[str] = (), null_text: str = "") -> Column:
+    """T11 as a word array: text cast, lower, digits out, punctuation out,
+    whitespace split, stopwords out."""
     base = strip_punctuation(remove_digits(fold_case(as_text(c, null_text))))
-    return join_words(drop_words(split_words(base), stopwords))
+    return drop_words(split_words(base), stopwords)
+
+
+def clean_text(c, stopwords: Iterable[str] = (), null_text: str = "") -> Column:
+    """:func:`clean_words` rejoined with single spaces -- one fused
+    projection."""
+    return join_words(clean_words(c, stopwords, null_text))

@@ -85,9 +85,9 @@ def affix_stems(vocab: DataFrame, prefixes: Sequence[str], suffixes: Sequence[st
                 F.expr(f"substring(word, {len(p) + 1}, length(word) - {len(p) + len(s)})")).alias("cand")))
             prio += 1
     words = vocab.select("word").distinct()
-    exploded = (words.select("word", F.explode(F.array(*cands)).alias("c"))
-                .select("word", "c.prio", "c.cand")
-                .filter(F.col("cand").isNotNull() & (F.length("cand") >= min_root)))
+    # Only candidates that exist and are long enough leave the projection.
+    live = F.filter(F.array(*cands), lambda c: c["cand"].isNotNull() & (F.length(c["cand"]) >= min_root))
+    exploded = words.select("word", F.explode(live).alias("c")).select("word", "c.prio", "c.cand")
     roots = words.select(F.col("word").alias("cand"))
     accepted = exploded.join(roots, on="cand", how="left_semi")
     best = accepted.groupBy("word").agg(F.min(F.struct("prio", "cand")).alias("b"))

@@ -131,7 +131,12 @@ def sentence_vectors(df: DataFrame, ws_col: str, size: int = 64, seed: int = 42,
                      min_count: int = 2, out: str = "sentence_vector"):
     """Mean word vector per row from a Word2Vec model trained on the
     same rows.  Returns ``(model, transformed)``."""
+    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, 64))
     w2v = Word2Vec(vectorSize=size, seed=seed, minCount=min_count, inputCol=ws_col,
-                   outputCol=out, maxIter=1)
-    model = w2v.fit(df)
+                   outputCol=out, maxIter=1, numPartitions=parts)
+    cached = df.persist()
+    try:
+        model = w2v.fit(cached)
+    finally:
+        cached.unpersist()
     return model, model.transform(df)

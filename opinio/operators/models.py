@@ -41,12 +41,18 @@ def fit_kmeans(df: DataFrame, features_col: str = "features", k: int = 3, seed:
     distributed Lloyd iteration; only k centroids travel to the driver."""
     from pyspark.ml.clustering import KMeans
     best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features_col,
-                       predictionCol="cluster").fit(df)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
+    # The starts share one persisted copy of the vectors (recomputed from
+    # the source if an executor is lost) instead of re-deriving them.
+    cached = df.select(features_col).persist()
+    try:
+        for i in range(n_init):
+            model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features_col,
+                           predictionCol="cluster").fit(cached)
+            cost = model.summary.trainingCost
+            if best is None or cost < best[0]:
+                best = (cost, model)
+    finally:
+        cached.unpersist()
     return best[1]
 
 
@@ -97,7 +103,11 @@ def train_classifier(df: DataFrame, ws_col: str, label_col: str, extra_cols: Seq
         LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features",
                            regParam=reg_param, maxIter=max_iter),
     ]
-    return Pipeline(stages=stages).fit(df)
+    cached = df.persist()
+    try:
+        return Pipeline(stages=stages).fit(cached)
+    finally:
+        cached.unpersist()
 
 
 def predict_labels(model, df: DataFrame, out: str = "predicted_label") -> DataFrame:
@@ -149,8 +159,12 @@ def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_siz
     term counts + online LDA; returns ``(topic, rank, word, weight)``."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
-    cv = CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size).fit(df)
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf").fit(cv.transform(df))
+    cached = df.select(ws_col).persist()
+    try:
+        cv = CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size).fit(cached)
+        lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf").fit(cv.transform(cached))
+    finally:
+        cached.unpersist()
     spark = df.sparkSession
     vocab = spark.createDataFrame([(i, w) for i, w in enumerate(cv.vocabulary)], "term_index int, word string")
     topics = lda.describeTopics(top_terms).select(
@@ -176,8 +190,12 @@ def select_model(df: DataFrame, ws_col: str, label_col: str, reg_params=(0.0, 0.
         Normalizer(p=2.0, inputCol="_idf", outputCol="features"), lr])
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     ev = MulticlassClassificationEvaluator(labelCol="label_index", metricName="logLoss")
-    return TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev,
-                                trainRatio=train_ratio, seed=seed).fit(df)
+    cached = df.persist()
+    try:
+        return TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev,
+                                    trainRatio=train_ratio, seed=seed).fit(cached)
+    finally:
+        cached.unpersist()
 
 
 def early_stop(metrics: DataFrame, run_col: str, epoch_col: str, loss_col: str,

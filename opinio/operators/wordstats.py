@@ -62,7 +62,7 @@ def word_cloud_weights(df: DataFrame, text_col: str, label_col: str | None = Non
     words of at least ``min_len`` characters (top-k is a bounded
     TakeOrderedAndProject; the max window then spans ``max_words`` rows)."""
     src = df if label_col is None else df.filter(F.col(label_col) == label)
-    ws = src.select(F.filter(T.split_words(T.clean_text(text_col, stopwords)),
+    ws = src.select(F.filter(T.clean_words(text_col, stopwords),
                              lambda w: F.length(w) >= min_len).alias("ws"))
     top = word_counts(ws, "ws").orderBy(F.col("n").desc(), F.col("word")).limit(max_words)
     return top.withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy()))
@@ -73,7 +73,7 @@ def group_word_weights(df: DataFrame, text_col: str, group_col: str, max_words:
     """A10: A9 for every group in one job.  ``row_number <= k`` is planned with
     a partial WindowGroupLimit before the shuffle, so each group ships at most
     ``max_words`` candidates per task however large its vocabulary is."""
-    ws = df.select(group_col, F.filter(T.split_words(T.clean_text(text_col, stopwords)),
+    ws = df.select(group_col, F.filter(T.clean_words(text_col, stopwords),
                                        lambda w: F.length(w) >= min_len).alias("ws"))
     counts = word_counts(ws, "ws", [group_col])
     w = Window.partitionBy(group_col).orderBy(F.col("n").desc(), F.col("word"))

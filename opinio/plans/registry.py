@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinio.sources.tables import load_table
+from opinio.sources.tables import load_table, spread
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,9 @@ def register(name: str, sql: str | None = None, family: str = ""):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return load_table(spark, sf_dir, name)
+    """Scan a driver table, spread over the cores when the file yields fewer
+    splits than there are cores (a no-op for large, many-split inputs)."""
+    return spread(load_table(spark, sf_dir, name))
 
 
 def sql_list(words) -> str:
