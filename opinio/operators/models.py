@@ -215,3 +215,23 @@ def early_stop(metrics: DataFrame, run_col: str, epoch_col: str, loss_col: str,
         F.min(F.struct(F.col(loss_col), F.col(epoch_col))).alias("_b")).select(
         run_col, F.col(f"_b.{epoch_col}").alias("best_epoch"), F.col(f"_b.{loss_col}").alias("best_loss"),
         "stop_epoch")
+
+
+# ------------------------------------------------- M5, user-model hook
+def predict_with_model(df: DataFrame, text_col: str, make_predict_fn, labels: Sequence[str],
+                       n_classes: int | None = None, batch_size: int = 256,
+                       out: str = "predicted_label") -> DataFrame:
+    """M5 for a model that is not a Spark ML stage (e.g. an exported neural
+    network): ``make_predict_fn()`` is called once per Python worker and
+    returns ``fn(texts: np.ndarray) -> np.ndarray[n, n_classes]`` of class
+    scores.  Rows travel to Python in Arrow batches of ``batch_size``; the
+    argmax and label lookup run back on the JVM side."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+
+    n = n_classes or len(labels)
+    udf = predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()),
+                            batch_size=batch_size, input_tensor_shapes=None)
+    scored = df.withColumn("_scores", udf(F.coalesce(F.col(text_col), F.lit(""))))
+    scored = scored.withColumn("_scores", F.slice("_scores", 1, n))
+    return scored.withColumn(out, LB.argmax_label("_scores", list(labels))).drop("_scores")

@@ -125,3 +125,23 @@ def test_linear_attribution_sums(spark):
     fx = 2.0 * 0.5 + -1.0 * 1.0 + 3.0 * 0.0
     fm = 2.0 * 0.1 + -1.0 * 0.2 + 3.0 * 0.3
     assert abs(total - (fx - fm)) < 1e-12
+
+
+def test_user_model_hook(spark):
+    import numpy as np
+
+    def make_fn():
+        # Stand-in for an exported network: counts of two marker words.
+        def predict(texts):
+            out = []
+            for t in texts:
+                ws = str(t).lower().split()
+                out.append([ws.count("jelek"), 0.5, ws.count("bagus")])
+            return np.array(out, dtype=np.float32)
+        return predict
+
+    df = spark.createDataFrame([(1, "bagus bagus"), (2, "jelek"), (3, "biasa"), (4, None)],
+                               "row_id long, comment string")
+    got = dict(MO.predict_with_model(df, "comment", make_fn, ["negatif", "netral", "positif"])
+               .select("row_id", "predicted_label").collect())
+    assert got == {1: "positif", 2: "negatif", 3: "netral", 4: "netral"}
