@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinio.functions import text as T
+from opinio.functions.arrays import explode_rows
 from opinio.operators.dedup import keep_first
 from opinio.sources.tables import bounded_broadcast
 
@@ -84,10 +85,15 @@ def affix_stems(vocab: DataFrame, prefixes: Sequence[str], suffixes: Sequence[st
                 w.startswith(p) & w.endswith(s) & (F.length(w) > len(p) + len(s)),
                 F.expr(f"substring(word, {len(p) + 1}, length(word) - {len(p) + len(s)})")).alias("cand")))
             prio += 1
-    words = vocab.select("word").distinct()
+    # The vocabulary feeds three branches (words, root guard, fallback); it is
+    # written once to the shared checkpoint folder instead of being re-derived
+    # from the corpus three times.
+    from opinio.session import checkpoint_root
+    checkpoint_root(vocab.sparkSession)
+    words = vocab.select("word").distinct().checkpoint()
     # Only candidates that exist and are long enough leave the projection.
     live = F.filter(F.array(*cands), lambda c: c["cand"].isNotNull() & (F.length(c["cand"]) >= min_root))
-    exploded = words.select("word", F.explode(live).alias("c")).select("word", "c.prio", "c.cand")
+    exploded = explode_rows(words, live, "c", "word").select("word", "c.prio", "c.cand")
     roots = words.select(F.col("word").alias("cand"))
     accepted = exploded.join(roots, on="cand", how="left_semi")
     best = accepted.groupBy("word").agg(F.min(F.struct("prio", "cand")).alias("b"))
@@ -95,21 +101,42 @@ def affix_stems(vocab: DataFrame, prefixes: Sequence[str], suffixes: Sequence[st
             .select("word", F.coalesce(F.col("b.cand"), F.col("word")).alias("stem")))
 
 
+# Spark looks keys up in a literal map by linear scan, so only small maps are
+# inlined; larger ones go through a (size-checked) broadcast hash join.
+INLINE_MAP_MAX = 64
+
+
 def apply_word_map(df: DataFrame, ws_col: str, table: DataFrame, key: str = "word",
                    value: str = "stem", row_id: str = "row_id", keep: Sequence[str] = (),
-                   out: str | None = None) -> DataFrame:
+                   out: str | None = None, inline_max: int = INLINE_MAP_MAX,
+                   broadcast_max_rows: int = 2_000_000) -> DataFrame:
     """Replace each word by ``table[value]`` where present (T8 join-back, T9
-    for a table-sized synonym list).  Explode, join, regroup by row key."""
+    for a table-sized synonym list).
+
+    Only entries that change a word matter.  When at most ``inline_max`` of
+    them exist (checked), they are inlined as a map literal and applied with
+    ``transform`` -- no shuffle.  Otherwise: explode, hash join (broadcast
+    when the map's size is proven under ``broadcast_max_rows``, else a
+    shuffle join whose hot-word partitions AQE splits), regroup by row key;
+    the regroup combines inside each task first, so one row per row key is
+    shuffled.
+    """
     out = out or ws_col
+    changes = table.select(F.col(key).alias("word"), F.col(value).alias("_v")).filter(
+        F.col("_v").isNotNull() & (F.col("_v") != F.col("word")))
+    n = changes.limit(inline_max + 1).count()
+    if n <= inline_max:
+        mapping = {r["word"]: r["_v"] for r in changes.collect()}
+        return df.select(row_id, *keep, T.map_words(ws_col, mapping).alias(out))
     long = explode_words(df, ws_col, row_id, keep)
-    mapped = (long.join(table.select(F.col(key).alias("word"), F.col(value).alias("_v")), on="word", how="left")
+    mapped = (long.join(bounded_broadcast(changes, broadcast_max_rows), on="word", how="left")
               .withColumn("word", F.coalesce("_v", "word")))
     return regroup_words(mapped, row_id, keep, out=out)
 
 
 def vocabulary(df: DataFrame, ws_col: str) -> DataFrame:
     """Distinct words of an array column (partial aggregation per task)."""
-    return df.select(F.explode(ws_col).alias("word")).distinct()
+    return explode_rows(df, ws_col, "word").distinct()
 
 
 def replace_synonyms(df: DataFrame, ws_col: str, mapping: Mapping[str, str],

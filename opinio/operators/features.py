@@ -13,6 +13,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinio.functions.arrays import explode_rows, posexplode_rows
+
 PAD_ID = 0
 UNKNOWN_ID = 1
 
@@ -46,7 +48,7 @@ class TfidfVocab:
 def term_pairs(df: DataFrame, ws_col: str, row_id: str) -> DataFrame:
     """``(row_id, word, tf)``: per-row term counts.  A row's tokens sit in one
     task, so the partial aggregate already yields the final pairs."""
-    return (df.select(row_id, F.explode(ws_col).alias("word"))
+    return (explode_rows(df, ws_col, "word", row_id)
             .groupBy(row_id, "word").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -66,16 +68,30 @@ def fit_tfidf(df: DataFrame, ws_col: str, row_id: str, max_features: int = 500)
 
 
 def tfidf_weights(df: DataFrame, ws_col: str, row_id: str, vocab: TfidfVocab) -> DataFrame:
-    """M2 long form ``(row_id, word, weight)``: tf x idf, L2-normalised per row.
+    """M2 long form ``(row_id, word, term_index, weight)``: tf x idf,
+    L2-normalised per row, one output row per vocabulary word present.
 
-    Tokens are filtered against the vocabulary with a hash-set lookup before
-    any shuffle; the vocabulary (<= max_features rows) is a broadcast join.
+    Derived from :func:`tfidf_vectors`, so after the fit there is no shuffle
+    at all: counting, scaling and normalising happen per row against the
+    bounded vocabulary, and the index -> word lookup is an inlined array.
     """
+    from pyspark.ml.functions import vector_to_array
+    vec = tfidf_vectors(df.select(row_id, ws_col), ws_col, vocab, "_vec")
+    words = F.array(*[F.lit(w) for w in vocab.words])
+    cells = posexplode_rows(vec, vector_to_array("_vec"), "term_index", "weight", row_id)
+    return cells.filter(F.col("weight") != 0.0).select(
+        row_id, F.element_at(words, F.col("term_index") + 1).alias("word"),
+        F.col("term_index").cast("int").alias("term_index"), "weight")
+
+
+def tfidf_weights_joined(df: DataFrame, ws_col: str, row_id: str, vocab: TfidfVocab) -> DataFrame:
+    """M2 long form as a join plan (term pairs, broadcast vocabulary,
+    per-row norm window) -- the equivalent relational formulation, kept for
+    vocabularies too large to hold as a vector."""
     spark = df.sparkSession
     kept = df.select(row_id, F.filter(ws_col, lambda w: w.isin(list(vocab.words))).alias("_ws"))
     pairs = term_pairs(kept, "_ws", row_id).join(F.broadcast(vocab.frame(spark)), "word")
-    w = (F.col("tf") * F.col("idf"))
-    pairs = pairs.withColumn("_w", w)
+    pairs = pairs.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(row_id)))
     return pairs.select(row_id, "word", "term_index", (F.col("_w") / norm).alias("weight"))
 
@@ -95,17 +111,38 @@ def sequence_vocab(df: DataFrame, ws_col: str, size: int) -> DataFrame:
     """``(word, id)`` for the ``size`` most frequent words (ties by word);
     ids start after the pad and unknown ids.  The numbering window runs
     over at most ``size`` rows."""
-    counts = (df.select(F.explode(ws_col).alias("word")).groupBy("word")
+    counts = (explode_rows(df, ws_col, "word").groupBy("word")
               .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("word")).limit(size))
     w = Window.orderBy(F.col("n").desc(), F.col("word"))
     return counts.select("word", (F.row_number().over(w) + UNKNOWN_ID).cast("int").alias("id"))
 
 
+# Literal maps are searched linearly, so only small vocabularies are inlined.
+INLINE_VOCAB_MAX = 64
+
+
 def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
-                     max_len: int = 128, vocab_max_rows: int = 100_000) -> DataFrame:
+                     max_len: int = 128, inline_max: int = INLINE_VOCAB_MAX,
+                     vocab_max_rows: int = 2_000_000) -> DataFrame:
     """M7: ``(row_id, input_ids, attention_mask)``, both of length ``max_len``:
     known words map to their id, others to the unknown id; sequences are cut
-    at ``max_len`` (the encoder's truncation) and padded with the pad id."""
+    at ``max_len`` (the encoder's truncation) and padded with the pad id.
+
+    A vocabulary of at most ``inline_max`` words (checked) is inlined as a
+    map literal: encoding is then a projection with no shuffle.  Larger
+    vocabularies use explode -> join -> regroup by row.
+    """
+    n = vocab.limit(inline_max + 1).count()
+    if n <= inline_max:
+        pairs = [(r["word"], int(r["id"])) for r in vocab.collect()]
+        m = F.create_map(*[F.lit(x) for kv in pairs for x in kv]) if pairs else None
+        toks = F.slice(ws_col, 1, max_len)
+        ids = F.transform(toks, lambda w: F.coalesce(F.try_element_at(m, w), F.lit(UNKNOWN_ID))) \
+            if m is not None else F.transform(toks, lambda w: F.lit(UNKNOWN_ID))
+        out = df.select(row_id, ids.alias("_ids"))
+        pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size("_ids"))
+        return out.select(row_id, F.concat("_ids", pad).alias("input_ids"),
+                          F.concat(F.array_repeat(F.lit(1), F.size("_ids")), pad).alias("attention_mask"))
     from opinio.sources.tables import bounded_broadcast
     toks = df.select(row_id, F.posexplode_outer(F.slice(ws_col, 1, max_len)).alias("pos", "word"))
     joined = toks.join(bounded_broadcast(vocab, vocab_max_rows), "word", "left")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinio.functions import lexicon as L
+from opinio.functions.arrays import explode_rows
 from opinio.functions.text import word_tokens
 from opinio.resources import Lexicon
 from opinio.sources.tables import bounded_broadcast
@@ -59,9 +60,9 @@ def score_comments_exploded(df: DataFrame, polarity: DataFrame, negators: DataFr
     """L2 + L3, exploded form for table lexicons ``polarity(word, polarity)``
     and ``negators(word)``.  Returns ``(row_id, *keep, score[, label])``."""
     toks = tokens(df.select(row_id, *keep, text_col), text_col)
-    pairs = toks.select(row_id, *keep, F.explode(F.zip_with(
+    pairs = explode_rows(toks, F.zip_with(
         "_ws", F.concat(F.array(F.lit(None).cast("string")), F.col("_ws")),
-        lambda w, p: F.struct(w.alias("word"), p.alias("prev")))).alias("t")).select(
+        lambda w, p: F.struct(w.alias("word"), p.alias("prev"))), "t", row_id, *keep).select(
         row_id, *keep, "t.word", "t.prev")
     pol = bounded_broadcast(polarity.select("word", F.col("polarity").cast("int").alias("polarity")),
                             broadcast_max_rows)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import labels as LB
+from opinio.functions.arrays import explode_rows
 from opinio.functions.text import word_tokens
 from opinio.sources.tables import bounded_broadcast
 
@@ -20,9 +21,9 @@ def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
     signed share of each polar word in its row's score.  Only lexicon hits are
     shuffled (pre-aggregated per task)."""
     toks = df.select(row_id, word_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_ws"))
-    pairs = toks.select(row_id, F.explode(F.zip_with(
+    pairs = explode_rows(toks, F.zip_with(
         "_ws", F.concat(F.array(F.lit(None).cast("string")), F.col("_ws")),
-        lambda w, p: F.struct(w.alias("word"), p.alias("prev")))).alias("t")).select(row_id, "t.word", "t.prev")
+        lambda w, p: F.struct(w.alias("word"), p.alias("prev"))), "t", row_id).select(row_id, "t.word", "t.prev")
     pol = bounded_broadcast(polarity.select("word", F.col("polarity").cast("int").alias("polarity")),
                             broadcast_max_rows)
     neg = bounded_broadcast(negators.select(F.col("word").alias("prev")).distinct(),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import text as T
+from opinio.functions.arrays import explode_rows
 
 
 def label_counts(df: DataFrame, label_col: str) -> DataFrame:
@@ -42,7 +43,7 @@ def label_counts_fixed(df: DataFrame, label_col: str, domain: Sequence[str]) ->
 def word_counts(df: DataFrame, ws_col: str, by: Sequence[str] = ()) -> DataFrame:
     """``(by, word, n)`` with map-side partial counts -- a word holding a third
     of all tokens is one row per task before the shuffle."""
-    return (df.select(*by, F.explode(ws_col).alias("word")).groupBy(*by, "word")
+    return (explode_rows(df, ws_col, "word", *by).groupBy(*by, "word")
             .agg(F.count(F.lit(1)).alias("n")))
 
 

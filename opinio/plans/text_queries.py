@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions import labels as LB
 from opinio.functions import text as T
+from opinio.functions.arrays import explode_rows
 from opinio.operators import clean as C
 from opinio.operators import dedup as D
 from opinio.operators import profile as PR
@@ -184,8 +185,8 @@ EXCEPT
 SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '{T.WORD_RE}')) AS word FROM benchmark)
 """)
 def q_word_difference(spark, sf):
-    a = docs(spark, sf).select(F.explode(T.word_tokens("text")).alias("word"))
-    b = table(spark, sf, "benchmark").select(F.explode(T.word_tokens("text")).alias("word"))
+    a = explode_rows(docs(spark, sf), T.word_tokens("text"), "word")
+    b = explode_rows(table(spark, sf, "benchmark"), T.word_tokens("text"), "word")
     return D.set_difference(a, b, "word")
 
 
@@ -323,7 +324,7 @@ FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id
 """)
 def q_stopword_removal_table(spark, sf):
     """T7 with a stopword *table*: every word of ``benchmark`` is a stopword."""
-    stop = table(spark, sf, "benchmark").select(F.explode(T.word_tokens("text")).alias("word"))
+    stop = explode_rows(table(spark, sf, "benchmark"), T.word_tokens("text"), "word")
     d = docs(spark, sf).select("doc_id", T.split_words(T.normalize("text")).alias("ws"))
     return C.remove_stopwords(d, "ws", stop, row_id="doc_id").select("doc_id", T.join_words("ws").alias("text"))
 
