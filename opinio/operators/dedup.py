@@ -18,7 +18,12 @@ def keep_first(df: DataFrame, subset: Sequence[str], order_col: str = "row_id")
     """
     subset = list(subset)
     rest = [c for c in df.columns if c not in subset and c != order_col]
-    firsts = df.groupBy(*subset).agg(F.min(F.struct(order_col, *rest)).alias("_first"))
+    # A struct buffer with strings runs as a sort-based aggregate.  Leading the
+    # key with a 64-bit hash makes the sort prefix a long, so long texts are
+    # compared byte-wise only on a hash tie; the text itself stays in the key,
+    # so grouping is exact.
+    firsts = df.groupBy(F.xxhash64(*subset).alias("_h"), *subset).agg(
+        F.min(F.struct(order_col, *rest)).alias("_first"))
     out = firsts.select(*subset, *[F.col(f"_first.{c}").alias(c) for c in [order_col, *rest]])
     return out.select(*df.columns)
 
