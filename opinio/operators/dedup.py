@@ -49,3 +49,11 @@ def set_difference(left: DataFrame, right: DataFrame, col: str) -> DataFrame:
     """Distinct values of ``left.col`` absent from ``right.col``
     (EXCEPT DISTINCT; nulls compare equal)."""
     return left.select(col).subtract(right.select(col))
+
+
+def attach_by_row(df: DataFrame, other: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Index-aligned column assignment as an equi left join on the row
+    key (rows of ``df`` without a partner get nulls).  Prefer computing a
+    column with ``withColumn`` on the same frame; use this when the values
+    come from a separate job (predictions, cluster ids)."""
+    return df.join(other, on=row_id, how="left")

@@ -22,6 +22,10 @@ from opinio.streaming import counts as SC
 from opinio.streaming import scoring as SS
 
 
+# Domain for the running totals (known event types plus one never seen).
+EVENT_TYPES = ("click", "error", "purchase", "view", "signup", "refund")
+
+
 def _comments(spark, sf):
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("no"), F.col("text").alias("comment"), F.col("lang").alias("label"))
@@ -140,3 +144,21 @@ def q_stream_event_counts(spark, sf):
     out = SC.run_to_table(spark, counts, os.path.join(root, "out"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "event_type", "n")
+
+
+@register("stream_label_totals", family="streaming", sql=f"""
+SELECT d.event_type, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (SELECT unnest({list(EVENT_TYPES)}) AS event_type) d
+LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) c USING (event_type)
+""")
+def q_stream_label_totals(spark, sf):
+    """ST3 totals (stream form of A7): complete-mode running counts per event
+    type, reported over a fixed domain with zeros for absent types."""
+    root = work_dir(spark, "event-totals")
+    src = table(spark, sf, "events")
+    src.repartition(4).write.parquet(os.path.join(root, "in"))
+    stream = spark.readStream.schema(src.schema).parquet(os.path.join(root, "in"))
+    totals = SC.run_complete_to_table(spark, SC.running_totals(stream, "event_type"), os.path.join(root, "out"))
+    dom = spark.createDataFrame([(x,) for x in EVENT_TYPES], "event_type string")
+    return (F.broadcast(dom).join(totals, "event_type", "left")
+            .select("event_type", F.coalesce("n", F.lit(0)).cast("long").alias("n")))

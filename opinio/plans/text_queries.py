@@ -164,6 +164,13 @@ def q_distinct_labels(spark, sf):
     return D.distinct_labels(conv, "role", "row_id")
 
 
+@register("attach_by_row", family="dedup", sql="""
+SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def q_attach_by_row(spark, sf):
+    return D.attach_by_row(docs(spark, sf).select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id")
+
+
 @register("head_rows", family="dedup", sql="""
 SELECT doc_id, text, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 10
 """)

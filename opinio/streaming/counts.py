@@ -36,3 +36,25 @@ def run_to_table(spark: SparkSession, stream: DataFrame, out_dir: str, mode: str
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     return reader.schema(stream.schema).format(fmt).load(os.path.join(out_dir, "data"))
+
+
+def running_totals(stream: DataFrame, label_col: str) -> DataFrame:
+    """Running count per label over the whole stream (complete output mode):
+    every trigger re-emits the full, updated table.  State is one counter per
+    distinct label."""
+    return stream.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_complete_to_table(spark: SparkSession, stream: DataFrame, out_dir: str) -> DataFrame:
+    """Drive a complete-mode aggregation over everything available now.
+    File sinks only append, so each trigger's full result replaces the
+    previous snapshot through ``foreachBatch`` (idempotent per batch id)."""
+    data = os.path.join(out_dir, "data")
+
+    def write_snapshot(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(data)
+
+    (stream.writeStream.outputMode("complete").foreachBatch(write_snapshot)
+     .option("checkpointLocation", os.path.join(out_dir, "checkpoint"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(data)
