@@ -164,15 +164,41 @@ def hybrid_features(df: DataFrame, vector_col: str, extra_cols: Sequence[str],
 
 
 # ----------------------------------------------------------------- M12
+def vocabulary_min_count(df: DataFrame, ws_col: str, min_count: int, max_vocab: int) -> int:
+    """The smallest count threshold ``>= min_count`` that keeps at most
+    ``max_vocab`` distinct words.
+
+    Computed distributedly: word counts (pre-aggregated map-side), then a
+    histogram ``(count, words with that count)`` -- one row per distinct
+    count value -- and a running sum over it, from the most frequent down.
+    Only one number reaches the driver.
+    """
+    counts = (explode_rows(df, ws_col, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n") >= min_count))
+    hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    kept = F.sum("k").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    thr = hist.withColumn("_kept", kept).filter(F.col("_kept") <= max_vocab).agg(F.min("n")).first()[0]
+    if thr is None:
+        raise ValueError(f"the most frequent count alone holds more than {max_vocab} words")
+    return max(int(thr), min_count)
+
+
 def sentence_vectors(df: DataFrame, ws_col: str, size: int = 64, seed: int = 42,
-                     min_count: int = 2, out: str = "sentence_vector"):
+                     min_count: int = 2, max_vocab: int = 1_000_000, out: str = "sentence_vector"):
     """Mean word vector per row from a Word2Vec model trained on the
-    same rows.  Returns ``(model, transformed)``."""
+    same rows.  Returns ``(model, transformed)``.
+
+    Spark ML collects the Word2Vec vocabulary to the driver and broadcasts
+    two ``vocabulary x size`` tables, so the vocabulary is bounded first:
+    the count threshold is raised (exactly Word2Vec's own ``minCount`` rule)
+    until at most ``max_vocab`` words remain.
+    """
     parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, 64))
-    w2v = Word2Vec(vectorSize=size, seed=seed, minCount=min_count, inputCol=ws_col,
-                   outputCol=out, maxIter=1, numPartitions=parts)
     cached = df.persist()
     try:
+        mc = vocabulary_min_count(cached, ws_col, min_count, max_vocab)
+        w2v = Word2Vec(vectorSize=size, seed=seed, minCount=mc, inputCol=ws_col,
+                       outputCol=out, maxIter=1, numPartitions=parts)
         model = w2v.fit(cached)
     finally:
         cached.unpersist()

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,25 +37,42 @@ def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
 
 # ------------------------------------------------------------ M3 / M3b
 def fit_kmeans(df: DataFrame, features_col: str = "features", k: int = 3, seed: int = 42,
-               n_init: int = 10, max_iter: int = 300):
+               n_init: int = 10, max_iter: int = 300, parallelism: int = 4):
     """M3: k-means with ``n_init`` seeded starts (seed, seed+1, ...), keeping
-    the model with the lowest within-cluster cost.  Each fit is a
-    distributed Lloyd iteration; only k centroids travel to the driver."""
+    the model with the lowest within-cluster cost (the first start on ties).
+
+    Each fit is a distributed Lloyd iteration; only k centroids travel to the
+    driver.  Up to ``parallelism`` starts run as concurrent Spark jobs (as
+    ``TrainValidationSplit`` fits its candidates): a start's per-iteration
+    jobs are short, so running them side by side keeps the executors busy.
+    """
     from pyspark.ml.clustering import KMeans
-    best = None
     # The starts share one persisted copy of the vectors (recomputed from
     # the source if an executor is lost) instead of re-deriving them.
     cached = df.select(features_col).persist()
+
+    def one(i):
+        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features_col,
+                       predictionCol="cluster").fit(cached)
+        return model.summary.trainingCost, i, model
+
     try:
-        for i in range(n_init):
-            model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features_col,
-                           predictionCol="cluster").fit(cached)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model)
+        fits = _concurrent(one, range(n_init), parallelism, df.sparkSession)
     finally:
         cached.unpersist()
-    return best[1]
+    return min(fits, key=lambda f: (f[0], f[1]))[2]
+
+
+def _concurrent(fn, items, parallelism: int, spark):
+    """``[fn(x) for x in items]`` with up to ``parallelism`` items submitting
+    Spark jobs at once (threads inherit the caller's job properties)."""
+    from concurrent.futures import ThreadPoolExecutor
+    from pyspark.util import inheritable_thread_target
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))
 
 
 def class_centroids(df: DataFrame, vec_col: str, class_col: str, max_classes: int = 10_000):
@@ -175,28 +193,64 @@ def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_siz
 
 
 # --------------------------------------------------------------- M11
+@dataclass(frozen=True)
+class Selection:
+    """M11a result: the shared featurizer, one fitted classifier per
+    candidate, and each candidate's validation log loss."""
+    featurizer: object
+    reg_params: tuple
+    models: tuple
+    log_losses: tuple
+
+    @property
+    def best_index(self) -> int:
+        return min(range(len(self.log_losses)), key=lambda i: (self.log_losses[i], i))
+
+    @property
+    def best_model(self):
+        from pyspark.ml import PipelineModel
+        return PipelineModel(stages=[*self.featurizer.stages, self.models[self.best_index]])
+
+
 def select_model(df: DataFrame, ws_col: str, label_col: str, reg_params=(0.0, 0.01, 0.1),
-                 train_ratio: float = 0.8, seed: int = 42):
-    """Keep the candidate with the best validation log loss."""
+                 train_ratio: float = 0.8, seed: int = 42, parallelism: int = 3) -> Selection:
+    """Keep the candidate with the best validation log loss.
+
+    Same protocol as ``TrainValidationSplit`` over the whole pipeline (one
+    seeded split; every stage fitted on the training part only), but the
+    featurizer -- identical for every candidate, since only the
+    regularisation varies -- is fitted once and its output persisted; the
+    candidates then fit concurrently on those vectors.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-    lr = LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features", maxIter=50)
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol=label_col, outputCol="label_index", stringOrderType="alphabetAsc"),
-        CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=500),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(p=2.0, inputCol="_idf", outputCol="features"), lr])
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
-    ev = MulticlassClassificationEvaluator(labelCol="label_index", metricName="logLoss")
     cached = df.persist()
     try:
-        return TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev,
-                                    trainRatio=train_ratio, seed=seed).fit(cached)
+        train, valid = cached.randomSplit([train_ratio, 1.0 - train_ratio], seed)
+        featurizer = Pipeline(stages=[
+            StringIndexer(inputCol=label_col, outputCol="label_index", stringOrderType="alphabetAsc"),
+            CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=500),
+            IDF(inputCol="_tf", outputCol="_idf"),
+            Normalizer(p=2.0, inputCol="_idf", outputCol="features")]).fit(train)
+        tx = featurizer.transform(train).select("label_index", "features").persist()
+        vx = featurizer.transform(valid).select("label_index", "features").persist()
+        ev = MulticlassClassificationEvaluator(labelCol="label_index", metricName="logLoss")
+
+        def one(reg):
+            m = LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features",
+                                   maxIter=50, regParam=float(reg)).fit(tx)
+            return m, ev.evaluate(m.transform(vx))
+
+        try:
+            fits = _concurrent(one, reg_params, parallelism, df.sparkSession)
+        finally:
+            tx.unpersist()
+            vx.unpersist()
     finally:
         cached.unpersist()
+    return Selection(featurizer, tuple(reg_params), tuple(m for m, _ in fits), tuple(l for _, l in fits))
 
 
 def early_stop(metrics: DataFrame, run_col: str, epoch_col: str, loss_col: str,

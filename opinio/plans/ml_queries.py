@@ -203,8 +203,8 @@ def q_lda_topics(spark, sf):
 @register("model_selection", family="ml")
 def q_model_selection(spark, sf):
     """Validation log loss of each candidate regularisation."""
-    tvs = MO.select_model(_labelled(spark, sf), "ws", "label")
-    rows = [(float(p[list(p)[0]]), float(m)) for p, m in zip(tvs.getEstimatorParamMaps(), tvs.validationMetrics)]
+    sel = MO.select_model(_labelled(spark, sf), "ws", "label")
+    rows = [(float(r), float(m)) for r, m in zip(sel.reg_params, sel.log_losses)]
     return spark.createDataFrame(rows, "reg_param double, log_loss double")
 
 

@@ -145,3 +145,27 @@ def test_user_model_hook(spark):
     got = dict(MO.predict_with_model(df, "comment", make_fn, ["negatif", "netral", "positif"])
                .select("row_id", "predicted_label").collect())
     assert got == {1: "positif", 2: "negatif", 3: "netral", 4: "netral"}
+
+
+def test_vocabulary_min_count_bounds_vocab(spark):
+    from opinio.operators.features import vocabulary_min_count
+    # counts: a 5, b 4, c 4, d 2, e 1
+    ws = [["a"] * 5 + ["b"] * 4 + ["c"] * 4 + ["d"] * 2 + ["e"]]
+    df = spark.createDataFrame([(w,) for w in ws], "ws array<string>")
+    assert vocabulary_min_count(df, "ws", 1, 10) == 1
+    assert vocabulary_min_count(df, "ws", 2, 4) == 2
+    assert vocabulary_min_count(df, "ws", 2, 3) == 4   # a, b, c
+    assert vocabulary_min_count(df, "ws", 1, 2) == 5   # b and c tie: both go
+    assert vocabulary_min_count(df, "ws", 3, 1) == 5
+
+
+def test_select_model_reports_every_candidate(spark):
+    rows = [(i, "sangat bagus suka", "positif") for i in range(30)] + \
+           [(100 + i, "jelek kecewa buruk", "negatif") for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, t string, label string").withColumn("ws", T.word_tokens("t", 2))
+    sel = MO.select_model(df, "ws", "label", reg_params=(0.0, 0.5))
+    assert len(sel.log_losses) == 2 and all(x >= 0 for x in sel.log_losses)
+    # the unregularised fit separates the fixture better
+    assert sel.best_index == 0
+    pred = MO.predict_labels(sel.best_model, df)
+    assert ME.accuracy(pred, "predicted_label", "label").first()[0] == 1.0
