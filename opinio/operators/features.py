@@ -52,14 +52,29 @@ def term_pairs(df: DataFrame, ws_col: str, row_id: str) -> DataFrame:
             .groupBy(row_id, "word").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def corpus_stats(df: DataFrame, ws_col: str) -> DataFrame:
+    """``(word, cf, df)``: corpus frequency and document frequency per word.
+
+    One pass, one shuffle keyed by word: each token adds to ``cf`` and each
+    distinct word of a row (``array_distinct``, computed inside the row) adds
+    to ``df``; the aggregate combines map-side, so every task ships at most
+    one row per word -- no ``(row, word)`` pairs are shuffled.
+    """
+    marks = F.concat(
+        F.transform(ws_col, lambda w: F.struct(w.alias("word"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
+        F.transform(F.array_distinct(ws_col),
+                    lambda w: F.struct(w.alias("word"), F.lit(0).alias("c"), F.lit(1).alias("d"))))
+    return explode_rows(df, marks, "_m").groupBy(F.col("_m.word").alias("word")).agg(
+        F.sum("_m.c").cast("long").alias("cf"), F.sum("_m.d").cast("long").alias("df"))
+
+
 def fit_tfidf(df: DataFrame, ws_col: str, row_id: str, max_features: int = 500) -> TfidfVocab:
     """M2 fit: the ``max_features`` words with the highest corpus frequency
     (ties by word), smoothed idf ``ln((1+n)/(1+df)) + 1``.
 
     Only the bounded top-``max_features`` rows reach the driver.
     """
-    stats = term_pairs(df, ws_col, row_id).groupBy("word").agg(
-        F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    stats = corpus_stats(df, ws_col)
     top = stats.orderBy(F.col("cf").desc(), F.col("word")).limit(max_features).collect()
     n = df.count()
     top = sorted(top, key=lambda r: (-r["cf"], r["word"]))

@@ -150,24 +150,40 @@ def softmax_probs(df: DataFrame, scores_col: str, out: str = "probability") -> D
 
 # ---------------------------------------------------------------- M9
 def linear_attribution(weights: DataFrame, coefs: DataFrame, means: DataFrame,
-                       row_id: str = "row_id") -> DataFrame:
+                       row_id: str = "row_id", rows: DataFrame | None = None,
+                       max_classes: int = 10_000) -> DataFrame:
     """M9 (linear model): exact attribution ``coef[c, w] * (x[d, w] - mean[w])``
     for the words present in a row, plus one baseline term per
     ``(row, class)`` for the absent words, ``-sum coef * mean`` over them.
 
     ``weights(row_id, word, x)``, ``coefs(class, word, coef)``,
     ``means(word, mean)``.  Coefficients are per vocabulary word (bounded by
-    the vocabulary size) and broadcast after a size check.
+    the vocabulary size) and broadcast after a size check.  ``rows`` (one
+    column ``row_id``), when given, also yields the baseline of rows with
+    no vocabulary word at all (every word absent); the per-class totals are
+    then inlined (classes checked against ``max_classes``) and generated per
+    row -- no cross join.
     """
     cm = bounded_broadcast(coefs.join(means, "word"))
-    present = weights.join(cm, "word").select(
+    hits = weights.join(cm, "word")
+    present = hits.select(
         row_id, "class", "word", (F.col("coef") * (F.col("x") - F.col("mean"))).alias("attribution"))
     full_base = cm.groupBy("class").agg(F.sum(-F.col("coef") * F.col("mean")).alias("_all"))
-    present_base = weights.join(cm, "word").groupBy(row_id, "class").agg(
-        F.sum(-F.col("coef") * F.col("mean")).alias("_present"))
-    base = present_base.join(F.broadcast(full_base), "class").select(
-        row_id, "class", F.lit(None).cast("string").alias("word"),
-        (F.col("_all") - F.col("_present")).alias("attribution"))
+    present_base = hits.groupBy(row_id, "class").agg(F.sum(-F.col("coef") * F.col("mean")).alias("_present"))
+    null_word = F.lit(None).cast("string").alias("word")
+    if rows is None:
+        base = present_base.join(F.broadcast(full_base), "class").select(
+            row_id, "class", null_word, (F.col("_all") - F.col("_present")).alias("attribution"))
+        return present.unionByName(base)
+    totals = full_base.limit(max_classes + 1).collect()
+    if len(totals) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    per_class = F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(r["_all"]).alias("_all"))
+                          for r in totals])
+    per_row = rows.select(row_id, F.explode(per_class).alias("_b")).select(row_id, "_b.class", "_b._all")
+    base = per_row.join(present_base, [row_id, "class"], "left").select(
+        row_id, "class", null_word,
+        (F.col("_all") - F.coalesce(F.col("_present"), F.lit(0.0))).alias("attribution"))
     return present.unionByName(base)
 
 

@@ -13,6 +13,7 @@ from opinio.operators import models as MO
 from opinio.operators.lexicon import score_comments
 from opinio.plans.registry import register, table
 from opinio.resources import DOCS_LEXICON
+from opinio.session import checkpoint_root
 from opinio.sources.tables import spread
 
 TFIDF_MAX_FEATURES = 500
@@ -77,6 +78,51 @@ def q_tfidf_vectors(spark, sf):
     return v.select("doc_id", F.size(F.filter(arr, lambda x: x != 0.0)).alias("nnz"))
 
 
+_TFIDF_X_SQL = f"""
+t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{T.WORD2_RE}')) AS word FROM documents),
+n AS (SELECT count(*) AS n FROM documents),
+p AS (SELECT doc_id, word, count(*) AS tf FROM t GROUP BY doc_id, word),
+v AS (SELECT word, sum(tf) AS cf, count(*) AS df FROM p GROUP BY word ORDER BY cf DESC, word LIMIT {TFIDF_MAX_FEATURES}),
+w AS (SELECT p.doc_id, p.word, p.tf * (ln((1.0 + n.n) / (1.0 + v.df)) + 1.0) AS w FROM p JOIN v USING (word) CROSS JOIN n),
+x AS (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM w)"""
+
+
+@register("linear_attribution", family="ml", sql=f"""
+WITH {_TFIDF_X_SQL},
+cls AS (SELECT lang AS class, count(*) AS nc FROM documents GROUP BY lang),
+coef AS (SELECT d.lang AS class, x.word, sum(x.x) / max(c.nc) AS coef
+         FROM x JOIN documents d USING (doc_id) JOIN cls c ON d.lang = c.class GROUP BY d.lang, x.word),
+mean AS (SELECT word, sum(x) / max(n.n) AS mean FROM x CROSS JOIN n GROUP BY word),
+cm AS (SELECT * FROM coef JOIN mean USING (word)),
+allb AS (SELECT class, sum(-coef * mean) AS a FROM cm GROUP BY class),
+presb AS (SELECT x.doc_id, cm.class, sum(-cm.coef * cm.mean) AS p FROM x JOIN cm USING (word) GROUP BY x.doc_id, cm.class)
+SELECT x.doc_id, cm.class, x.word, round(cm.coef * (x.x - cm.mean), 6) AS attribution FROM x JOIN cm USING (word)
+UNION ALL
+SELECT d.doc_id, allb.class, CAST(NULL AS VARCHAR) AS word, round(allb.a - coalesce(presb.p, 0.0), 6) AS attribution
+FROM documents d CROSS JOIN allb LEFT JOIN presb ON presb.doc_id = d.doc_id AND presb.class = allb.class
+""")
+def q_linear_attribution(spark, sf):
+    """M9, linear form: exact attributions ``coef * (x - mean)`` of a linear
+    scorer over TF-IDF weights -- one coefficient vector per language, its
+    mean TF-IDF vector -- per document, class and present word, plus one
+    baseline row (word null) per document and class for the absent words."""
+    d = _docs_tokens(spark, sf, 2)
+    vocab = FE.fit_tfidf(d, "ws", "doc_id", TFIDF_MAX_FEATURES)
+    # The weights feed four branches (coefficients, means, present words,
+    # baselines): written once to the shared checkpoint folder rather than
+    # re-tokenising the corpus per branch.
+    checkpoint_root(spark)
+    x = FE.tfidf_weights(d, "ws", "doc_id", vocab).select(
+        "doc_id", "word", F.col("weight").alias("x")).checkpoint()
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("class"))
+    n_c = docs.groupBy("class").agg(F.count(F.lit(1)).alias("n_c"))
+    coefs = (x.join(docs, "doc_id").groupBy("class", "word").agg(F.sum("x").alias("_s"))
+             .join(n_c, "class").select("class", "word", (F.col("_s") / F.col("n_c")).alias("coef")))
+    means = x.groupBy("word").agg((F.sum("x") / F.lit(vocab.n_docs)).alias("mean"))
+    out = MO.linear_attribution(x, coefs, means, "doc_id", rows=docs.select("doc_id"))
+    return out.select("doc_id", "class", "word", F.round("attribution", 6).alias("attribution"))
+
+
 @register("kmeans_clusters", family="ml")
 def q_kmeans_clusters(spark, sf):
     """M3: TF-IDF vectors clustered with k=3, best of 10 seeded starts.

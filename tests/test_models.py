@@ -169,3 +169,29 @@ def test_select_model_reports_every_candidate(spark):
     assert sel.best_index == 0
     pred = MO.predict_labels(sel.best_model, df)
     assert ME.accuracy(pred, "predicted_label", "label").first()[0] == 1.0
+
+
+def test_corpus_stats_brute_force(spark):
+    from collections import Counter
+    from opinio.operators.features import corpus_stats
+    docs = [["a", "b", "a"], [], ["b", "c"], ["a", "a", "a"], None]
+    df = spark.createDataFrame([(d,) for d in docs], "ws array<string>")
+    got = {r.word: (r.cf, r.df) for r in corpus_stats(df, "ws").collect()}
+    cf = Counter(w for d in docs if d for w in d)
+    dfc = Counter(w for d in docs if d for w in set(d))
+    assert got == {w: (cf[w], dfc[w]) for w in cf}
+
+
+def test_linear_attribution_baseline_for_rows_without_words(spark):
+    w = spark.createDataFrame([(1, "a", 0.5)], "row_id long, word string, x double")
+    coefs = spark.createDataFrame([(0, "a", 2.0), (0, "b", -1.0)], "class int, word string, coef double")
+    means = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "word string, mean double")
+    rows = spark.createDataFrame([(1,), (2,)], "row_id long")
+    out = MO.linear_attribution(w, coefs, means, rows=rows).collect()
+    per_row = {}
+    for r in out:
+        per_row[r.row_id] = per_row.get(r.row_id, 0.0) + r.attribution
+    # f(x) - f(mean) for each row of the linear score 2a - b
+    assert abs(per_row[1] - ((2.0 * 0.5) - (2.0 * 0.1 - 0.2))) < 1e-12
+    assert abs(per_row[2] - (0.0 - (2.0 * 0.1 - 0.2))) < 1e-12
+    assert sum(1 for r in out if r.word is None) == 2
