@@ -121,16 +121,23 @@ def apply_word_map(df: DataFrame, ws_col: str, table: DataFrame, key: str = "wor
     the regroup combines inside each task first, so one row per row key is
     shuffled.
     """
+    from opinio.session import checkpoint_root
     out = out or ws_col
     changes = table.select(F.col(key).alias("word"), F.col(value).alias("_v")).filter(
         F.col("_v").isNotNull() & (F.col("_v") != F.col("word")))
-    n = changes.limit(inline_max + 1).count()
+    # The map is usually derived (a stemming vocabulary job): it is written
+    # once to the shared checkpoint folder, so the size check and the join
+    # read the result instead of re-running the job.  One bounded count
+    # picks the strategy.
+    checkpoint_root(df.sparkSession)
+    changes = changes.checkpoint()
+    n = changes.limit(broadcast_max_rows + 1).count()
     if n <= inline_max:
         mapping = {r["word"]: r["_v"] for r in changes.collect()}
         return df.select(row_id, *keep, T.map_words(ws_col, mapping).alias(out))
+    side = F.broadcast(changes) if n <= broadcast_max_rows else changes
     long = explode_words(df, ws_col, row_id, keep)
-    mapped = (long.join(bounded_broadcast(changes, broadcast_max_rows), on="word", how="left")
-              .withColumn("word", F.coalesce("_v", "word")))
+    mapped = long.join(side, on="word", how="left").withColumn("word", F.coalesce("_v", "word"))
     return regroup_words(mapped, row_id, keep, out=out)
 
 

@@ -172,7 +172,7 @@ def linear_attribution(weights: DataFrame, coefs: DataFrame, means: DataFrame,
     present_base = hits.groupBy(row_id, "class").agg(F.sum(-F.col("coef") * F.col("mean")).alias("_present"))
     null_word = F.lit(None).cast("string").alias("word")
     if rows is None:
-        base = present_base.join(F.broadcast(full_base), "class").select(
+        base = present_base.join(bounded_broadcast(full_base, max_classes), "class").select(
             row_id, "class", null_word, (F.col("_all") - F.col("_present")).alias("attribution"))
         return present.unionByName(base)
     totals = full_base.limit(max_classes + 1).collect()

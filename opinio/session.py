@@ -43,16 +43,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the deployment (a shared file system
-    every executor can reach).  Only when it is unset -- local runs and
-    tests -- do we create a private folder and register it.
+    every executor can reach); Spark then registers it as the context's
+    checkpoint folder at start-up.  Only when it is unset -- local runs and
+    tests -- is a private folder created and registered with
+    ``SparkContext.setCheckpointDir`` (the setting itself is fixed once the
+    session runs).
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="opinio-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root
 
 

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,9 +11,9 @@ sys.path.insert(0, ROOT)
 def spark():
     from opinio.session import get_session
     s = get_session("local[4]", 8, app_name="opinio-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        # Tests only: no shared folder is configured, so use a private one.
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="opinio-test-ckpt-"))
+    # Tests only: when no shared folder is configured, a private one is used.
+    from opinio.session import checkpoint_root
+    checkpoint_root(s)
     yield s
 
 
