@@ -147,7 +147,13 @@ def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
     map literal: encoding is then a projection with no shuffle.  Larger
     vocabularies use explode -> join -> regroup by row.
     """
-    n = vocab.limit(inline_max + 1).count()
+    from opinio.session import checkpoint_root
+    # The vocabulary is a corpus job: written once to the shared checkpoint
+    # folder so the size check and the lookup read it rather than recount
+    # the corpus.  One bounded count picks the strategy.
+    checkpoint_root(df.sparkSession)
+    vocab = vocab.select("word", "id").checkpoint()
+    n = vocab.limit(vocab_max_rows + 1).count()
     if n <= inline_max:
         pairs = [(r["word"], int(r["id"])) for r in vocab.collect()]
         m = F.create_map(*[F.lit(x) for kv in pairs for x in kv]) if pairs else None
@@ -158,9 +164,9 @@ def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
         pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size("_ids"))
         return out.select(row_id, F.concat("_ids", pad).alias("input_ids"),
                           F.concat(F.array_repeat(F.lit(1), F.size("_ids")), pad).alias("attention_mask"))
-    from opinio.sources.tables import bounded_broadcast
+    side = F.broadcast(vocab) if n <= vocab_max_rows else vocab
     toks = df.select(row_id, F.posexplode_outer(F.slice(ws_col, 1, max_len)).alias("pos", "word"))
-    joined = toks.join(bounded_broadcast(vocab, vocab_max_rows), "word", "left")
+    joined = toks.join(side, "word", "left")
     grouped = joined.groupBy(row_id).agg(F.array_sort(F.collect_list(F.when(
         F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))))).alias("_s"))
     ids = F.transform("_s", lambda s: s["id"])

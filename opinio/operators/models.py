@@ -83,11 +83,12 @@ def class_centroids(df: DataFrame, vec_col: str, class_col: str, max_classes: in
     """
     per_dim = (df.select(class_col, F.posexplode(F.col(vec_col).cast("array<double>")).alias("i", "x"))
                .groupBy(class_col, "i").agg(F.avg("x").alias("m")))
-    n_classes = per_dim.select(class_col).distinct().limit(max_classes + 1).count()
-    if n_classes > max_classes:
-        raise ValueError(f"more than {max_classes} classes; centroids are not bounded")
+    # One job: at most ``max_classes + 1`` centroids are collected, and more
+    # than ``max_classes`` is an error.
     rows = (per_dim.groupBy(class_col).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
-            .orderBy(class_col).collect())
+            .orderBy(class_col).limit(max_classes + 1).collect())
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes; centroids are not bounded")
     return [(r[class_col], [s["m"] for s in r["v"]]) for r in rows]
 
 
