@@ -11,7 +11,7 @@ from opinio.operators import features as FE
 from opinio.operators import metrics as ME
 from opinio.operators import models as MO
 from opinio.operators.lexicon import score_comments
-from opinio.plans.registry import register, table
+from opinio.plans.registry import register, sql_list, table
 from opinio.resources import DOCS_LEXICON
 from opinio.session import checkpoint_root
 from opinio.sources.tables import spread
@@ -224,7 +224,7 @@ def q_batch_predict(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     d = score_comments(d, DOCS_LEXICON, "text", "lex_score", None)
     d = d.withColumn("ws", T.word_tokens("text", 2)).withColumn("lex_score", F.col("lex_score").cast("double"))
-    d = d.withColumn("label", F.lit("negatif"))  # placeholder for the label indexer stage
+    # Scoring frames carry no label: the fitted label indexer skips a missing column.
     return MO.predict_labels(model, d).select("doc_id", "predicted_label")
 
 
@@ -240,6 +240,40 @@ def q_hybrid_features(spark, sf):
     return h.select("doc_id", F.size(arr).alias("n_features"), F.element_at(arr, -1).alias("lex_score"))
 
 
+def _marker_model():
+    """Stand-in for a user's exported model (M5 hook), built once per Python
+    worker: class scores ``[negative hits, 0.5, positive hits]`` over the
+    whitespace words of each text in an Arrow batch."""
+    import numpy as np
+    pos, neg = set(DOCS_LEXICON.positive), set(DOCS_LEXICON.negative)
+
+    def predict(texts):
+        out = np.empty((len(texts), 3), dtype=np.float32)
+        for i, t in enumerate(texts):
+            ws = str(t).split()
+            out[i] = (sum(w in neg for w in ws), 0.5, sum(w in pos for w in ws))
+        return out
+    return predict
+
+
+_HITS = "len(list_filter(string_split_regex(coalesce(text, ''), '[{ws}]+'), lambda w: w IN {words}))"
+
+
+@register("user_model_predict", family="ml", sql=f"""
+SELECT doc_id, CASE WHEN neg >= 1 AND neg >= pos THEN 'negatif' WHEN pos = 0 THEN 'netral' ELSE 'positif' END
+       AS predicted_label
+FROM (SELECT doc_id, {_HITS.format(ws=T.SPACE_CHARS, words=sql_list(DOCS_LEXICON.negative))} AS neg,
+             {_HITS.format(ws=T.SPACE_CHARS, words=sql_list(DOCS_LEXICON.positive))} AS pos FROM documents)
+""")
+def q_user_model_predict(spark, sf):
+    """M5 with a model that is not a Spark ML stage: texts travel to the
+    Python workers in Arrow batches (``predict_batch_udf``), the model is
+    built once per worker, argmax and label lookup run back in the JVM."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return MO.predict_with_model(d, "text", _marker_model, ["negatif", "netral", "positif"]).select(
+        "doc_id", "predicted_label")
+
+
 @register("lda_topics", family="ml")
 def q_lda_topics(spark, sf):
     """Three topics over the documents, top 10 words each."""
