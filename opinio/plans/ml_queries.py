@@ -11,6 +11,7 @@ from opinio.operators import features as FE
 from opinio.operators import metrics as ME
 from opinio.operators import models as MO
 from opinio.operators.lexicon import score_comments
+from opinio.plans.lexicon_queries import SQL_SCORE, sql_tokens
 from opinio.plans.registry import register, sql_list, table
 from opinio.resources import DOCS_LEXICON
 from opinio.session import checkpoint_root
@@ -228,7 +229,13 @@ def q_batch_predict(spark, sf):
     return MO.predict_labels(model, d).select("doc_id", "predicted_label")
 
 
-@register("hybrid_features", family="ml")
+@register("hybrid_features", family="ml", sql=f"""
+WITH v AS (SELECT count(DISTINCT w) AS nv
+           FROM (SELECT unnest(regexp_extract_all(lower(text), '{T.WORD2_RE}')) AS w FROM documents))
+SELECT doc_id, CAST(least(v.nv, {TFIDF_MAX_FEATURES}) + 1 AS INTEGER) AS n_features, CAST(score AS DOUBLE) AS lex_score
+FROM (SELECT doc_id, {SQL_SCORE} AS score FROM (SELECT doc_id, {sql_tokens("text")} AS ws FROM documents))
+CROSS JOIN v
+""")
 def q_hybrid_features(spark, sf):
     """M8: TF-IDF vector concatenated with the lexicon score."""
     d = table(spark, sf, "documents").select("doc_id", "text")
