@@ -15,6 +15,23 @@ from opinio.functions.text import word_tokens
 from opinio.sources.tables import bounded_broadcast
 
 
+# Rows per partition for the input of an iterative fit (LBFGS, Lloyd).  Each
+# iteration is a Spark job over every partition, so a small input spread
+# over many partitions pays task and stage overhead on every iteration; a
+# large one keeps ``rows / ROWS_PER_FIT_PARTITION`` partitions (thousands at
+# scale) and its full parallelism.
+ROWS_PER_FIT_PARTITION = 20_000
+
+
+def sized_for_iterations(df: DataFrame, rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:
+    """``df`` coalesced (no shuffle) to ``ceil(rows / rows_per_partition)``
+    partitions when that is fewer than it has; ``df`` should be persisted,
+    since its rows are counted first."""
+    import math
+    want = max(1, math.ceil(df.count() / rows_per_partition))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
                         text_col: str = "comment", row_id: str = "row_id",
                         broadcast_max_rows: int = 2_000_000) -> DataFrame:
@@ -37,7 +54,7 @@ def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
 
 # ------------------------------------------------------------ M3 / M3b
 def fit_kmeans(df: DataFrame, features_col: str = "features", k: int = 3, seed: int = 42,
-               n_init: int = 10, max_iter: int = 300, parallelism: int = 4):
+               n_init: int = 10, max_iter: int = 300, parallelism: int = 8):
     """M3: k-means with ``n_init`` seeded starts (seed, seed+1, ...), keeping
     the model with the lowest within-cluster cost (the first start on ties).
 
@@ -50,10 +67,11 @@ def fit_kmeans(df: DataFrame, features_col: str = "features", k: int = 3, seed:
     # The starts share one persisted copy of the vectors (recomputed from
     # the source if an executor is lost) instead of re-deriving them.
     cached = df.select(features_col).persist()
+    points = sized_for_iterations(cached)
 
     def one(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features_col,
-                       predictionCol="cluster").fit(cached)
+                       predictionCol="cluster").fit(points)
         return model.summary.trainingCost, i, model
 
     try:
@@ -110,24 +128,35 @@ def assign_nearest(df: DataFrame, vec_col: str, centroids, out: str = "cluster")
 def train_classifier(df: DataFrame, ws_col: str, label_col: str, extra_cols: Sequence[str] = (),
                      vocab_size: int = 500, reg_param: float = 0.01, max_iter: int = 100):
     """M4: CountVectorizer -> IDF -> L2 Normalizer -> (+ extra features) ->
-    multinomial logistic regression, as one Spark ML Pipeline."""
-    from pyspark.ml import Pipeline
+    multinomial logistic regression, returned as one ``PipelineModel``.
+
+    The featurizer is fitted on the input as partitioned; its output --
+    per-row vectors -- is persisted and sized for the iterative fit (see
+    :func:`sized_for_iterations`) before the classifier is fitted on it.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer, VectorAssembler
-    stages = [
+    featurizer = Pipeline(stages=[
         StringIndexer(inputCol=label_col, outputCol="label_index", stringOrderType="alphabetAsc"),
         CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(p=2.0, inputCol="_idf", outputCol="_text_vec"),
         VectorAssembler(inputCols=["_text_vec", *extra_cols], outputCol="features", handleInvalid="keep"),
-        LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features",
-                           regParam=reg_param, maxIter=max_iter),
-    ]
+    ])
+    lr = LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features",
+                            regParam=reg_param, maxIter=max_iter)
     cached = df.persist()
     try:
-        return Pipeline(stages=stages).fit(cached)
+        feat = featurizer.fit(cached)
+        x = feat.transform(cached).select("label_index", "features").persist()
+        try:
+            model = lr.fit(sized_for_iterations(x))
+        finally:
+            x.unpersist()
     finally:
         cached.unpersist()
+    return PipelineModel(stages=[*feat.stages, model])
 
 
 def predict_labels(model, df: DataFrame, out: str = "predicted_label") -> DataFrame:
@@ -198,7 +227,11 @@ def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_siz
     cached = df.select(ws_col).persist()
     try:
         cv = CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size).fit(cached)
-        lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf").fit(cv.transform(cached))
+        counts = cv.transform(cached).select("_tf").persist()
+        try:
+            lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf").fit(sized_for_iterations(counts))
+        finally:
+            counts.unpersist()
     finally:
         cached.unpersist()
     spark = df.sparkSession
@@ -254,10 +287,11 @@ def select_model(df: DataFrame, ws_col: str, label_col: str, reg_params=(0.0, 0.
         tx = featurizer.transform(train).select("label_index", "features").persist()
         vx = featurizer.transform(valid).select("label_index", "features").persist()
         ev = MulticlassClassificationEvaluator(labelCol="label_index", metricName="logLoss")
+        tx_sized = sized_for_iterations(tx)
 
         def one(reg):
             m = LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features",
-                                   maxIter=50, regParam=float(reg)).fit(tx)
+                                   maxIter=50, regParam=float(reg)).fit(tx_sized)
             return m, ev.evaluate(m.transform(vx))
 
         try:
