@@ -195,3 +195,11 @@ def test_linear_attribution_baseline_for_rows_without_words(spark):
     assert abs(per_row[1] - ((2.0 * 0.5) - (2.0 * 0.1 - 0.2))) < 1e-12
     assert abs(per_row[2] - (0.0 - (2.0 * 0.1 - 0.2))) < 1e-12
     assert sum(1 for r in out if r.word is None) == 2
+
+
+def test_sized_for_iterations_only_coalesces(spark):
+    df = spark.range(0, 1000, numPartitions=8).persist()
+    assert MO.sized_for_iterations(df, 300).rdd.getNumPartitions() == 4   # ceil(1000 / 300)
+    assert MO.sized_for_iterations(df, 10).rdd.getNumPartitions() == 8    # never more than now
+    assert MO.sized_for_iterations(df, 300).count() == 1000
+    df.unpersist()
