@@ -77,3 +77,15 @@ def test_dense_index_has_no_global_window(spark):
     # the per-row window is partitioned by bucket; only the per-bucket count
     # table (one row per bucket) is ordered globally
     assert "_bucket" in phys
+
+
+def test_tfidf_stats_shuffle_words_not_pairs(spark):
+    from opinio.operators.features import corpus_stats
+    df = hot_fixture(spark).repartition(5).select("row_id", F.split("comment", " ").alias("ws"))
+    stats = corpus_stats(df, "ws")
+    # one hash exchange, keyed by word (the input's round-robin aside)
+    p = stats._jdf.queryExecution().executedPlan().toString()
+    assert p.count("hashpartitioning(") == 1 and "partial_sum" in p
+    got = {r.word: (r.cf, r.df) for r in stats.collect()}
+    # "hot" appears twice in a third of the rows and once in the rest
+    assert got["hot"] == (2000 + 2000, 3000)
