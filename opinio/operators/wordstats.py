@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import text as T
@@ -56,26 +56,45 @@ def top_words(df: DataFrame, text_col: str, k: int = 10, label_col: str | None =
     return (word_counts(ws, "ws").orderBy(F.col("n").desc(), F.col("word")).limit(k))
 
 
+def with_bigrams(ws_col: str) -> Column:
+    """The words followed by every adjacent pair ``"w1 w2"`` (the word-cloud
+    collocation option, counted as plain terms).  Built inside the row from
+    the array and a copy shifted by one: no shuffle, linear in the words."""
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.col(ws_col))
+    pairs = F.zip_with(prev, ws_col, lambda p, w: F.when(p.isNotNull() & w.isNotNull(), F.concat_ws(" ", p, w)))
+    return F.concat(F.col(ws_col), F.filter(pairs, lambda x: x.isNotNull()))
+
+
+def _cloud_terms(df: DataFrame, text_col: str, stopwords, min_len: int, bigrams: bool,
+                 *keep: str) -> DataFrame:
+    # The cleaned word array is its own column, so the pair expansion reads
+    # it rather than re-running the regexes per element.
+    ws = df.select(*keep, F.filter(T.clean_words(text_col, stopwords),
+                                   lambda w: F.length(w) >= min_len).alias("ws"))
+    return ws.select(*keep, with_bigrams("ws").alias("ws")) if bigrams else ws
+
+
 def word_cloud_weights(df: DataFrame, text_col: str, label_col: str | None = None,
                        label: str | None = None, max_words: int = 200,
-                       stopwords: Sequence[str] = (), min_len: int = 2) -> DataFrame:
+                       stopwords: Sequence[str] = (), min_len: int = 2,
+                       bigrams: bool = False) -> DataFrame:
     """``weight = n / max n`` over the ``max_words`` most frequent cleaned
-    words of at least ``min_len`` characters (top-k is a bounded
-    TakeOrderedAndProject; the max window then spans ``max_words`` rows)."""
+    words of at least ``min_len`` characters (and, with ``bigrams``, adjacent
+    word pairs); the top-k is a bounded TakeOrderedAndProject and the max
+    window then spans ``max_words`` rows."""
     src = df if label_col is None else df.filter(F.col(label_col) == label)
-    ws = src.select(F.filter(T.clean_words(text_col, stopwords),
-                             lambda w: F.length(w) >= min_len).alias("ws"))
+    ws = _cloud_terms(src, text_col, stopwords, min_len, bigrams)
     top = word_counts(ws, "ws").orderBy(F.col("n").desc(), F.col("word")).limit(max_words)
     return top.withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy()))
 
 
 def group_word_weights(df: DataFrame, text_col: str, group_col: str, max_words: int = 200,
-                       stopwords: Sequence[str] = (), min_len: int = 2) -> DataFrame:
+                       stopwords: Sequence[str] = (), min_len: int = 2,
+                       bigrams: bool = False) -> DataFrame:
     """A10: A9 for every group in one job.  ``row_number <= k`` is planned with
     a partial WindowGroupLimit before the shuffle, so each group ships at most
     ``max_words`` candidates per task however large its vocabulary is."""
-    ws = df.select(group_col, F.filter(T.clean_words(text_col, stopwords),
-                                       lambda w: F.length(w) >= min_len).alias("ws"))
+    ws = _cloud_terms(df, text_col, stopwords, min_len, bigrams, group_col)
     counts = word_counts(ws, "ws", [group_col])
     w = Window.partitionBy(group_col).orderBy(F.col("n").desc(), F.col("word"))
     top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_words)

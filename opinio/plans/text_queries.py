@@ -133,6 +133,21 @@ def q_word_cloud_weights(spark, sf):
     return W.word_cloud_weights(docs(spark, sf), "text", "lang", "de", 200, DOCS_STOPWORDS)
 
 
+@register("word_cloud_bigrams", family="wordstats", sql=f"""
+SELECT word, n, n / max(n) OVER () AS weight FROM (
+  SELECT word, CAST(count(*) AS BIGINT) AS n
+  FROM (SELECT unnest(list_concat(ws, list_transform(generate_series(2, len(ws)),
+                                                     lambda i: ws[i - 1] || ' ' || ws[i]))) AS word
+        FROM (SELECT list_filter({sql_split(sql_clean("text", sql_list(DOCS_STOPWORDS)))},
+                                 lambda w: length(w) >= 2) AS ws
+              FROM documents WHERE lang = 'fr'))
+  GROUP BY word ORDER BY n DESC, word LIMIT 200)
+""")
+def q_word_cloud_bigrams(spark, sf):
+    """A9 with the collocation option: adjacent word pairs count as terms."""
+    return W.word_cloud_weights(docs(spark, sf), "text", "lang", "fr", 200, DOCS_STOPWORDS, bigrams=True)
+
+
 @register("group_word_weights", family="wordstats", sql=f"""
 SELECT source, word, n, CAST(rank AS INTEGER) AS rank, n / max(n) OVER (PARTITION BY source) AS weight FROM (
   SELECT source, word, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS rank FROM (

@@ -78,3 +78,12 @@ def test_result_invariant_to_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert base == other
+
+
+def test_with_bigrams_edges(spark):
+    from opinio.operators.wordstats import with_bigrams
+    rows = [(1, ["a", "b", "a", "b"]), (2, ["x"]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "k long, ws array<string>")
+    got = {r.k: r.t for r in df.select("k", with_bigrams("ws").alias("t")).collect()}
+    assert got[1] == ["a", "b", "a", "b", "a b", "b a", "a b"]
+    assert got[2] == ["x"] and got[3] == [] and got[4] is None
