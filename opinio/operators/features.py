@@ -138,7 +138,7 @@ INLINE_VOCAB_MAX = 64
 
 def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
                      max_len: int = 128, inline_max: int = INLINE_VOCAB_MAX,
-                     vocab_max_rows: int = 2_000_000) -> DataFrame:
+                     vocab_max_rows: int = 2_000_000, pad_to: str = "max_len") -> DataFrame:
     """M7: ``(row_id, input_ids, attention_mask)``, both of length ``max_len``:
     known words map to their id, others to the unknown id; sequences are cut
     at ``max_len`` (the encoder's truncation) and padded with the pad id.
@@ -146,8 +146,19 @@ def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
     A vocabulary of at most ``inline_max`` words (checked) is inlined as a
     map literal: encoding is then a projection with no shuffle.  Larger
     vocabularies use explode -> join -> regroup by row.
+
+    ``pad_to="longest"`` pads to the longest sequence after truncation
+    instead (the encoder's ``padding=True``): one max aggregate over the
+    frame, a single number to the driver.
     """
     from opinio.session import checkpoint_root
+    if pad_to == "longest":
+        longest = df.select(F.least(F.size(ws_col), F.lit(max_len)).alias("_n")).agg(F.max("_n")).first()[0]
+        width = max(int(longest or 0), 0)
+    elif pad_to == "max_len":
+        width = max_len
+    else:
+        raise ValueError(f"pad_to must be 'max_len' or 'longest', not {pad_to!r}")
     # The vocabulary is a corpus job: written once to the shared checkpoint
     # folder so the size check and the lookup read it rather than recount
     # the corpus.  One bounded count picks the strategy.
@@ -161,7 +172,7 @@ def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
         ids = F.transform(toks, lambda w: F.coalesce(F.try_element_at(m, w), F.lit(UNKNOWN_ID))) \
             if m is not None else F.transform(toks, lambda w: F.lit(UNKNOWN_ID))
         out = df.select(row_id, ids.alias("_ids"))
-        pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size("_ids"))
+        pad = F.array_repeat(F.lit(PAD_ID), F.lit(width) - F.size("_ids"))
         return out.select(row_id, F.concat("_ids", pad).alias("input_ids"),
                           F.concat(F.array_repeat(F.lit(1), F.size("_ids")), pad).alias("attention_mask"))
     side = F.broadcast(vocab) if n <= vocab_max_rows else vocab
@@ -170,7 +181,7 @@ def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
     grouped = joined.groupBy(row_id).agg(F.array_sort(F.collect_list(F.when(
         F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))))).alias("_s"))
     ids = F.transform("_s", lambda s: s["id"])
-    pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size("_s"))
+    pad = F.array_repeat(F.lit(PAD_ID), F.lit(width) - F.size("_s"))
     return grouped.select(
         row_id, F.concat(ids, pad).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("_s")), pad).alias("attention_mask"))

@@ -209,6 +209,34 @@ def q_sequence_encoding(spark, sf):
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
 
 
+@register("sequence_encoding_longest", family="ml", sql=f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS turn_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD_RE}') AS ws
+           FROM conversations),
+m AS (SELECT coalesce(max(least(len(ws), {SEQ_LEN})), 0) AS width FROM t),
+v AS (SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 1 AS INTEGER) AS id
+      FROM (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM t) GROUP BY word
+            ORDER BY n DESC, word LIMIT {SEQ_VOCAB})),
+e AS (SELECT turn_id, unnest(ws[1:{SEQ_LEN}]) AS word, generate_subscripts(ws[1:{SEQ_LEN}], 1) AS pos FROM t),
+g AS (SELECT e.turn_id, list(coalesce(v.id, 1) ORDER BY e.pos) AS ids FROM e LEFT JOIN v USING (word) GROUP BY e.turn_id)
+SELECT t.turn_id, CAST(m.width AS INTEGER) AS seq_len,
+       array_to_string(list_concat(coalesce(g.ids, []),
+                                   list_transform(range(m.width - coalesce(len(g.ids), 0)), lambda x: 0)), ' ') AS input_ids,
+       CAST(coalesce(len(g.ids), 0) AS INTEGER) AS mask_sum
+FROM t LEFT JOIN g USING (turn_id) CROSS JOIN m
+""")
+def q_sequence_encoding_longest(spark, sf):
+    """M7 with ``padding=True``: conversation turns cut at 128 tokens and
+    padded to the longest turn after truncation."""
+    conv = spread(table(spark, sf, "conversations"))
+    d = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"),
+                    T.word_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("ws"))
+    vocab = FE.sequence_vocab(d, "ws", SEQ_VOCAB)
+    enc = FE.encode_sequences(d, "ws", "turn_id", vocab, SEQ_LEN, pad_to="longest")
+    return enc.select("turn_id", F.size("input_ids").alias("seq_len"),
+                      F.array_join("input_ids", " ").alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
+
+
 @register("train_classifier", family="ml")
 def q_train_classifier(spark, sf):
     """M4: fit the pipeline on labelled documents; report training accuracy."""

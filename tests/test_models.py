@@ -48,6 +48,10 @@ def test_sequence_encoding(spark):
     assert enc[1] == ([3, 2, 3, 1], [1, 1, 1, 1])
     assert enc[2] == ([0, 0, 0, 0], [0, 0, 0, 0])
     assert enc[3] == ([2, 2, 2, 2], [1, 1, 1, 1])
+    # padding=True: pad to the longest row after truncation (here 5, under max_len 9)
+    longest = {r.row_id: list(r.input_ids)
+               for r in FE.encode_sequences(df, "ws", "row_id", vocab, max_len=9, pad_to="longest").collect()}
+    assert longest[1] == [3, 2, 3, 1, 0] and longest[2] == [0] * 5 and longest[3] == [2] * 5
 
 
 def test_softmax_and_argmax(spark):
