@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +56,17 @@ def write_comments_csv(df: DataFrame, path: str, mode: str = "overwrite") -> Non
      .option("nullValue", "").option("emptyValue", '""').csv(path))
 
 
-def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
-    """Write a table partitioned by split name (parquet)."""
+def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite",
+                 rename: Mapping[str, str] | None = None) -> None:
+    """Write a table partitioned by split name (parquet).
+
+    ``rename`` maps source split names to the names written (e.g. a source
+    whose ``validation`` split is to be stored as ``test``); names not in the
+    map are kept.  It is a column expression, applied before partitioning.
+    """
+    if rename:
+        m = F.create_map(*[F.lit(x) for kv in rename.items() for x in kv])
+        df = df.withColumn(split_col, F.coalesce(F.try_element_at(m, F.col(split_col)), F.col(split_col)))
     df.write.mode(mode).partitionBy(split_col).parquet(path)
 
 

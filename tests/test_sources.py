@@ -44,3 +44,11 @@ def test_split_pruning(spark):
     assert sorted(r.id for r in sub.collect()) == [1, 3]
     plan = sub._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "train" in plan
+
+
+def test_split_rename_map(spark):
+    df = spark.createDataFrame([(1, "train"), (2, "validation"), (3, "test")], "id long, split string")
+    path = work_dir(spark, "t-splits-renamed")
+    S.write_splits(df, path, rename={"validation": "test", "test": "val"})
+    got = {r.id: r.split for r in S.read_splits(spark, path).collect()}
+    assert got == {1: "train", 2: "test", 3: "val"}
