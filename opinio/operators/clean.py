@@ -161,23 +161,40 @@ def first_aspect(df: DataFrame, text_col: str, aspects: Iterable[str],
     return df.withColumn(out, F.try_element_at(F.filter(ws, lambda w: F.lower(w).isin(words)), F.lit(1)))
 
 
+# Word-array steps of the cleaning chain, in the original notebook's order:
+# stopwords, then stems, then synonyms (so a slang negation mapped to a
+# stopword comes back after stopword removal).
+DEFAULT_STEPS = ("stopwords", "stems", "synonyms")
+
+
 def clean_comments(df: DataFrame, text_col: str = "comment", label_col: str | None = "label",
                    row_id: str = "row_id", stopwords: Iterable[str] = (),
-                   stem_table: DataFrame | None = None) -> DataFrame:
+                   stem_table: DataFrame | None = None, synonyms: Mapping[str, str] | None = None,
+                   steps: Sequence[str] = DEFAULT_STEPS) -> DataFrame:
     """C10, the intended chain: drop null text, keep the first row per raw
-    text, lower text and label, strip punctuation, trim, remove stopwords,
-    stem (when a ``(word, stem)`` table is given), rejoin with single spaces.
+    text, lower text and label, strip punctuation, trim, then the word steps
+    in ``steps`` order -- ``stopwords`` (remove), ``stems`` (when a
+    ``(word, stem)`` table is given), ``synonyms`` (when a map is given) --
+    and rejoin with single spaces.
     """
+    unknown = set(steps) - set(DEFAULT_STEPS)
+    if unknown:
+        raise ValueError(f"unknown cleaning steps {sorted(unknown)}")
     base = df.dropna(subset=[text_col])
     base = keep_first(base, [text_col], row_id)
     cols = {text_col: T.normalize(text_col)}
     if label_col:
         cols[label_col] = F.lower(label_col)
-    base = base.withColumns(cols)
-    base = base.withColumn("_ws", T.drop_words(T.split_words(text_col), list(stopwords)))
-    if stem_table is not None:
-        keep = [c for c in base.columns if c not in (row_id, "_ws", text_col)]
-        base = apply_word_map(base, "_ws", stem_table, row_id=row_id, keep=keep)
+    base = base.withColumns(cols).withColumn("_ws", T.split_words(text_col))
+    stopwords = list(stopwords)
+    for step in steps:
+        if step == "stopwords" and stopwords:
+            base = base.withColumn("_ws", T.drop_words("_ws", stopwords))
+        elif step == "stems" and stem_table is not None:
+            keep = [c for c in base.columns if c not in (row_id, "_ws", text_col)]
+            base = apply_word_map(base, "_ws", stem_table, row_id=row_id, keep=keep)
+        elif step == "synonyms" and synonyms:
+            base = base.withColumn("_ws", T.map_words("_ws", synonyms))
     return base.withColumn(text_col, T.join_words("_ws")).select(*df.columns)
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from opinio.functions import text as T
@@ -107,3 +108,16 @@ def test_clean_comments_chain(spark):
     # net effect of the original cells: keep-first per raw text, nulls one group
     assert [(r.row_id, r.comment, r.label) for r in obs] == [
         (1, "Bagus!! Sekali", "positif"), (3, None, "netral"), (4, "the  Jelek", "negatif")]
+
+
+def test_clean_comments_step_order(spark):
+    df = spark.createDataFrame([(1, "Produk ini gak bagus", "positif")], "row_id long, comment string, label string")
+    syn = {"gak": "tidak"}
+    stop = ["ini", "tidak"]
+    # reference order: stopwords first, so the mapped "tidak" survives
+    ref = C.clean_comments(df, stopwords=stop, synonyms=syn).first().comment
+    assert ref == "produk tidak bagus"
+    swapped = C.clean_comments(df, stopwords=stop, synonyms=syn, steps=("synonyms", "stopwords")).first().comment
+    assert swapped == "produk bagus"
+    with pytest.raises(ValueError):
+        C.clean_comments(df, steps=("lemmas",))
