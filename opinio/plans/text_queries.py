@@ -458,6 +458,27 @@ def q_clean_comments(spark, sf):
     return C.clean_comments(d, "comment", "label", "row_id", DOCS_STOPWORDS)
 
 
+@register("residual_duplicates", family="text", sql=f"""
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_keys,
+       CAST(sum(n - 1) AS BIGINT) AS n_duplicates
+FROM (SELECT comment, count(*) AS n FROM (
+        SELECT array_to_string(list_filter({sql_split(sql_normalize("comment"))},
+                                           lambda w: w NOT IN {sql_list(DOCS_STOPWORDS)}), ' ') AS comment
+        FROM (SELECT *, row_number() OVER (PARTITION BY comment ORDER BY doc_id) AS rn
+              FROM (SELECT doc_id, text AS comment FROM documents) WHERE comment IS NOT NULL)
+        WHERE rn = 1)
+      GROUP BY comment)
+""")
+def q_residual_duplicates(spark, sf):
+    """A2 after C10: dedup runs on the raw text, before case folding and
+    punctuation stripping, so cleaned texts can collide again; this is the
+    residue the original notebook counts after cleaning."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("row_id"), F.col("text").alias("comment"),
+                               F.col("lang").alias("label"))
+    cleaned = C.clean_comments(d, "comment", "label", "row_id", DOCS_STOPWORDS)
+    return PR.duplicate_count(cleaned, ["comment"])
+
+
 @register("clean_comments_observed", family="text", sql=f"""
 SELECT doc_id AS row_id, regexp_replace(comment, '{EDGE}', '', 'g') AS comment, lower(label) AS label
 FROM (SELECT *, row_number() OVER (PARTITION BY comment ORDER BY doc_id) AS rn
