@@ -181,6 +181,10 @@ SELECT round(avg(bl), 6) AS batch_loss, round(sum(sl) / sum(n), 6) AS row_loss,
        round(sum(h) / sum(n), 6) AS accuracy, CAST(count(*) AS BIGINT) AS n_batches FROM b
 """)
 def q_epoch_metrics(spark, sf):
+    """A12 over every embedding row: ``label`` has 10 classes (0-9), so the
+    first 10 vector components serve as that row's class logits; softmax
+    gives the probabilities whose per-batch (8 rows, in ``vec_id`` order)
+    mean cross-entropy is averaged, next to the row mean and accuracy."""
     emb = table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 10).alias("z"))
     p = MO.softmax_probs(emb, "z", "p")
     m = ME.epoch_metrics(p, "vec_id", "p", "label", 8)
