@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.llm import mixing, pii, quality
+from opinio.llm import decontaminate, minhash, mixing, pii, quality, suffix, warc
+from opinio.llm.common import remove_path, settle
 from opinio.plans.registry import table
+from opinio.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,3 +117,53 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~quality.passes(quality.BASE)).alias("base_failed"),
                        quality.passes(quality.PRODUCTION).alias("kept"), "failed")
+
+
+@register("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "warc")
+    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    # The merged index is written before the archives of this run are removed.
+    index = settle(warc.merge_index(warc.read_archives(spark, path)))
+    remove_path(spark, path)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                        "url_key", "captured")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+           FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+lens AS (SELECT DISTINCT least(13, len(ws)) AS m FROM b WHERE len(ws) > 0),
+pat AS (SELECT DISTINCT item_id, least(13, len(ws)) AS m, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS w
+        FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+win AS (SELECT rid, m, i, array_to_string(ws[i:i + m - 1], ' ') AS w
+        FROM (SELECT rid, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, lens WHERE len(ws) >= m)),
+hit AS (SELECT win.rid, win.i, win.m, pat.item_id FROM win JOIN pat ON win.m = pat.m AND win.w = pat.w),
+words AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT rid, i, m FROM hit)) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT rid, coalesce(item_id::VARCHAR, '') AS id FROM hit) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN its USING (rid)
+"""
+
+
+@register("op9_decontaminate", OP9_SQL)
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.decontaminate(docs, benchmark, keep=("doc_id",))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op4_minhash")
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op10_suffix")
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))

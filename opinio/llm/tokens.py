@@ -106,11 +106,17 @@ class Words:
         if len(cut):
             start = np.sort(np.concatenate([start, cut]))
             end = np.sort(np.concatenate([end, cut]))
-        powers, inverses = _powers(len(low) + 1)
-        total = np.zeros(len(low) + 1, U64)
-        np.cumsum(_BYTE[low] * powers[:len(low)], out=total[1:])
-        raw_hash = (total[end] - total[start]) * inverses[start]
-        self.digest = mix64(raw_hash + (end - start).astype(U64) * _MIX1)
+        self.digest = np.zeros(len(start), U64)
+        at = 0
+        while at < len(start):  # pieces of whole words: 8-byte values never stand for a whole long text
+            to = int(np.searchsorted(start, start[at] + SLICE_BYTES))
+            p, q = int(start[at]), int(end[to - 1])
+            powers, inverses = _powers(q - p + 1)
+            total = np.zeros(q - p + 1, U64)
+            np.cumsum(_BYTE[low[p:q]] * powers[:q - p], out=total[1:])
+            s, e = start[at:to] - p, end[at:to] - p
+            self.digest[at:to] = mix64((total[e] - total[s]) * inverses[s] + (e - s).astype(U64) * _MIX1)
+            at = to
         self.low, self.base = low, a
         self.start, self.end = start, end
         self.first = np.searchsorted(start, bounds)
