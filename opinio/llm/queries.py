@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.llm import decontaminate, minhash, mixing, pii, quality, suffix, warc
+from opinio.llm import decontaminate, lines, minhash, mixing, pii, quality, suffix, warc
 from opinio.llm.common import remove_path, settle
 from opinio.plans.registry import table
 from opinio.session import work_dir
@@ -167,3 +167,30 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_suffix")
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
+           FROM documents),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN md5(line) END AS h FROM l),
+b AS (SELECT *, h IS NULL OR lead(h) OVER w IS NULL OR substr(md5(coalesce(lag(h) OVER w, '') || h), 1, 2) < '55' AS ends
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b),
+c AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines FROM n GROUP BY doc_id, pos),
+e AS (SELECT *, n_lines > 1 OR len(regexp_extract_all(chunk, '{_W}')) >= 25 AS counts FROM c),
+f AS (SELECT *, counts AND row_number() OVER (PARTITION BY counts, chunk ORDER BY doc_id, pos) > 1 AS gone FROM e),
+t AS (SELECT doc_id, sum(n_lines) AS n_lines, sum(CASE WHEN gone THEN n_lines ELSE 0 END) AS n_removed,
+             string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_lines_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN t USING (doc_id)
+"""
+
+
+@register("op5_lines", OP5_SQL)
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of its own: lines in, lines removed as repeated chunks, digest of what stays."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_lines_removed",
+                                          F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
