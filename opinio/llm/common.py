@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,4 +66,5 @@ def release_shuffles(spark: SparkSession) -> None:
     Files go when the driver's references are collected; without a hint that happens only
     when its heap fills, long after a large job's disk could have been free.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -12,8 +12,9 @@ string inside it, which equal windows choose alike.
    (rank, digest of the segment) is the next rank.  An occurrence whose pair also occurs in
    a smaller document is removed whole.
 3. length 50, every position, only where a rank of round 1 splits into several pairs of
-   round 2 (around the ends of copies): the windows of one occurrence per pair are ranked,
-   and those with an equal window in a smaller document are removed.
+   round 2 (around the ends of copies): the windows of the segments in each pair's smallest
+   document are compared, and those with an equal window in a smaller document are removed.
+   The segments of one rank meet in one task; a rank with very many is dealt by window.
 
 Digests stand for sort ranks: only their equality matters here.  The numpy kernels work
 inside Arrow tasks; all grouping is Spark's, with partial aggregation, and joins leave hot
@@ -37,6 +38,10 @@ from opinio.llm.common import broadcast_if_small, column, release_shuffles, sett
 LENGTH, GRAM = 50, 20
 #: Bytes worked on at once: its 8-byte arrays stay in a processor cache.
 SLICE = 256 << 10
+#: Different segments of one rank that are compared in one place; more go window by window.
+GROUP = 2000
+#: Windows of a segment that travel together.
+PART = 4096
 #: Order of a document without id: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -151,25 +156,61 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["rank", "digest", "doc", "rid", "start", "n"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the listed segments of each text."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the listed segments of each text, in parts of bounded size."""
     for batch in batches:
         raw, offsets = tokens.text_bytes(batch.column("__text"))
         for i, places in enumerate(batch.column("places").to_pylist()):
-            text = raw[offsets[i]:offsets[i + 1]]
-            start = np.array([p["start"] for p in places], np.int64)
-            count = np.array([p["n"] for p in places], np.int64)
-            at = np.unique(np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-            for p in range(0, len(text), SLICE):
-                some = at[np.searchsorted(at, p):np.searchsorted(at, p + SLICE)]
-                if not len(some):
-                    continue
-                piece = text[p:p + SLICE + LENGTH]
-                one, two = (Rolling(piece, k).ranges(some - p, some - p + LENGTH).view(np.int64) for k in (0, 1))
-                same = [np.full(len(some), batch.column(c)[i].as_py(), np.int64) for c in ("doc", "rid")]
+            text, rows = raw[offsets[i]:offsets[i + 1]], []
+            doc, rid = batch.column("doc")[i].as_py(), batch.column("rid")[i].as_py()
+            for p in places:
+                for start in range(p["start"], p["start"] + p["n"], PART):
+                    end = min(start + PART, p["start"] + p["n"])
+                    rows.append((p["rank"], p["large"], doc, rid, start, text[start:end + LENGTH - 1].tobytes()))
+            if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (one, two.astype(np.int32), *same, some)],
-                    ["w1", "w2", "doc", "rid", "start"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CONTENT, strict=True)],
+                    ["rank", "large", "doc", "rid", "start", "bytes"])
+
+
+_CONTENT = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of segments that come in order of rank and document: those already seen in a
+    smaller document of their rank, as runs of bytes."""
+    rank, first = None, {}
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("rank", "doc", "rid", "start", "bytes")]
+        out: list[tuple[int, int, int]] = []
+        for r, doc, rid, start, content in zip(*cols, strict=True):
+            if r != rank:
+                rank, first = r, {}
+            run = None
+            for i in range(len(content) - LENGTH + 1):
+                if first.setdefault(content[i:i + LENGTH], doc) < doc:
+                    if run is not None and i <= run[1]:
+                        run[1] = i + LENGTH
+                    else:
+                        if run is not None:
+                            out.append((rid, start + run[0], start + run[1]))
+                        run = [i, i + LENGTH]
+            if run is not None:
+                out.append((rid, start + run[0], start + run[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))],
+                                         ["rid", "start", "end"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of each segment, under two digests."""
+    for batch in batches:
+        for doc, rid, start, content in zip(*(batch.column(c) for c in ("doc", "rid", "start", "bytes")), strict=True):
+            data = np.frombuffer(content.as_py(), np.uint8)
+            at = np.arange(len(data) - LENGTH + 1)
+            one, two = (Rolling(data, k).ranges(at, at + LENGTH).view(np.int64) for k in (0, 1))
+            same = [np.full(len(at), x.as_py(), np.int64) for x in (doc, rid)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, *same, at + start.as_py())],
+                                             ["w1", "w2", "doc", "rid", "start"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,26 +257,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Per pair (rank, digest) its smallest document; ranks with several such are split.
     pairs = settle(hits.groupBy("rank", "digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("last")))
-    split = (pairs.groupBy("rank").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a < b")
-             .select("rank", F.lit(True).alias("split")))
-    wanted = (pairs.join(split, "rank", "left").where("lo < last OR split")
-              .select("rank", "digest", "lo", F.coalesce("split", F.lit(False)).alias("split")))
-    placed = settle(hits.join(wanted, ["rank", "digest"]).where("doc > lo OR split")
-                    .select("rid", "start", "n", (F.col("doc") > F.col("lo")).alias("later")))
-    whole = placed.where("later").select("rid", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end"))
-    by_text = placed.where("NOT later").groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("places"))
+    split = (pairs.groupBy("rank").agg(F.min("lo").alias("a"), F.max("lo").alias("b"), F.count(F.lit(1)).alias("k"))
+             .where("a < b").select("rank", (F.col("k") > GROUP).alias("large")))
+    wanted = (pairs.join(split, "rank", "left").where("lo < last OR large IS NOT NULL")
+              .select("rank", "digest", "lo", "large"))
+    placed = settle(hits.join(wanted, ["rank", "digest"]).where("doc > lo OR large IS NOT NULL")
+                    .select("rid", "start", "n", "rank", "large", (F.col("doc") > F.col("lo")).alias("later")))
+    del hits, pairs, split, wanted, places, shared
     release_shuffles(docs.sparkSession)
-
-    windows = (texts.join(by_text, "rid").select("doc", "rid", "places", "__text")
-               .mapInArrow(_windows, "w1 long, w2 int, doc long, rid long, start long"))
-    windows = settle(windows)
+    whole = placed.where("later").select("rid", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end"))
+    by_text = (placed.where("NOT later").groupBy("rid")
+               .agg(F.collect_set(F.struct("start", "n", "rank", "large")).alias("places")))
+    contents = settle(texts.join(by_text, "rid").select("doc", "rid", "places", "__text")
+                      .mapInArrow(_contents, "rank long, large boolean, doc long, rid long, start long, bytes binary"))
     release_shuffles(docs.sparkSession)
+    # Usual ranks: their few segments meet in one place, window by window.
+    few = (contents.where("NOT large").select("rank", "doc", "rid", "start", "bytes").repartition("rank")
+           .sortWithinPartitions("rank", "doc").mapInArrow(_compare, "rid long, start long, end long"))
+    # Ranks with very many different segments: every window is its own key.
+    windows = (contents.where("large").select("doc", "rid", "start", "bytes")
+               .mapInArrow(_windows, "w1 long, w2 long, doc long, rid long, start long"))
     ranked = (windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
               .where("lo < hi").select("w1", "w2", "lo"))
-    parts = (windows.join(ranked.hint("shuffle_hash"), ["w1", "w2"]).where("doc > lo")
-             .select("rid", "start", (F.col("start") + LENGTH).alias("end")))
+    many = (windows.join(ranked.hint("shuffle_hash"), ["w1", "w2"]).where("doc > lo")
+            .select("rid", "start", (F.col("start") + LENGTH).alias("end")))
 
-    cut = whole.union(parts).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
+    cut = whole.union(few).union(many).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
     return cut.select("rid", _union(F.col("found")).alias("spans"))
 
 
