@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,5 +67,7 @@ def release_shuffles(spark: SparkSession) -> None:
     Files go when the driver's references are collected; without a hint that happens only
     when its heap fills, long after a large job's disk could have been free.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection frees what holds the shuffles, the second them
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -40,8 +40,8 @@ LENGTH, GRAM = 50, 20
 SLICE = 256 << 10
 #: Different segments of one rank that are compared in one place; more go window by window.
 GROUP = 2000
-#: Windows of a segment that travel together.
-PART = 4096
+#: Windows of one segment at most; a longer run of windows is several segments.
+RUN = 256
 #: Order of a document without id: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -131,10 +131,16 @@ def segments(raw: np.ndarray, offsets: np.ndarray, with_digest: bool) -> Iterato
         count = np.diff(np.append(start, n))
         real = inside[start]
         start, count = start[real], count[real]
+        parts = -(-count // RUN)
+        if parts.max(initial=0) > 1:  # periodic bytes: one representative for a long way
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            start, left = np.repeat(start, parts) + nth * RUN, np.repeat(count, parts) - nth * RUN
+            count = np.minimum(left, RUN)
         row = np.searchsorted(bounds, start, "right") - 1
         out = (least[start].view(np.int64), row + lo, start + a - offsets[row + lo], count)
-        if with_digest:
-            out += (rolling.ranges(start, start + count + LENGTH - 1).view(np.int64),)
+        if with_digest:  # 56 bits of the content's digest and 8 of the number of windows
+            digest = rolling.ranges(start, start + count + LENGTH - 1)
+            out += ((digest & _U(~0xFF & (1 << 64) - 1) | (count - 1).astype(_U)).view(np.int64),)
         yield out
 
 
@@ -150,23 +156,22 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = tokens.text_bytes(batch.column("__text"))
         doc, rid = np.asarray(batch.column("doc")), np.asarray(batch.column("rid"))
-        for rank, row, start, count, digest in segments(raw, offsets, True):
+        for rank, row, start, _, digest in segments(raw, offsets, True):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (rank, digest, doc[row], rid[row], start, count)],
-                ["rank", "digest", "doc", "rid", "start", "n"])
+                [pa.array(x) for x in (rank, digest, doc[row], rid[row], start)],
+                ["rank", "digest", "doc", "rid", "start"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the listed segments of each text, in parts of bounded size."""
+    """The bytes of the listed segments of each text."""
     for batch in batches:
         raw, offsets = tokens.text_bytes(batch.column("__text"))
         for i, places in enumerate(batch.column("places").to_pylist()):
             text, rows = raw[offsets[i]:offsets[i + 1]], []
             doc, rid = batch.column("doc")[i].as_py(), batch.column("rid")[i].as_py()
             for p in places:
-                for start in range(p["start"], p["start"] + p["n"], PART):
-                    end = min(start + PART, p["start"] + p["n"])
-                    rows.append((p["rank"], p["large"], doc, rid, start, text[start:end + LENGTH - 1].tobytes()))
+                content = text[p["start"]:p["start"] + p["n"] + LENGTH - 1].tobytes()
+                rows.append((p["rank"], p["large"], doc, rid, p["start"], content))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CONTENT, strict=True)],
@@ -251,7 +256,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     .where("lo < hi").select("rank"))
     release_shuffles(docs.sparkSession)
     places = texts.select("doc", "rid", "__text").mapInArrow(
-        _occurrences, "rank long, digest long, doc long, rid long, start long, n long")
+        _occurrences, "rank long, digest long, doc long, rid long, start long")
     hits = settle(places.join(shared.hint("shuffle_hash"), "rank"))
     release_shuffles(docs.sparkSession)
 
@@ -262,7 +267,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = (pairs.join(split, "rank", "left").where("lo < last OR large IS NOT NULL")
               .select("rank", "digest", "lo", "large"))
     placed = settle(hits.join(wanted, ["rank", "digest"]).where("doc > lo OR large IS NOT NULL")
-                    .select("rid", "start", "n", "rank", "large", (F.col("doc") > F.col("lo")).alias("later")))
+                    .select("rid", "start", (F.col("digest").bitwiseAND(RUN - 1) + 1).alias("n"), "rank", "large",
+                            (F.col("doc") > F.col("lo")).alias("later")))
     del hits, pairs, split, wanted, places, shared
     release_shuffles(docs.sparkSession)
     whole = placed.where("later").select("rid", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end"))
