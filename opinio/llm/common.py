@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.session import checkpoint_root
+from opinio.session import checkpoint_root, work_dir
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,33 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Written tables in the shared folder, removed together when the work is done.
+
+    For intermediates too large for ``settle``: Parquet keeps them small on disk.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, work_dir(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        remove_path(self.spark, self.path)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.path}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, table: DataFrame) -> None:
+        """Remove one table that is not read any more."""
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            remove_path(self.spark, path)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinio.llm import tokens
-from opinio.llm.common import broadcast_if_small, column, release_shuffles, settle
+from opinio.llm.common import Scratch, broadcast_if_small, column, release_shuffles, settle
 
 #: Length of repeated strings, and of the strings that represent them.
 LENGTH, GRAM = 50, 20
@@ -249,34 +249,40 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``rid, spans``: per text with any, its maximal runs of bytes to remove, in order.
 
     ``rid`` is ``xxhash64(id, text)``: rows that repeat id and text share their spans.
+    Intermediates are written to the shared folder and removed on the way.
     """
-    texts = _keyed(docs, id_col, text_col)
-    shared = settle(texts.select("doc", "__text").mapInArrow(_ranks, "rank long, doc long")
-                    .groupBy("rank").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-                    .where("lo < hi").select("rank"))
-    release_shuffles(docs.sparkSession)
-    places = texts.select("doc", "rid", "__text").mapInArrow(
-        _occurrences, "rank long, digest long, doc long, rid long, start long")
-    hits = settle(places.join(shared.hint("shuffle_hash"), "rank"))
-    release_shuffles(docs.sparkSession)
+    with Scratch(docs.sparkSession, "suffix") as scratch:
+        return settle(_spans(_keyed(docs, id_col, text_col), scratch))
+
+
+def _spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    spark = texts.sparkSession
+    shared = scratch.table(texts.select("doc", "__text").mapInArrow(_ranks, "rank long, doc long")
+                           .groupBy("rank").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+                           .where("lo < hi").select("rank"))
+    release_shuffles(spark)
+    hits = scratch.table(texts.select("doc", "rid", "__text").mapInArrow(
+        _occurrences, "rank long, digest long, doc long, rid long, start long").join(shared.hint("shuffle_hash"), "rank"))
+    release_shuffles(spark)
 
     # Per pair (rank, digest) its smallest document; ranks with several such are split.
-    pairs = settle(hits.groupBy("rank", "digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("last")))
+    pairs = scratch.table(hits.groupBy("rank", "digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("last")))
     split = (pairs.groupBy("rank").agg(F.min("lo").alias("a"), F.max("lo").alias("b"), F.count(F.lit(1)).alias("k"))
              .where("a < b").select("rank", (F.col("k") > GROUP).alias("large")))
     wanted = (pairs.join(split, "rank", "left").where("lo < last OR large IS NOT NULL")
               .select("rank", "digest", "lo", "large"))
-    placed = settle(hits.join(wanted, ["rank", "digest"]).where("doc > lo OR large IS NOT NULL")
-                    .select("rid", "start", (F.col("digest").bitwiseAND(RUN - 1) + 1).alias("n"), "rank", "large",
-                            (F.col("doc") > F.col("lo")).alias("later")))
-    del hits, pairs, split, wanted, places, shared
-    release_shuffles(docs.sparkSession)
+    placed = scratch.table(hits.join(wanted, ["rank", "digest"]).where("doc > lo OR large IS NOT NULL")
+                           .select("rid", "start", (F.col("digest").bitwiseAND(RUN - 1) + 1).alias("n"), "rank", "large",
+                                   (F.col("doc") > F.col("lo")).alias("later")))
+    for done in (hits, pairs, shared):
+        scratch.drop(done)
+    release_shuffles(spark)
     whole = placed.where("later").select("rid", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end"))
     by_text = (placed.where("NOT later").groupBy("rid")
                .agg(F.collect_set(F.struct("start", "n", "rank", "large")).alias("places")))
-    contents = settle(texts.join(by_text, "rid").select("doc", "rid", "places", "__text")
-                      .mapInArrow(_contents, "rank long, large boolean, doc long, rid long, start long, bytes binary"))
-    release_shuffles(docs.sparkSession)
+    contents = scratch.table(texts.join(by_text, "rid").select("doc", "rid", "places", "__text")
+                             .mapInArrow(_contents, "rank long, large boolean, doc long, rid long, start long, bytes binary"))
+    release_shuffles(spark)
     # Usual ranks: their few segments meet in one place, window by window.
     few = (contents.where("NOT large").select("rank", "doc", "rid", "start", "bytes").repartition("rank")
            .sortWithinPartitions("rank", "doc").mapInArrow(_compare, "rid long, start long, end long"))
@@ -287,7 +293,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               .where("lo < hi").select("w1", "w2", "lo"))
     many = (windows.join(ranked.hint("shuffle_hash"), ["w1", "w2"]).where("doc > lo")
             .select("rid", "start", (F.col("start") + LENGTH).alias("end")))
-
     cut = whole.union(few).union(many).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
     return cut.select("rid", _union(F.col("found")).alias("spans"))
 
@@ -317,7 +322,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without id come after all others and do not remove from each other.
     """
     texts = _keyed(docs, id_col, text_col)
-    spans = settle(repeated_spans(docs, id_col, text_col))
+    spans = repeated_spans(docs, id_col, text_col)
     spans = broadcast_if_small(spans, F.lit(32) + F.lit(24) * F.size("spans"))
     return (texts.select("doc_id", "rid", "__text").join(spans, "rid", "left").select("doc_id", "spans", "__text")
             .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
