@@ -9,8 +9,8 @@ full shingle sets.
 
 Only what decides the components is compared.  Inside a bucket every class is first
 compared with one hub; linked classes merge.  Then, round by round with other hubs, only
-classes of different components meet, until a round merges nothing; last, the pairs of a
-bucket that are still in different components are compared one by one.  So a group of
+classes of different components meet, as long as a round merges much; last, all pairs of a
+bucket that are still in different components are compared.  So a group of
 thousands of copies costs a few comparisons per member, and no link between components is
 lost.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinio.llm import tokens
-from opinio.llm.common import broadcast_if_small, column, settle
+from opinio.llm.common import Scratch, broadcast_if_small, column, release_shuffles, settle
 
 SHINGLE_WORDS = 5
 #: Similarity threshold in hundredths.
@@ -38,7 +38,9 @@ HASHES = BANDS * BAND_ROWS
 #: Signature positions compared before each pruning decision, and the chosen miss probability.
 BATCH = 16
 MISS = 1e-6
-#: Hub rounds before the remaining pairs are compared directly.
+#: Hub rounds go on while a round links at least this share of the candidate classes, and at
+#: most so many; then the remaining pairs are compared directly.
+LEAST_MERGED = 0.02
 MAX_ROUNDS = 8
 
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -156,7 +158,7 @@ def verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     return full.mapInArrow(_confirm, "a binary, b binary")
 
 
-def merge_components(components: DataFrame, links: DataFrame) -> DataFrame:
+def merge_components(components: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Components ``(set_id, comp)`` after merging along ``links`` ``(a, b)``.
 
     Links are contracted to links between components; each component takes the least label
@@ -164,22 +166,16 @@ def merge_components(components: DataFrame, links: DataFrame) -> DataFrame:
     nothing changes.  Only components that a link touches take part.
     """
     of = lambda name, to: components.select(F.col("set_id").alias(name), F.col("comp").alias(to))
-    edges = (links.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x != y")
-             .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    edges = settle(edges)
-    if edges.isEmpty():
-        return components
-    both = edges.union(edges.select(F.col("y"), F.col("x")))
-    label = settle(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("l")))
+    edges = links.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x != y").select("x", "y")
+    both = scratch.table(edges.union(edges.select(F.col("y"), F.col("x"))).distinct())
+    label = scratch.table(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("l")))
     while True:
-        near = (both.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m")))
+        near = both.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
         step = label.join(near, "x").select("x", "l", F.least("l", "m").alias("to"))
-        jump = step.select(F.col("x").alias("to"), F.col("to").alias("far"))
-        step = step.join(jump, "to", "left").select("x", "l", F.coalesce("far", "to").alias("new"))
-        step = settle(step)
-        moved = step.where("new != l").isEmpty()
+        jump = label.select(F.col("x").alias("to"), F.col("l").alias("far"))
+        step = scratch.table(step.join(jump, "to", "left").select("x", "l", F.least("to", "far").alias("new")))
         label = step.select("x", F.col("new").alias("l"))
-        if moved:
+        if step.where("new != l").isEmpty():
             break
     return (components.join(label.select(F.col("x").alias("comp"), "l"), "comp", "left")
             .select("set_id", F.coalesce("l", "comp").alias("comp")))
@@ -194,44 +190,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a row is kept only if no row with an id is in its component.
     """
     text = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("__text"))
-    signed = settle(text.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, sig binary"))
-    classes = settle(signed.where("set_id IS NOT NULL").groupBy("set_id")
-                     .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    with Scratch(docs.sparkSession, "minhash") as scratch:
+        return settle(_components(text, scratch))
+
+
+def _components(text: DataFrame, scratch: Scratch) -> DataFrame:
+    spark = text.sparkSession
+    signed = scratch.table(text.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, sig binary"))
+    classes = scratch.table(signed.where("set_id IS NOT NULL").groupBy("set_id")
+                            .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * BAND_ROWS * i + 1, 4 * BAND_ROWS)) for i in range(BANDS)])
     bands = classes.select("set_id", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("_top")).where("hub != _top")
-    members = settle(bands.join(shared.select("key", "hub"), "key"))
+    members = scratch.table(bands.join(shared.select("key", "hub"), "key"))
+    release_shuffles(spark)
 
     # Full sets of the classes that are candidates at all, once.
-    wanted = members.select("set_id").distinct()
-    reps = settle(wanted.join(classes.select("set_id", "rep"), "set_id").select("rep").distinct())
+    wanted = scratch.table(members.select("set_id").distinct().join(classes, "set_id"))
+    reps = wanted.select("rep").distinct()
     reps = broadcast_if_small(reps, F.lit(16))
     sets = (text.join(reps, text["doc_id"].eqNullSafe(reps["rep"]), "left_semi").mapInArrow(_sets, "set_id binary, shingles binary")
-            .dropDuplicates(["set_id"]).join(wanted, "set_id", "left_semi"))
-    sets = settle(sets)
+            .dropDuplicates(["set_id"]).join(wanted.select("set_id"), "set_id", "left_semi"))
+    sets = scratch.table(sets)
+    release_shuffles(spark)
 
-    components = settle(wanted.select("set_id", F.col("set_id").alias("comp")))
+    components = wanted.select("set_id", F.col("set_id").alias("comp"))
     pairs = members.where("set_id != hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
+    enough = LEAST_MERGED * wanted.count()
     tested = None
     for turn in range(1, MAX_ROUNDS + 1):
-        pairs = settle(pairs)
+        pairs = scratch.table(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        links = settle(verify(pairs, classes, sets))
-        if links.isEmpty():
+        links = scratch.table(verify(pairs, wanted, sets))
+        n = links.count()
+        if n:
+            components = scratch.table(merge_components(components, links, scratch))
+        if n <= enough:  # hubs find little more: compare what is left
             break
-        components = settle(merge_components(components, links))
-        open_members = _open(members, components)
+        open_members = scratch.table(_open(members, components))
         order = F.xxhash64("set_id", F.lit(turn))
         hubs = open_members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "set_id", "comp")).alias("h"))
         pairs = (open_members.join(hubs, "key").where(F.col("comp") != F.col("h.comp"))
                  .select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct()
                  .join(tested, ["a", "b"], "left_anti"))
     # Whatever still shares a bucket across components is compared pair by pair.
-    left = settle(_open(members, components))
+    left = scratch.table(_open(members, components))
     right = left.select("key", F.col("set_id").alias("b"), F.col("comp").alias("comp_b"))
-    rest = (left.join(right, "key").where((F.col("comp") != F.col("comp_b")) & (F.col("set_id") < F.col("b")))
-            .select(F.col("set_id").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    components = merge_components(components, settle(verify(rest, classes, sets)))
+    rest = scratch.table(left.join(right, "key").where((F.col("comp") != F.col("comp_b")) & (F.col("set_id") < F.col("b")))
+                         .select(F.col("set_id").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    links = scratch.table(verify(rest, wanted, sets))
+    if not links.isEmpty():
+        components = merge_components(components, links, scratch)
+    release_shuffles(spark)
     return _result(signed, classes, components)
 
 
