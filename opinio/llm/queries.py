@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.llm import decontaminate, lines, minhash, mixing, pii, quality, suffix, warc
+from opinio.llm import chat, decontaminate, lines, minhash, mixing, pii, quality, suffix, toxicity, warc
 from opinio.llm.common import remove_path, settle
 from opinio.plans.registry import table
 from opinio.session import work_dir
@@ -194,3 +194,44 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_lines_removed",
                                           F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(docs, lexicon, keep=("doc_id",))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+OP8_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+b AS (SELECT *, replace(text, '\', '\\') AS t FROM c),
+e AS (SELECT *, length(replace(replace(replace(replace(replace(replace(replace(t, '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'),
+             '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>')) AS n FROM b)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(16 + length(role) + n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@register("op8_chat", OP8_SQL)
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(same).alias("text"))
+    made = chat.conversations(chat.linear_trees(rows.union(added)))
+    read = made.select("tree", "formatted", chat.parse(F.col("formatted")).alias("turns"),
+                       chat.loss_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(whole, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+                       F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
