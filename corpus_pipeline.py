@@ -1,7 +1,8 @@
 """Training-data pipeline over ``documents``: the stages in their order.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each
-stage's result as Parquet and rereads it as the next stage's documents.
+stage's result as Parquet and rereads it as the next stage's documents.  All but the last
+return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -9,29 +10,74 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opinio.llm import mixing
+from opinio.llm import decontaminate as benchmarks
+from opinio.llm import lines, minhash, mixing, toxicity
+from opinio.llm.common import broadcast_if_small, release_shuffles, remove_path, settle
 from opinio.session import work_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator does not reject (score under 0.5)."""
+    lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, lexicon, keep=COLUMNS).where("score < 0.5").select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated multi-line chunks.
+
+    A document left without any word goes: all it said stands elsewhere.  One that had no
+    word before stays as it was.
+    """
+    cut = lines.dedup_lines(docs.select(*COLUMNS))
+    emptied = (F.col("n_lines_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cut.where(~F.coalesce(emptied, F.lit(False))).select(*COLUMNS[:-1], F.length("text").cast("long").alias("n_chars"))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the least id."""
+    gone = settle(minhash.near_duplicates(docs).where("NOT kept").select("doc_id"))
+    release_shuffles(spark)
+    return docs.select(*COLUMNS).join(broadcast_if_small(gone, F.lit(16)), "doc_id", "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    found = benchmarks.decontaminate(docs, _table(spark, sf_dir, "benchmark"), keep=COLUMNS)
+    return found.where("NOT contaminated").select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: documents taken at least once, with how many words are taken."""
     return mixing.mix_sources(docs, keep=COLUMNS).where("taken > 0")
 
 
-STAGES = [("mix", mix)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("minhash_dedup", dedup_near),
+          ("decontamination", decontaminate), ("mixing", mix)]
 
-#: No stage but the last can be written in SQL: see tests/llm for the brute-force versions.
+#: SQL cannot express the learned and the MinHash stages: tests/llm compares the run with a
+#: brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    root = work_dir(spark, "pipeline")
+    """All stages over the whole documents table.
+
+    A stage's table goes when the next one is written; that of the last stage but one stays in
+    the shared folder, since the result reads it.
+    """
+    docs, read = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        path = work_dir(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            remove_path(spark, read)
+        docs, read = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
