@@ -8,7 +8,7 @@ matches) is under the chosen miss probability.  Survivors are verified exactly o
 full shingle sets.
 
 Only what decides the components is compared.  Inside a bucket every class is first
-compared with one hub; linked classes merge.  Then, round by round with other hubs, only
+compared with one hub, its most central member; linked classes merge.  Then, round by round with other hubs, only
 classes of different components meet, as long as a round merges much; last, all pairs of a
 bucket that are still in different components are compared.  So a group of
 thousands of copies costs a few comparisons per member, and no link between components is
@@ -41,6 +41,8 @@ MISS = 1e-6
 #: Hub rounds go on while a round links at least this share of the candidate classes, and at
 #: most so many; then the remaining pairs are compared directly.
 LEAST_MERGED = 0.02
+#: Members of a bucket that one comparison task holds on either side.
+BLOCK = 1024
 MAX_ROUNDS = 8
 
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -133,6 +135,28 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
 
+def _across(block: pa.Table) -> pa.Table:
+    """Pairs of one block pair of a bucket, of different components, that may be links."""
+    least = least_matches()
+    ids, comps = block.column("set_id").to_pylist(), np.unique(block.column("comp").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    own = block.column("own").to_numpy()
+    sigs = np.array([np.frombuffer(s, np.uint32) for s in block.column("sig").to_pylist()])
+    same_block = block.column("i")[0] == block.column("j")[0]
+    out = []
+    for x in range(len(ids)):
+        ys = np.arange(x + 1, len(ids))
+        ys = ys[comps[ys] != comps[x]]
+        if not same_block:
+            ys = ys[own[ys] != own[x]]
+        matches = np.zeros(len(ys), np.int64)
+        for k, need in enumerate(least):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            matches += (sigs[ys, part] == sigs[x, part]).sum(1)
+            ys, matches = ys[matches >= need], matches[matches >= need]
+        out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in ys.tolist()]
+    return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -201,8 +225,8 @@ def _components(text: DataFrame, scratch: Scratch) -> DataFrame:
                             .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * BAND_ROWS * i + 1, 4 * BAND_ROWS)) for i in range(BANDS)])
     bands = classes.select("set_id", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("_top")).where("hub != _top")
-    members = scratch.table(bands.join(shared.select("key", "hub"), "key"))
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = scratch.table(bands.join(sizes, "key"))
     release_shuffles(spark)
 
     # Full sets of the classes that are candidates at all, once.
@@ -215,7 +239,13 @@ def _components(text: DataFrame, scratch: Scratch) -> DataFrame:
     release_shuffles(spark)
 
     components = wanted.select("set_id", F.col("set_id").alias("comp"))
-    pairs = members.where("set_id != hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
+    # The hub of a bucket is its member that meets most others over all its buckets: of a
+    # text and its edited copies that is the text itself, which is near to all of them.
+    central = members.groupBy("set_id").agg(F.sum("n").alias("met"))
+    members = scratch.table(members.select("key", "set_id").join(central, "set_id"))
+    hubs = members.groupBy("key").agg(F.max(F.struct("met", "set_id")).alias("h"))
+    pairs = (members.join(hubs, "key").where(F.col("set_id") != F.col("h.set_id"))
+             .select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct())
     enough = LEAST_MERGED * wanted.count()
     tested = None
     for turn in range(1, MAX_ROUNDS + 1):
@@ -233,11 +263,15 @@ def _components(text: DataFrame, scratch: Scratch) -> DataFrame:
         pairs = (open_members.join(hubs, "key").where(F.col("comp") != F.col("h.comp"))
                  .select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct()
                  .join(tested, ["a", "b"], "left_anti"))
-    # Whatever still shares a bucket across components is compared pair by pair.
-    left = scratch.table(_open(members, components))
-    right = left.select("key", F.col("set_id").alias("b"), F.col("comp").alias("comp_b"))
-    rest = scratch.table(left.join(right, "key").where((F.col("comp") != F.col("comp_b")) & (F.col("set_id") < F.col("b")))
-                         .select(F.col("set_id").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    # Whatever still shares a bucket across components is compared, block by block: only pairs
+    # that signatures cannot rule out leave the tasks.
+    left = scratch.table(_open(members, components).join(wanted.select("set_id", "sig"), "set_id"))
+    dealt = left.join(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")), "key")
+    dealt = (dealt.withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(0)), F.col("n")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "comp", "sig"))
+    near = dealt.groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary")
+    rest = scratch.table(near.distinct().join(tested, ["a", "b"], "left_anti"))
     links = scratch.table(verify(rest, wanted, sets))
     if not links.isEmpty():
         components = merge_components(components, links, scratch)
