@@ -177,6 +177,20 @@ def test_minhash_components(docs_of, odd_rows):
     assert minhash.near_duplicates(docs_of([])).count() == 0
 
 
+def test_minhash_without_further_hub_rounds(docs_of, monkeypatch):
+    """Chains whose ends are far apart, and small blocks: the block comparison finds the rest."""
+    monkeypatch.setattr(minhash, "LEAST_MERGED", 2.0)
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    rng, rows = random.Random(21), []
+    for family in range(3):
+        words = prose(rng, 100, 500).split()
+        for step in range(8):  # each a few words further from the first
+            words[rng.randrange(100)] = f"new{family}{step}"
+            rows.append((len(rows), " ".join(words)))
+    got = minhash.near_duplicates(docs_of(rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, c) for d, _, c in brute_components(rows)}
+
+
 def test_minhash_chain_and_pruning():
     least = minhash.least_matches()
     assert all(a < b for a, b in zip(least, least[1:], strict=False)) and least[-1] < 0.75 * minhash.HASHES
