@@ -7,14 +7,7 @@ Each query is a plan over whole tables, ``(spark, sf_dir) -> DataFrame``, with
 from opinio.plans.registry import REGISTRY, Query  # noqa: F401
 from opinio.plans import text_queries, lexicon_queries  # noqa: F401,E402
 
-try:  # families added incrementally; keep the registry importable
-    from opinio.plans import ml_queries  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-try:
-    from opinio.plans import io_queries  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
+from opinio.plans import io_queries, ml_queries  # noqa: F401,E402
 
 
 def queries():

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -47,22 +50,37 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     On a cluster this must be set by the deployment (a shared file system
     every executor can reach); Spark then registers it as the context's
-    checkpoint folder at start-up.  Only when it is unset -- local runs and
-    tests -- is a private folder created and registered with
-    ``SparkContext.setCheckpointDir`` (the setting itself is fixed once the
-    session runs).
+    checkpoint folder at start-up.  Only where it is unset and everything runs in
+    one process (master ``local``) is a private folder created, registered with
+    ``SparkContext.setCheckpointDir`` and removed at exit; elsewhere its
+    absence is an error, since no executor could read another's folder.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="opinio-ckpt-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
 
 
+_WORK_DIRS: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint root."""
-    root = checkpoint_root(spark)
-    path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _WORK_DIRS.append(path)
     return path
+
+
+def clean_work_dirs(spark: SparkSession) -> None:
+    """Delete the folders that :func:`work_dir` handed out in this process,
+    once no result reads them any more (end of a benchmark or test run)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WORK_DIRS:
+        where = jvm.org.apache.hadoop.fs.Path(_WORK_DIRS.pop())
+        where.getFileSystem(conf).delete(where, True)

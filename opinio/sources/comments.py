@@ -27,17 +27,25 @@ def read_comments(spark: SparkSession, path: str, schema=COMMENT_SCHEMA,
                   multiline: bool = True) -> DataFrame:
     """S1 (+S2): CSV with header, quotes and embedded newlines, explicit schema.
 
-    ``row_id`` is taken from ``id_col`` when present, otherwise fixed at ingest
-    with ``monotonically_increasing_id`` (Spark has no implicit row order).
+    ``row_id`` is taken from ``id_col`` when present.  Otherwise it is the row's place:
+    ``struct(file, block, line)`` -- file path, offset of the split in the file, and a number
+    that grows with the lines of the split -- which orders rows as the files list them,
+    whatever order Spark reads the splits in; the rows are then written once to the
+    shared folder, so every later read sees the same ids.
     Multi-line CSV files are not splittable: ingest many files, or convert to
     parquet once and run the analytics on that.
     """
     df = _csv_reader(spark, schema, multiline).csv(path)
     if na_tokens is not None:
         df = normalize_na(df, na_tokens)
+    if row_id and id_col and id_col in df.columns:
+        return df.withColumn(row_id, F.col(id_col).cast("long"))
     if row_id:
-        src = F.col(id_col) if id_col and id_col in df.columns else F.monotonically_increasing_id()
-        df = df.withColumn(row_id, src.cast("long"))
+        from opinio.session import checkpoint_root
+        checkpoint_root(spark)
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("line"))
+        df = df.withColumn(row_id, place).checkpoint()
     return df
 
 
@@ -93,10 +101,12 @@ def quarantine_malformed(spark: SparkSession, path: str, schema: StructType,
     raw = (_csv_reader(spark, full, multiline, header).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT_COL).csv(path))
     # Spark fills the corrupt-record column reliably only on a materialised
-    # parse (documented for raw CSV/JSON scans), so the parse is persisted
-    # once -- memory then disk, recomputed from the files if an executor is
-    # lost -- and both outputs read that copy.
-    raw = raw.persist()
+    # parse (documented for raw CSV/JSON scans), so the parse is written once to
+    # the shared folder, both outputs read that copy, and Spark removes it when
+    # neither is referenced any more.
+    from opinio.session import checkpoint_root
+    checkpoint_root(spark)
+    raw = raw.checkpoint()
     names = [f.name for f in schema.fields]
     good = raw.filter(F.col(CORRUPT_COL).isNull()).select(*names)
     bad = raw.filter(F.col(CORRUPT_COL).isNotNull()).select(*names, CORRUPT_COL)

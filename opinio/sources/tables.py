@@ -31,12 +31,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast-hint ``df`` only after proving it has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_bytes: int = 64_000_000) -> DataFrame:
+    """Broadcast-hint ``df`` only after measuring that its values take at most
+    ``max_bytes``.
 
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the frame
-    is returned as is and the planner (with AQE runtime statistics) picks a
-    shuffle join instead.
+    The measurement is one aggregate, so a derived frame should be written
+    (``checkpoint``) first.  Beyond the bound the frame is returned as is and the
+    planner (with AQE runtime statistics) picks a shuffle join instead.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if value_bytes(df) <= max_bytes else df
+
+
+def value_bytes(df: DataFrame) -> int:
+    """Approximate size of a frame's values: text length, 16 bytes for others."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) + 16 if t == "string" else F.lit(16)
+                 for c, t in df.dtypes), F.lit(0))
+    return int(df.agg(F.sum(width)).first()[0] or 0)

@@ -15,6 +15,8 @@ def spark():
     from opinio.session import checkpoint_root
     checkpoint_root(s)
     yield s
+    from opinio.session import clean_work_dirs
+    clean_work_dirs(s)
 
 
 def rows(df, *cols):

@@ -58,8 +58,8 @@ def test_bounded_broadcast_only_when_small(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        j1 = big.join(bounded_broadcast(small, 100), "k")
-        j2 = big.join(bounded_broadcast(big.select("k"), 100), "k")
+        j1 = big.join(bounded_broadcast(small, 1000), "k")
+        j2 = big.join(bounded_broadcast(big.select("k"), 1000), "k")
         assert "BroadcastHashJoin" in j1._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastHashJoin" not in j2._jdf.queryExecution().sparkPlan().toString()
     finally:
@@ -69,14 +69,13 @@ def test_bounded_broadcast_only_when_small(spark):
 
 def test_dense_index_has_no_global_window(spark):
     df = spark.range(0, 5000, 3).withColumnRenamed("id", "k")
-    out = ME.dense_index(df, "k", "i", bucket_size=256)
+    out = ME.dense_index(df, "k", "i", partitions=8)
     got = out.select("k", "i").collect()
     assert sorted(r.i for r in got) == list(range(len(got)))
     assert all(r.i == r.k // 3 for r in got)
     phys = out._jdf.queryExecution().sparkPlan().toString()
-    # the per-row window is partitioned by bucket; only the per-bucket count
-    # table (one row per bucket) is ordered globally
-    assert "_bucket" in phys
+    # no window over rows: only the per-partition counts are ordered globally
+    assert phys.count("Window") == 1 and "_part" in phys
 
 
 def test_tfidf_stats_shuffle_words_not_pairs(spark):
@@ -89,3 +88,11 @@ def test_tfidf_stats_shuffle_words_not_pairs(spark):
     got = {r.word: (r.cf, r.df) for r in stats.collect()}
     # "hot" appears twice in a third of the rows and once in the rest
     assert got["hot"] == (2000 + 2000, 3000)
+
+
+def test_word_difference_combines_before_the_shuffle(spark):
+    df = hot_fixture(spark).select(F.explode(F.split("comment", " ")).alias("word"))
+    out = D.set_difference(df, df.where("word = 'hot'"), "word")
+    assert out.count() == 2000 + 1 and "hot" not in {r.word for r in out.collect()}
+    first = plan(out).split("Exchange hashpartitioning")[-1]
+    assert "HashAggregate(keys=[word" in first.split("Exchange")[0]
