@@ -12,9 +12,10 @@ from opinio.functions.arrays import explode_rows
 from opinio.operators.dedup import keep_first
 from opinio.sources.tables import bounded_broadcast
 
-# Size past which a literal word list is no longer inlined in the plan and a
-# join against a table is used instead.
-INLINE_LIST_MAX = 5_000
+
+def _words(ws_col: str):
+    """Word arrays of every form below: a null array has no words."""
+    return F.coalesce(F.col(ws_col), F.expr("CAST(array() AS array<string>)"))
 
 
 def explode_words(df: DataFrame, ws_col: str, row_id: str = "row_id",
@@ -39,22 +40,31 @@ def remove_stopwords(df: DataFrame, ws_col: str, stopwords, out: str | None = No
     """Drop stopwords from a word array column, keeping repeats and order.
 
     ``stopwords`` is a list (array filter with a hash-set lookup, no shuffle)
-    or a one-column DataFrame ``word`` (exploded anti join for lists too big to
-    inline; broadcast only when its size is proven small).
+    or a one-column DataFrame ``word`` (exploded join for lists too big to
+    inline; broadcast only when its size is measured small).  Both give an
+    empty array for a null one.  Only row key, position and word are exploded;
+    the other columns are joined back once by the row key.
     """
     out = out or ws_col
     if not isinstance(stopwords, DataFrame):
-        return df.withColumn(out, T.drop_words(ws_col, list(stopwords)))
-    keep = [c for c in df.columns if c not in (row_id, ws_col)]
-    long = explode_words(df, ws_col, row_id, keep)
-    stop = bounded_broadcast(stopwords.select("word").distinct()).withColumn("_stop", F.lit(True))
+        return df.withColumn(out, T.drop_words(_words(ws_col), list(stopwords)))
+    from opinio.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    long = explode_words(df, ws_col, row_id)
+    stop = bounded_broadcast(stopwords.select("word").distinct().checkpoint()).withColumn("_stop", F.lit(True))
     # A left join with a flag (not an anti join) so a row whose words are all
     # stopwords still comes back, with an empty array.
     flagged = (long.join(stop, on="word", how="left")
                .withColumn("pos", F.when(F.col("_stop").isNull(), F.col("pos"))))
-    back = regroup_words(flagged, row_id, keep, out=ws_col)
-    return back.withColumnRenamed(ws_col, out).select(*[c for c in df.columns if c != ws_col], out) \
-        if out != ws_col else back.select(*df.columns)
+    return _join_back(df, regroup_words(flagged, row_id, out="_kept"), row_id, out)
+
+
+def _join_back(df: DataFrame, words: DataFrame, row_id: str, out: str) -> DataFrame:
+    """``df`` with column ``out`` replaced by (or added from) ``words._kept``."""
+    cols = [c for c in df.columns if c != out]
+    joined = df.join(words.select(row_id, "_kept"), row_id, "left").withColumn("_kept", _words("_kept"))
+    order = df.columns if out in df.columns else [*df.columns, out]
+    return joined.select(*cols, F.col("_kept").alias(out)).select(*order)
 
 
 def affix_stems(vocab: DataFrame, prefixes: Sequence[str], suffixes: Sequence[str],
@@ -108,37 +118,37 @@ INLINE_MAP_MAX = 64
 
 def apply_word_map(df: DataFrame, ws_col: str, table: DataFrame, key: str = "word",
                    value: str = "stem", row_id: str = "row_id", keep: Sequence[str] = (),
-                   out: str | None = None, inline_max: int = INLINE_MAP_MAX,
-                   broadcast_max_rows: int = 2_000_000) -> DataFrame:
+                   out: str | None = None, inline_max: int = INLINE_MAP_MAX) -> DataFrame:
     """Replace each word by ``table[value]`` where present (T8 join-back, T9
     for a table-sized synonym list).
 
     Only entries that change a word matter.  When at most ``inline_max`` of
     them exist (checked), they are inlined as a map literal and applied with
-    ``transform`` -- no shuffle.  Otherwise: explode, hash join (broadcast
-    when the map's size is proven under ``broadcast_max_rows``, else a
-    shuffle join whose hot-word partitions AQE splits), regroup by row key;
-    the regroup combines inside each task first, so one row per row key is
-    shuffled.
+    ``transform`` -- no shuffle.  Otherwise: explode (row key, position, word),
+    hash join (broadcast when the map is measured small, else a shuffle join
+    whose hot-word partitions AQE splits), regroup by row key; the regroup
+    combines inside each task first, and the ``keep`` columns are joined back once.
+
+    Both forms agree: a null word array gives an empty one, and of a key's
+    several values the least counts.
     """
     from opinio.session import checkpoint_root
     out = out or ws_col
-    changes = table.select(F.col(key).alias("word"), F.col(value).alias("_v")).filter(
-        F.col("_v").isNotNull() & (F.col("_v") != F.col("word")))
+    changes = (table.groupBy(F.col(key).alias("word")).agg(F.min(value).alias("_v"))
+               .filter(F.col("_v").isNotNull() & (F.col("_v") != F.col("word"))))
     # The map is usually derived (a stemming vocabulary job): it is written
     # once to the shared checkpoint folder, so the size check and the join
     # read the result instead of re-running the job.  One bounded count
     # picks the strategy.
     checkpoint_root(df.sparkSession)
     changes = changes.checkpoint()
-    n = changes.limit(broadcast_max_rows + 1).count()
-    if n <= inline_max:
+    if changes.limit(inline_max + 1).count() <= inline_max:
         mapping = {r["word"]: r["_v"] for r in changes.collect()}
-        return df.select(row_id, *keep, T.map_words(ws_col, mapping).alias(out))
-    side = F.broadcast(changes) if n <= broadcast_max_rows else changes
-    long = explode_words(df, ws_col, row_id, keep)
-    mapped = long.join(side, on="word", how="left").withColumn("word", F.coalesce("_v", "word"))
-    return regroup_words(mapped, row_id, keep, out=out)
+        return df.select(row_id, *keep, T.map_words(_words(ws_col), mapping).alias(out))
+    long = explode_words(df, ws_col, row_id)
+    mapped = long.join(bounded_broadcast(changes), on="word", how="left").withColumn("word", F.coalesce("_v", "word"))
+    words = regroup_words(mapped, row_id, out="_kept")
+    return _join_back(df.select(row_id, *keep), words, row_id, out).select(row_id, *keep, out)
 
 
 def vocabulary(df: DataFrame, ws_col: str) -> DataFrame:
@@ -161,6 +171,12 @@ def first_aspect(df: DataFrame, text_col: str, aspects: Iterable[str],
     return df.withColumn(out, F.try_element_at(F.filter(ws, lambda w: F.lower(w).isin(words)), F.lit(1)))
 
 
+def sentiment_aspect(df: DataFrame, text_col: str, lexicon, aspects: Iterable[str]) -> DataFrame:
+    """Per comment its ``sentiment`` (lexicon label) and first ``aspect``."""
+    from opinio.operators.lexicon import score_comments
+    return first_aspect(score_comments(df, lexicon, text_col, "_score", "sentiment").drop("_score"), text_col, aspects)
+
+
 # Word-array steps of the cleaning chain, in the original notebook's order:
 # stopwords, then stems, then synonyms (so a slang negation mapped to a
 # stopword comes back after stopword removal).

@@ -47,8 +47,9 @@ def top_k(df: DataFrame, k: int, by: str, tie: str) -> DataFrame:
 
 def set_difference(left: DataFrame, right: DataFrame, col: str) -> DataFrame:
     """Distinct values of ``left.col`` absent from ``right.col``
-    (EXCEPT DISTINCT; nulls compare equal)."""
-    return left.select(col).subtract(right.select(col))
+    (EXCEPT DISTINCT; nulls compare equal).  Both sides are made distinct
+    first, combined inside the tasks, so repeats are not shuffled."""
+    return left.select(col).distinct().subtract(right.select(col).distinct())
 
 
 def attach_by_row(df: DataFrame, other: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -8,12 +8,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, IndexToString,
-                                Normalizer, StringIndexer, VectorAssembler, Word2Vec)
+                                Normalizer, StringIndexer, VectorAssembler)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinio.functions.arrays import explode_rows, posexplode_rows
+from opinio.functions.arrays import explode_rows
+from opinio.sources.tables import bounded_broadcast
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -93,22 +94,11 @@ def tfidf_weights(df: DataFrame, ws_col: str, row_id: str, vocab: TfidfVocab) ->
     from pyspark.ml.functions import vector_to_array
     vec = tfidf_vectors(df.select(row_id, ws_col), ws_col, vocab, "_vec")
     words = F.array(*[F.lit(w) for w in vocab.words])
-    cells = posexplode_rows(vec, vector_to_array("_vec"), "term_index", "weight", row_id)
-    return cells.filter(F.col("weight") != 0.0).select(
-        row_id, F.element_at(words, F.col("term_index") + 1).alias("word"),
-        F.col("term_index").cast("int").alias("term_index"), "weight")
-
-
-def tfidf_weights_joined(df: DataFrame, ws_col: str, row_id: str, vocab: TfidfVocab) -> DataFrame:
-    """M2 long form as a join plan (term pairs, broadcast vocabulary,
-    per-row norm window) -- the equivalent relational formulation, kept for
-    vocabularies too large to hold as a vector."""
-    spark = df.sparkSession
-    kept = df.select(row_id, F.filter(ws_col, lambda w: w.isin(list(vocab.words))).alias("_ws"))
-    pairs = term_pairs(kept, "_ws", row_id).join(F.broadcast(vocab.frame(spark)), "word")
-    pairs = pairs.withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(row_id)))
-    return pairs.select(row_id, "word", "term_index", (F.col("_w") / norm).alias("weight"))
+    present = F.filter(F.transform(vector_to_array("_vec"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
+                       lambda c: c["x"] != 0.0)  # only these leave the row
+    return explode_rows(vec, present, "_c", row_id).select(
+        row_id, F.element_at(words, F.col("_c.i") + 1).alias("word"), F.col("_c.i").alias("term_index"),
+        F.col("_c.x").alias("weight"))
 
 
 def tfidf_vectors(df: DataFrame, ws_col: str, vocab: TfidfVocab, out: str = "features") -> DataFrame:
@@ -138,20 +128,22 @@ INLINE_VOCAB_MAX = 64
 
 def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
                      max_len: int = 128, inline_max: int = INLINE_VOCAB_MAX,
-                     vocab_max_rows: int = 2_000_000, pad_to: str = "max_len") -> DataFrame:
+                     pad_to: str = "max_len") -> DataFrame:
     """M7: ``(row_id, input_ids, attention_mask)``, both of length ``max_len``:
     known words map to their id, others to the unknown id; sequences are cut
     at ``max_len`` (the encoder's truncation) and padded with the pad id.
 
     A vocabulary of at most ``inline_max`` words (checked) is inlined as a
     map literal: encoding is then a projection with no shuffle.  Larger
-    vocabularies use explode -> join -> regroup by row.
+    vocabularies use explode -> join -> regroup by row.  Both forms agree: a null
+    word array is an empty one, and of a word's several ids the least counts.
 
     ``pad_to="longest"`` pads to the longest sequence after truncation
     instead (the encoder's ``padding=True``): one max aggregate over the
     frame, a single number to the driver.
     """
     from opinio.session import checkpoint_root
+    df = df.select(row_id, F.coalesce(F.col(ws_col), F.expr("CAST(array() AS array<string>)")).alias(ws_col))
     if pad_to == "longest":
         longest = df.select(F.least(F.size(ws_col), F.lit(max_len)).alias("_n")).agg(F.max("_n")).first()[0]
         width = max(int(longest or 0), 0)
@@ -163,9 +155,8 @@ def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
     # folder so the size check and the lookup read it rather than recount
     # the corpus.  One bounded count picks the strategy.
     checkpoint_root(df.sparkSession)
-    vocab = vocab.select("word", "id").checkpoint()
-    n = vocab.limit(vocab_max_rows + 1).count()
-    if n <= inline_max:
+    vocab = vocab.groupBy("word").agg(F.min("id").alias("id")).checkpoint()
+    if vocab.limit(inline_max + 1).count() <= inline_max:
         pairs = [(r["word"], int(r["id"])) for r in vocab.collect()]
         m = F.create_map(*[F.lit(x) for kv in pairs for x in kv]) if pairs else None
         toks = F.slice(ws_col, 1, max_len)
@@ -175,7 +166,7 @@ def encode_sequences(df: DataFrame, ws_col: str, row_id: str, vocab: DataFrame,
         pad = F.array_repeat(F.lit(PAD_ID), F.lit(width) - F.size("_ids"))
         return out.select(row_id, F.concat("_ids", pad).alias("input_ids"),
                           F.concat(F.array_repeat(F.lit(1), F.size("_ids")), pad).alias("attention_mask"))
-    side = F.broadcast(vocab) if n <= vocab_max_rows else vocab
+    side = bounded_broadcast(vocab)
     toks = df.select(row_id, F.posexplode_outer(F.slice(ws_col, 1, max_len)).alias("pos", "word"))
     joined = toks.join(side, "word", "left")
     grouped = joined.groupBy(row_id).agg(F.array_sort(F.collect_list(F.when(
@@ -196,42 +187,20 @@ def hybrid_features(df: DataFrame, vector_col: str, extra_cols: Sequence[str],
 
 
 # ----------------------------------------------------------------- M12
-def vocabulary_min_count(df: DataFrame, ws_col: str, min_count: int, max_vocab: int) -> int:
-    """The smallest count threshold ``>= min_count`` that keeps at most
-    ``max_vocab`` distinct words.
-
-    Computed distributedly: word counts (pre-aggregated map-side), then a
-    histogram ``(count, words with that count)`` -- one row per distinct
-    count value -- and a running sum over it, from the most frequent down.
-    Only one number reaches the driver.
-    """
-    counts = (explode_rows(df, ws_col, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") >= min_count))
-    hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    kept = F.sum("k").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    thr = hist.withColumn("_kept", kept).filter(F.col("_kept") <= max_vocab).agg(F.min("n")).first()[0]
-    if thr is None:
-        raise ValueError(f"the most frequent count alone holds more than {max_vocab} words")
-    return max(int(thr), min_count)
-
-
-def sentence_vectors(df: DataFrame, ws_col: str, size: int = 64, seed: int = 42,
-                     min_count: int = 2, max_vocab: int = 1_000_000, out: str = "sentence_vector"):
-    """Mean word vector per row from a Word2Vec model trained on the
-    same rows.  Returns ``(model, transformed)``.
-
-    Spark ML collects the Word2Vec vocabulary to the driver and broadcasts
-    two ``vocabulary x size`` tables, so the vocabulary is bounded first:
-    the count threshold is raised (exactly Word2Vec's own ``minCount`` rule)
-    until at most ``max_vocab`` words remain.
+def sentence_vectors(df: DataFrame, ws_col: str, size: int = 32, out: str = "sentence_vector") -> DataFrame:
+    """Mean word vector per row.
+
+    A word's vector is ``size`` signs (at most 32) taken from the bits of its MD5
+    digest: nothing is trained, no vocabulary is gathered, every word counts, and
+    the vectors are the same on any cluster.  Random signs keep the angles between
+    bags of words (a random projection).  A row without words gets zeros.
     """
-    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, 64))
-    cached = df.persist()
-    try:
-        mc = vocabulary_min_count(cached, ws_col, min_count, max_vocab)
-        w2v = Word2Vec(vectorSize=size, seed=seed, minCount=mc, inputCol=ws_col,
-                       outputCol=out, maxIter=1, numPartitions=parts)
-        model = w2v.fit(cached)
-    finally:
-        cached.unpersist()
-    return model, model.transform(df)
+    if not 1 <= size <= 32:
+        raise ValueError("size must be between 1 and 32")
+    bits = F.transform(F.coalesce(F.col(ws_col), F.expr("CAST(array() AS array<string>)")),
+                       lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
+    with_bits = df.withColumn("_bits", bits).withColumn("_n", F.greatest(F.size("_bits"), F.lit(1)))
+    ones = lambda i: F.aggregate("_bits", F.lit(0).cast("long"), lambda s, b: s + F.call_function(
+        "shiftright", b, i).bitwiseAND(F.lit(1).cast("long")))
+    mean = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (2 * ones(i) - F.size("_bits")) / F.col("_n"))
+    return with_bits.withColumn(out, mean).drop("_bits", "_n")

@@ -24,8 +24,6 @@ from opinio.functions.text import word_tokens
 from opinio.resources import Lexicon
 from opinio.sources.tables import bounded_broadcast
 
-ARRAY_FORM_MAX_WORDS = 5_000
-
 
 def tokens(df: DataFrame, text_col: str, out: str = "_ws") -> DataFrame:
     """Materialise ``\\b\\w+\\b`` tokens of the lower-cased text once; null
@@ -43,9 +41,8 @@ def mark_negation(df: DataFrame, lex: Lexicon, text_col: str = "comment",
 
 def score_comments(df: DataFrame, lex: Lexicon, text_col: str = "comment",
                    score_col: str = "score", label_col: str | None = "sentiment") -> DataFrame:
-    """L2 + L3, array form."""
-    if lex.size > ARRAY_FORM_MAX_WORDS:
-        raise ValueError("lexicon too large to inline; use score_comments_exploded")
+    """L2 + L3, array form, for a lexicon held by the caller: its words become
+    hash sets in the plan.  Table-sized lexicons use the exploded form."""
     out = tokens(df, text_col).withColumn(score_col, L.lexicon_score("_ws", lex)).drop("_ws")
     if label_col:
         out = out.withColumn(label_col, L.score_label(score_col))
@@ -55,8 +52,7 @@ def score_comments(df: DataFrame, lex: Lexicon, text_col: str = "comment",
 def score_comments_exploded(df: DataFrame, polarity: DataFrame, negators: DataFrame,
                             text_col: str = "comment", row_id: str = "row_id",
                             keep: Sequence[str] = (), score_col: str = "score",
-                            label_col: str | None = "sentiment",
-                            broadcast_max_rows: int = 2_000_000) -> DataFrame:
+                            label_col: str | None = "sentiment") -> DataFrame:
     """L2 + L3, exploded form for table lexicons ``polarity(word, polarity)``
     and ``negators(word)``.  Returns ``(row_id, *keep, score[, label])``."""
     toks = tokens(df.select(row_id, *keep, text_col), text_col)
@@ -64,10 +60,8 @@ def score_comments_exploded(df: DataFrame, polarity: DataFrame, negators: DataFr
         "_ws", F.concat(F.array(F.lit(None).cast("string")), F.col("_ws")),
         lambda w, p: F.struct(w.alias("word"), p.alias("prev"))), "t", row_id, *keep).select(
         row_id, *keep, "t.word", "t.prev")
-    pol = bounded_broadcast(polarity.select("word", F.col("polarity").cast("int").alias("polarity")),
-                            broadcast_max_rows)
-    neg = bounded_broadcast(negators.select(F.col("word").alias("prev")).distinct(),
-                            broadcast_max_rows).withColumn("_neg", F.lit(-1))
+    pol = bounded_broadcast(polarity.select("word", F.col("polarity").cast("int").alias("polarity")))
+    neg = bounded_broadcast(negators.select(F.col("word").alias("prev")).distinct()).withColumn("_neg", F.lit(-1))
     hits = (pairs.join(pol, on="word", how="inner")
             .join(neg, on="prev", how="left")
             .select(row_id, *keep, (F.col("polarity") * F.coalesce("_neg", F.lit(1))).alias("_c")))

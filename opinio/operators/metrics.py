@@ -11,23 +11,27 @@ def accuracy(df: DataFrame, pred_col: str, label_col: str) -> DataFrame:
     return df.agg(F.avg(F.col(pred_col).eqNullSafe(F.col(label_col)).cast("double")).alias("accuracy"))
 
 
-def dense_index(df: DataFrame, key: str, out: str = "row_index", bucket_size: int = 1 << 20) -> DataFrame:
-    """0-based position of each row in ``key`` order (``key`` integral, unique).
+def dense_index(df: DataFrame, key: str, out: str = "row_index", partitions: int | None = None) -> DataFrame:
+    """0-based position of each row in ``key`` order (any orderable, unique key).
 
-    A global ``row_number()`` would pull every row into one task.  Instead
-    rows are numbered inside key buckets of at most ``bucket_size`` keys
-    (bounded partitions), and each bucket's offset comes from a running sum
-    over the per-bucket counts -- a table with one row per bucket.
+    A global ``row_number()`` would pull every row into one task.  Instead the rows
+    are range-partitioned by key (balanced by sampling, whether keys are dense or hashed) and
+    numbered inside their partition; each partition's offset is the running sum
+    over the row counts of those before it -- one row per partition.
     """
-    b = F.floor(F.col(key) / F.lit(bucket_size)).cast("long")
-    with_b = df.withColumn("_bucket", b)
-    counts = with_b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = with_b.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
-    return (ranked.join(offsets.select("_bucket", "_off"), "_bucket")
-            .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-            .drop("_bucket", "_rn", "_off"))
+    from opinio.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n, key).sortWithinPartitions(key)
+              .withColumn("_id", F.monotonically_increasing_id()))
+    # Written once: range borders are sampled, so both uses must read one deal.
+    dealt = ranged.withColumn("_part", F.shiftright("_id", 33)).checkpoint()
+    within = F.col("_id") - F.shiftleft(F.col("_part"), 33)
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (dealt.join(F.broadcast(offsets), "_part")  # one row per partition
+            .withColumn(out, (F.col("_off") + within).cast("long")).drop("_id", "_part", "_off"))
 
 
 def epoch_metrics(probs: DataFrame, order_col: str, prob_col: str, label_col: str,

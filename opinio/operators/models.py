@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import labels as LB
@@ -15,26 +15,24 @@ from opinio.functions.text import word_tokens
 from opinio.sources.tables import bounded_broadcast
 
 
-# Rows per partition for the input of an iterative fit (LBFGS, Lloyd).  Each
-# iteration is a Spark job over every partition, so a small input spread
-# over many partitions pays task and stage overhead on every iteration; a
-# large one keeps ``rows / ROWS_PER_FIT_PARTITION`` partitions (thousands at
-# scale) and its full parallelism.
-ROWS_PER_FIT_PARTITION = 20_000
+#: Dimensions of hashed term counts.  Hashing keeps every word of the corpus (rare ones may
+#: share a dimension) and needs neither a vocabulary job nor a vocabulary on the driver.
+HASH_FEATURES = 1 << 12
+#: Centroids or class totals that are held in the plan at once; more go in blocks.
+CLASS_BLOCK = 10_000
 
 
-def sized_for_iterations(df: DataFrame, rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:
-    """``df`` coalesced (no shuffle) to ``ceil(rows / rows_per_partition)``
-    partitions when that is fewer than it has; ``df`` should be persisted,
-    since its rows are counted first."""
-    import math
-    want = max(1, math.ceil(df.count() / rows_per_partition))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+def for_iterations(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` coalesced to ``partitions`` for an iterative fit, if given.
+
+    A fit's partition count is the caller's explicit choice: it never depends on
+    the number of rows, so neither do seeding and summation order.
+    """
+    return df if partitions is None else df.coalesce(partitions)
 
 
 def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
-                        text_col: str = "comment", row_id: str = "row_id",
-                        broadcast_max_rows: int = 2_000_000) -> DataFrame:
+                        text_col: str = "comment", row_id: str = "row_id") -> DataFrame:
     """M9 (lexicon scorer): ``(row_id, word, contribution, occurrences)`` -- the
     signed share of each polar word in its row's score.  Only lexicon hits are
     shuffled (pre-aggregated per task)."""
@@ -42,10 +40,8 @@ def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
     pairs = explode_rows(toks, F.zip_with(
         "_ws", F.concat(F.array(F.lit(None).cast("string")), F.col("_ws")),
         lambda w, p: F.struct(w.alias("word"), p.alias("prev"))), "t", row_id).select(row_id, "t.word", "t.prev")
-    pol = bounded_broadcast(polarity.select("word", F.col("polarity").cast("int").alias("polarity")),
-                            broadcast_max_rows)
-    neg = bounded_broadcast(negators.select(F.col("word").alias("prev")).distinct(),
-                            broadcast_max_rows).withColumn("_neg", F.lit(-1))
+    pol = bounded_broadcast(polarity.select("word", F.col("polarity").cast("int").alias("polarity")))
+    neg = bounded_broadcast(negators.select(F.col("word").alias("prev")).distinct()).withColumn("_neg", F.lit(-1))
     hits = pairs.join(pol, "word").join(neg, "prev", "left")
     return hits.groupBy(row_id, "word").agg(
         F.sum(F.col("polarity") * F.coalesce("_neg", F.lit(1))).cast("long").alias("contribution"),
@@ -54,7 +50,7 @@ def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
 
 # ------------------------------------------------------------ M3 / M3b
 def fit_kmeans(df: DataFrame, features_col: str = "features", k: int = 3, seed: int = 42,
-               n_init: int = 10, max_iter: int = 300, parallelism: int = 8):
+               n_init: int = 10, max_iter: int = 300, parallelism: int = 8, partitions: int | None = None):
     """M3: k-means with ``n_init`` seeded starts (seed, seed+1, ...), keeping
     the model with the lowest within-cluster cost (the first start on ties).
 
@@ -67,7 +63,7 @@ def fit_kmeans(df: DataFrame, features_col: str = "features", k: int = 3, seed:
     # The starts share one persisted copy of the vectors (recomputed from
     # the source if an executor is lost) instead of re-deriving them.
     cached = df.select(features_col).persist()
-    points = sized_for_iterations(cached)
+    points = for_iterations(cached, partitions)
 
     def one(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features_col,
@@ -93,65 +89,87 @@ def _concurrent(fn, items, parallelism: int, spark):
         return list(pool.map(inheritable_thread_target(spark)(fn), items))
 
 
-def class_centroids(df: DataFrame, vec_col: str, class_col: str, max_classes: int = 10_000):
-    """Per-class mean vectors ``[(class, [mean...]), ...]`` sorted by class.
+def class_centroids(df: DataFrame, vec_col: str, class_col: str) -> DataFrame:
+    """``(class, v)``: per-class mean vectors, aggregated distributedly over
+    ``(class, position)``; written once, since assignment reads it in blocks."""
+    from opinio.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    per_dim = (df.select(F.col(class_col).alias("class"), F.posexplode(F.col(vec_col).cast("array<double>")).alias("i", "x"))
+               .groupBy("class", "i").agg(F.avg("x").alias("m")))
+    vectors = per_dim.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
+    return vectors.select("class", F.transform("v", lambda s: s["m"]).alias("v")).checkpoint()
 
-    Aggregated distributedly over ``(class, position)``; the result is
-    bounded by classes x dimensions and checked before it is collected.
-    """
-    per_dim = (df.select(class_col, F.posexplode(F.col(vec_col).cast("array<double>")).alias("i", "x"))
-               .groupBy(class_col, "i").agg(F.avg("x").alias("m")))
-    # One job: at most ``max_classes + 1`` centroids are collected, and more
-    # than ``max_classes`` is an error.
-    rows = (per_dim.groupBy(class_col).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
-            .orderBy(class_col).limit(max_classes + 1).collect())
-    if len(rows) > max_classes:
-        raise ValueError(f"more than {max_classes} classes; centroids are not bounded")
-    return [(r[class_col], [s["m"] for s in r["v"]]) for r in rows]
-
-
-def assign_nearest(df: DataFrame, vec_col: str, centroids, out: str = "cluster") -> DataFrame:
-    """Nearest centroid by squared Euclidean distance (first on ties).
-
-    The (bounded) centroids are inlined as a literal array, so assignment is
-    a projection: no join, no shuffle -- the same strategy KMeansModel uses.
-    """
-    ids = F.array(*[F.lit(c) for c, _ in centroids])
-    cents = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for _, v in centroids])
-    tmp = df.withColumn("_v", F.col(vec_col).cast("array<double>"))
-    tmp = tmp.withColumn("_d", F.transform(cents, lambda c: F.aggregate(
-        F.zip_with("_v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
-    return tmp.withColumn(out, F.element_at(ids, F.array_position("_d", F.array_min("_d")).cast("int"))).drop("_v", "_d")
 
+def blocks_of(df: DataFrame, key: str, size: int = CLASS_BLOCK):
+    """Rows of a small-per-block table, about ``size`` at a time, ordered by ``key``."""
+    n = df.count()
+    blocks = max(1, -(-n // size))
+    for k in range(blocks):
+        part = df if blocks == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
+        yield sorted(part.collect(), key=lambda r: (r[key] is None, r[key]))
+
+
+def squared_distances(vec_col: str, vectors) -> Column:
+    """Array of squared Euclidean distances of a vector column to given vectors."""
+    cents = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in vectors])
+    return F.transform(cents, lambda c: F.aggregate(
+        F.zip_with(vec_col, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
 
-# ------------------------------------------------------------ M4 / M5
-def train_classifier(df: DataFrame, ws_col: str, label_col: str, extra_cols: Sequence[str] = (),
-                     vocab_size: int = 500, reg_param: float = 0.01, max_iter: int = 100):
-    """M4: CountVectorizer -> IDF -> L2 Normalizer -> (+ extra features) ->
-    multinomial logistic regression, returned as one ``PipelineModel``.
 
-    The featurizer is fitted on the input as partitioned; its output --
-    per-row vectors -- is persisted and sized for the iterative fit (see
-    :func:`sized_for_iterations`) before the classifier is fitted on it.
+def assign_nearest(df: DataFrame, vec_col: str, centroids: DataFrame, out: str = "cluster") -> DataFrame:
+    """Nearest centroid by squared Euclidean distance (least class on ties).
+
+    ``centroids`` is ``(class, v)``.  Blocks of centroids are inlined as literal arrays --
+    a projection per block, no join and no shuffle -- and the best so far is
+    carried from block to block, so any number of classes works.
     """
-    from pyspark.ml import Pipeline, PipelineModel
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer, VectorAssembler
-    featurizer = Pipeline(stages=[
+    best = df.withColumn("_v", F.col(vec_col).cast("array<double>"))
+    found = None
+    for rows in blocks_of(centroids, "class"):
+        if not rows:
+            continue
+        ids = F.array(*[F.lit(r["class"]) for r in rows])
+        best = best.withColumn("_d", squared_distances("_v", [r["v"] for r in rows]))
+        here = F.struct(F.array_min("_d").alias("d"), F.element_at(ids, F.array_position("_d", F.array_min("_d")).cast("int")).alias("c"))
+        best = best.withColumn("_best", here if found is None else F.least("_best", here))
+        found = True
+    cluster = F.col("_best.c") if found else F.lit(None).cast(centroids.schema["class"].dataType)
+    return best.withColumn(out, cluster).drop("_v", "_d", "_best")
+
+
+# ------------------------------------------------------------ M4 / M5
+def text_featurizer(ws_col: str, label_col: str, extra_cols: Sequence[str] = (), n_features: int = HASH_FEATURES):
+    """Unfitted stages: label codes, hashed term counts, IDF, L2 norm (+ extra features)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, IDF, Normalizer, StringIndexer, VectorAssembler
+    return Pipeline(stages=[
         StringIndexer(inputCol=label_col, outputCol="label_index", stringOrderType="alphabetAsc"),
-        CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size),
+        HashingTF(inputCol=ws_col, outputCol="_tf", numFeatures=n_features),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(p=2.0, inputCol="_idf", outputCol="_text_vec"),
         VectorAssembler(inputCols=["_text_vec", *extra_cols], outputCol="features", handleInvalid="keep"),
     ])
+
+
+def train_classifier(df: DataFrame, ws_col: str, label_col: str, extra_cols: Sequence[str] = (),
+                     n_features: int = HASH_FEATURES, reg_param: float = 0.01, max_iter: int = 100,
+                     partitions: int | None = None):
+    """M4: hashed term counts -> IDF -> L2 Normalizer -> (+ extra features) ->
+    multinomial logistic regression, returned as one ``PipelineModel``.
+
+    Only the columns that the stages read are kept; the per-row vectors are
+    persisted for the iterations (recomputed if an executor is lost).
+    """
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegression
     lr = LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features",
                             regParam=reg_param, maxIter=max_iter)
-    cached = df.persist()
+    cached = df.select(ws_col, label_col, *extra_cols).persist()
     try:
-        feat = featurizer.fit(cached)
+        feat = text_featurizer(ws_col, label_col, extra_cols, n_features).fit(cached)
         x = feat.transform(cached).select("label_index", "features").persist()
         try:
-            model = lr.fit(sized_for_iterations(x))
+            model = lr.fit(for_iterations(x, partitions))
         finally:
             x.unpersist()
     finally:
@@ -160,7 +178,8 @@ def train_classifier(df: DataFrame, ws_col: str, label_col: str, extra_cols: Seq
 
 
 def predict_labels(model, df: DataFrame, out: str = "predicted_label") -> DataFrame:
-    """M5: batch scoring with a fitted pipeline; appends the label string."""
+    """M5, M6: batch or stream scoring with a fitted pipeline; appends the label
+    string next to the model's ``probability`` vector (one entry per label)."""
     from pyspark.ml.feature import IndexToString
     labels = model.stages[0].labels
     scored = model.transform(df)
@@ -180,8 +199,7 @@ def softmax_probs(df: DataFrame, scores_col: str, out: str = "probability") -> D
 
 # ---------------------------------------------------------------- M9
 def linear_attribution(weights: DataFrame, coefs: DataFrame, means: DataFrame,
-                       row_id: str = "row_id", rows: DataFrame | None = None,
-                       max_classes: int = 10_000) -> DataFrame:
+                       row_id: str = "row_id", rows: DataFrame | None = None) -> DataFrame:
     """M9 (linear model): exact attribution ``coef[c, w] * (x[d, w] - mean[w])``
     for the words present in a row, plus one baseline term per
     ``(row, class)`` for the absent words, ``-sum coef * mean`` over them.
@@ -191,10 +209,11 @@ def linear_attribution(weights: DataFrame, coefs: DataFrame, means: DataFrame,
     the vocabulary size) and broadcast after a size check.  ``rows`` (one
     column ``row_id``), when given, also yields the baseline of rows with
     no vocabulary word at all (every word absent); the per-class totals are
-    then inlined (classes checked against ``max_classes``) and generated per
-    row -- no cross join.
+    then inlined, block by block, and generated per row -- no cross join.
     """
-    cm = bounded_broadcast(coefs.join(means, "word"))
+    from opinio.session import checkpoint_root
+    checkpoint_root(weights.sparkSession)
+    cm = bounded_broadcast(coefs.join(means, "word").checkpoint())  # read four times below
     hits = weights.join(cm, "word")
     present = hits.select(
         row_id, "class", "word", (F.col("coef") * (F.col("x") - F.col("mean"))).alias("attribution"))
@@ -202,26 +221,64 @@ def linear_attribution(weights: DataFrame, coefs: DataFrame, means: DataFrame,
     present_base = hits.groupBy(row_id, "class").agg(F.sum(-F.col("coef") * F.col("mean")).alias("_present"))
     null_word = F.lit(None).cast("string").alias("word")
     if rows is None:
-        base = present_base.join(bounded_broadcast(full_base, max_classes), "class").select(
+        base = present_base.join(bounded_broadcast(full_base), "class").select(
             row_id, "class", null_word, (F.col("_all") - F.col("_present")).alias("attribution"))
         return present.unionByName(base)
-    totals = full_base.limit(max_classes + 1).collect()
-    if len(totals) > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
-    per_class = F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(r["_all"]).alias("_all"))
-                          for r in totals])
-    per_row = rows.select(row_id, F.explode(per_class).alias("_b")).select(row_id, "_b.class", "_b._all")
-    base = per_row.join(present_base, [row_id, "class"], "left").select(
-        row_id, "class", null_word,
-        (F.col("_all") - F.coalesce(F.col("_present"), F.lit(0.0))).alias("attribution"))
-    return present.unionByName(base)
+    out = present
+    for totals in blocks_of(full_base, "class"):
+        if totals:
+            per_class = F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(r["_all"]).alias("_all")) for r in totals])
+            per_row = rows.select(row_id, F.explode(per_class).alias("_b")).select(row_id, "_b.class", "_b._all")
+            out = out.unionByName(per_row.join(present_base, [row_id, "class"], "left").select(
+                row_id, "class", null_word,
+                (F.col("_all") - F.coalesce(F.col("_present"), F.lit(0.0))).alias("attribution")))
+    return out
+
+
+def classifier_attribution(model, df: DataFrame, ws_col: str, row_id: str = "row_id") -> DataFrame:
+    """M9 for a fitted text classifier: ``(row_id, label, term_index, attribution)``, the share
+    of each term dimension in the margin of the row's *predicted* class; a row's
+    shares and the class intercept (``term_index`` -1) sum to that margin.
+
+    Per row over the non-zero cells of its vector: no shuffle, no rows x classes output.
+    Terms are hash dimensions (``HashingTF.indexOf`` gives a word's).
+    """
+    from pyspark.ml.functions import vector_to_array
+    lr = model.stages[-1]
+    coef = lr.coefficientMatrix.toArray()
+    sc = df.sparkSession.sparkContext
+    weights = sc.broadcast((coef, lr.interceptVector.toArray()))  # classes x HASH_FEATURES doubles
+
+    def explain(batches):
+        import numpy as np
+        import pyarrow as pa
+        c, b = weights.value
+        for batch in batches:
+            rows, terms, values = [], [], []
+            for i, (k, cells) in enumerate(zip(batch.column("_class").to_pylist(), batch.column("_cells").to_pylist())):
+                at = np.array([x["i"] for x in cells], int)
+                share = c[int(k), at] * np.array([x["x"] for x in cells], float)
+                rows += [i] * (len(at) + 1)
+                terms += [-1, *at.tolist()]
+                values += [float(b[int(k)]), *share.tolist()]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(row_id).take(at), batch.column("predicted_label").take(at), pa.array(terms, pa.int32()),
+                 pa.array(values, pa.float64())], [row_id, "label", "term_index", "attribution"])
+
+    cells = F.filter(F.transform(vector_to_array("features"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != 0.0)
+    scored = predict_labels(model, df).select(row_id, "predicted_label", F.col("prediction").alias("_class"), cells.alias("_cells"))
+    kind = dict(df.dtypes)[row_id]
+    return scored.mapInArrow(explain, f"`{row_id}` {kind}, label string, term_index int, attribution double")
 
 
 # --------------------------------------------------------------- M10
-def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_size: int = 1000,
-               max_iter: int = 10, top_terms: int = 10):
-    """Topic model (declared in the original workflow, never coded):
-    term counts + online LDA; returns ``(topic, rank, word, weight)``."""
+def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_size: int = 1 << 18,
+               max_iter: int = 10, top_terms: int = 10, partitions: int | None = None):
+    """Topic model (declared in the original workflow, never coded): term
+    counts + variational LDA over every document in each iteration; returns
+    ``(topic, rank, term_index, weight, word)``.  The model holds ``k x vocab_size``
+    doubles on the driver; ``vocab_size`` is that dimension."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     cached = df.select(ws_col).persist()
@@ -229,7 +286,8 @@ def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_siz
         cv = CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size).fit(cached)
         counts = cv.transform(cached).select("_tf").persist()
         try:
-            lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf").fit(sized_for_iterations(counts))
+            lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf", subsamplingRate=1.0).fit(
+                for_iterations(counts, partitions))
         finally:
             counts.unpersist()
     finally:
@@ -262,36 +320,33 @@ class Selection:
         return PipelineModel(stages=[*self.featurizer.stages, self.models[self.best_index]])
 
 
-def select_model(df: DataFrame, ws_col: str, label_col: str, reg_params=(0.0, 0.01, 0.1),
-                 train_ratio: float = 0.8, seed: int = 42, parallelism: int = 3) -> Selection:
+def select_model(df: DataFrame, ws_col: str, label_col: str, row_id: str, reg_params=(0.0, 0.01, 0.1),
+                 train_ratio: float = 0.8, seed: int = 42, parallelism: int = 3, max_iter: int = 100,
+                 n_features: int = HASH_FEATURES, partitions: int | None = None) -> Selection:
     """Keep the candidate with the best validation log loss.
 
     Same protocol as ``TrainValidationSplit`` over the whole pipeline (one
-    seeded split; every stage fitted on the training part only), but the
+    split, by a seeded hash of the row key and so the same on any partition
+    layout; every stage fitted on the training part only), but the
     featurizer -- identical for every candidate, since only the
     regularisation varies -- is fitted once and its output persisted; the
     candidates then fit concurrently on those vectors.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer
-    cached = df.persist()
+    cached = df.select(row_id, ws_col, label_col).persist()
     try:
-        train, valid = cached.randomSplit([train_ratio, 1.0 - train_ratio], seed)
-        featurizer = Pipeline(stages=[
-            StringIndexer(inputCol=label_col, outputCol="label_index", stringOrderType="alphabetAsc"),
-            CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=500),
-            IDF(inputCol="_tf", outputCol="_idf"),
-            Normalizer(p=2.0, inputCol="_idf", outputCol="features")]).fit(train)
+        part = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1_000_000)) < int(1_000_000 * train_ratio)
+        train, valid = cached.where(part), cached.where(~part)
+        featurizer = text_featurizer(ws_col, label_col, n_features=n_features).fit(train)
         tx = featurizer.transform(train).select("label_index", "features").persist()
         vx = featurizer.transform(valid).select("label_index", "features").persist()
         ev = MulticlassClassificationEvaluator(labelCol="label_index", metricName="logLoss")
-        tx_sized = sized_for_iterations(tx)
+        tx_sized = for_iterations(tx, partitions)
 
         def one(reg):
             m = LogisticRegression(family="multinomial", labelCol="label_index", featuresCol="features",
-                                   maxIter=50, regParam=float(reg)).fit(tx_sized)
+                                   maxIter=max_iter, regParam=float(reg)).fit(tx_sized)
             return m, ev.evaluate(m.transform(vx))
 
         try:
@@ -339,5 +394,6 @@ def predict_with_model(df: DataFrame, text_col: str, make_predict_fn, labels: Se
     udf = predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()),
                             batch_size=batch_size, input_tensor_shapes=None)
     scored = df.withColumn("_scores", udf(F.coalesce(F.col(text_col), F.lit(""))))
-    scored = scored.withColumn("_scores", F.slice("_scores", 1, n))
+    scored = scored.withColumn("_scores", F.when(F.size("_scores") == n, F.col("_scores")).otherwise(
+        F.raise_error(F.format_string("the model gave %s scores for %s labels", F.size("_scores"), F.lit(n)))))
     return scored.withColumn(out, LB.argmax_label("_scores", list(labels))).drop("_scores")

@@ -13,6 +13,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from opinio.functions import text as T
 from opinio.operators import models as MO
+from opinio.operators.dedup import keep_first
+from opinio.operators.profile import is_empty
 from opinio.plans.lexicon_queries import SQL_LABEL, SQL_SCORE, sql_tokens
 from opinio.plans.registry import register, sql_list, table
 from opinio.resources import DOCS_LEXICON, PANDAS_NA_TOKENS
@@ -41,7 +43,7 @@ SELECT doc_id AS no, {_na("text")} AS comment, {_na("lang")} AS label, doc_id AS
 def q_csv_round_trip(spark, sf):
     """S4 then S1 (+S2): write comments as CSV part files, read them back."""
     path = work_dir(spark, "comments-csv")
-    S.write_comments_csv(_comments(spark, sf).repartition(4), path)
+    S.write_comments_csv(_comments(spark, sf), path)
     return S.read_comments(spark, path)
 
 
@@ -56,43 +58,111 @@ def q_split_pruning(spark, sf):
     return S.read_splits(spark, path, "fr").select("doc_id", "n_chars", "split")
 
 
-@register("quarantine_malformed", family="io")
+@register("quarantine_malformed", family="io", sql="""
+SELECT CASE WHEN page_id % 7 = 0 THEN 'bad' ELSE 'good' END AS status, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN page_id % 7 = 0 THEN 0 ELSE page_id END) AS BIGINT) AS id_sum,
+       CAST(count(url) AS BIGINT) AS with_url
+FROM pages GROUP BY 1
+""")
 def q_quarantine_malformed(spark, sf):
-    """A drop folder holding well-formed ``page_id,url`` CSV files next to
-    raw HTML text files; rows whose first field is not an integer are
+    """All pages as ``page_id,url`` CSV rows, every seventh id spoilt: those rows are
     quarantined with their raw text instead of failing the job."""
     path = work_dir(spark, "pages-drop")
-    pages = table(spark, sf, "pages")
-    pages.select("page_id", "url").write.option("header", False).csv(path)
-    pages.select("html").write.mode("append").text(path)
+    spoilt = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("x"), F.col("page_id").cast("string"))) \
+        .otherwise(F.col("page_id").cast("string"))
+    table(spark, sf, "pages").select(spoilt.alias("page_id"), "url").write.option("header", False).csv(path)
     schema = StructType([StructField("page_id", LongType()), StructField("url", StringType())])
     good, bad = S.quarantine_malformed(spark, path, schema, multiline=False, header=False)
-    # Both sides also read ``url``: a query that reads only the corrupt-record
-    # column of a raw CSV scan is rejected by Spark.
-    return (good.select(F.lit("good").alias("status"), "url")
-            .unionByName(bad.select(F.lit("bad").alias("status"), "url"))
-            .groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("url").alias("with_url")))
+    both = (good.select(F.lit("good").alias("status"), "page_id", "url")
+            .unionByName(bad.select(F.lit("bad").alias("status"), "page_id", F.col(S.CORRUPT_COL).alias("url"))))
+    return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("page_id"), F.lit(0)).alias("id_sum"),
+                                      F.count("url").alias("with_url"))
 
 
-@register("model_save_load", family="io")
+@register("csv_keep_first", family="io", sql=f"""
+SELECT comment, arg_min(label, doc_id) AS label FROM (
+  SELECT doc_id, {_na("text")} AS comment, coalesce({_na("lang")}, '') || ':' || doc_id AS label FROM documents) GROUP BY comment
+""")
+def q_csv_keep_first(spark, sf):
+    """S1 + D1 without an id column: the row order is that of the files and their lines."""
+    path = work_dir(spark, "comments-noid")
+    d = (table(spark, sf, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+         .select(F.col("text").alias("comment"), F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.col("doc_id")).alias("label")))
+    S.write_comments_csv(d, path)
+    rows = S.read_comments(spark, path, schema="comment STRING, label STRING", id_col=None)
+    return keep_first(rows, ["comment"]).select("comment", "label")
+
+
+@register("required_columns", family="io", sql="""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, count(*) = 0 AS empty, true AS missing_refused FROM documents
+""")
+def q_required_columns(spark, sf):
+    """The comment column is required, its absence is an error; is the table empty?"""
+    d = _comments(spark, sf)
+    held = S.require_columns(d, ["comment"])
+    try:
+        S.require_columns(d.drop("comment"), ["comment"])
+        refused = False
+    except ValueError:
+        refused = True
+    empty = is_empty(held)
+    return held.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(empty).alias("empty"),
+                                                              F.lit(refused).alias("missing_refused"))
+
+
+@register("model_save_load", family="io", sql="""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different
+FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL
+""")
 def q_model_save_load(spark, sf):
-    """Fit, save, reload and score with the reloaded pipeline."""
+    """Fit, save and reload; both models must give every row the same label."""
     from pyspark.ml import PipelineModel
-    from opinio.plans.ml_queries import _labelled
-    d = _labelled(spark, sf)
-    model = MO.train_classifier(d, "ws", "label", ["lex_score"])
+    from opinio.plans.ml_queries import _labelled, fit_partitions
+    d = _labelled(spark, sf).select("doc_id", "ws", "label", "lex_score")
+    model = MO.train_classifier(d, "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
     path = work_dir(spark, "model")
     model.write().overwrite().save(path)
-    return MO.predict_labels(PipelineModel.load(path), d).select("doc_id", "predicted_label")
+    again = PipelineModel.load(path)
+    cols = ["doc_id", "ws", "lex_score"]
+    one = MO.predict_labels(model, d.select(*cols), "a").select(*cols, "a")
+    both = MO.predict_labels(again, one, "b").select("a", "b")
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_different"))
+
+
+@register("stream_model_scoring", family="streaming", sql="""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM documents
+""")
+def q_stream_model_scoring(spark, sf):
+    """ST1 and ST2 with the trained model: every document arrives as a JSON request and as a
+    CSV row; both streams must give the label of the batch prediction."""
+    from opinio.plans.ml_queries import _labelled, fit_partitions, scoring_columns
+    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    root = work_dir(spark, "model-requests")
+    docs.select(F.to_json(F.struct(F.col("doc_id").alias("id"), "text")).alias("value")).write.text(os.path.join(root, "json"))
+    lines = spark.readStream.schema("value string").text(os.path.join(root, "json"))
+    scored = SS.score_requests_with_model(SS.parse_requests(lines), model, scoring_columns)
+    by_json = SC.run_to_table(spark, scored, os.path.join(root, "json-out"))
+    S.write_comments_csv(_comments(spark, sf), os.path.join(root, "csv"))
+    rows = (spark.readStream.schema(S.COMMENT_SCHEMA).option("header", True).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').csv(os.path.join(root, "csv")))
+    labelled = SS.score_csv_with_model(rows, model, scoring_columns).select("no", "predicted_label")
+    by_csv = SC.run_to_table(spark, labelled, os.path.join(root, "csv-out"), fmt="csv", options={"header": "true"})
+    batch = MO.predict_labels(model, scoring_columns(docs)).select("doc_id", "predicted_label",
+                                                                  (F.length("text") > 0).alias("valid"))
+    both = (batch.join(by_json.select(F.col("id").alias("doc_id"), F.col("prediction").alias("j")), "doc_id", "left")
+            .join(by_csv.select(F.col("no").alias("doc_id"), F.col("predicted_label").alias("c")), "doc_id", "left"))
+    wrong = ~F.col("c").eqNullSafe(F.col("predicted_label")) | (F.col("valid") & ~F.col("j").eqNullSafe(F.col("predicted_label")))
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("n_different"))
 
 
 def _requests(spark, sf):
     """Request bodies derived from ``conversations``: user turns send their
-    text, assistant turns send the turn number (a non-string, invalid), and
-    empty texts are sent as-is (invalid)."""
+    text; of assistant turns the first of a conversation sends its turn number (a
+    non-string, invalid), the others their text; empty texts are sent as-is (invalid)."""
     conv = table(spark, sf, "conversations")
     rid = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
-    body = F.when(F.col("role") == "user", F.to_json(F.struct(rid, F.col("text").alias("text")))) \
+    body = F.when((F.col("role") != "assistant") | (F.col("turn") != 1), F.to_json(F.struct(rid, F.col("text").alias("text")))) \
         .otherwise(F.to_json(F.struct(rid, F.col("turn").alias("text"))))
     return conv.select(body.alias("value"))
 
@@ -100,13 +170,14 @@ def _requests(spark, sf):
 @register("stream_json_scoring", family="streaming", sql=f"""
 SELECT id, CASE WHEN valid THEN {SQL_LABEL.format(s=SQL_SCORE)} END AS prediction,
        CASE WHEN NOT valid THEN '{SS.INVALID_TEXT.replace("'", "''")}' END AS error
-FROM (SELECT conv_id * 1000 + turn AS id, role = 'user' AND text IS NOT NULL AND text <> '' AS valid,
-             {sql_tokens("CASE WHEN role = 'user' THEN text END")} AS ws FROM conversations)
+FROM (SELECT conv_id * 1000 + turn AS id, sent AND text IS NOT NULL AND text <> '' AS valid,
+             {sql_tokens("CASE WHEN sent THEN text END")} AS ws
+      FROM (SELECT *, role <> 'assistant' OR turn <> 1 AS sent FROM conversations))
 """)
 def q_stream_json_scoring(spark, sf):
     """ST1: JSON request lines landing in a folder, scored by a stream."""
     root = work_dir(spark, "requests")
-    _requests(spark, sf).repartition(4).write.text(os.path.join(root, "in"))
+    _requests(spark, sf).write.text(os.path.join(root, "in"))
     stream = spark.readStream.schema("value string").text(os.path.join(root, "in"))
     scored = SS.score_requests(SS.parse_requests(stream), DOCS_LEXICON)
     return SC.run_to_table(spark, scored, os.path.join(root, "out"))
@@ -119,7 +190,7 @@ FROM (SELECT doc_id, lang, {sql_tokens(_na("text"))} AS ws FROM documents)
 def q_stream_csv_scoring(spark, sf):
     """ST2: CSV drops (quoted, multi-line) scored and written by a stream."""
     root = work_dir(spark, "csv-drops")
-    S.write_comments_csv(_comments(spark, sf).repartition(4), os.path.join(root, "in"))
+    S.write_comments_csv(_comments(spark, sf), os.path.join(root, "in"))
     stream = (spark.readStream.schema(S.COMMENT_SCHEMA).option("header", True).option("multiLine", True)
               .option("quote", '"').option("escape", '"').csv(os.path.join(root, "in")))
     stream = S.normalize_na(stream)
@@ -138,7 +209,8 @@ def q_stream_event_counts(spark, sf):
     mode: only windows the watermark has closed are emitted."""
     root = work_dir(spark, "events")
     src = table(spark, sf, "events")
-    src.repartition(4).write.parquet(os.path.join(root, "in"))
+    # Files hold consecutive times, as an event log's do.
+    src.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(os.path.join(root, "in"))
     stream = spark.readStream.schema(src.schema).parquet(os.path.join(root, "in"))
     counts = SC.windowed_label_counts(stream, "ts", "event_type", "1 hour", "10 minutes")
     out = SC.run_to_table(spark, counts, os.path.join(root, "out"))
@@ -156,7 +228,7 @@ def q_stream_label_totals(spark, sf):
     type, reported over a fixed domain with zeros for absent types."""
     root = work_dir(spark, "event-totals")
     src = table(spark, sf, "events")
-    src.repartition(4).write.parquet(os.path.join(root, "in"))
+    src.write.parquet(os.path.join(root, "in"))
     stream = spark.readStream.schema(src.schema).parquet(os.path.join(root, "in"))
     totals = SC.run_complete_to_table(spark, SC.running_totals(stream, "event_type"), os.path.join(root, "out"))
     dom = spark.createDataFrame([(x,) for x in EVENT_TYPES], "event_type string")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from opinio.functions import labels as LB
 from opinio.functions import lexicon as LX
 from opinio.functions import text as T
+from opinio.operators import clean as C
 from opinio.operators import dedup as D
 from opinio.operators import lexicon as L
 from opinio.operators import wordstats as W
 from opinio.plans.registry import register, sql_list, table
-from opinio.plans.text_queries import sql_normalize
+from opinio.plans.text_queries import ASPECTS, sql_normalize
 from opinio.resources import DOCS_LEXICON as LEX
 from opinio.sources.tables import spread
 
@@ -124,17 +125,28 @@ def q_score_code(spark, sf):
 
 @register("blank_guard", family="lexicon", sql=f"""
 SELECT doc_id, CASE WHEN regexp_replace(coalesce(long_words, ''), '{T.EDGE_SPACE_RE}', '', 'g') = '' THEN 'netral'
-                    ELSE {SQL_LABEL.format(s=SQL_SCORE)} END AS prediction
-FROM (SELECT doc_id, long_words, {sql_tokens("long_words")} AS ws FROM (
-        SELECT doc_id, array_to_string(list_filter({sql_tokens("text")}, lambda w: length(w) >= 14), ' ') AS long_words
-        FROM documents))
+                    ELSE prediction END AS prediction
+FROM (SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 'positif' ELSE 'negatif' END AS prediction,
+             array_to_string(list_filter({sql_tokens("text")}, lambda w: length(w) >= 14), ' ') AS long_words FROM documents)
 """)
 def q_blank_guard(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    """Predictions that are never neutral, guarded where no long word is left of the text."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars"))
     d = d.withColumn("long_words", F.array_join(
         F.filter(T.word_tokens("text"), lambda w: F.length(w) >= 14), " "))
-    s = L.score_comments(d, LEX, "long_words", "_s", "pred")
-    return s.select("doc_id", LB.blank_guard("long_words", "pred").alias("prediction"))
+    d = d.withColumn("pred", F.when(F.col("n_chars") % 2 == 0, "positif").otherwise("negatif"))
+    return d.select("doc_id", LB.blank_guard("long_words", "pred").alias("prediction"))
+
+
+@register("sentiment_aspect", family="lexicon", sql=f"""
+SELECT doc_id, {SQL_LABEL.format(s=SQL_SCORE)} AS sentiment,
+       list_filter(regexp_extract_all(coalesce(text, ''), '{T.WORD_RE}'), lambda w: lower(w) IN {sql_list(ASPECTS)})[1] AS aspect
+FROM (SELECT doc_id, text, {sql_tokens("text")} AS ws FROM documents)
+""")
+def q_sentiment_aspect(spark, sf):
+    """T12 with L3: the sentiment and the first aspect of each comment."""
+    d = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    return C.sentiment_aspect(d, "text", LEX, ASPECTS).select("doc_id", "sentiment", "aspect")
 
 
 @register("lexicon_attribution", family="lexicon", sql=f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions import labels as LB
 from opinio.functions import text as T
+from opinio.functions.arrays import explode_rows
 from opinio.operators import features as FE
 from opinio.operators import metrics as ME
 from opinio.operators import models as MO
@@ -18,7 +19,7 @@ from opinio.session import checkpoint_root
 from opinio.sources.tables import spread
 
 TFIDF_MAX_FEATURES = 500
-SEQ_VOCAB = 1000
+SEQ_VOCAB = 30_000
 SEQ_LEN = 128
 
 
@@ -66,17 +67,21 @@ n AS (SELECT count(*) AS n FROM documents),
 p AS (SELECT doc_id, word, count(*) AS tf FROM t GROUP BY doc_id, word),
 v AS (SELECT word, sum(tf) AS cf, count(*) AS df FROM p GROUP BY word ORDER BY cf DESC, word LIMIT {TFIDF_MAX_FEATURES}),
 w AS (SELECT p.doc_id, p.word, p.tf * (ln((1.0 + n.n) / (1.0 + v.df)) + 1.0) AS w FROM p JOIN v USING (word) CROSS JOIN n),
-s AS (SELECT doc_id, count(*) AS nnz FROM w GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(s.nnz, 0) AS INTEGER) AS nnz FROM documents d LEFT JOIN s USING (doc_id)
+x AS (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM w),
+s AS (SELECT doc_id, count(*) AS nnz, max(x) AS hi, sum(x) AS total FROM x GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(s.nnz, 0) AS INTEGER) AS nnz, round(coalesce(hi, 0.0), 6) AS max_weight,
+       round(coalesce(total, 0.0), 6) AS sum_weight FROM documents d LEFT JOIN s USING (doc_id)
 """)
 def q_tfidf_vectors(spark, sf):
-    """M2 vector form: number of non-zero TF-IDF entries per document
-    (documents without vocabulary words keep a zero vector)."""
+    """M2 vector form: non-zero entries, largest entry and sum of each document's
+    vector (documents without vocabulary words keep a zero vector)."""
     d = _docs_tokens(spark, sf, 2)
     vocab = FE.fit_tfidf(d, "ws", "doc_id", TFIDF_MAX_FEATURES)
     v = FE.tfidf_vectors(d, "ws", vocab)
     arr = vector_to_array("features")
-    return v.select("doc_id", F.size(F.filter(arr, lambda x: x != 0.0)).alias("nnz"))
+    v = v.select("doc_id", arr.alias("a"))
+    return v.select("doc_id", F.size(F.filter("a", lambda x: x != 0.0)).alias("nnz"),
+                    F.round(F.array_max("a"), 6).alias("max_weight"), F.round(LB.array_sum("a"), 6).alias("sum_weight"))
 
 
 _TFIDF_X_SQL = f"""
@@ -85,7 +90,7 @@ n AS (SELECT count(*) AS n FROM documents),
 p AS (SELECT doc_id, word, count(*) AS tf FROM t GROUP BY doc_id, word),
 v AS (SELECT word, sum(tf) AS cf, count(*) AS df FROM p GROUP BY word ORDER BY cf DESC, word LIMIT {TFIDF_MAX_FEATURES}),
 w AS (SELECT p.doc_id, p.word, p.tf * (ln((1.0 + n.n) / (1.0 + v.df)) + 1.0) AS w FROM p JOIN v USING (word) CROSS JOIN n),
-x AS (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM w)"""
+x AS MATERIALIZED (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM w)"""
 
 
 @register("linear_attribution", family="ml", sql=f"""
@@ -94,7 +99,7 @@ cls AS (SELECT lang AS class, count(*) AS nc FROM documents GROUP BY lang),
 coef AS (SELECT d.lang AS class, x.word, sum(x.x) / max(c.nc) AS coef
          FROM x JOIN documents d USING (doc_id) JOIN cls c ON d.lang = c.class GROUP BY d.lang, x.word),
 mean AS (SELECT word, sum(x) / max(n.n) AS mean FROM x CROSS JOIN n GROUP BY word),
-cm AS (SELECT * FROM coef JOIN mean USING (word)),
+cm AS MATERIALIZED (SELECT * FROM coef JOIN mean USING (word)),
 allb AS (SELECT class, sum(-coef * mean) AS a FROM cm GROUP BY class),
 presb AS (SELECT x.doc_id, cm.class, sum(-cm.coef * cm.mean) AS p FROM x JOIN cm USING (word) GROUP BY x.doc_id, cm.class)
 SELECT x.doc_id, cm.class, x.word, round(cm.coef * (x.x - cm.mean), 6) AS attribution FROM x JOIN cm USING (word)
@@ -113,26 +118,38 @@ def q_linear_attribution(spark, sf):
     # baselines): written once to the shared checkpoint folder rather than
     # re-tokenising the corpus per branch.
     checkpoint_root(spark)
-    x = FE.tfidf_weights(d, "ws", "doc_id", vocab).select(
-        "doc_id", "word", F.col("weight").alias("x")).checkpoint()
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("class"))
+    # The class of a document rides in its row key, so no join brings it back.
+    keyed = spread(table(spark, sf, "documents")).select(
+        F.struct("doc_id", F.col("lang").alias("class")).alias("key"), T.word_tokens("text", 2).alias("ws"))
+    x = FE.tfidf_weights(keyed, "ws", "key", vocab).select(
+        "key.doc_id", "key.class", "word", F.col("weight").alias("x")).checkpoint()
     n_c = docs.groupBy("class").agg(F.count(F.lit(1)).alias("n_c"))
-    coefs = (x.join(docs, "doc_id").groupBy("class", "word").agg(F.sum("x").alias("_s"))
+    coefs = (x.groupBy("class", "word").agg(F.sum("x").alias("_s"))
              .join(n_c, "class").select("class", "word", (F.col("_s") / F.col("n_c")).alias("coef")))
+    x = x.select("doc_id", "word", "x")
     means = x.groupBy("word").agg((F.sum("x") / F.lit(vocab.n_docs)).alias("mean"))
     out = MO.linear_attribution(x, coefs, means, "doc_id", rows=docs.select("doc_id"))
     return out.select("doc_id", "class", "word", F.round("attribution", 6).alias("attribution"))
 
 
-@register("kmeans_clusters", family="ml")
+@register("kmeans_clusters", family="ml", sql="""
+SELECT doc_id, true AS is_nearest, true AS in_range FROM documents
+""")
 def q_kmeans_clusters(spark, sf):
-    """M3: TF-IDF vectors clustered with k=3, best of 10 seeded starts.
-    Cluster ids are arbitrary, so only rows are checked."""
+    """M3: TF-IDF vectors clustered with k=3, best of 10 seeded starts.  Cluster
+    ids are arbitrary; checked is that each document's cluster is that of its
+    nearest centroid."""
     d = _docs_tokens(spark, sf, 2)
     vocab = FE.fit_tfidf(d, "ws", "doc_id", TFIDF_MAX_FEATURES)
-    v = FE.tfidf_vectors(d, "ws", vocab)
-    model = MO.fit_kmeans(v, "features", k=3, seed=42, n_init=10)
-    return model.transform(v).select("doc_id", "cluster")
+    checkpoint_root(spark)
+    v = FE.tfidf_vectors(d, "ws", vocab).select("doc_id", "features").checkpoint()  # fits and scoring read it
+    model = MO.fit_kmeans(v, "features", k=3, seed=42, n_init=10, partitions=fit_partitions(spark))
+    got = model.transform(v).select("doc_id", "cluster", vector_to_array("features").alias("_v"))
+    dist = got.withColumn("_d", MO.squared_distances("_v", [c.tolist() for c in model.clusterCenters()]))
+    own = F.element_at("_d", F.col("cluster") + 1)
+    return dist.select("doc_id", (own <= F.array_min("_d") + 1e-9).alias("is_nearest"),
+                       F.col("cluster").between(0, 2).alias("in_range"))
 
 
 @register("nearest_centroid", family="ml", sql="""
@@ -171,7 +188,10 @@ def q_softmax(spark, sf):
 
 
 @register("epoch_metrics", family="ml", sql="""
-WITH z AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
+WITH u AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cen AS (SELECT label AS class, i, avg(x) AS m FROM u GROUP BY label, i),
+dst AS (SELECT u.vec_id, u.label, cen.class, -sum((u.x - cen.m) * (u.x - cen.m)) AS d FROM u JOIN cen USING (i) GROUP BY ALL),
+z AS (SELECT vec_id, any_value(label) AS label, list(d ORDER BY class) AS z FROM dst GROUP BY vec_id),
 e AS (SELECT vec_id, label, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z),
 q AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e),
 r AS (SELECT floor((row_number() OVER (ORDER BY vec_id) - 1) / 8) AS batch, -ln(p[label + 1]) AS loss,
@@ -181,11 +201,14 @@ SELECT round(avg(bl), 6) AS batch_loss, round(sum(sl) / sum(n), 6) AS row_loss,
        round(sum(h) / sum(n), 6) AS accuracy, CAST(count(*) AS BIGINT) AS n_batches FROM b
 """)
 def q_epoch_metrics(spark, sf):
-    """A12 over every embedding row: ``label`` has 10 classes (0-9), so the
-    first 10 vector components serve as that row's class logits; softmax
-    gives the probabilities whose per-batch (8 rows, in ``vec_id`` order)
-    mean cross-entropy is averaged, next to the row mean and accuracy."""
-    emb = table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 10).alias("z"))
+    """A12 over every whole embedding: a row's class scores are minus its squared
+    distances to the label centroids; softmax gives the probabilities whose
+    per-batch (8 rows, in ``vec_id`` order) mean cross-entropy is averaged, next to
+    the row mean and accuracy."""
+    emb = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    cents = sorted(MO.class_centroids(emb, "v", "label").collect())  # one per label, 0-9
+    near = F.transform(MO.squared_distances("v", [c["v"] for c in cents]), lambda d: -d)
+    emb = emb.select("vec_id", "label", near.alias("z"))
     p = MO.softmax_probs(emb, "z", "p")
     m = ME.epoch_metrics(p, "vec_id", "p", "label", 8)
     return m.select(*[F.round(c, 6).alias(c) for c in ("batch_loss", "row_loss", "accuracy")],
@@ -241,32 +264,101 @@ def q_sequence_encoding_longest(spark, sf):
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
 
 
-@register("train_classifier", family="ml")
+@register("train_classifier", family="ml", sql="""
+SELECT count(*) AS n_rows, true AS labels_known, true AS beats_majority
+FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL
+""")
 def q_train_classifier(spark, sf):
-    """M4: fit the pipeline on labelled documents; report training accuracy."""
+    """M4: fit the pipeline on labelled documents.  On them it must do at least as
+    well as the most frequent label."""
     d = _labelled(spark, sf)
-    model = MO.train_classifier(d, "ws", "label", ["lex_score"])
-    pred = MO.predict_labels(model, d)
-    return ME.accuracy(pred, "predicted_label", "label")
+    model = MO.train_classifier(d, "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
+    pred = MO.predict_labels(model, d).select("label", "predicted_label")
+    n = F.count(F.lit(1))
+    return pred.agg(
+        n.alias("n_rows"), F.bool_and(F.col("predicted_label").isin("positif", "negatif")).alias("labels_known"),
+        (F.count_if(F.col("label") == F.col("predicted_label")) >=
+         F.greatest(F.count_if(F.col("label") == "positif"), F.count_if(F.col("label") == "negatif"))).alias("beats_majority"))
+
+
+def fit_partitions(spark) -> int:
+    """Partitions of the queries' iterative fits: a quarter of the cluster's cores, whatever the
+    input's size (each iteration is a job over all of them)."""
+    return max(1, spark.sparkContext.defaultParallelism // 4)
 
 
-@register("batch_predict", family="ml")
+def scoring_columns(df):
+    """The classifier's input columns from ``text``, as in training."""
+    d = score_comments(df, DOCS_LEXICON, "text", "lex_score", None)
+    return d.withColumn("ws", T.word_tokens(F.coalesce("text", F.lit("")), 2)).withColumn("lex_score", F.col("lex_score").cast("double"))
+
+
+@register("batch_predict", family="ml", sql="""
+SELECT doc_id, 2 AS n_probabilities, 1.0::DOUBLE AS p_sum, true AS label_is_argmax FROM documents
+""")
 def q_batch_predict(spark, sf):
-    """M5: train on the labelled documents, score every document."""
-    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"])
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    d = score_comments(d, DOCS_LEXICON, "text", "lex_score", None)
-    d = d.withColumn("ws", T.word_tokens("text", 2)).withColumn("lex_score", F.col("lex_score").cast("double"))
+    """M5, M6: train on the labelled documents, score every document: one
+    probability per label, summing to 1, the label being the likeliest."""
+    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
+    d = scoring_columns(table(spark, sf, "documents").select("doc_id", "text"))
     # Scoring frames carry no label: the fitted label indexer skips a missing column.
-    return MO.predict_labels(model, d).select("doc_id", "predicted_label")
+    p = MO.predict_labels(model, d).select("doc_id", "predicted_label", vector_to_array("probability").alias("p"))
+    return p.select("doc_id", F.size("p").alias("n_probabilities"), F.round(LB.array_sum("p"), 6).alias("p_sum"),
+                    (LB.argmax_label("p", model.stages[0].labels) == F.col("predicted_label")).alias("label_is_argmax"))
+
+
+@register("classifier_attribution", family="ml", sql="""
+SELECT doc_id, true AS sums_to_margin, true AS explains_prediction FROM documents
+""")
+def q_classifier_attribution(spark, sf):
+    """M9 for the fitted classifier: the shares of a document's terms in its predicted
+    class add up to that class's margin."""
+    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
+    d = scoring_columns(spread(table(spark, sf, "documents").select("doc_id", "text")))
+    checkpoint_root(spark)
+    shares = MO.classifier_attribution(model, d, "ws", "doc_id")
+    sums = shares.groupBy("doc_id", "label").agg(F.sum("attribution").alias("total"))
+    raw = MO.predict_labels(model, d).select("doc_id", "predicted_label", F.array_max(vector_to_array("rawPrediction")).alias("margin"))
+    return raw.join(sums, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.abs(F.col("total") - F.col("margin")) < 1e-6, F.lit(False)).alias("sums_to_margin"),
+        F.coalesce(F.col("label") == F.col("predicted_label"), F.lit(False)).alias("explains_prediction"))
+
+
+@register("cluster_word_clouds", family="ml", sql="""
+SELECT 3 AS n_clusters, count(*) AS n_docs, true AS descending, true AS positive
+FROM documents JOIN labels USING (doc_id) WHERE quality = 1
+""")
+def q_cluster_word_clouds(spark, sf):
+    """A10 over M3: cleaned comments of one label, TF-IDF vectors, three clusters and the
+    ten heaviest words of each."""
+    from opinio.operators import clean as C
+    from opinio.operators.wordstats import group_word_weights
+    from opinio.resources import DOCS_STOPWORDS
+    keep = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", "text").join(keep, "doc_id")
+    checkpoint_root(spark)
+    d = d.select("doc_id", T.clean_text("text", DOCS_STOPWORDS).alias("text"))
+    d = d.withColumn("ws", T.word_tokens("text", 2))
+    vocab = FE.fit_tfidf(d, "ws", "doc_id", TFIDF_MAX_FEATURES)
+    v = FE.tfidf_vectors(d, "ws", vocab).select("doc_id", "text", "features").checkpoint()
+    model = MO.fit_kmeans(v, "features", k=3, seed=42, n_init=3, partitions=fit_partitions(spark))
+    grouped = model.transform(v).select("doc_id", "text", F.col("cluster").cast("string").alias("cluster"))
+    clouds = group_word_weights(grouped, "text", "cluster", max_words=10)
+    weight = [c for c in clouds.columns if c in ("weight", "rel_weight")][0]
+    ranked = clouds.groupBy("cluster").agg(F.max(weight).alias("hi"), F.min(weight).alias("lo"))
+    stats = ranked.agg(F.count(F.lit(1)).cast("int").alias("n_clusters"), F.bool_and(F.col("hi") >= F.col("lo")).alias("descending"),
+                       F.bool_and(F.col("lo") > 0).alias("positive"))
+    n = grouped.count()
+    return stats.select("n_clusters", F.lit(n).cast("long").alias("n_docs"), "descending", "positive")
 
 
 @register("hybrid_features", family="ml", sql=f"""
 WITH v AS (SELECT count(DISTINCT w) AS nv
            FROM (SELECT unnest(regexp_extract_all(lower(text), '{T.WORD2_RE}')) AS w FROM documents))
-SELECT doc_id, CAST(least(v.nv, {TFIDF_MAX_FEATURES}) + 1 AS INTEGER) AS n_features, CAST(score AS DOUBLE) AS lex_score
+SELECT doc_id, CAST(least(v.nv, {TFIDF_MAX_FEATURES}) + 1 AS INTEGER) AS n_features, CAST(score AS DOUBLE) AS lex_score,
+       round(coalesce(total, 0.0), 6) AS sum_weight
 FROM (SELECT doc_id, {SQL_SCORE} AS score FROM (SELECT doc_id, {sql_tokens("text")} AS ws FROM documents))
-CROSS JOIN v
+CROSS JOIN v LEFT JOIN (SELECT doc_id, sum(x) AS total FROM (WITH {_TFIDF_X_SQL} SELECT * FROM x) GROUP BY doc_id) USING (doc_id)
 """)
 def q_hybrid_features(spark, sf):
     """M8: TF-IDF vector concatenated with the lexicon score."""
@@ -276,7 +368,9 @@ def q_hybrid_features(spark, sf):
     vocab = FE.fit_tfidf(d, "ws", "doc_id", TFIDF_MAX_FEATURES)
     h = FE.hybrid_features(FE.tfidf_vectors(d, "ws", vocab), "features", ["lex_score"])
     arr = vector_to_array("hybrid")
-    return h.select("doc_id", F.size(arr).alias("n_features"), F.element_at(arr, -1).alias("lex_score"))
+    h = h.select("doc_id", arr.alias("a"))
+    return h.select("doc_id", F.size("a").alias("n_features"), F.element_at("a", -1).alias("lex_score"),
+                    F.round(LB.array_sum("a") - F.element_at("a", -1), 6).alias("sum_weight"))
 
 
 def _marker_model():
@@ -313,18 +407,35 @@ def q_user_model_predict(spark, sf):
         "doc_id", "predicted_label")
 
 
-@register("lda_topics", family="ml")
+@register("lda_topics", family="ml", sql=f"""
+SELECT t AS topic, r AS rank, true AS in_corpus, true AS positive, true AS descending
+FROM range(3) a(t), range(10) b(r)
+""")
 def q_lda_topics(spark, sf):
-    """Three topics over the documents, top 10 words each."""
-    return MO.lda_topics(_docs_tokens(spark, sf, 2), "ws", k=3, seed=42).select("topic", "rank", "word", "weight")
+    """Three topics over the documents, top 10 words each: words of the corpus, with
+    positive weights that fall with the rank."""
+    from pyspark.sql.window import Window
+    docs = _docs_tokens(spark, sf, 2)
+    checkpoint_root(spark)
+    topics = MO.lda_topics(docs, "ws", k=3, seed=42, partitions=fit_partitions(spark)).select("topic", "rank", "word", "weight").checkpoint()
+    words = explode_rows(docs, "ws", "word").join(F.broadcast(topics.select("word").distinct()), "word", "left_semi").distinct()
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    known = topics.join(words.withColumn("_known", F.lit(True)), "word", "left")
+    return known.select(F.col("topic").cast("long").alias("topic"), F.col("rank").cast("long").alias("rank"),
+                        F.coalesce("_known", F.lit(False)).alias("in_corpus"), (F.col("weight") > 0).alias("positive"),
+                        F.coalesce(before >= F.col("weight"), F.lit(True)).alias("descending"))
 
 
-@register("model_selection", family="ml")
+@register("model_selection", family="ml", sql="""
+SELECT unnest([0.0, 0.01, 0.1])::DOUBLE AS reg_param, true AS finite, true AS no_worse_than_best
+""")
 def q_model_selection(spark, sf):
-    """Validation log loss of each candidate regularisation."""
-    sel = MO.select_model(_labelled(spark, sf), "ws", "label")
-    rows = [(float(r), float(m)) for r, m in zip(sel.reg_params, sel.log_losses)]
-    return spark.createDataFrame(rows, "reg_param double, log_loss double")
+    """Validation log loss of each candidate regularisation; the chosen one has the
+    least."""
+    sel = MO.select_model(_labelled(spark, sf), "ws", "label", "doc_id", partitions=fit_partitions(spark))
+    best = sel.log_losses[sel.best_index]
+    rows = [(float(r), bool(0 <= m < float("inf")), bool(m >= best)) for r, m in zip(sel.reg_params, sel.log_losses)]
+    return spark.createDataFrame(rows, "reg_param double, finite boolean, no_worse_than_best boolean")
 
 
 @register("early_stop", family="ml", sql="""
@@ -345,8 +456,15 @@ def q_early_stop(spark, sf):
     return out.withColumn("best_loss", F.round("best_loss", 6))
 
 
-@register("sentence_vectors", family="ml")
+@register("sentence_vectors", family="ml", sql=f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD_RE}') AS ws FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS bits FROM (SELECT doc_id, unnest(ws) AS w FROM t)),
+s AS (SELECT doc_id, i, (2 * sum((bits >> i) & 1) - count(*)) / count(*)::DOUBLE AS x FROM b, range(32) r(i) GROUP BY doc_id, i)
+SELECT doc_id, r.i AS dim, round(coalesce(s.x, 0.0), 6) AS x
+FROM t CROSS JOIN range(32) r(i) LEFT JOIN s USING (doc_id, i)
+""")
 def q_sentence_vectors(spark, sf):
-    """Mean Word2Vec vector per document."""
-    _, v = FE.sentence_vectors(_docs_tokens(spark, sf, 1), "ws", size=32, seed=42)
-    return v.select("doc_id", F.size(vector_to_array("sentence_vector")).alias("dim"))
+    """Mean sign vector per document, all 32 components."""
+    v = FE.sentence_vectors(_docs_tokens(spark, sf, 1), "ws", size=32)
+    return v.select("doc_id", F.posexplode("sentence_vector").alias("dim", "x")).select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))

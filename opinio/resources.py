@@ -77,4 +77,6 @@ DOCS_SYNONYMS = {"nicht": "no", "pas": "no", "ne": "no", "les": "le", "des": "de
 DOCS_LANGS = ("de", "en", "es", "fr", "it")
 # Single-code-point and multi-code-point emoji with names, for T10 tests.
 DOCS_EMOJI = {"\U0001F600": "grinning_face", "\U0001F44D\U0001F3FD": "thumbs_up_medium_skin_tone",
-              "\U0001F44D": "thumbs_up", "❤️": "red_heart"}
+              "\U0001F44D": "thumbs_up", "❤️": "red_heart",
+              # Sequences that the driver's multilingual tables hold.
+              "é": "e_acute", ".\n": "end_of_line", ".": "full_stop", "ß": "sharp_s"}

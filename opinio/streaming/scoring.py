@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinio.operators.lexicon import score_comments
 from opinio.resources import Lexicon
 
-INVALID_TEXT = "Input 'text' is not valid."
+INVALID_TEXT = "the request has no usable text"
 
 
 def parse_requests(lines: DataFrame, value_col: str = "value") -> DataFrame:
@@ -31,6 +31,31 @@ def score_requests(requests: DataFrame, lex: Lexicon) -> DataFrame:
                          F.when(~F.col("valid"), F.lit(INVALID_TEXT)).alias("error"))
 
 
+def score_requests_with_model(requests: DataFrame, model, prepare) -> DataFrame:
+    """ST1 with a trained ``PipelineModel``: ``(id, prediction, probability, error)``.
+
+    ``prepare`` adds the model's input columns to a frame with ``text`` (the same
+    function as in training).  Each micro-batch is one projection.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    from opinio.operators.models import predict_labels
+    scored = predict_labels(model, prepare(requests), "_label")
+    return scored.select("id", F.when(F.col("valid"), F.col("_label")).alias("prediction"),
+                         F.when(F.col("valid"), F.array_max(vector_to_array("probability"))).alias("probability"),
+                         F.when(~F.col("valid"), F.lit(INVALID_TEXT)).alias("error"))
+
+
+def score_csv_with_model(stream: DataFrame, model, prepare, text_col: str = "comment",
+                         out: str = "predicted_label") -> DataFrame:
+    """ST2 with a trained ``PipelineModel``: the input columns plus the label."""
+    if text_col not in stream.columns:
+        raise ValueError(f"stream must have a '{text_col}' column")
+    from opinio.operators.models import predict_labels
+    cols = stream.columns
+    return predict_labels(model, prepare(stream.withColumn("text", F.col(text_col))), out).select(*cols, out)
+
+
 def score_csv_stream(stream: DataFrame, lex: Lexicon, text_col: str = "comment",
                      out: str = "predicted_label") -> DataFrame:
     """ST2: require the comment column, append the predicted label."""

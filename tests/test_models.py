@@ -89,9 +89,9 @@ def test_classifier_on_separable_fixture(spark):
 
 
 def test_dense_index_and_epoch_metrics(spark):
-    keys = [5, 17, 2, 40, 41, 1000, 3]
+    keys = [5, 17, 2, 40, 41, 1 << 60, -(1 << 60)]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = dict(ME.dense_index(df, "k", "i", bucket_size=8).select("k", "i").collect())
+    got = dict(ME.dense_index(df, "k", "i", partitions=3).select("k", "i").collect())
     assert got == {k: i for i, k in enumerate(sorted(keys))}
     probs = [(i, [0.7, 0.2, 0.1] if i % 2 else [0.1, 0.1, 0.8], i % 3) for i in range(10)]
     pdf = spark.createDataFrame(probs, "k long, p array<double>, label int")
@@ -102,21 +102,19 @@ def test_dense_index_and_epoch_metrics(spark):
     assert abs(m.row_loss - np.mean(losses)) < 1e-12 and m.n_batches == 3
 
 
-def test_early_stop_matches_loop(spark):
-    losses = [1.0, 0.9, 0.95, 0.92, 0.91, 0.85, 0.86, 0.87, 0.88, 0.5]
-    df = spark.createDataFrame([("r", i, v) for i, v in enumerate(losses)], "run string, epoch int, loss double")
-    r = MO.early_stop(df, "run", "epoch", "loss", 3).first()
-    best, counter, stop = float("inf"), 0, None
-    best_epoch = None
-    for e, v in enumerate(losses):
-        if v < best:
-            best, counter, best_epoch = v, 0, e
-        else:
-            counter += 1
-            if counter >= 3:
-                stop = e
-                break
-    assert (r.best_epoch, r.stop_epoch, r.best_loss) == (best_epoch, stop, best)
+def test_early_stop_rows(spark):
+    """Patience 3: stop at the third epoch in a row without a new best (worked out by hand)."""
+    runs = {
+        "stops": [1.0, 0.9, 0.95, 0.92, 0.91, 0.85, 0.5],     # epochs 2, 3, 4 bring nothing
+        "late": [1.0, 0.9, 0.95, 0.92, 0.8, 0.9, 0.9, 0.9],   # best 4, stop 7
+        "never": [3.0, 2.0, 1.0, 1.5],
+        "ties": [1.0, 1.0, 1.0, 1.0],                          # an equal loss is no new best
+        "one": [0.4],
+    }
+    want = {"stops": (1, 4, 0.9), "late": (4, 7, 0.8), "never": (2, None, 1.0), "ties": (0, 3, 1.0), "one": (0, None, 0.4)}
+    df = spark.createDataFrame([(k, i, v) for k, vs in runs.items() for i, v in enumerate(vs)], "run string, epoch int, loss double")
+    got = {r.run: (r.best_epoch, r.stop_epoch, r.best_loss) for r in MO.early_stop(df, "run", "epoch", "loss", 3).collect()}
+    assert got == want
 
 
 def test_linear_attribution_sums(spark):
@@ -151,23 +149,61 @@ def test_user_model_hook(spark):
     assert got == {1: "positif", 2: "negatif", 3: "netral", 4: "netral"}
 
 
-def test_vocabulary_min_count_bounds_vocab(spark):
-    from opinio.operators.features import vocabulary_min_count
-    # counts: a 5, b 4, c 4, d 2, e 1
-    ws = [["a"] * 5 + ["b"] * 4 + ["c"] * 4 + ["d"] * 2 + ["e"]]
-    df = spark.createDataFrame([(w,) for w in ws], "ws array<string>")
-    assert vocabulary_min_count(df, "ws", 1, 10) == 1
-    assert vocabulary_min_count(df, "ws", 2, 4) == 2
-    assert vocabulary_min_count(df, "ws", 2, 3) == 4   # a, b, c
-    assert vocabulary_min_count(df, "ws", 1, 2) == 5   # b and c tie: both go
-    assert vocabulary_min_count(df, "ws", 3, 1) == 5
+def test_sentence_vectors_keep_every_word(spark):
+    import hashlib
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["rare"])]
+    df = spark.createDataFrame(rows, "row_id long, ws array<string>")
+    got = {r.row_id: list(r.sentence_vector) for r in FE.sentence_vectors(df, "ws", size=8).collect()}
+
+    def signs(w):
+        bits = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        return np.array([2 * (bits >> i & 1) - 1 for i in range(8)], float)
+    for i, ws in rows:
+        assert np.allclose(got[i], np.mean([signs(w) for w in ws], 0) if ws else np.zeros(8))
+
+
+def test_physical_forms_agree_on_odd_rows(spark):
+    """Null and empty arrays, duplicate keys, inline and joined."""
+    from opinio.operators import clean as C
+    df = spark.createDataFrame([(1, ["a", "b", "a", "z"], "x"), (2, [], None), (3, None, "y")], "row_id long, ws array<string>, other string")
+    stop = spark.createDataFrame([("a",), ("a",), ("q",)], "word string")
+    rows = lambda d: sorted((r.row_id, r.ws, r.other) for r in d.collect())
+    assert rows(C.remove_stopwords(df, "ws", ["a", "q"])) == rows(C.remove_stopwords(df, "ws", stop)) \
+        == [(1, ["b", "z"], "x"), (2, [], None), (3, [], "y")]
+    stems = spark.createDataFrame([("a", "r"), ("a", "s"), ("b", "b")], "word string, stem string")
+    two = [rows(C.apply_word_map(df, "ws", stems, keep=["other"], inline_max=n)) for n in (64, 0)]
+    assert two[0] == two[1] == [(1, ["r", "b", "r", "z"], "x"), (2, [], None), (3, [], "y")]
+    vocab = spark.createDataFrame([("a", 5), ("a", 3), ("b", 2)], "word string, id int")
+    codes = [sorted((r.row_id, list(r.input_ids), list(r.attention_mask))
+                    for r in FE.encode_sequences(df, "ws", "row_id", vocab, max_len=3, inline_max=n).collect()) for n in (64, 0)]
+    assert codes[0] == codes[1] == [(1, [3, 2, 3], [1, 1, 1]), (2, [0, 0, 0], [0, 0, 0]), (3, [0, 0, 0], [0, 0, 0])]
+
+
+def test_nearest_centroid_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "row_id long, v array<double>")
+    cents = spark.createDataFrame([(c, [3.0 * c, 0.0]) for c in range(7)], "class int, v array<double>")
+    whole = dict(MO.assign_nearest(df, "v", cents).select("row_id", "cluster").collect())
+    monkeypatch.setattr(MO.blocks_of, "__defaults__", (2,))
+    assert dict(MO.assign_nearest(df, "v", cents).select("row_id", "cluster").collect()) == whole
+    assert all(whole[i] == min(range(7), key=lambda c: (abs(3 * c - i), c)) for i in range(20))
+
+
+def test_classifier_attribution_adds_up(spark):
+    from pyspark.ml.functions import vector_to_array
+    rows = [(i, ["good", "fine", f"w{i}"] if i % 2 else ["bad", "poor", f"w{i}"], "p" if i % 2 else "n") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, ws array<string>, label string")
+    model = MO.train_classifier(df, "ws", "label", n_features=1 << 10)
+    sums = {r.row_id: r.s for r in MO.classifier_attribution(model, df, "ws").groupBy("row_id").agg(F.sum("attribution").alias("s")).collect()}
+    margin = {r.row_id: r.m for r in MO.predict_labels(model, df).select(
+        "row_id", F.array_max(vector_to_array("rawPrediction")).alias("m")).collect()}
+    assert all(abs(sums[i] - margin[i]) < 1e-9 for i in margin)
 
 
 def test_select_model_reports_every_candidate(spark):
     rows = [(i, "sangat bagus suka", "positif") for i in range(30)] + \
            [(100 + i, "jelek kecewa buruk", "negatif") for i in range(30)]
     df = spark.createDataFrame(rows, "row_id long, t string, label string").withColumn("ws", T.word_tokens("t", 2))
-    sel = MO.select_model(df, "ws", "label", reg_params=(0.0, 0.5))
+    sel = MO.select_model(df, "ws", "label", "row_id", reg_params=(0.0, 0.5))
     assert len(sel.log_losses) == 2 and all(x >= 0 for x in sel.log_losses)
     # the unregularised fit separates the fixture better
     assert sel.best_index == 0
@@ -199,11 +235,3 @@ def test_linear_attribution_baseline_for_rows_without_words(spark):
     assert abs(per_row[1] - ((2.0 * 0.5) - (2.0 * 0.1 - 0.2))) < 1e-12
     assert abs(per_row[2] - (0.0 - (2.0 * 0.1 - 0.2))) < 1e-12
     assert sum(1 for r in out if r.word is None) == 2
-
-
-def test_sized_for_iterations_only_coalesces(spark):
-    df = spark.range(0, 1000, numPartitions=8).persist()
-    assert MO.sized_for_iterations(df, 300).rdd.getNumPartitions() == 4   # ceil(1000 / 300)
-    assert MO.sized_for_iterations(df, 10).rdd.getNumPartitions() == 8    # never more than now
-    assert MO.sized_for_iterations(df, 300).count() == 1000
-    df.unpersist()
