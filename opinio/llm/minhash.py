@@ -42,7 +42,7 @@ MISS = 1e-6
 #: most so many; then the remaining pairs are compared directly.
 LEAST_MERGED = 0.02
 #: Members of a bucket that one comparison task holds on either side.
-BLOCK = 1024
+BLOCK = 2048
 MAX_ROUNDS = 8
 
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -136,36 +136,47 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(block: pa.Table) -> pa.Table:
-    """Pairs of one block pair of a bucket, of different components, that may be links."""
+    """Links that join components within one block pair of a bucket.
+
+    A pair is looked at in the first band that it shares only; pairs of components that
+    are one by now are skipped; what signatures cannot rule out is compared on full sets.
+    """
     least = least_matches()
-    ids, comps = block.column("set_id").to_pylist(), np.unique(block.column("comp").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-    own = block.column("own").to_numpy()
+    band, same_block = block.column("band")[0].as_py(), block.column("i")[0] == block.column("j")[0]
+    ids, own = block.column("set_id").to_pylist(), block.column("own").to_numpy()
+    comps = np.unique(block.column("comp").to_numpy(zero_copy_only=False), return_inverse=True)[1]
     sigs = np.array([np.frombuffer(s, np.uint32) for s in block.column("sig").to_pylist()])
-    same_block = block.column("i")[0] == block.column("j")[0]
+    sets = [np.frombuffer(s, np.uint64) for s in block.column("shingles").to_pylist()]
     out = []
     for x in range(len(ids)):
         ys = np.arange(x + 1, len(ids))
-        ys = ys[comps[ys] != comps[x]]
-        if not same_block:
-            ys = ys[own[ys] != own[x]]
+        ys = ys[(comps[ys] != comps[x]) & (same_block or own[ys] != own[x])]
         matches = np.zeros(len(ys), np.int64)
         for k, need in enumerate(least):
             part = slice(k * BATCH, (k + 1) * BATCH)
             matches += (sigs[ys, part] == sigs[x, part]).sum(1)
             ys, matches = ys[matches >= need], matches[matches >= need]
-        out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in ys.tolist()]
+        if band and len(ys):
+            earlier = (sigs[ys, :BAND_ROWS * band] == sigs[x, :BAND_ROWS * band]).reshape(len(ys), band, BAND_ROWS)
+            ys, matches = ys[~earlier.all(2).any(1)], matches[~earlier.all(2).any(1)]
+        for y in ys[np.argsort(-matches, kind="stable")].tolist():  # the likeliest first
+            if comps[y] != comps[x] and _linked(sets[x], sets[y]):
+                out.append((ids[x], ids[y]))
+                comps[comps == comps[y]] = comps[x]
     return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= THRESHOLD * (len(x) + len(y) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            if 100 * min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= THRESHOLD * (len(x) + len(y) - common):
-                    keep.append(i)
+        keep = [i for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True))
+                if _linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64))]
         keep = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
@@ -247,10 +258,8 @@ def _components(text: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = (members.join(hubs, "key").where(F.col("set_id") != F.col("h.set_id"))
              .select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct())
     enough = LEAST_MERGED * wanted.count()
-    tested = None
     for turn in range(1, MAX_ROUNDS + 1):
         pairs = scratch.table(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
         links = scratch.table(verify(pairs, wanted, sets))
         n = links.count()
         if n:
@@ -261,18 +270,18 @@ def _components(text: DataFrame, scratch: Scratch) -> DataFrame:
         order = F.xxhash64("set_id", F.lit(turn))
         hubs = open_members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "set_id", "comp")).alias("h"))
         pairs = (open_members.join(hubs, "key").where(F.col("comp") != F.col("h.comp"))
-                 .select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-    # Whatever still shares a bucket across components is compared, block by block: only pairs
-    # that signatures cannot rule out leave the tasks.
-    left = scratch.table(_open(members, components).join(wanted.select("set_id", "sig"), "set_id"))
+                 .select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct())
+    # Whatever still shares a bucket across components is compared inside tasks, block by block;
+    # only links that join components leave them.
+    left = scratch.table(_open(members, components))
     dealt = left.join(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")), "key")
-    dealt = (dealt.withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(0)), F.col("n")))
+    dealt = (dealt.join(wanted.select("set_id", "sig"), "set_id").join(sets, "set_id")
+             .withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(0)), F.col("n")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "comp", "sig"))
-    near = dealt.groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary")
-    rest = scratch.table(near.distinct().join(tested, ["a", "b"], "left_anti"))
-    links = scratch.table(verify(rest, wanted, sets))
+             .withColumn("band", F.array_position(keys, F.col("key")) - 1)
+             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band",
+                     "set_id", "comp", "sig", "shingles"))
+    links = scratch.table(dealt.groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary"))
     if not links.isEmpty():
         components = merge_components(components, links, scratch)
     release_shuffles(spark)
