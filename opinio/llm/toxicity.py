@@ -46,7 +46,7 @@ REPORTING = frozenset("said says saying called calling quote quoted wrote word t
 #: Texts with and without the label that evidence starts from, by (misspelled, quoted).
 PSEUDO = {(False, False): (1.0, 0.5), (True, False): (2.0, 1.0), (False, True): (1.0, 3.0), (True, True): (1.0, 6.0)}
 #: States kept by an automaton before it starts afresh.
-MAX_STATES = 50_000
+MAX_STATES = 10_000
 
 
 def allowed_edits(term: str) -> int:
@@ -188,7 +188,7 @@ class Scorer:
 
     def _match(self, word: str):
         if word not in self.known:
-            if len(self.known) > 500_000:  # a bounded memory of words seen
+            if len(self.known) > 50_000:  # a bounded memory of words seen
                 self.known = {}
             self.known[word] = self.automaton.match(word)
         return self.known[word]
