@@ -232,6 +232,50 @@ def test_line_borders_shift_with_the_text(docs_of):
     assert cut([])[3:] == cut(["another line", "and one more", "third"])[-len(cut([])[3:]):]
 
 
+def test_planted_passages_between_different_neighbours(docs_of, odd_rows):
+    rng = random.Random(17)
+    fresh = lambda: " ".join(f"own{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 12)))
+    split = {1: [60], 2: [40, 20], 3: [24, 3, 30]}  # words of each line
+    planted = {k: [[prose(rng, n, 10**6) for n in split[k]] for _ in range(20)] for k in split}
+    rows = []
+    for turn in range(2):
+        for k, some in planted.items():
+            for j, p in enumerate(some):
+                head, tail = [fresh() for _ in range(rng.randrange(4))], [fresh() for _ in range(rng.randrange(4))]
+                rows.append((1000 * turn + 100 * k + j, "\n".join(head + p + tail)))
+    got = {r.doc_id: (r.text or "").split("\n") for r in lines.dedup_passages(docs_of(rows)).collect()}
+    whole = {d: t.split("\n") for d, t in rows}
+    for k, some in planted.items():
+        for j, p in enumerate(some):
+            d = 100 * k + j
+            assert got[d] == whole[d]
+            assert got[1000 + d] == ([x for x in whole[1000 + d] if x not in p] or [""])
+
+    # Brute force: every run of lines from 25 words on that stands at a smaller place goes.
+    pool = [prose(rng, n) for n in (3, 5, 9, 9, 14, 30, 26)] + ["", " "]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for i in range(40)]
+    rows += [(100 + (d or 0), t) for d, t in odd_rows[:4]]
+    found, drop, runs = defaultdict(list), defaultdict(set), {}
+    for c in lines.chunks(docs_of(rows)).collect():
+        if c.n_lines > 1 or len(WORD.findall(c.chunk)) >= lines.LONG_LINE_WORDS:
+            found[c.doc].append((c.first, c.n_lines))
+    for d, t in rows:
+        ls = (t or "").split("\n")
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                run = "\n".join(ls[a:b])
+                long = len(WORD.findall(run)) >= lines.LONG_LINE_WORDS and WORD.search(ls[a]) and WORD.search(ls[b - 1])
+                if t is not None and (long or (a, b - a) in found[d]):
+                    if run in runs:
+                        drop[d] |= set(range(a, b))
+                    runs.setdefault(run, d)
+    out = lines.dedup_passages(docs_of(rows)).collect()
+    want = {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop[d]) for d, t in rows}
+    assert {r.doc_id: r.text for r in out} == want
+    assert {r.doc_id: r.n_lines_removed for r in out} == {d: len(drop[d]) for d, _ in rows}
+    assert sum(map(len, drop.values())) > 40 and lines.dedup_passages(docs_of([])).count() == 0
+
+
 # ---- 6 quality
 
 def measured(text):
