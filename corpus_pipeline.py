@@ -42,10 +42,32 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id."""
-    gone = settle(minhash.near_duplicates(docs).where("NOT kept").select("doc_id"))
+    """One document of each group of near-duplicates: that with the least id.
+
+    Rows go by id and text: without an id a row comes last in its group, of several texts
+    under the least id that with the least hash stays, and of equal rows one.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    found = minhash.near_duplicates(docs, keyed=True)
+    least = settle(found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+                   .where("lo != hi").select("comp", "lo"))
+    release_shuffles(spark)
+    gone = settle(found.join(broadcast_if_small(least, F.lit(64)), "comp").where(own != F.col("lo"))
+                  .select("doc_id", "text_key").distinct())
+    again = settle(found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                   .select("doc_id", "text_key"))
     release_shuffles(spark)
-    return docs.select(*COLUMNS).join(broadcast_if_small(gone, F.lit(16)), "doc_id", "left_anti")
+
+    def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = broadcast_if_small(keys, F.lit(32)).toDF("__id", "__key")
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+        return df.join(keys, same, how)
+
+    left = among(docs.select(*COLUMNS), gone, "left_anti")
+    if again.isEmpty():
+        return left
+    one = among(left, again, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return among(left, again, "left_anti").unionByName(one.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,9 +91,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += [len(s) for s in sets]
             ids += [set_id(s) if len(s) else None for s in sets]
             sigs += [next(signed).tobytes() if len(s) else None for s in sets]
+        own = [c for c in batch.schema.names if c != "__text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())],
-            ["doc_id", "n_shingles", "set_id", "sig"])
+            [*map(batch.column, own), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())],
+            [*own, "n_shingles", "set_id", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,22 +217,28 @@ def merge_components(components: DataFrame, links: DataFrame, scratch: Scratch)
             .select("set_id", F.coalesce("l", "comp").alias("comp")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     Null, empty and white-space texts have no shingles and are linked with nothing.  The
     component is the least id reachable over links; a row is kept if that is its own id.
     Rows that repeat an id and text share their result.  A null id is after all others: such
     a row is kept only if no row with an id is in its component.
+
+    ``keyed`` adds what tells rows and components apart where ids are null or repeated:
+    ``text_key``, the xxhash64 of the text, and ``comp``, one value per component (null
+    without shingles).
     """
-    text = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("__text"))
+    text = docs.select(column(docs, id_col).cast("long").alias("doc_id"),
+                       *[F.xxhash64(column(docs, text_col)).alias("text_key")] * keyed, column(docs, text_col).alias("__text"))
     with Scratch(docs.sparkSession, "minhash") as scratch:
-        return settle(_components(text, scratch))
+        return settle(_components(text, scratch, keyed))
 
 
-def _components(text: DataFrame, scratch: Scratch) -> DataFrame:
+def _components(text: DataFrame, scratch: Scratch, keyed: bool) -> DataFrame:
     spark = text.sparkSession
-    signed = scratch.table(text.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, sig binary"))
+    own = "doc_id long, text_key long" if keyed else "doc_id long"
+    signed = scratch.table(text.mapInArrow(_sign, f"{own}, n_shingles long, set_id binary, sig binary"))
     classes = scratch.table(signed.where("set_id IS NOT NULL").groupBy("set_id")
                             .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * BAND_ROWS * i + 1, 4 * BAND_ROWS)) for i in range(BANDS)])
@@ -285,7 +292,7 @@ def _components(text: DataFrame, scratch: Scratch) -> DataFrame:
     if not links.isEmpty():
         components = merge_components(components, links, scratch)
     release_shuffles(spark)
-    return _result(signed, classes, components)
+    return _result(signed, classes, components, keyed)
 
 
 def _open(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -295,12 +302,13 @@ def _open(members: DataFrame, components: DataFrame) -> DataFrame:
     return placed.join(mixed.select("key"), "key", "left_semi").select("key", "set_id", "comp")
 
 
-def _result(signed: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+def _result(signed: DataFrame, classes: DataFrame, components: DataFrame, keyed: bool) -> DataFrame:
     placed = classes.select("set_id", "rep").join(components, "set_id", "left") \
         .select("set_id", "rep", F.coalesce("comp", "set_id").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component"))
-    of_class = placed.join(least, "comp").select("set_id", "component")
-    out = signed.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
+    of_class = placed.join(least, "comp").select("set_id", "component", *["comp"] * keyed)
+    key = ["text_key"] * keyed
+    out = signed.select("doc_id", *key, "n_shingles", "set_id").join(of_class, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), *key, *["comp"] * keyed)

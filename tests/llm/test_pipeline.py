@@ -1,10 +1,11 @@
 """The pipeline stage by stage against brute-force versions, on the smallest tables."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as P
 from opinio.llm import lines, toxicity
-from test_llm_operators import WORD, brute_components, hits_of
+from test_llm_operators import WORD, brute_components, hits_of, near_copies, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,25 @@ def test_pipeline_stages(spark):
     mixed = P.mix(spark, safe, SF).collect()
     assert {r.doc_id for r in mixed} <= set(rows(safe)) and all(r.taken > 0 for r in mixed)
     assert Counter((r.doc_id, r.taken) for r in P.run(spark, SF).collect()) == Counter((r.doc_id, r.taken) for r in mixed)
+
+
+def test_near_dedup_goes_by_rows(spark, docs_of):
+    """Null and repeated ids: one row of each group stays, and no other text is lost."""
+    rng = random.Random(31)
+    text, clean, other, alone = (prose(rng, 80, 5000) for _ in range(4))
+    near = lambda t, w: f"{t} {w}"
+    rows = [(1, text), (None, near(text, "x")),         # a near copy without id goes
+            (2, clean), (2, near(text, "y")),           # of two texts under one id only the near copy goes
+            (3, other), (3, other), (3, other),         # of equal rows one stays
+            (4, near(alone, "x")), (4, near(alone, "y")),   # near copies under one id
+            (None, "a b c"), (None, "a b c"), (None, "d e f"),
+            (None, None), (5, None), (6, " "), (7, " "), (8, ""), (8, "")]
+    got = Counter((r.doc_id, r.text) for r in P.dedup_near(spark, docs_of(rows), "").collect())
+    four = next(t for d, t in got if d == 4)
+    assert four in (near(alone, "x"), near(alone, "y"))
+    assert got == Counter([(1, text), (2, clean), (3, other), (4, four), (None, "a b c"), (None, "d e f"),
+                           (None, None), (5, None), (6, " "), (7, " "), (8, "")])
+    unique = near_copies()
+    left = P.dedup_near(spark, docs_of(unique), "").select(*P.COLUMNS)
+    assert {r.doc_id for r in left.collect()} == {d for d, _, c in brute_components(unique) if d == c}
+    assert left.columns == list(P.COLUMNS) and P.dedup_near(spark, docs_of([]), "").count() == 0
