@@ -273,17 +273,18 @@ def classifier_attribution(model, df: DataFrame, ws_col: str, row_id: str = "row
 
 
 # --------------------------------------------------------------- M10
-def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_size: int = 1 << 18,
+def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_size: int | None = None,
                max_iter: int = 10, top_terms: int = 10, partitions: int | None = None):
     """Topic model (declared in the original workflow, never coded): term
     counts + variational LDA over every document in each iteration; returns
-    ``(topic, rank, term_index, weight, word)``.  The model holds ``k x vocab_size``
-    doubles on the driver; ``vocab_size`` is that dimension."""
+    ``(topic, rank, term_index, weight, word)``.  Every word of the corpus is a term; the
+    driver holds the words and ``k`` doubles for each.  ``vocab_size``, if given, keeps only
+    so many of the most frequent words."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     cached = df.select(ws_col).persist()
     try:
-        cv = CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size).fit(cached)
+        cv = CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size or (1 << 31) - 1).fit(cached)
         counts = cv.transform(cached).select("_tf").persist()
         try:
             lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf", subsamplingRate=1.0).fit(
@@ -293,8 +294,11 @@ def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_siz
     finally:
         cached.unpersist()
     spark = df.sparkSession
-    vocab = spark.createDataFrame([(i, w) for i, w in enumerate(cv.vocabulary)], "term_index int, word string")
-    topics = lda.describeTopics(top_terms).select(
+    described = lda.describeTopics(top_terms)
+    words = cv.vocabulary
+    top = {i for r in described.select("termIndices").collect() for i in r.termIndices}
+    vocab = spark.createDataFrame([(i, words[i]) for i in sorted(top)], "term_index int, word string")
+    topics = described.select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
     return topics.select("topic", "rank", F.col("t.termIndices").alias("term_index"),
                          F.col("t.termWeights").alias("weight")).join(F.broadcast(vocab), "term_index")

@@ -235,3 +235,14 @@ def test_linear_attribution_baseline_for_rows_without_words(spark):
     assert abs(per_row[1] - ((2.0 * 0.5) - (2.0 * 0.1 - 0.2))) < 1e-12
     assert abs(per_row[2] - (0.0 - (2.0 * 0.1 - 0.2))) < 1e-12
     assert sum(1 for r in out if r.word is None) == 2
+
+
+def test_lda_fits_the_whole_vocabulary(spark):
+    """More words than 1 << 18, each once, and one that is frequent: all are terms of each topic."""
+    n, per = (1 << 18) + 4_000, 2_000
+    rows = [(["common"] + [f"w{i}" for i in range(a, min(n, a + per))],) for a in range(0, n, per)]
+    df = spark.createDataFrame(rows, "ws array<string>")
+    all_terms = MO.lda_topics(df, "ws", k=2, max_iter=1, top_terms=n + 1)
+    got = all_terms.groupBy("topic").agg(F.countDistinct("word").alias("words"), F.sum("weight").alias("weight")).collect()
+    assert [r.words for r in got] == [n + 1] * 2 and all(abs(r.weight - 1) < 1e-6 for r in got)
+    assert {r.word for r in MO.lda_topics(df, "ws", k=2, max_iter=1, vocab_size=1, top_terms=5).collect()} == {"common"}
