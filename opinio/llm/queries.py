@@ -122,9 +122,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_warc")
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "warc")
-    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
-    # The merged index is written before the archives of this run are removed.
-    index = settle(warc.merge_index(warc.read_archives(spark, path)))
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(warc.plan_records(pages), path)
+    # The merged index is written before the archives of this run are removed.  A page is a capture.
+    index = settle(warc.merge_index(warc.read_archives(spark, path), rows=pages.count()))
     remove_path(spark, path)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
                         "url_key", "captured")

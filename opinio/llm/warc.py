@@ -29,7 +29,7 @@ RECORD_END = CRLF + CRLF
 EPOCH = 1704067200
 #: Copies of a duplicated payload are dealt over so many keys where its leader is joined.
 SALT = 16
-#: Index rows that one merge task holds.
+#: Index rows that one merge task holds, as near as sampled key ranges come to it.
 RANGE_ROWS = 200_000
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -232,10 +232,11 @@ def merge_index(captures: DataFrame, rows: int | None = None) -> DataFrame:
 
     ``captures`` are index rows with ``run, seq``, sorted inside each run.  Key ranges are
     sampled over the whole composite key, so a URL with very many captures is several
-    ranges; ``rows`` (their count, if known) sizes the ranges.
+    ranges.  ``rows``, their count, sizes the ranges; if it is not known they are counted.
     """
     spark = captures.sparkSession
-    n = max(partitions_of(spark), -(-(rows or 0) // RANGE_ROWS))
+    rows = captures.count() if rows is None else rows
+    n = max(partitions_of(spark), -(-rows // RANGE_ROWS))
     names = [f.split()[0] for f in INDEX.split(", ")]
     dealt = (captures.select(*names, "run", "seq")
              .repartitionByRange(n, F.col("url_key").asc_nulls_last(), F.col("captured").asc_nulls_last(),

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from opinio.llm import chat, decontaminate, lines, minhash, mixing, pii, quality, suffix, tokens, toxicity, warc
+from opinio.llm import chat, decontaminate, lines, minhash, mixing, pii, quality, queries, suffix, tokens, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,6 +137,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.merge_index(warc.read_archives(spark, empty)).count() == 0
 
 
+def test_warc_key_ranges_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 2)
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").count()
+    ranges = -(-pages // 2)
+    assert ranges > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = queries.op3_warc(spark, sf)
+    assert index.rdd.getNumPartitions() == ranges and index.count() == pages
+    captures = spark.createDataFrame([(f"k{i}", 0, i, "response", None, 0, "", "r", i) for i in range(60)],
+                                     warc.INDEX + ", run string, seq long")
+    assert warc.merge_index(captures).rdd.getNumPartitions() == 30
+
+
 def test_loser_tree_merges():
     rng = random.Random(3)
     for k in (0, 1, 2, 3, 7, 16):
