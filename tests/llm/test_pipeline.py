@@ -1,11 +1,13 @@
 """The pipeline stage by stage against brute-force versions, on the smallest tables."""
 
+import hashlib
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline as P
 from opinio.llm import lines, toxicity
-from test_llm_operators import WORD, brute_components, hits_of, near_copies, prose
+from test_llm_operators import LOWER, WORD, brute_components, hits_of, near_copies, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +82,58 @@ def test_near_dedup_goes_by_rows(spark, docs_of):
     left = P.dedup_near(spark, docs_of(unique), "").select(*P.COLUMNS)
     assert {r.doc_id for r in left.collect()} == {d for d, _, c in brute_components(unique) if d == c}
     assert left.columns == list(P.COLUMNS) and P.dedup_near(spark, docs_of([]), "").count() == 0
+
+
+def windows_of(text, sizes):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    return {tuple(w[i:i + m]) for m in sizes(len(w)) for i in range(len(w) - m + 1)}
+
+
+def mix_of(rows):
+    """``(doc_id, taken)`` of ``(doc_id, text, source)`` rows with distinct ids and texts."""
+    size, words = Counter(), {}
+    for d, t, s in rows:
+        words[d] = len(WORD.findall(t or ""))
+        size[s] += words[d]
+    names = sorted(s for s in size if s is not None) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    capped = set()
+    while True:  # share, stop at the caps, share the excess again
+        left = 1.5 * sum(size.values()) - sum(2 * size[s] for s in capped)
+        share = left / max(1, sum(weight[s] for s in names if s not in capped))
+        above = {s for s in names if s not in capped and share * weight[s] > 2 * size[s]}
+        if not above:
+            break
+        capped |= above
+    taken = {}
+    for s in names:
+        target = 2.0 * size[s] if s in capped else share * weight[s]
+        copies = int(target // size[s]) if size[s] else 0
+        rest, upto, cut = target - copies * size[s], 0, 0
+        key = lambda d, t: int(hashlib.md5(f"{'' if d is None else d}:{t or ''}".encode()).hexdigest()[:15], 16)
+        hashes = {d: key(d, t) for d, t, own in rows if own == s}
+        for d in sorted(hashes, key=hashes.get):
+            if upto + words[d] > rest:  # the budget ends in this document: taken if that is nearer
+                cut = hashes[d] + (upto + words[d] - rest < rest - upto)
+                break
+            upto += words[d]
+        taken |= {d: words[d] * (copies + (h < cut)) for d, h in hashes.items()}
+    return {(d, n) for d, n in taken.items() if n > 0}
+
+
+def test_pipeline_decontamination_and_mix_whole(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    shape = [(i, t, windows_of(t, lambda n: [min(13, n)] if n else [])) for i, t in items]
+    sizes = {len(w) for *_, ws in shape for w in ws}
+    clean = set()
+    for d, r in rows.items():
+        own = windows_of(r.text, lambda n: sizes)
+        n, hit, _ = hits_of(r.text, [(i, t) for i, t, ws in shape if ws & own], 13)
+        clean |= {d} if not hit or 20 * hit < n else set()
+    safe = P.decontaminate(spark, docs, SF).cache()
+    assert [r.doc_id for r in safe.orderBy("doc_id").collect()] == sorted(clean) and len(clean) < len(rows)
+    mixed = P.mix(spark, safe, SF).collect()
+    assert {(r.doc_id, r.taken) for r in mixed} == mix_of([(d, rows[d].text, rows[d].source) for d in clean])
+    assert len(mixed) == len({r.doc_id for r in mixed}) < len(clean)
