@@ -11,7 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.llm import chat, decontaminate, lines, minhash, mixing, pii, quality, suffix, toxicity, warc
+from opinio.llm import (
+    chat,
+    decontaminate,
+    hardneg,
+    lines,
+    minhash,
+    mixing,
+    pii,
+    quality,
+    suffix,
+    tokencount,
+    toxicity,
+    warc,
+    whitening,
+)
 from opinio.llm.common import remove_path, settle
 from opinio.plans.registry import table
 from opinio.session import work_dir
@@ -236,3 +250,44 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
                        F.sha2(whole, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
                        F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP11_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, label, unnest(x) AS x, unnest(range(len(x))) AS i FROM v),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, sum(a.x * b.x)::BIGINT AS score
+      FROM e a JOIN e b ON a.i = b.i WHERE a.vec_id % 100 = 0 GROUP BY a.vec_id, b.vec_id, a.label, b.label),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+             row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n
+      FROM s WHERE same AND vec_id <> anchor_id),
+m AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+       AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+      WHERE p.n <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 5
+"""
+
+
+@register("op11_hardneg", OP11_SQL)
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.mine(vectors, F.col("vec_id") % 100 == 0, label_col=label)
+
+
+@register("op12_tokens")
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents")
+    counted = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id",))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
