@@ -222,7 +222,7 @@ class Encode(_Task):
 def _spliced(chunks: DataFrame) -> DataFrame:
     """``key, n_tokens``: sums over chunks between splices, null where a splice is missing."""
     places = lambda c: F.transform(c, lambda x: x["at"])
-    before = lambda c, at: F.filter(c, lambda x: x["at"] == at)[0]["before"]
+    before = lambda c, at: F.get(F.filter(c, lambda x: x["at"] == at), 0)["before"]
     following = F.lead("head").over(Window.partitionBy("key").orderBy("k"))
     seam = chunks.withColumn("following", following)
     seam = seam.withColumn("at", F.array_min(F.array_intersect(places("tail"), places("following"))))
