@@ -61,22 +61,23 @@ def q_split_pruning(spark, sf):
 @register("quarantine_malformed", family="io", sql="""
 SELECT CASE WHEN page_id % 7 = 0 THEN 'bad' ELSE 'good' END AS status, CAST(count(*) AS BIGINT) AS n,
        CAST(sum(CASE WHEN page_id % 7 = 0 THEN 0 ELSE page_id END) AS BIGINT) AS id_sum,
-       CAST(count(url) AS BIGINT) AS with_url
+       CAST(count(url) AS BIGINT) AS with_url,
+       CAST(sum(CASE WHEN page_id % 7 = 0 THEN 0 ELSE length(html) END) AS BIGINT) AS chars
 FROM pages GROUP BY 1
 """)
 def q_quarantine_malformed(spark, sf):
-    """All pages as ``page_id,url`` CSV rows, every seventh id spoilt: those rows are
-    quarantined with their raw text instead of failing the job."""
+    """All pages as ``page_id,url,html`` CSV rows, whose HTML spans lines, every seventh id
+    spoilt: those rows are quarantined with their raw text instead of failing the job."""
     path = work_dir(spark, "pages-drop")
     spoilt = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("x"), F.col("page_id").cast("string"))) \
         .otherwise(F.col("page_id").cast("string"))
-    table(spark, sf, "pages").select(spoilt.alias("page_id"), "url").write.option("header", False).csv(path)
-    schema = StructType([StructField("page_id", LongType()), StructField("url", StringType())])
-    good, bad = S.quarantine_malformed(spark, path, schema, multiline=False, header=False)
-    both = (good.select(F.lit("good").alias("status"), "page_id", "url")
-            .unionByName(bad.select(F.lit("bad").alias("status"), "page_id", F.col(S.CORRUPT_COL).alias("url"))))
+    S.write_comments_csv(table(spark, sf, "pages").select(spoilt.alias("page_id"), "url", "html"), path)
+    schema = StructType([StructField("page_id", LongType()), *[StructField(c, StringType()) for c in ("url", "html")]])
+    good, bad = S.quarantine_malformed(spark, path, schema)
+    both = (good.select(F.lit("good").alias("status"), "page_id", "url", F.length("html").alias("chars"))
+            .unionByName(bad.select(F.lit("bad").alias("status"), "page_id", F.col(S.CORRUPT_COL).alias("url"), F.lit(0).alias("chars"))))
     return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("page_id"), F.lit(0)).alias("id_sum"),
-                                      F.count("url").alias("with_url"))
+                                      F.count("url").alias("with_url"), F.sum("chars").cast("long").alias("chars"))
 
 
 @register("csv_keep_first", family="io", sql=f"""
@@ -134,7 +135,8 @@ SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM
 """)
 def q_stream_model_scoring(spark, sf):
     """ST1 and ST2 with the trained model: every document arrives as a JSON request and as a
-    CSV row; both streams must give the label of the batch prediction."""
+    CSV row; both streams must give the label of the batch prediction, and the scored CSV
+    still holds the comment."""
     from opinio.plans.ml_queries import _labelled, fit_partitions, scoring_columns
     model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -144,15 +146,15 @@ def q_stream_model_scoring(spark, sf):
     scored = SS.score_requests_with_model(SS.parse_requests(lines), model, scoring_columns)
     by_json = SC.run_to_table(spark, scored, os.path.join(root, "json-out"))
     S.write_comments_csv(_comments(spark, sf), os.path.join(root, "csv"))
-    rows = (spark.readStream.schema(S.COMMENT_SCHEMA).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').csv(os.path.join(root, "csv")))
-    labelled = SS.score_csv_with_model(rows, model, scoring_columns).select("no", "predicted_label")
-    by_csv = SC.run_to_table(spark, labelled, os.path.join(root, "csv-out"), fmt="csv", options={"header": "true"})
-    batch = MO.predict_labels(model, scoring_columns(docs)).select("doc_id", "predicted_label",
+    SS.run_csv_drops(spark, os.path.join(root, "csv"), S.COMMENT_SCHEMA, lambda d: SS.score_csv_with_model(d, model, scoring_columns),
+                     os.path.join(root, "csv-out"), "csv", S.CSV_WRITE)
+    by_csv = S.read_comments(spark, os.path.join(root, "csv-out", "data", "*"), S.COMMENT_SCHEMA + ", predicted_label STRING", na_tokens=None)
+    batch = MO.predict_labels(model, scoring_columns(docs)).select("doc_id", "text", "predicted_label",
                                                                   (F.length("text") > 0).alias("valid"))
     both = (batch.join(by_json.select(F.col("id").alias("doc_id"), F.col("prediction").alias("j")), "doc_id", "left")
-            .join(by_csv.select(F.col("no").alias("doc_id"), F.col("predicted_label").alias("c")), "doc_id", "left"))
-    wrong = ~F.col("c").eqNullSafe(F.col("predicted_label")) | (F.col("valid") & ~F.col("j").eqNullSafe(F.col("predicted_label")))
+            .join(by_csv.select(F.col("no").alias("doc_id"), F.col("predicted_label").alias("c"), "comment"), "doc_id", "left"))
+    same_text = F.coalesce("comment", F.lit("")) == F.coalesce("text", F.lit(""))
+    wrong = ~same_text | ~F.col("c").eqNullSafe(F.col("predicted_label")) | (F.col("valid") & ~F.col("j").eqNullSafe(F.col("predicted_label")))
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("n_different"))
 
 
@@ -184,18 +186,15 @@ def q_stream_json_scoring(spark, sf):
 
 
 @register("stream_csv_scoring", family="streaming", sql=f"""
-SELECT doc_id AS no, {_na("lang")} AS label, {SQL_LABEL.format(s=SQL_SCORE)} AS predicted_label
-FROM (SELECT doc_id, lang, {sql_tokens(_na("text"))} AS ws FROM documents)
+SELECT doc_id AS no, {_na("text")} AS comment, {_na("lang")} AS label, {SQL_LABEL.format(s=SQL_SCORE)} AS predicted_label
+FROM (SELECT doc_id, text, lang, {sql_tokens(_na("text"))} AS ws FROM documents)
 """)
 def q_stream_csv_scoring(spark, sf):
     """ST2: CSV drops (quoted, multi-line) scored and written by a stream."""
     root = work_dir(spark, "csv-drops")
     S.write_comments_csv(_comments(spark, sf), os.path.join(root, "in"))
-    stream = (spark.readStream.schema(S.COMMENT_SCHEMA).option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').csv(os.path.join(root, "in")))
-    stream = S.normalize_na(stream)
-    scored = SS.score_csv_stream(stream, DOCS_LEXICON, "comment").select("no", "label", "predicted_label")
-    return SC.run_to_table(spark, scored, os.path.join(root, "out"))
+    return SS.run_csv_drops(spark, os.path.join(root, "in"), S.COMMENT_SCHEMA,
+                            lambda d: SS.score_csv_stream(S.normalize_na(d), DOCS_LEXICON, "comment"), os.path.join(root, "out"))
 
 
 @register("stream_event_counts", family="streaming", sql="""

@@ -47,14 +47,32 @@ def running_totals(stream: DataFrame, label_col: str) -> DataFrame:
 
 def run_complete_to_table(spark: SparkSession, stream: DataFrame, out_dir: str) -> DataFrame:
     """Drive a complete-mode aggregation over everything available now.
-    File sinks only append, so each trigger's full result replaces the
-    previous snapshot through ``foreachBatch`` (idempotent per batch id)."""
+
+    File sinks only append, so ``foreachBatch`` writes each trigger's full result to a folder
+    named by the batch id.  A snapshot is never changed once it is whole: a batch that is run
+    again writes the same rows to its folder, and a snapshot goes only when two newer ones are
+    there, so a reader of the last one is not disturbed.
+    """
     data = os.path.join(out_dir, "data")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def folder(batch_id: int) -> str:
+        return os.path.join(data, f"snapshot-{batch_id}")
+
+    last = {}
 
     def write_snapshot(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(data)
+        batch.write.mode("overwrite").parquet(folder(batch_id))
+        last["id"] = batch_id
+        old = jvm.org.apache.hadoop.fs.Path(folder(batch_id - 2))
+        old.getFileSystem(conf).delete(old, True)
 
     (stream.writeStream.outputMode("complete").foreachBatch(write_snapshot)
      .option("checkpointLocation", os.path.join(out_dir, "checkpoint"))
      .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(stream.schema).parquet(data)
+    if last:
+        return spark.read.schema(stream.schema).parquet(folder(last["id"]))
+    where = jvm.org.apache.hadoop.fs.Path(data)
+    fs = where.getFileSystem(conf)
+    ids = [int(f.getPath().getName().rpartition("-")[2]) for f in fs.listStatus(where)] if fs.exists(where) else []
+    return spark.read.schema(stream.schema).parquet(folder(max(ids))) if ids else spark.createDataFrame([], stream.schema)
