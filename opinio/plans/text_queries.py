@@ -10,6 +10,7 @@ from opinio.functions.arrays import explode_rows
 from opinio.operators import clean as C
 from opinio.operators import dedup as D
 from opinio.operators import profile as PR
+from opinio.operators import stemming as ST
 from opinio.operators import wordstats as W
 from opinio.plans.registry import register, sql_list, table
 from opinio.resources import (DOCS_EMOJI, DOCS_LANGS, DOCS_STOPWORDS, DOCS_SYNONYMS,
@@ -458,6 +459,65 @@ def q_clean_comments(spark, sf):
     return C.clean_comments(d, "comment", "label", "row_id", DOCS_STOPWORDS)
 
 
+@register("clean_comments_stemmed", family="text", sql=f"""
+WITH stem_map AS ({_stem_sql()}),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY comment ORDER BY doc_id) AS rn
+                          FROM (SELECT doc_id, text AS comment, lang AS label FROM documents) WHERE comment IS NOT NULL) WHERE rn = 1),
+kept AS (SELECT doc_id, lower(label) AS label, list_filter({sql_split(sql_normalize("comment"))},
+                                                           lambda w: w NOT IN {sql_list(DOCS_STOPWORDS)}) AS ws FROM firsts),
+toks AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM kept),
+stemmed AS (SELECT doc_id, pos, coalesce(stem, word) AS w FROM toks LEFT JOIN stem_map USING (word))
+SELECT k.doc_id AS row_id, coalesce(string_agg(CASE w {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in DOCS_SYNONYMS.items())} ELSE w END,
+                                               ' ' ORDER BY pos), '') AS comment, any_value(label) AS label
+FROM kept k LEFT JOIN stemmed USING (doc_id) GROUP BY k.doc_id
+""")
+def q_clean_comments_stemmed(spark, sf):
+    """C10 with all its word steps in the notebook's order: stopwords, stems, synonyms."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("row_id"), F.col("text").alias("comment"), F.col("lang").alias("label"))
+    words = C.vocabulary(d.select(T.word_tokens("comment").alias("ws")), "ws")
+    stems = C.affix_stems(words, PREFIXES, SUFFIXES, 3)
+    return C.clean_comments(d, "comment", "label", "row_id", DOCS_STOPWORDS, stems, DOCS_SYNONYMS)
+
+
+# Forms derived from a word: what the language's affixes make of it.
+INFLECTED = {
+    "passive": "'di' || w", "stative": "'ber' || w", "possessive": "w || 'nya'", "emphatic": "w || 'kulah'", "plural": "w || '-' || w",
+    "noun": "'ke' || w || 'annya'",
+    "active": "CASE substr(w, 1, 1) WHEN 't' THEN 'men' WHEN 'p' THEN 'mem' WHEN 'k' THEN 'meng' ELSE 'meny' END || substr(w, 2)",
+}
+ROOT_RULE = {"active": "[tpks][aiueo][a-z]{2,}"}
+ROOT_RE = "[a-z]{4,}"
+
+
+def _forms_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS kind, {e} AS form FROM r WHERE regexp_full_match(w, '{ROOT_RULE.get(k, ROOT_RE)}')"
+                              for k, e in INFLECTED.items())
+
+
+@register("confix_stems", family="text", sql=f"""
+WITH r AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '{T.WORD_RE}')) AS w FROM documents)
+           WHERE regexp_full_match(w, '{ROOT_RE}')),
+f AS ({_forms_sql()})
+SELECT kind, CAST(count(DISTINCT form) AS BIGINT) AS n_forms, CAST(count(DISTINCT form) AS BIGINT) AS n_restored FROM f GROUP BY kind
+""")
+def q_confix_stems(spark, sf):
+    """T8 by confix stripping: the words of the documents are the root dictionary, inflected
+    forms are derived from each of them, and every form must come back to a root."""
+    words = C.vocabulary(docs(spark, sf).select(T.word_tokens("text").alias("ws")), "ws")
+    roots = words.where(F.col("word").rlike(f"^{ROOT_RE}$"))
+    from opinio.session import checkpoint_root
+    checkpoint_root(spark)
+    roots = roots.checkpoint()
+    kinds = F.array(*[F.when(F.col("word").rlike(f"^{ROOT_RULE.get(k, ROOT_RE)}$"),
+                             F.struct(F.lit(k).alias("kind"), F.expr(e.replace("w", "word") if k != "active" else e.replace("(w,", "(word,")).alias("word")))
+                      for k, e in INFLECTED.items()])
+    forms = explode_rows(roots, F.filter(kinds, lambda x: x.isNotNull()), "f").select("f.kind", "f.word").distinct().checkpoint()
+    stems = ST.confix_stems(forms.select("word"), roots)
+    found = stems.join(roots.select(F.col("word").alias("stem")), "stem", "left_semi").withColumn("found", F.lit(1))
+    return (forms.join(found, "word", "left").groupBy("kind")
+            .agg(F.count(F.lit(1)).alias("n_forms"), F.count("found").alias("n_restored")))
+
+
 @register("residual_duplicates", family="text", sql=f"""
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_keys,
        CAST(sum(n - 1) AS BIGINT) AS n_duplicates
