@@ -30,7 +30,7 @@ SCALE, MOST = 256.0, 1 << 24
 #: of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 5, 80, 100
 #: Points of a tree; points that the cuts are fitted on, at most about so many; queries of a block.
-TILE_ROWS, SAMPLE_ROWS, QUERY_BLOCK = 4096, 16_384, 8192
+TILE_ROWS, SAMPLE_ROWS, QUERY_BLOCK = 1024, 16_384, 8192
 #: Order of a row without id: after all others.
 NO_ID = (1 << 63) - 1
 

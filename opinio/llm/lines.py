@@ -8,9 +8,9 @@ occurs first and goes elsewhere.  Digests only propose: texts of proposed chunks
 compared byte by byte (grouped by the text itself) before anything is removed.
 
 A chunk at either end of a passage also holds lines of its surroundings, so chunks alone
-miss ends of passages and short passages.  ``dedup_passages`` proposes overlapping runs of
-lines besides the chunks and removes every repeated run of whole lines from
-``LONG_LINE_WORDS`` words on.
+miss ends of passages and short passages (``dedup_lines``).  ``dedup_passages``, which the
+query and the pipeline use, proposes overlapping runs of lines besides the chunks and removes
+every repeated run of whole lines from ``LONG_LINE_WORDS`` words on.
 
 Everything here is DataFrame expressions.
 """
@@ -112,32 +112,32 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``rid, drop``: per text with any, the places ``(first, n_lines)`` of chunks that occur
+    """``doc, rid, drop``: per text with any, the places ``(first, n_lines)`` of chunks that occur
     earlier: in a smaller document, or further up in the same one.
 
     Rows that repeat an id and text are one document; rows without id come last, in order
     of ``rid``.
     """
     found = chunks(docs, id_col, text_col).where(_counts(F.col("chunk"), F.col("n_lines")))
-    return (_later(found, "pos").groupBy("rid")
+    return (_later(found, "pos").groupBy("doc", "rid")
             .agg(F.sort_array(F.collect_set(F.struct("first", "n_lines"))).alias("drop")))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``rid, drop`` as ``repeated_chunks``, for chunks and ``passages`` together: places that
+    """``doc, rid, drop`` as ``repeated_chunks``, for chunks and ``passages`` together: places that
     overlap or touch are one.
 
     A removed line has an equal one at a smaller place, so the first of equal lines stays.
     """
     found = chunks(docs, id_col, text_col).where(_counts(F.col("chunk"), F.col("n_lines"))) \
         .select("doc", "rid", "first", "n_lines", "chunk").unionByName(passages(docs, id_col, text_col))
-    later = _later(found, "first").select("rid", "first", (F.col("first") + F.col("n_lines")).alias("end")).distinct()
-    in_order = Window.partitionBy("rid").orderBy("first", "end")
+    later = _later(found, "first").select("doc", "rid", "first", (F.col("first") + F.col("n_lines")).alias("end")).distinct()
+    in_order = Window.partitionBy("doc", "rid").orderBy("first", "end")
     reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce(F.col("first") > reached, F.lit(True)).cast("int")
-    joined = (later.withColumn("opens", opens).withColumn("k", F.sum("opens").over(in_order)).groupBy("rid", "k")
+    joined = (later.withColumn("opens", opens).withColumn("k", F.sum("opens").over(in_order)).groupBy("doc", "rid", "k")
               .agg(F.min("first").alias("first"), F.max("end").alias("end")))
-    return joined.groupBy("rid").agg(F.sort_array(F.collect_list(
+    return joined.groupBy("doc", "rid").agg(F.sort_array(F.collect_list(
         F.struct("first", (F.col("end") - F.col("first")).alias("n_lines")))).alias("drop"))
 
 
@@ -178,12 +178,13 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _without(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
     drops = settle(drops)
-    drops = broadcast_if_small(drops.select(F.col("rid").alias("__rid"), F.col("drop").alias("__drop")),
-                               F.lit(32) + F.lit(16) * F.size("__drop"))
+    drops = broadcast_if_small(drops.select(F.col("doc").alias("__of"), F.col("rid").alias("__rid"), F.col("drop").alias("__drop")),
+                               F.lit(64) + F.lit(24) * F.size("__drop"))
     names = [c for c in docs.columns if c != "n_lines_removed"]
     doc, text = column(docs, id_col).cast("long"), column(docs, text_col)
-    df = docs.select(*[column(docs, c) for c in names], F.xxhash64(doc, text).alias("__key"))
-    df = df.join(drops, F.col("__key") == F.col("__rid"), "left")
+    df = docs.select(*[column(docs, c) for c in names], F.coalesce(doc, F.lit(NO_ID)).alias("__doc"),
+                     F.xxhash64(doc, text).alias("__key"))
+    df = df.join(drops, (F.col("__doc") == F.col("__of")) & (F.col("__key") == F.col("__rid")), "left")
     removed = F.coalesce(F.aggregate("__drop", F.lit(0), lambda n, d: n + d["n_lines"]), F.lit(0)).cast("long")
     # Runs of kept lines between the removed places, in order.
     lines = F.split(column(df, text_col), "\n", -1)

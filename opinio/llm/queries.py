@@ -191,11 +191,20 @@ h AS (SELECT *, CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN md5(line
 b AS (SELECT *, h IS NULL OR lead(h) OVER w IS NULL OR substr(md5(coalesce(lag(h) OVER w, '') || h), 1, 2) < '55' AS ends
       FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b),
-c AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines FROM n GROUP BY doc_id, pos),
-e AS (SELECT *, n_lines > 1 OR len(regexp_extract_all(chunk, '{_W}')) >= 25 AS counts FROM c),
-f AS (SELECT *, counts AND row_number() OVER (PARTITION BY counts, chunk ORDER BY doc_id, pos) > 1 AS gone FROM e),
-t AS (SELECT doc_id, sum(n_lines) AS n_lines, sum(CASE WHEN gone THEN n_lines ELSE 0 END) AS n_removed,
-             string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY doc_id)
+c AS (SELECT doc_id, min(i) AS a, max(i) AS z, string_agg(line, chr(10) ORDER BY i) AS run, count(*) AS n_lines FROM n GROUP BY doc_id, pos),
+sized AS (SELECT doc_id, i, len(regexp_extract_all(line, '{_W}')) AS n FROM l),
+words AS (SELECT doc_id, i, upto, upto - n AS before
+          FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM sized WHERE n > 0)),
+ahead AS (SELECT x.doc_id, x.i AS a, y.i AS z FROM words x ASOF JOIN words y ON x.doc_id = y.doc_id AND x.before + 25 <= y.upto),
+back AS (SELECT x.doc_id, y.i AS a, x.i AS z FROM words x ASOF JOIN words y ON x.doc_id = y.doc_id AND x.upto - 25 >= y.before),
+runs AS (SELECT doc_id, a, z, array_to_string(string_split(text, chr(10))[a + 1:z + 1], chr(10)) AS run
+         FROM (SELECT * FROM ahead UNION SELECT * FROM back) JOIN documents USING (doc_id)
+         UNION SELECT doc_id, a, z, run FROM c WHERE n_lines > 1 OR len(regexp_extract_all(run, '{_W}')) >= 25),
+later AS (SELECT * FROM (SELECT *, min({{'d': doc_id, 'a': a}}) OVER (PARTITION BY run) AS lo FROM runs) WHERE {{'d': doc_id, 'a': a}} <> lo),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM later),
+t AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+             string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL) AS kept
+      FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_lines_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN t USING (doc_id)
@@ -204,11 +213,11 @@ FROM documents LEFT JOIN t USING (doc_id)
 
 @register("op5_lines", OP5_SQL)
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract of its own: lines in, lines removed as repeated chunks, digest of what stays."""
+    """Contract of its own: lines in, lines removed as repeated chunks or passages, digest of what stays."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_lines_removed",
-                                          F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return lines.dedup_passages(docs).select("doc_id", "n_lines", "n_lines_removed",
+                                             F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 @register("op7_toxicity")

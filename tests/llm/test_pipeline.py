@@ -25,21 +25,27 @@ def test_pipeline_stages(spark):
     assert set(rows(clean)) == {i for i, r in before.items() if scorer.score(r.text) < 0.5}
 
     cut = P.dedup_lines(spark, clean, SF).cache()
-    found, seen, want = {}, set(), {}
+    found, first, want = {}, {}, {}
     for c in lines.chunks(clean).collect():
-        found.setdefault(c.doc, []).append(c)
+        if c.n_lines > 1 or len(WORD.findall(c.chunk)) >= lines.LONG_LINE_WORDS:
+            found.setdefault(c.doc, []).append((c.first, c.first + c.n_lines, c.chunk))
+    for i, r in sorted(rows(clean).items()):  # every shortest run of lines that reaches the words, from and up to each line
+        ls = (r.text or "").split("\n")
+        size = [len(WORD.findall(x)) for x in ls]
+        for k in (k for k, n in enumerate(size) if n):
+            ends = [z for z in range(k + 1, len(ls) + 1) if sum(size[k:z]) >= lines.LONG_LINE_WORDS]
+            starts = [a for a in range(k, -1, -1) if sum(size[a:k + 1]) >= lines.LONG_LINE_WORDS]
+            found.setdefault(i, []).extend([(k, z, "\n".join(ls[k:z])) for z in ends[:1]] + [(a, k + 1, "\n".join(ls[a:k + 1])) for a in starts[:1]])
+        for a, _, run in found.get(i, []):
+            first[run] = min(first.get(run, (i, a)), (i, a))
+    n_gone = 0
     for i, r in sorted(rows(clean).items()):
-        left, gone = [], False
-        for c in sorted(found.get(i, []), key=lambda c: c.pos):
-            counts = c.n_lines > 1 or len(WORD.findall(c.chunk)) >= lines.LONG_LINE_WORDS
-            if counts and c.chunk in seen:
-                gone = True
-            else:
-                left.append(c.chunk)
-            seen |= {c.chunk} if counts else set()
-        text = None if r.text is None else "\n".join(left)
+        gone = {x for a, z, run in found.get(i, []) if first[run] != (i, a) for x in range(a, z)}
+        n_gone += len(gone)
+        text = None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone)
         if not (gone and not WORD.search(text)):
             want[i] = text
+    assert n_gone > 100
     assert cut.columns == list(P.COLUMNS) and {i: r.text for i, r in rows(cut).items()} == want
 
     single = P.dedup_near(spark, cut, SF).cache()
