@@ -25,18 +25,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject (score under 0.5)."""
+    """Documents that the toxicity operator does not reject (score under 0.5).
+
+    A null text is scored as an empty one and stays null; rows that repeat id and text, or
+    have no id, are judged one by one.
+    """
     lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score_texts(docs, lexicon, keep=COLUMNS).where("score < 0.5").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated multi-line chunks.
+    """Texts without repeated multi-line chunks and passages of 25 words or more.
 
-    A document left without any word goes: all it said stands elsewhere.  One that had no
-    word before stays as it was.
+    The first of equal passages stays: that of the smallest id, in a document the upper one.
+    Rows that repeat id and text are cut alike; rows without id come after all others; null
+    text stays null.  A document left without any word goes: all it said stands elsewhere.
+    One that had no word before stays as it was.
     """
-    cut = lines.dedup_lines(docs.select(*COLUMNS))
+    cut = lines.dedup_passages(docs.select(*COLUMNS))
     emptied = (F.col("n_lines_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return cut.where(~F.coalesce(emptied, F.lit(False))).select(*COLUMNS[:-1], F.length("text").cast("long").alias("n_chars"))
 
@@ -71,13 +77,20 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.
+
+    A null or empty text has no words and stays; repeated rows are judged one by one.
+    """
     found = benchmarks.decontaminate(docs, _table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return found.where("NOT contaminated").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: documents taken at least once, with how many words are taken."""
+    """The mix itself: documents taken at least once, with how many words are taken.
+
+    Documents without words are not taken; rows that repeat id and text are taken together;
+    a null source is a source, last in order.
+    """
     return mixing.mix_sources(docs, keep=COLUMNS).where("taken > 0")
 
 
