@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, IndexToString,
                                 Normalizer, StringIndexer, VectorAssembler)
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions.arrays import explode_rows
@@ -91,16 +91,21 @@ def tfidf_weights(df: DataFrame, ws_col: str, row_id: str, vocab: TfidfVocab) ->
     at all: counting, scaling and normalising happen per row against the
     bounded vocabulary, and the index -> word lookup is an inlined array.
     """
-    from pyspark.ml.functions import vector_to_array
     vec = tfidf_vectors(df.select(row_id, ws_col), ws_col, vocab, "_vec")
     words = F.array(*[F.lit(w) for w in vocab.words])
-    present = F.filter(F.transform(vector_to_array("_vec"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
-                       lambda c: c["x"] != 0.0)  # only these leave the row
-    return explode_rows(vec, present, "_c", row_id).select(
+    return explode_rows(vec, F.filter(cells("_vec"), lambda c: c["x"] != 0.0), "_c", row_id).select(
         row_id, F.element_at(words, F.col("_c.i") + 1).alias("word"), F.col("_c.i").alias("term_index"),
         F.col("_c.x").alias("weight"))
 
 
+def cells(vector_col: str) -> Column:
+    """``array<struct<i, x>>`` of an ML vector's own cells: of a sparse one those it holds."""
+    v = F.unwrap_udt(vector_col)
+    pair = lambda i, x: F.struct(i.cast("int").alias("i"), x.alias("x"))
+    return F.when(v["type"] == 0, F.zip_with(v["indices"], v["values"], pair)).otherwise(
+        F.transform(v["values"], lambda x, i: pair(i, x)))
+
+
 def tfidf_vectors(df: DataFrame, ws_col: str, vocab: TfidfVocab, out: str = "features") -> DataFrame:
     """M2 vector form: per-row ML stages (term counts over a fixed
     vocabulary, idf scaling, L2 normaliser) -- no shuffle.  Rows without
@@ -187,20 +192,24 @@ def hybrid_features(df: DataFrame, vector_col: str, extra_cols: Sequence[str],
 
 
 # ----------------------------------------------------------------- M12
-def sentence_vectors(df: DataFrame, ws_col: str, size: int = 32, out: str = "sentence_vector") -> DataFrame:
-    """Mean word vector per row.
+def sentence_vectors(df: DataFrame, ws_col: str, row_id: str = "row_id", size: int = 32,
+                     out: str = "sentence_vector") -> DataFrame:
+    """``(row_id, out)``, the mean word vector per row.
 
     A word's vector is ``size`` signs (at most 32) taken from the bits of its MD5
     digest: nothing is trained, no vocabulary is gathered, every word counts, and
     the vectors are the same on any cluster.  Random signs keep the angles between
     bags of words (a random projection).  A row without words gets zeros.
+
+    A word's digest is taken once; all its signs are added in one pass by a generated
+    aggregate, which a task combines to one row per document before its shuffle.
     """
     if not 1 <= size <= 32:
         raise ValueError("size must be between 1 and 32")
-    bits = F.transform(F.coalesce(F.col(ws_col), F.expr("CAST(array() AS array<string>)")),
-                       lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
-    with_bits = df.withColumn("_bits", bits).withColumn("_n", F.greatest(F.size("_bits"), F.lit(1)))
-    ones = lambda i: F.aggregate("_bits", F.lit(0).cast("long"), lambda s, b: s + F.call_function(
-        "shiftright", b, i).bitwiseAND(F.lit(1).cast("long")))
-    mean = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (2 * ones(i) - F.size("_bits")) / F.col("_n"))
-    return with_bits.withColumn(out, mean).drop("_bits", "_n")
+    words = df.select(row_id, F.explode_outer(ws_col).alias("_w"))
+    bits = words.select(row_id, F.conv(F.substring(F.md5(F.col("_w").cast("binary")), 1, 8), 16, 10).cast("long").alias("_b"))
+    one = F.lit(1).cast("long")
+    sums = bits.groupBy(row_id).agg(F.count("_b").alias("_n"), *[
+        F.coalesce(F.sum(F.shiftright("_b", i).bitwiseAND(one)), F.lit(0)).alias(f"_s{i}") for i in range(size)])
+    n = F.greatest(F.col("_n"), one)
+    return sums.select(row_id, F.array(*[(2 * F.col(f"_s{i}") - F.col("_n")) / n for i in range(size)]).alias(out))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from opinio.functions import labels as LB
 from opinio.functions.arrays import explode_rows
 from opinio.functions.text import word_tokens
+from opinio.operators.features import cells
 from opinio.sources.tables import bounded_broadcast
 
 
@@ -22,13 +23,18 @@ HASH_FEATURES = 1 << 12
 CLASS_BLOCK = 10_000
 
 
-def for_iterations(df: DataFrame, partitions: int | None) -> DataFrame:
-    """``df`` coalesced to ``partitions`` for an iterative fit, if given.
+def for_iterations(df: DataFrame, partitions: int | None, key: str | None = None) -> DataFrame:
+    """``df`` in ``partitions`` for an iterative fit, if given.
 
-    A fit's partition count is the caller's explicit choice: it never depends on
-    the number of rows, so neither do seeding and summation order.
+    The partition count is the caller's choice (from the input's bytes, say).  With ``key``
+    rows are dealt by its hash and ordered by it, so that seeding and summation do not depend
+    on how the input happened to be split, nor on the number of cores.
     """
-    return df if partitions is None else df.coalesce(partitions)
+    if partitions is None:
+        return df
+    if key is None:
+        return df.coalesce(partitions)
+    return df.repartition(partitions, key).sortWithinPartitions(key)
 
 
 def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
@@ -50,7 +56,8 @@ def lexicon_attribution(df: DataFrame, polarity: DataFrame, negators: DataFrame,
 
 # ------------------------------------------------------------ M3 / M3b
 def fit_kmeans(df: DataFrame, features_col: str = "features", k: int = 3, seed: int = 42,
-               n_init: int = 10, max_iter: int = 300, parallelism: int = 8, partitions: int | None = None):
+               n_init: int = 10, max_iter: int = 300, parallelism: int = 8, partitions: int | None = None,
+               row_id: str | None = None):
     """M3: k-means with ``n_init`` seeded starts (seed, seed+1, ...), keeping
     the model with the lowest within-cluster cost (the first start on ties).
 
@@ -62,8 +69,8 @@ def fit_kmeans(df: DataFrame, features_col: str = "features", k: int = 3, seed:
     from pyspark.ml.clustering import KMeans
     # The starts share one persisted copy of the vectors (recomputed from
     # the source if an executor is lost) instead of re-deriving them.
-    cached = df.select(features_col).persist()
-    points = for_iterations(cached, partitions)
+    cached = for_iterations(df.select(features_col, *([row_id] if row_id else [])), partitions, row_id).persist()
+    points = cached
 
     def one(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features_col,
@@ -200,39 +207,32 @@ def softmax_probs(df: DataFrame, scores_col: str, out: str = "probability") -> D
 # ---------------------------------------------------------------- M9
 def linear_attribution(weights: DataFrame, coefs: DataFrame, means: DataFrame,
                        row_id: str = "row_id", rows: DataFrame | None = None) -> DataFrame:
-    """M9 (linear model): exact attribution ``coef[c, w] * (x[d, w] - mean[w])``
-    for the words present in a row, plus one baseline term per
-    ``(row, class)`` for the absent words, ``-sum coef * mean`` over them.
-
-    ``weights(row_id, word, x)``, ``coefs(class, word, coef)``,
-    ``means(word, mean)``.  Coefficients are per vocabulary word (bounded by
-    the vocabulary size) and broadcast after a size check.  ``rows`` (one
-    column ``row_id``), when given, also yields the baseline of rows with
-    no vocabulary word at all (every word absent); the per-class totals are
-    then inlined, block by block, and generated per row -- no cross join.
+    """M9 (linear model): exact attribution ``coef[c, w] * (x[d, w] - mean[w])`` for the words
+    present in a row, plus one baseline term (word null) per row for the absent words,
+    ``-sum coef * mean`` over them; ``(row_id, class, word, attribution)``.
+
+    ``weights(row_id, word, x)``, ``coefs(class, word, coef)``, ``means(word, mean)``.  Without
+    ``rows`` each row that has a word is explained for each class.  ``rows(row_id, class)`` names
+    the classes a row is explained for -- its own, say -- and also gives the baseline of rows
+    without any vocabulary word; nothing is made for other classes.  Coefficients are per
+    vocabulary word and class and broadcast after a size check.
     """
     from opinio.session import checkpoint_root
     checkpoint_root(weights.sparkSession)
-    cm = bounded_broadcast(coefs.join(means, "word").checkpoint())  # read four times below
-    hits = weights.join(cm, "word")
+    cm = bounded_broadcast(coefs.join(means, "word").checkpoint())  # read several times below
+    full_base = bounded_broadcast(cm.groupBy("class").agg(F.sum(-F.col("coef") * F.col("mean")).alias("_all")).checkpoint())
+    if rows is None:
+        hits = weights.join(cm, "word")
+    else:
+        hits = weights.join(rows, row_id).join(cm, ["class", "word"])
     present = hits.select(
         row_id, "class", "word", (F.col("coef") * (F.col("x") - F.col("mean"))).alias("attribution"))
-    full_base = cm.groupBy("class").agg(F.sum(-F.col("coef") * F.col("mean")).alias("_all"))
     present_base = hits.groupBy(row_id, "class").agg(F.sum(-F.col("coef") * F.col("mean")).alias("_present"))
-    null_word = F.lit(None).cast("string").alias("word")
-    if rows is None:
-        base = present_base.join(bounded_broadcast(full_base), "class").select(
-            row_id, "class", null_word, (F.col("_all") - F.col("_present")).alias("attribution"))
-        return present.unionByName(base)
-    out = present
-    for totals in blocks_of(full_base, "class"):
-        if totals:
-            per_class = F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(r["_all"]).alias("_all")) for r in totals])
-            per_row = rows.select(row_id, F.explode(per_class).alias("_b")).select(row_id, "_b.class", "_b._all")
-            out = out.unionByName(per_row.join(present_base, [row_id, "class"], "left").select(
-                row_id, "class", null_word,
-                (F.col("_all") - F.coalesce(F.col("_present"), F.lit(0.0))).alias("attribution")))
-    return out
+    asked = present_base if rows is None else rows.join(present_base, [row_id, "class"], "left")
+    base = asked.join(full_base, "class").select(
+        row_id, "class", F.lit(None).cast("string").alias("word"),
+        (F.col("_all") - F.coalesce(F.col("_present"), F.lit(0.0))).alias("attribution"))
+    return present.unionByName(base)
 
 
 def classifier_attribution(model, df: DataFrame, ws_col: str, row_id: str = "row_id") -> DataFrame:
@@ -243,7 +243,6 @@ def classifier_attribution(model, df: DataFrame, ws_col: str, row_id: str = "row
     Per row over the non-zero cells of its vector: no shuffle, no rows x classes output.
     Terms are hash dimensions (``HashingTF.indexOf`` gives a word's).
     """
-    from pyspark.ml.functions import vector_to_array
     lr = model.stages[-1]
     coef = lr.coefficientMatrix.toArray()
     sc = df.sparkSession.sparkContext
@@ -255,53 +254,80 @@ def classifier_attribution(model, df: DataFrame, ws_col: str, row_id: str = "row
         c, b = weights.value
         for batch in batches:
             rows, terms, values = [], [], []
-            for i, (k, cells) in enumerate(zip(batch.column("_class").to_pylist(), batch.column("_cells").to_pylist())):
-                at = np.array([x["i"] for x in cells], int)
-                share = c[int(k), at] * np.array([x["x"] for x in cells], float)
+            for i, (k, own) in enumerate(zip(batch.column("_class").to_pylist(), batch.column("_cells").to_pylist(), strict=True)):
+                at = [x["i"] for x in own]
+                share = c[int(k), np.array(at, int)] * np.array([x["x"] for x in own], float)
                 rows += [i] * (len(at) + 1)
-                terms += [-1, *at.tolist()]
+                terms += [-1, *at]
                 values += [float(b[int(k)]), *share.tolist()]
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(row_id).take(at), batch.column("predicted_label").take(at), pa.array(terms, pa.int32()),
                  pa.array(values, pa.float64())], [row_id, "label", "term_index", "attribution"])
 
-    cells = F.filter(F.transform(vector_to_array("features"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != 0.0)
-    scored = predict_labels(model, df).select(row_id, "predicted_label", F.col("prediction").alias("_class"), cells.alias("_cells"))
+    scored = predict_labels(model, df).select(row_id, "predicted_label", F.col("prediction").alias("_class"), cells("features").alias("_cells"))
     kind = dict(df.dtypes)[row_id]
     return scored.mapInArrow(explain, f"`{row_id}` {kind}, label string, term_index int, attribution double")
 
 
 # --------------------------------------------------------------- M10
 def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_size: int | None = None,
-               max_iter: int = 10, top_terms: int = 10, partitions: int | None = None):
-    """Topic model (declared in the original workflow, never coded): term
-    counts + variational LDA over every document in each iteration; returns
-    ``(topic, rank, term_index, weight, word)``.  Every word of the corpus is a term; the
-    driver holds the words and ``k`` doubles for each.  ``vocab_size``, if given, keeps only
-    so many of the most frequent words."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    cached = df.select(ws_col).persist()
-    try:
-        cv = CountVectorizer(inputCol=ws_col, outputCol="_tf", vocabSize=vocab_size or (1 << 31) - 1).fit(cached)
-        counts = cv.transform(cached).select("_tf").persist()
-        try:
-            lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf", subsamplingRate=1.0).fit(
-                for_iterations(counts, partitions))
-        finally:
-            counts.unpersist()
-    finally:
-        cached.unpersist()
-    spark = df.sparkSession
-    described = lda.describeTopics(top_terms)
-    words = cv.vocabulary
-    top = {i for r in described.select("termIndices").collect() for i in r.termIndices}
-    vocab = spark.createDataFrame([(i, words[i]) for i in sorted(top)], "term_index int, word string")
-    topics = described.select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    return topics.select("topic", "rank", F.col("t.termIndices").alias("term_index"),
-                         F.col("t.termWeights").alias("weight")).join(F.broadcast(vocab), "term_index")
+               max_iter: int = 10, top_terms: int = 10, row_id: str | None = None):
+    """Topic model (declared in the original workflow, never coded); returns
+    ``(topic, rank, weight, word)``, the ``top_terms`` heaviest words of each topic.
+
+    See :func:`lda_fit`; every word of the corpus is a term, unless ``vocab_size`` keeps only so
+    many of the most frequent ones.
+    """
+    topics = lda_fit(df, ws_col, k, seed, vocab_size, max_iter, row_id)
+    order = Window.partitionBy("topic").orderBy(F.col("weight").desc(), "word")
+    ranked = topics.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top_terms)
+    return ranked.select("topic", "rank", "weight", "word")
+
+
+def lda_fit(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_size: int | None = None,
+            max_iter: int = 10, row_id: str | None = None, alpha: float = 0.1, beta: float = 0.01) -> DataFrame:
+    """M10 fit: ``(topic, word, weight, n)``: each topic's distribution over all words, and the
+    expected number of tokens of the word in the topic.
+
+    Expectation-maximisation with collapsed counts.  Nothing per word is on the driver: the
+    topic counts of words are a table, joined to the corpus's ``(row, word, n)`` counts in
+    each sweep, as are those of rows; a sweep shares each count out over the topics and adds
+    the shares up per word and per row.  Only the ``k`` topic totals are collected.  Each
+    sweep's tables are written, so a lost executor costs one sweep at most.  Starts come from a
+    hash of row and word, the same on any cluster if ``row_id`` is given.
+    """
+    from opinio.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    key = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    words = explode_rows(df.select(key.alias("_row"), F.col(ws_col).alias("_ws")), "_ws", "word", "_row")
+    tokens = words.groupBy("_row", "word").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    if vocab_size:
+        kept = tokens.groupBy("word").agg(F.sum("n").alias("cf")).orderBy(F.desc("cf"), "word").limit(vocab_size)
+        tokens = tokens.join(kept.select("word"), "word", "left_semi").checkpoint()
+    topics = range(k)
+    total = lambda cols: sum(cols[1:], cols[0])
+    start = [1.0 + F.pmod(F.xxhash64(F.lit(seed), F.lit(t), "_row", "word"), F.lit(1000)) / 1000.0 for t in topics]
+    start_sum = total([F.col(f"s{t}") for t in topics])
+    shares = tokens.select("_row", "word", "n", *[s.alias(f"s{t}") for t, s in zip(topics, start, strict=True)]) \
+        .select("_row", "word", *[(F.col("n") * F.col(f"s{t}") / start_sum).alias(f"r{t}") for t in topics])
+    sums = [F.sum(f"r{t}") for t in topics]
+    for sweep in range(max_iter + 1):
+        shares = shares.checkpoint()
+        by_word = shares.groupBy("word").agg(*[s.alias(f"w{t}") for t, s in zip(topics, sums, strict=True)]).checkpoint()
+        whole = by_word.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"w{t}").alias(f"w{t}") for t in topics]).first()
+        size = whole["v"]
+        if sweep == max_iter or not size:
+            break
+        by_row = shares.groupBy("_row").agg(*[s.alias(f"d{t}") for t, s in zip(topics, sums, strict=True)])
+        joined = tokens.join(by_word, "word").join(by_row, "_row")
+        likely = [(F.col(f"d{t}") + alpha) * (F.col(f"w{t}") + beta) / (whole[f"w{t}"] + size * beta) for t in topics]
+        p = joined.select("_row", "word", "n", *[x.alias(f"p{t}") for t, x in zip(topics, likely, strict=True)])
+        norm = total([F.col(f"p{t}") for t in topics])
+        shares = p.select("_row", "word", *[(F.col("n") * F.col(f"p{t}") / norm).alias(f"r{t}") for t in topics])
+    each = F.array(*[F.struct(F.lit(t).alias("topic"), F.col(f"w{t}").alias("n"),
+                              ((F.col(f"w{t}") + beta) / ((whole[f"w{t}"] or 0.0) + size * beta)).alias("weight")) for t in topics])
+    return by_word.select("word", F.explode(each).alias("x")).select("x.topic", "word", "x.weight", "x.n")
 
 
 # --------------------------------------------------------------- M11
@@ -324,6 +350,11 @@ class Selection:
         return PipelineModel(stages=[*self.featurizer.stages, self.models[self.best_index]])
 
 
+def training_part(row_id: str, seed: int, train_ratio: float) -> Column:
+    """Whether a row is trained on, by a seeded hash of its key."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1_000_000)) < int(1_000_000 * train_ratio)
+
+
 def select_model(df: DataFrame, ws_col: str, label_col: str, row_id: str, reg_params=(0.0, 0.01, 0.1),
                  train_ratio: float = 0.8, seed: int = 42, parallelism: int = 3, max_iter: int = 100,
                  n_features: int = HASH_FEATURES, partitions: int | None = None) -> Selection:
@@ -340,7 +371,7 @@ def select_model(df: DataFrame, ws_col: str, label_col: str, row_id: str, reg_pa
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     cached = df.select(row_id, ws_col, label_col).persist()
     try:
-        part = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1_000_000)) < int(1_000_000 * train_ratio)
+        part = training_part(row_id, seed, train_ratio)
         train, valid = cached.where(part), cached.where(~part)
         featurizer = text_featurizer(ws_col, label_col, n_features=n_features).fit(train)
         tx = featurizer.transform(train).select("label_index", "features").persist()
@@ -389,15 +420,19 @@ def predict_with_model(df: DataFrame, text_col: str, make_predict_fn, labels: Se
     """M5 for a model that is not a Spark ML stage (e.g. an exported neural
     network): ``make_predict_fn()`` is called once per Python worker and
     returns ``fn(texts: np.ndarray) -> np.ndarray[n, n_classes]`` of class
-    scores.  Rows travel to Python in Arrow batches of ``batch_size``; the
+    scores (of an array column ``fn`` gets a matrix with a row per input).  Rows travel to Python in Arrow batches of ``batch_size``; the
     argmax and label lookup run back on the JVM side."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, FloatType
 
     n = n_classes or len(labels)
-    udf = predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()),
-                            batch_size=batch_size, input_tensor_shapes=None)
-    scored = df.withColumn("_scores", udf(F.coalesce(F.col(text_col), F.lit(""))))
+    kind = df.schema[text_col].dataType
+    vectors = isinstance(kind, ArrayType)
+    # The length of the vectors, which must all have it.
+    width = df.agg(F.max(F.size(text_col))).first()[0] or 0 if vectors else 0
+    udf = predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size,
+                            input_tensor_shapes=[[width]] if vectors else None)
+    scored = df.withColumn("_scores", udf(F.col(text_col) if vectors else F.coalesce(F.col(text_col), F.lit(""))))
     scored = scored.withColumn("_scores", F.when(F.size("_scores") == n, F.col("_scores")).otherwise(
         F.raise_error(F.format_string("the model gave %s scores for %s labels", F.size("_scores"), F.lit(n)))))
     return scored.withColumn(out, LB.argmax_label("_scores", list(labels))).drop("_scores")

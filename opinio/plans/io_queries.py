@@ -120,7 +120,7 @@ def q_model_save_load(spark, sf):
     from pyspark.ml import PipelineModel
     from opinio.plans.ml_queries import _labelled, fit_partitions
     d = _labelled(spark, sf).select("doc_id", "ws", "label", "lex_score")
-    model = MO.train_classifier(d, "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
+    model = MO.train_classifier(d, "ws", "label", ["lex_score"], partitions=fit_partitions(spark, sf))
     path = work_dir(spark, "model")
     model.write().overwrite().save(path)
     again = PipelineModel.load(path)
@@ -138,7 +138,7 @@ def q_stream_model_scoring(spark, sf):
     CSV row; both streams must give the label of the batch prediction, and the scored CSV
     still holds the comment."""
     from opinio.plans.ml_queries import _labelled, fit_partitions, scoring_columns
-    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
+    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark, sf))
     docs = table(spark, sf, "documents").select("doc_id", "text")
     root = work_dir(spark, "model-requests")
     docs.select(F.to_json(F.struct(F.col("doc_id").alias("id"), "text")).alias("value")).write.text(os.path.join(root, "json"))

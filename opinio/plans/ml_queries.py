@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from opinio.functions import labels as LB
 from opinio.functions import text as T
-from opinio.functions.arrays import explode_rows
+from opinio.functions.arrays import explode_rows, posexplode_rows
 from opinio.operators import features as FE
 from opinio.operators import metrics as ME
 from opinio.operators import models as MO
@@ -101,17 +103,19 @@ coef AS (SELECT d.lang AS class, x.word, sum(x.x) / max(c.nc) AS coef
 mean AS (SELECT word, sum(x) / max(n.n) AS mean FROM x CROSS JOIN n GROUP BY word),
 cm AS MATERIALIZED (SELECT * FROM coef JOIN mean USING (word)),
 allb AS (SELECT class, sum(-coef * mean) AS a FROM cm GROUP BY class),
-presb AS (SELECT x.doc_id, cm.class, sum(-cm.coef * cm.mean) AS p FROM x JOIN cm USING (word) GROUP BY x.doc_id, cm.class)
-SELECT x.doc_id, cm.class, x.word, round(cm.coef * (x.x - cm.mean), 6) AS attribution FROM x JOIN cm USING (word)
+own AS MATERIALIZED (SELECT x.doc_id, cm.class, x.word, x.x, cm.coef, cm.mean
+                     FROM x JOIN documents d USING (doc_id) JOIN cm ON cm.word = x.word AND cm.class = d.lang),
+presb AS (SELECT doc_id, sum(-coef * mean) AS p FROM own GROUP BY doc_id)
+SELECT doc_id, class, word, round(coef * (x - mean), 6) AS attribution FROM own
 UNION ALL
 SELECT d.doc_id, allb.class, CAST(NULL AS VARCHAR) AS word, round(allb.a - coalesce(presb.p, 0.0), 6) AS attribution
-FROM documents d CROSS JOIN allb LEFT JOIN presb ON presb.doc_id = d.doc_id AND presb.class = allb.class
+FROM documents d JOIN allb ON d.lang = allb.class LEFT JOIN presb USING (doc_id)
 """)
 def q_linear_attribution(spark, sf):
     """M9, linear form: exact attributions ``coef * (x - mean)`` of a linear
     scorer over TF-IDF weights -- one coefficient vector per language, its
-    mean TF-IDF vector -- per document, class and present word, plus one
-    baseline row (word null) per document and class for the absent words."""
+    mean TF-IDF vector -- per document and present word in the document's own class, plus one
+    baseline row (word null) per document for the absent words."""
     d = _docs_tokens(spark, sf, 2)
     vocab = FE.fit_tfidf(d, "ws", "doc_id", TFIDF_MAX_FEATURES)
     # The weights feed four branches (coefficients, means, present words,
@@ -129,27 +133,32 @@ def q_linear_attribution(spark, sf):
              .join(n_c, "class").select("class", "word", (F.col("_s") / F.col("n_c")).alias("coef")))
     x = x.select("doc_id", "word", "x")
     means = x.groupBy("word").agg((F.sum("x") / F.lit(vocab.n_docs)).alias("mean"))
-    out = MO.linear_attribution(x, coefs, means, "doc_id", rows=docs.select("doc_id"))
+    out = MO.linear_attribution(x, coefs, means, "doc_id", rows=docs)
     return out.select("doc_id", "class", "word", F.round("attribution", 6).alias("attribution"))
 
 
 @register("kmeans_clusters", family="ml", sql="""
-SELECT doc_id, true AS is_nearest, true AS in_range FROM documents
+SELECT doc_id, true AS is_nearest, true AS in_range, true AS centre_is_mean FROM documents
 """)
 def q_kmeans_clusters(spark, sf):
     """M3: TF-IDF vectors clustered with k=3, best of 10 seeded starts.  Cluster
-    ids are arbitrary; checked is that each document's cluster is that of its
-    nearest centroid."""
+    ids are arbitrary; checked is that each document's cluster is that of its nearest centroid,
+    and that the centroid is the mean of the documents given to it (which is so only after the
+    iterations have settled)."""
     d = _docs_tokens(spark, sf, 2)
     vocab = FE.fit_tfidf(d, "ws", "doc_id", TFIDF_MAX_FEATURES)
     checkpoint_root(spark)
     v = FE.tfidf_vectors(d, "ws", vocab).select("doc_id", "features").checkpoint()  # fits and scoring read it
-    model = MO.fit_kmeans(v, "features", k=3, seed=42, n_init=10, partitions=fit_partitions(spark))
-    got = model.transform(v).select("doc_id", "cluster", vector_to_array("features").alias("_v"))
-    dist = got.withColumn("_d", MO.squared_distances("_v", [c.tolist() for c in model.clusterCenters()]))
+    model = MO.fit_kmeans(v, "features", k=3, seed=42, n_init=10, partitions=fit_partitions(spark, sf), row_id="doc_id")
+    centres = [c.tolist() for c in model.clusterCenters()]
+    got = model.transform(v).select("doc_id", "cluster", vector_to_array("features").alias("_v")).checkpoint()
+    dist = got.withColumn("_d", MO.squared_distances("_v", centres))
     own = F.element_at("_d", F.col("cluster") + 1)
-    return dist.select("doc_id", (own <= F.array_min("_d") + 1e-9).alias("is_nearest"),
-                       F.col("cluster").between(0, 2).alias("in_range"))
+    means = MO.class_centroids(got, "_v", "cluster")
+    off = F.aggregate(F.zip_with("v", F.element_at(F.lit(centres), F.col("class") + 1), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    settled = F.broadcast(means.select(F.col("class").alias("cluster"), (off < 1e-3).alias("centre_is_mean")))  # three rows
+    return dist.join(settled, "cluster", "left").select(
+        "doc_id", (own <= F.array_min("_d") + 1e-9).alias("is_nearest"), F.col("cluster").between(0, 2).alias("in_range"), "centre_is_mean")
 
 
 @register("nearest_centroid", family="ml", sql="""
@@ -264,27 +273,35 @@ def q_sequence_encoding_longest(spark, sf):
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
 
 
+def held_out(key: str):
+    """A fifth of the rows, by a hash of their key: never trained on."""
+    return F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(5)) == 0
+
+
 @register("train_classifier", family="ml", sql="""
 SELECT count(*) AS n_rows, true AS labels_known, true AS beats_majority
 FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL
 """)
 def q_train_classifier(spark, sf):
-    """M4: fit the pipeline on labelled documents.  On them it must do at least as
-    well as the most frequent label."""
+    """M4: fit the pipeline on four fifths of the labelled documents.  On the fifth that it has
+    not seen it must do at least as well as always saying the most frequent label."""
     d = _labelled(spark, sf)
-    model = MO.train_classifier(d, "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
-    pred = MO.predict_labels(model, d).select("label", "predicted_label")
-    n = F.count(F.lit(1))
+    model = MO.train_classifier(d.where(~held_out("doc_id")), "ws", "label", ["lex_score"], partitions=fit_partitions(spark, sf))
+    pred = MO.predict_labels(model, d).select("label", "predicted_label", held_out("doc_id").alias("unseen"))
+    hit = lambda c: F.count_if(F.col("unseen") & c)
     return pred.agg(
-        n.alias("n_rows"), F.bool_and(F.col("predicted_label").isin("positif", "negatif")).alias("labels_known"),
-        (F.count_if(F.col("label") == F.col("predicted_label")) >=
-         F.greatest(F.count_if(F.col("label") == "positif"), F.count_if(F.col("label") == "negatif"))).alias("beats_majority"))
+        F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.col("predicted_label").isin("positif", "negatif")).alias("labels_known"),
+        (hit(F.col("label") == F.col("predicted_label")) >=
+         F.greatest(hit(F.col("label") == "positif"), hit(F.col("label") == "negatif"))).alias("beats_majority"))
 
 
-def fit_partitions(spark) -> int:
-    """Partitions of the queries' iterative fits: a quarter of the cluster's cores, whatever the
-    input's size (each iteration is a job over all of them)."""
-    return max(1, spark.sparkContext.defaultParallelism // 4)
+def fit_partitions(spark, sf, table_name: str = "documents", bytes_each: int = 8_000_000) -> int:
+    """Partitions of the queries' iterative fits, from the bytes of the table's files: one for
+    each 8 MB, so that they grow with the input and are the same on any cluster."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(sf, f"{table_name}.parquet"))
+    size = path.getFileSystem(conf).getContentSummary(path).getLength()
+    return max(1, -(-size // bytes_each))
 
 
 def scoring_columns(df):
@@ -294,17 +311,25 @@ def scoring_columns(df):
 
 
 @register("batch_predict", family="ml", sql="""
-SELECT doc_id, 2 AS n_probabilities, 1.0::DOUBLE AS p_sum, true AS label_is_argmax FROM documents
+SELECT doc_id, 2 AS n_probabilities, 1.0::DOUBLE AS p_sum, true AS label_is_argmax, true AS softmax_agrees FROM documents
 """)
 def q_batch_predict(spark, sf):
-    """M5, M6: train on the labelled documents, score every document: one
-    probability per label, summing to 1, the label being the likeliest."""
-    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
+    """M5, M6: train on the labelled documents, score every document: one probability per label,
+    summing to 1, the label being the likeliest; each is the softmax of the row's margins, which
+    are worked out here from the features and the model's coefficients."""
+    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark, sf))
     d = scoring_columns(table(spark, sf, "documents").select("doc_id", "text"))
     # Scoring frames carry no label: the fitted label indexer skips a missing column.
-    p = MO.predict_labels(model, d).select("doc_id", "predicted_label", vector_to_array("probability").alias("p"))
+    lr = model.stages[-1]
+    coef = lr.coefficientMatrix.toArray()  # labels x HASH_FEATURES
+    margin = lambda w, b: F.aggregate("cells", F.lit(b), lambda m, x: m + x["x"] * F.element_at(F.lit(w), x["i"] + 1))
+    margins = F.array(*[margin(w, b) for w, b in zip(coef.tolist(), lr.interceptVector.toArray().tolist(), strict=True)])
+    p = MO.predict_labels(model, d).select("doc_id", "predicted_label", vector_to_array("probability").alias("p"), FE.cells("features").alias("cells"))
+    p = MO.softmax_probs(p.withColumn("m", margins), "m", "own")
+    off = F.aggregate(F.zip_with("p", "own", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
     return p.select("doc_id", F.size("p").alias("n_probabilities"), F.round(LB.array_sum("p"), 6).alias("p_sum"),
-                    (LB.argmax_label("p", model.stages[0].labels) == F.col("predicted_label")).alias("label_is_argmax"))
+                    (LB.argmax_label("p", model.stages[0].labels) == F.col("predicted_label")).alias("label_is_argmax"),
+                    (off < 1e-9).alias("softmax_agrees"))
 
 
 @register("classifier_attribution", family="ml", sql="""
@@ -313,7 +338,7 @@ SELECT doc_id, true AS sums_to_margin, true AS explains_prediction FROM document
 def q_classifier_attribution(spark, sf):
     """M9 for the fitted classifier: the shares of a document's terms in its predicted
     class add up to that class's margin."""
-    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark))
+    model = MO.train_classifier(_labelled(spark, sf), "ws", "label", ["lex_score"], partitions=fit_partitions(spark, sf))
     d = scoring_columns(spread(table(spark, sf, "documents").select("doc_id", "text")))
     checkpoint_root(spark)
     shares = MO.classifier_attribution(model, d, "ws", "doc_id")
@@ -325,12 +350,12 @@ def q_classifier_attribution(spark, sf):
 
 
 @register("cluster_word_clouds", family="ml", sql="""
-SELECT 3 AS n_clusters, count(*) AS n_docs, true AS descending, true AS positive
+SELECT 3 AS n_clusters, count(*) AS n_docs, true AS clouds_agree
 FROM documents JOIN labels USING (doc_id) WHERE quality = 1
 """)
 def q_cluster_word_clouds(spark, sf):
     """A10 over M3: cleaned comments of one label, TF-IDF vectors, three clusters and the
-    ten heaviest words of each."""
+    ten heaviest words of each, which must be those of the cluster's own documents counted here."""
     from opinio.operators import clean as C
     from opinio.operators.wordstats import group_word_weights
     from opinio.resources import DOCS_STOPWORDS
@@ -341,15 +366,16 @@ def q_cluster_word_clouds(spark, sf):
     d = d.withColumn("ws", T.word_tokens("text", 2))
     vocab = FE.fit_tfidf(d, "ws", "doc_id", TFIDF_MAX_FEATURES)
     v = FE.tfidf_vectors(d, "ws", vocab).select("doc_id", "text", "features").checkpoint()
-    model = MO.fit_kmeans(v, "features", k=3, seed=42, n_init=3, partitions=fit_partitions(spark))
-    grouped = model.transform(v).select("doc_id", "text", F.col("cluster").cast("string").alias("cluster"))
+    model = MO.fit_kmeans(v, "features", k=3, seed=42, n_init=3, partitions=fit_partitions(spark, sf), row_id="doc_id")
+    grouped = model.transform(v).select("doc_id", "text", F.col("cluster").cast("string").alias("cluster")).checkpoint()
     clouds = group_word_weights(grouped, "text", "cluster", max_words=10)
-    weight = [c for c in clouds.columns if c in ("weight", "rel_weight")][0]
-    ranked = clouds.groupBy("cluster").agg(F.max(weight).alias("hi"), F.min(weight).alias("lo"))
-    stats = ranked.agg(F.count(F.lit(1)).cast("int").alias("n_clusters"), F.bool_and(F.col("hi") >= F.col("lo")).alias("descending"),
-                       F.bool_and(F.col("lo") > 0).alias("positive"))
-    n = grouped.count()
-    return stats.select("n_clusters", F.lit(n).cast("long").alias("n_docs"), "descending", "positive")
+    clouds = clouds.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct(F.round(-F.col("weight"), 9).alias("w"), "word"))).alias("cloud"))
+    said = explode_rows(grouped, F.regexp_extract_all("text", F.lit(T.WORD2_RE), 0), "word", "cluster").groupBy("cluster", "word").count()
+    most = said.groupBy("cluster").agg(F.max("count").alias("most"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "word"))), 1, 10).alias("top"))
+    own = most.select("cluster", F.transform("top", lambda x: F.struct(F.round(x["c"] / F.col("most"), 9).alias("w"), x["word"])).alias("own"))
+    both = clouds.join(own, "cluster", "full")
+    return both.agg(F.count(F.lit(1)).cast("int").alias("n_clusters"), F.lit(grouped.count()).cast("long").alias("n_docs"),
+                    F.bool_and(F.coalesce(F.col("cloud") == F.col("own"), F.lit(False))).alias("clouds_agree"))
 
 
 @register("hybrid_features", family="ml", sql=f"""
@@ -373,69 +399,70 @@ def q_hybrid_features(spark, sf):
                     F.round(LB.array_sum("a") - F.element_at("a", -1), 6).alias("sum_weight"))
 
 
-def _marker_model():
-    """Stand-in for a user's exported model (M5 hook), built once per Python
-    worker: class scores ``[negative hits, 0.5, positive hits]`` over the
-    whitespace words of each text in an Arrow batch."""
-    import numpy as np
-    pos, neg = set(DOCS_LEXICON.positive), set(DOCS_LEXICON.negative)
-
-    def predict(texts):
-        out = np.empty((len(texts), 3), dtype=np.float32)
-        for i, t in enumerate(texts):
-            ws = str(t).split()
-            out[i] = (sum(w in neg for w in ws), 0.5, sum(w in pos for w in ws))
-        return out
-    return predict
-
-
-_HITS = "len(list_filter(string_split_regex(coalesce(text, ''), '[{ws}]+'), lambda w: w IN {words}))"
-
-
-@register("user_model_predict", family="ml", sql=f"""
-SELECT doc_id, CASE WHEN neg >= 1 AND neg >= pos THEN 'negatif' WHEN pos = 0 THEN 'netral' ELSE 'positif' END
-       AS predicted_label
-FROM (SELECT doc_id, {_HITS.format(ws=T.SPACE_CHARS, words=sql_list(DOCS_LEXICON.negative))} AS neg,
-             {_HITS.format(ws=T.SPACE_CHARS, words=sql_list(DOCS_LEXICON.positive))} AS pos FROM documents)
+@register("user_model_predict", family="ml", sql="""
+SELECT vec_id, true AS same_label FROM embeddings
 """)
 def q_user_model_predict(spark, sf):
-    """M5 with a model that is not a Spark ML stage: texts travel to the
-    Python workers in Arrow batches (``predict_batch_udf``), the model is
-    built once per worker, argmax and label lookup run back in the JVM."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return MO.predict_with_model(d, "text", _marker_model, ["negatif", "netral", "positif"]).select(
-        "doc_id", "predicted_label")
+    """M5 with a model that is not a Spark ML stage: the coefficients of a fitted classifier of
+    the embeddings, exported as arrays, score rows in Arrow batches (``predict_batch_udf``, the
+    model built once per worker); the labels must be those that Spark ML gives."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", array_to_vector("embedding").alias("features"))
+    fitted = LogisticRegression(family="multinomial", regParam=0.01, maxIter=20).fit(
+        MO.for_iterations(e, fit_partitions(spark, sf, "embeddings"), "vec_id"))
+    coef, intercept = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+
+    def exported():
+        return lambda vectors: vectors @ coef.T + intercept
+
+    labels = [str(i) for i in range(len(intercept))]
+    scored = fitted.transform(MO.predict_with_model(e, "embedding", exported, labels))
+    same = F.col("predicted_label") == F.col("prediction").cast("int").cast("string")
+    # Scores travel as floats: a row whose two best margins are closer than that has no one label.
+    top = F.slice(F.sort_array(vector_to_array("rawPrediction"), asc=False), 1, 2)
+    return scored.select("vec_id", (same | (top[0] - top[1] < 1e-4)).alias("same_label"))
 
 
 @register("lda_topics", family="ml", sql=f"""
-SELECT t AS topic, r AS rank, true AS in_corpus, true AS positive, true AS descending
-FROM range(3) a(t), range(10) b(r)
+WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '{T.WORD2_RE}')) AS word FROM documents),
+s AS (SELECT count(*) AS n_tokens, count(DISTINCT word) AS n_words FROM t)
+SELECT t AS topic, CAST(n_words AS BIGINT) AS n_words, 1.0::DOUBLE AS weight_sum, CAST(n_tokens AS BIGINT) AS all_tokens,
+       true AS ranked FROM s, range(3) a(t)
 """)
 def q_lda_topics(spark, sf):
-    """Three topics over the documents, top 10 words each: words of the corpus, with
-    positive weights that fall with the rank."""
+    """Three topics over the documents.  Each is a distribution over all words of the
+    corpus, the topics share out every token of it, and the top words are the heaviest."""
     from pyspark.sql.window import Window
     docs = _docs_tokens(spark, sf, 2)
     checkpoint_root(spark)
-    topics = MO.lda_topics(docs, "ws", k=3, seed=42, partitions=fit_partitions(spark)).select("topic", "rank", "word", "weight").checkpoint()
-    words = explode_rows(docs, "ws", "word").join(F.broadcast(topics.select("word").distinct()), "word", "left_semi").distinct()
-    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
-    known = topics.join(words.withColumn("_known", F.lit(True)), "word", "left")
-    return known.select(F.col("topic").cast("long").alias("topic"), F.col("rank").cast("long").alias("rank"),
-                        F.coalesce("_known", F.lit(False)).alias("in_corpus"), (F.col("weight") > 0).alias("positive"),
-                        F.coalesce(before >= F.col("weight"), F.lit(True)).alias("descending"))
+    topics = MO.lda_fit(docs, "ws", k=3, seed=42, row_id="doc_id").checkpoint()
+    stats = topics.groupBy("topic").agg(F.count(F.lit(1)).alias("n_words"), F.round(F.sum("weight"), 6).alias("weight_sum"),
+                                        F.max("weight").alias("heaviest"), F.sum("n").alias("n"))
+    every = F.sum("n").over(Window.partitionBy(F.lit(1)))  # three rows
+    return stats.select(F.col("topic").cast("long").alias("topic"), "n_words", "weight_sum", F.round(every).cast("long").alias("all_tokens"),
+                        (F.col("heaviest") * F.col("n_words") > 1).alias("ranked"))
 
 
 @register("model_selection", family="ml", sql="""
-SELECT unnest([0.0, 0.01, 0.1])::DOUBLE AS reg_param, true AS finite, true AS no_worse_than_best
+SELECT unnest([0.0, 0.01, 0.1])::DOUBLE AS reg_param, true AS loss_agrees, 1 AS n_chosen
 """)
 def q_model_selection(spark, sf):
-    """Validation log loss of each candidate regularisation; the chosen one has the
-    least."""
-    sel = MO.select_model(_labelled(spark, sf), "ws", "label", "doc_id", partitions=fit_partitions(spark))
-    best = sel.log_losses[sel.best_index]
-    rows = [(float(r), bool(0 <= m < float("inf")), bool(m >= best)) for r, m in zip(sel.reg_params, sel.log_losses)]
-    return spark.createDataFrame(rows, "reg_param double, finite boolean, no_worse_than_best boolean")
+    """Validation log loss of each candidate regularisation, worked out here from the
+    probabilities of the validation rows; the chosen candidate is the one with the least."""
+    d = _labelled(spark, sf)
+    sel = MO.select_model(d, "ws", "label", "doc_id", partitions=fit_partitions(spark, sf))
+    valid = sel.featurizer.transform(d.where(~MO.training_part("doc_id", 42, 0.8))).select("label_index", "features")
+    checkpoint_root(spark)
+    valid = valid.checkpoint()
+    losses = []
+    for m in sel.models:
+        p = F.element_at(vector_to_array("probability"), F.col("label_index").cast("int") + 1)
+        losses.append(m.transform(valid).agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15))))).first()[0])
+    chosen = losses.index(min(losses))
+    rows = [(float(r), abs(m - own) < 1e-9, int(sel.best_index == chosen))
+            for r, m, own in zip(sel.reg_params, sel.log_losses, losses, strict=True)]
+    return spark.createDataFrame(rows, "reg_param double, loss_agrees boolean, n_chosen int")
 
 
 @register("early_stop", family="ml", sql="""
@@ -465,6 +492,6 @@ FROM t CROSS JOIN range(32) r(i) LEFT JOIN s USING (doc_id, i)
 """)
 def q_sentence_vectors(spark, sf):
     """Mean sign vector per document, all 32 components."""
-    v = FE.sentence_vectors(_docs_tokens(spark, sf, 1), "ws", size=32)
-    return v.select("doc_id", F.posexplode("sentence_vector").alias("dim", "x")).select(
+    v = FE.sentence_vectors(_docs_tokens(spark, sf, 1), "ws", "doc_id", size=32)
+    return posexplode_rows(v, "sentence_vector", "dim", "x", "doc_id").select(
         "doc_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))

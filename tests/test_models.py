@@ -226,7 +226,7 @@ def test_linear_attribution_baseline_for_rows_without_words(spark):
     w = spark.createDataFrame([(1, "a", 0.5)], "row_id long, word string, x double")
     coefs = spark.createDataFrame([(0, "a", 2.0), (0, "b", -1.0)], "class int, word string, coef double")
     means = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "word string, mean double")
-    rows = spark.createDataFrame([(1,), (2,)], "row_id long")
+    rows = spark.createDataFrame([(1, 0), (2, 0)], "row_id long, class int")
     out = MO.linear_attribution(w, coefs, means, rows=rows).collect()
     per_row = {}
     for r in out:
