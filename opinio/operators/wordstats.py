@@ -99,3 +99,38 @@ def group_word_weights(df: DataFrame, text_col: str, group_col: str, max_words:
     w = Window.partitionBy(group_col).orderBy(F.col("n").desc(), F.col("word"))
     top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_words)
     return top.withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy(group_col)))
+
+
+def collocations(df: DataFrame, ws_col: str, threshold: float = 30.0) -> DataFrame:
+    """A9, terms of a cloud with collocations: ``(term, n, llr)``.
+
+    An adjacent pair of words is a term if its log-likelihood ratio -- how much likelier the
+    counts are if the second word depends on the first than if it does not -- exceeds
+    ``threshold``; the pair's occurrences are then taken off the counts of its two words
+    (``llr`` is null for words), and words of which none is left have no row.  All counts
+    combine in the tasks, and nothing is collected: the total is joined as a table of one row.
+    """
+    pairs = F.filter(F.zip_with(F.concat(F.array(F.lit(None).cast("string")), F.col(ws_col)), F.col(ws_col),
+                                lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                     lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    from opinio.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    words = word_counts(df, ws_col).checkpoint()
+    both = explode_rows(df, pairs, "p").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("k"))
+    total = F.broadcast(words.agg(F.sum("n").cast("double").alias("total")))  # one row
+    counted = (both.join(words.select(F.col("word").alias("a"), F.col("n").cast("double").alias("na")), "a")
+               .join(words.select(F.col("word").alias("b"), F.col("n").cast("double").alias("nb")), "b").join(total, F.lit(True)))
+
+    def likely(k: Column, n: Column, p: Column) -> Column:
+        """Log likelihood of ``k`` hits in ``n`` trials at rate ``p``; no hits or misses cost nothing."""
+        term = lambda c, q: F.when(c > 0, c * F.ln(F.greatest(q, F.lit(1e-300)))).otherwise(0.0)
+        return term(k, p) + term(n - k, 1 - p)
+
+    k, na, nb, t = F.col("k").cast("double"), F.col("na"), F.col("nb"), F.col("total")
+    rest, other = F.greatest(nb - k, F.lit(0.0)), F.greatest(t - na, F.lit(1.0))
+    llr = 2 * (likely(k, na, k / na) + likely(rest, other, rest / other) - likely(k, na, nb / t) - likely(rest, other, nb / t))
+    kept = counted.select("a", "b", "k", llr.alias("llr")).where(F.col("llr") > threshold).checkpoint()
+    taken = kept.select(F.col("a").alias("word"), "k").unionByName(kept.select(F.col("b").alias("word"), "k")).groupBy("word").agg(F.sum("k").alias("k"))
+    left = (words.join(taken, "word", "left").select("word", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")).where("n > 0"))
+    return (left.select(F.col("word").alias("term"), "n", F.lit(None).cast("double").alias("llr"))
+            .unionByName(kept.select(F.concat_ws(" ", "a", "b").alias("term"), F.col("k").alias("n"), "llr")))

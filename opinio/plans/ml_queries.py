@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from opinio.functions import labels as LB
 from opinio.functions import text as T
 from opinio.functions.arrays import explode_rows, posexplode_rows
+from opinio.operators import epochs as EP
 from opinio.operators import features as FE
 from opinio.operators import metrics as ME
 from opinio.operators import models as MO
+from opinio.operators import shapley as SH
 from opinio.operators.lexicon import score_comments
 from opinio.plans.lexicon_queries import SQL_SCORE, sql_tokens
 from opinio.plans.registry import register, sql_list, table
@@ -495,3 +497,34 @@ def q_sentence_vectors(spark, sf):
     v = FE.sentence_vectors(_docs_tokens(spark, sf, 1), "ws", "doc_id", size=32)
     return posexplode_rows(v, "sentence_vector", "dim", "x", "doc_id").select(
         "doc_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@register("shapley_values", family="ml", sql=f"""
+SELECT doc_id, CAST(least(len(ws), 16) AS BIGINT) AS n_players, CAST({SQL_SCORE} AS DOUBLE) AS total
+FROM (SELECT doc_id, {sql_tokens("text")} AS ws FROM documents)
+""")
+def q_shapley_values(spark, sf):
+    """M9 for any model, here the negation-aware scorer: the values of a document's groups of
+    words add up to its score (that of no text is 0)."""
+    d = _docs_tokens(spark, sf, 1)
+    score = lambda c: score_comments(c, DOCS_LEXICON, "text", "score", None)
+    v = SH.shapley_values(d, "ws", score, "doc_id", players=16, orders=2)
+    return v.groupBy("doc_id").agg(F.count_if(F.col("player") >= 0).alias("n_players"), (F.round(F.sum("value"), 6) + 0.0).alias("total"))
+
+
+@register("epoch_training", family="ml")
+def q_epoch_training(spark, sf):
+    """A classifier of the labelled documents trained by epochs with early stopping;
+    one row per epoch, and whether the restored state has the best epoch's validation loss."""
+    d = _labelled(spark, sf)
+    checkpoint_root(spark)
+    x = MO.text_featurizer("ws", "label", ["lex_score"]).fit(d).transform(d).select("doc_id", "label_index", "features").checkpoint()
+    width = MO.HASH_FEATURES + 1
+    fit = EP.train_epochs(x, "features", "label_index", "doc_id", 2, width, batch_rows=1024)
+    valid = x.where(EP.hash_share(F.col("doc_id").cast("string"), 42) < int(0.2 * (1 << 28)))
+    p = MO.softmax_probs(EP.class_margins(valid, "features", fit.weights), "margins", "p")
+    rows = [(e["epoch"], e["train_loss"], e["train_acc"], e["valid_loss"], e["valid_acc"], e["improved"]) for e in fit.epochs]
+    table_of = spark.createDataFrame(rows, "epoch int, train_loss double, train_acc double, valid_loss double, valid_acc double, improved boolean")
+    loss = p.agg(F.avg(-F.log(F.greatest(F.element_at("p", F.col("label_index").cast("int") + 1), F.lit(1e-15)))).alias("restored_loss"))
+    return (table_of.join(F.broadcast(loss), F.lit(True)).withColumn("best_epoch", F.lit(fit.best_epoch))
+            .withColumn("stop_epoch", F.lit(fit.stop_epoch).cast("int")).withColumn("n_train", F.lit(fit.n_train)).withColumn("n_valid", F.lit(fit.n_valid)))

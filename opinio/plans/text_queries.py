@@ -149,6 +149,32 @@ def q_word_cloud_bigrams(spark, sf):
     return W.word_cloud_weights(docs(spark, sf), "text", "lang", "fr", 200, DOCS_STOPWORDS, bigrams=True)
 
 
+_LL = "CASE WHEN {k} > 0 THEN {k} * ln(greatest({p}, 1e-300)) ELSE 0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(greatest(1 - {p}, 1e-300)) ELSE 0 END"
+
+
+def _ll(k: str, n: str, p: str) -> str:
+    return "(" + _LL.format(k=k, n=n, p=f"({p})") + ")"
+
+
+@register("collocations", family="wordstats", sql=f"""
+WITH d AS (SELECT doc_id, list_filter({sql_split(sql_clean("text", sql_list(DOCS_STOPWORDS)))}, lambda w: length(w) >= 2) AS ws FROM documents),
+w AS (SELECT word, count(*)::DOUBLE AS n FROM (SELECT unnest(ws) AS word FROM d) GROUP BY word),
+p AS (SELECT a, b, count(*)::DOUBLE AS k FROM (SELECT ws[i] AS a, ws[i + 1] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM d)) GROUP BY a, b),
+c AS (SELECT p.*, x.n AS na, greatest(y.n - k, 0) AS rest, greatest(t - x.n, 1) AS other, y.n / t AS p0
+      FROM p JOIN w x ON x.word = a JOIN w y ON y.word = b, (SELECT sum(n) AS t FROM w)),
+s AS (SELECT a, b, k, 2 * ({_ll("k", "na", "k / na")} + {_ll("rest", "other", "rest / other")}
+                           - {_ll("k", "na", "p0")} - {_ll("rest", "other", "p0")}) AS llr FROM c),
+kept AS (SELECT * FROM s WHERE llr > 30),
+taken AS (SELECT word, sum(k) AS k FROM (SELECT a AS word, k FROM kept UNION ALL SELECT b, k FROM kept) GROUP BY word)
+SELECT word AS term, CAST(n - coalesce(k, 0) AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS llr FROM w LEFT JOIN taken USING (word) WHERE n > coalesce(k, 0)
+UNION ALL SELECT a || ' ' || b, CAST(k AS BIGINT), round(llr, 3) FROM kept
+""")
+def q_collocations(spark, sf):
+    """Adjacent pairs that occur together more than chance, taken off their words."""
+    d = spread(docs(spark, sf)).select(F.filter(T.clean_words("text", DOCS_STOPWORDS), lambda w: F.length(w) >= 2).alias("ws"))
+    return W.collocations(d, "ws").select("term", "n", F.round("llr", 3).alias("llr"))
+
+
 @register("group_word_weights", family="wordstats", sql=f"""
 SELECT source, word, n, CAST(rank AS INTEGER) AS rank, n / max(n) OVER (PARTITION BY source) AS weight FROM (
   SELECT source, word, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS rank FROM (
