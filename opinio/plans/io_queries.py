@@ -185,6 +185,25 @@ def q_stream_json_scoring(spark, sf):
     return SC.run_to_table(spark, scored, os.path.join(root, "out"))
 
 
+@register("stream_requests_once", family="streaming", sql=f"""
+SELECT id, CASE WHEN valid THEN {SQL_LABEL.format(s=SQL_SCORE)} END AS prediction, NOT valid AS quarantined
+FROM (SELECT conv_id * 1000 + turn AS id, sent AND text IS NOT NULL AND text <> '' AS valid,
+             {sql_tokens("CASE WHEN sent THEN text END")} AS ws
+      FROM (SELECT *, role <> 'assistant' OR turn <> 1 AS sent FROM conversations))
+""")
+def q_stream_requests_once(spark, sf):
+    """ST1: every request is sent twice, in several files and batches; each id is answered once,
+    and the invalid ones are quarantined."""
+    root = work_dir(spark, "requests-twice")
+    requests = _requests(spark, sf)
+    requests.repartition(4).write.text(os.path.join(root, "in"))
+    requests.repartition(3).write.mode("append").text(os.path.join(root, "in"))
+    good, bad = SS.run_requests(spark, os.path.join(root, "in"), lambda r: SS.score_requests(r, DOCS_LEXICON),
+                                os.path.join(root, "out"), files_per_batch=3)
+    cols = ["id", "prediction", F.col("error").isNotNull().alias("quarantined")]
+    return good.select(*cols).unionByName(bad.select(*cols))
+
+
 @register("stream_csv_scoring", family="streaming", sql=f"""
 SELECT doc_id AS no, {_na("text")} AS comment, {_na("lang")} AS label, {SQL_LABEL.format(s=SQL_SCORE)} AS predicted_label
 FROM (SELECT doc_id, text, lang, {sql_tokens(_na("text"))} AS ws FROM documents)

@@ -15,10 +15,11 @@ from opinio.operators import features as FE
 from opinio.operators import metrics as ME
 from opinio.operators import models as MO
 from opinio.operators import shapley as SH
+from opinio.operators import wordvectors as WV
 from opinio.operators.lexicon import score_comments
 from opinio.plans.lexicon_queries import SQL_SCORE, sql_tokens
 from opinio.plans.registry import register, sql_list, table
-from opinio.resources import DOCS_LEXICON
+from opinio.resources import DOCS_LEXICON, DOCS_STOPWORDS
 from opinio.session import checkpoint_root
 from opinio.sources.tables import spread
 
@@ -360,7 +361,6 @@ def q_cluster_word_clouds(spark, sf):
     ten heaviest words of each, which must be those of the cluster's own documents counted here."""
     from opinio.operators import clean as C
     from opinio.operators.wordstats import group_word_weights
-    from opinio.resources import DOCS_STOPWORDS
     keep = table(spark, sf, "labels").where("quality = 1").select("doc_id")
     d = table(spark, sf, "documents").select("doc_id", "text").join(keep, "doc_id")
     checkpoint_root(spark)
@@ -528,3 +528,67 @@ def q_epoch_training(spark, sf):
     loss = p.agg(F.avg(-F.log(F.greatest(F.element_at("p", F.col("label_index").cast("int") + 1), F.lit(1e-15)))).alias("restored_loss"))
     return (table_of.join(F.broadcast(loss), F.lit(True)).withColumn("best_epoch", F.lit(fit.best_epoch))
             .withColumn("stop_epoch", F.lit(fit.stop_epoch).cast("int")).withColumn("n_train", F.lit(fit.n_train)).withColumn("n_valid", F.lit(fit.n_valid)))
+
+
+PPMI_MIN = 20
+
+
+@register("word_ppmi", family="ml", sql=f"""
+WITH d AS (SELECT regexp_extract_all(lower(text), '{T.WORD_RE}') AS ws FROM documents),
+w AS (SELECT word FROM (SELECT unnest(ws) AS word FROM d) GROUP BY word HAVING count(*) >= {PPMI_MIN}),
+p AS (SELECT ws[i] AS a, ws[i + k] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM d), (VALUES (1), (2)) o(k) WHERE i + k <= len(ws)),
+c AS (SELECT word, ctx, count(*) AS n FROM (SELECT a AS word, b AS ctx FROM p UNION ALL SELECT b, a FROM p)
+      WHERE word IN (SELECT word FROM w) AND ctx IN (SELECT word FROM w) GROUP BY word, ctx),
+m AS (SELECT word, sum(n) AS m FROM c GROUP BY word),
+x AS (SELECT c.word, c.ctx, n, ln(n * t / (x.m::DOUBLE * y.m)) AS x
+      FROM c JOIN m x ON x.word = c.word JOIN m y ON y.word = c.ctx, (SELECT sum(m)::DOUBLE AS t FROM m))
+SELECT word, ctx, CAST(n AS BIGINT) AS n, round(x, 6) AS x FROM x WHERE round(x, 9) > 0
+""")
+def q_word_ppmi(spark, sf):
+    """The table from which word vectors are learned."""
+    t = WV.ppmi(_docs_tokens(spark, sf, 1), "ws", 2, PPMI_MIN)
+    return t.where(F.round("x", 9) > 0).select("word", "ctx", "n", F.round("x", 6).alias("x"))
+
+
+@register("word_vectors", family="ml", sql=f"""
+WITH d AS (SELECT regexp_extract_all(lower(text), '{T.WORD_RE}') AS ws FROM documents),
+w AS (SELECT word FROM (SELECT unnest(ws) AS word FROM d) GROUP BY word HAVING count(*) >= {PPMI_MIN})
+SELECT doc_id, coalesce(bool_or(word IN (SELECT word FROM w)), false) AS has_vector, 8 AS size, true AS orthogonal
+FROM documents LEFT JOIN (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{T.WORD_RE}')) AS word FROM documents) USING (doc_id)
+GROUP BY doc_id
+""")
+def q_word_vectors(spark, sf):
+    """Learned word vectors, averaged per document.  The vectors' components are orthogonal
+    over the vocabulary, as eigenvectors are."""
+    docs = _docs_tokens(spark, sf, 1)
+    vectors, _ = WV.word_vectors(WV.ppmi(docs, "ws", 2, PPMI_MIN), size=8, iterations=4)
+    checkpoint_root(spark)
+    vectors = vectors.checkpoint()
+    v = F.col("vector")
+    gram = vectors.agg(*[F.sum(v[i] * v[j]) for i in range(8) for j in range(8)]).first()
+    off = max(abs(gram[8 * i + j]) / (gram[9 * i] * gram[9 * j]) ** 0.5 for i in range(8) for j in range(8) if i != j)
+    means = WV.sentence_means(docs, "ws", "doc_id", vectors)
+    return means.select("doc_id", F.col("sentence_vector").isNotNull().alias("has_vector"), F.lit(8).alias("size"),
+                        F.lit(bool(off < 1e-6)).alias("orthogonal"))
+
+
+@register("mined_aspects", family="ml", sql=f"""
+WITH d AS (SELECT regexp_extract_all(lower(text), '{T.WORD_RE}') AS ws FROM documents),
+said AS (SELECT word, count(*) AS said FROM (SELECT unnest(ws) AS word FROM d) GROUP BY word),
+p AS (SELECT ws[i] AS a, ws[i + 1] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM d)),
+near AS (SELECT word, ctx, count(*) AS n FROM (SELECT a AS word, b AS ctx FROM p UNION ALL SELECT b, a FROM p)
+         WHERE word NOT IN {sql_list(DOCS_STOPWORDS)} GROUP BY word, ctx),
+f0 AS (SELECT unnest({list(DOCS_LEXICON.positive + DOCS_LEXICON.negative)}) AS word, 'opinion' AS kind, 0 AS round, 0 AS hits),
+{", ".join(f"""
+f{i} AS (SELECT h.word, '{kind}' AS kind, {r} AS round, hits
+         FROM (SELECT word, sum(n) AS hits FROM near WHERE ctx IN (SELECT word FROM f{i - 1}) GROUP BY word HAVING sum(n) >= 3) h
+         JOIN said USING (word) WHERE hits >= 0.05 * said AND {" AND ".join(f"h.word NOT IN (SELECT word FROM f{j})" for j in range(i))})"""
+           for i, (r, kind) in enumerate([(1, "aspect"), (1, "opinion"), (2, "aspect"), (2, "opinion")], 1))}
+SELECT word, kind, CAST(round AS INTEGER) AS round, CAST(hits AS BIGINT) AS hits
+FROM ({" UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(5))})
+""")
+def q_mined_aspects(spark, sf):
+    """Aspect words found by double propagation from the lexicon's words."""
+    known = spark.createDataFrame([(w,) for w in DOCS_LEXICON.positive + DOCS_LEXICON.negative], "word string")
+    stop = spark.createDataFrame([(w,) for w in DOCS_STOPWORDS], "word string")
+    return WV.mine_aspects(_docs_tokens(spark, sf, 1), "ws", known, stop)
