@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from opinio.functions import labels as LB
 from opinio.functions.arrays import explode_rows
@@ -123,25 +124,92 @@ def squared_distances(vec_col: str, vectors) -> Column:
         F.zip_with(vec_col, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
 
 
+#: Centroids searched at once, in bytes of their components; more go in passes.
+CENTROID_BYTES = 1 << 26
+#: Rows and centroids that are compared at once.
+NEAR_ROWS, NEAR_CENTROIDS = 512, 1024
+
+
+class Nearest:
+    """The nearest of broadcast centroids per row, pruned by the triangle inequality.
+
+    Centroids are ordered by their norms and searched in runs, those of the nearest norms
+    first.  Two vectors are at least as far apart as their norms differ, so a run whose norms
+    differ from a row's by more than the best distance so far is passed over.
+    """
+
+    def __init__(self, block):
+        self.block = block
+
+    def __call__(self, batches):
+        import numpy as np
+        import pyarrow as pa
+        centres = self.block.value  # in the order of their classes
+        norms = np.sqrt((centres * centres).sum(axis=1))
+        order = np.argsort(norms, kind="stable")
+        runs = [order[i:i + NEAR_CENTROIDS] for i in range(0, len(order), NEAR_CENTROIDS)]
+        low, high = np.array([norms[r[0]] for r in runs]), np.array([norms[r[-1]] for r in runs])
+        for b in batches:
+            there = b.column("_v").is_valid().to_numpy(zero_copy_only=False)
+            x = b.column("_v").drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, centres.shape[1])
+            own = np.sqrt((x * x).sum(axis=1))
+            best, found = np.full(len(x), np.inf), np.full(len(x), -1)
+            by_norm = np.argsort(own, kind="stable")
+            for rows in (by_norm[i:i + NEAR_ROWS] for i in range(0, len(x), NEAR_ROWS)):
+                gaps = np.maximum(np.maximum(low[:, None] - own[rows], own[rows] - high[:, None]), 0)  # runs x rows
+                for r in np.argsort(gaps.min(axis=1), kind="stable"):
+                    open_ = rows[gaps[r] ** 2 <= best[rows] * (1 + 1e-9)]
+                    if not len(open_):
+                        continue
+                    about = own[open_, None] ** 2 + norms[runs[r]] ** 2 - 2 * x[open_] @ centres[runs[r]].T
+                    slack = 1e-9 * (own[open_] ** 2 + high[r] ** 2 + 1)
+                    near = about <= (np.minimum(about.min(axis=1), best[open_]) + slack)[:, None]
+                    i, j = np.nonzero(near)  # the few whose exact distance decides, least class on ties
+                    at, c = open_[i], runs[r][j]
+                    exact = ((x[at] - centres[c]) ** 2).sum(axis=1)
+                    for k in np.lexsort((c, exact)):
+                        if (exact[k], c[k]) < (best[at[k]], found[at[k]]) or found[at[k]] < 0:
+                            best[at[k]], found[at[k]] = exact[k], c[k]
+            d, n = np.full(b.num_rows, np.inf), np.full(b.num_rows, -1)
+            d[there], n[there] = best, found
+            names = [c for c in b.schema.names if c != "_v"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], b.column("_v"), pa.array(d), pa.array(n.astype("int64"))],
+                                             [*names, "_v", "_d", "_n"])
+
+
 def assign_nearest(df: DataFrame, vec_col: str, centroids: DataFrame, out: str = "cluster") -> DataFrame:
     """Nearest centroid by squared Euclidean distance (least class on ties).
 
-    ``centroids`` is ``(class, v)``.  Blocks of centroids are inlined as literal arrays --
-    a projection per block, no join and no shuffle -- and the best so far is
-    carried from block to block, so any number of classes works.
+    ``centroids`` is ``(class, v)``, all of one length.  They are broadcast as a matrix, in blocks
+    of bounded size, so the plan is the same for any number of classes; each row's best is
+    carried from block to block.  A null vector, one with a null component or of another
+    length, has a null cluster.
     """
-    best = df.withColumn("_v", F.col(vec_col).cast("array<double>"))
-    found = None
-    for rows in blocks_of(centroids, "class"):
+    import numpy as np
+    from opinio.session import checkpoint_root
+    spark = df.sparkSession
+    width = centroids.agg(F.max(F.size("v"))).first()[0]
+    kind = centroids.schema["class"].dataType
+    if not width:
+        return df.withColumn(out, F.lit(None).cast(kind))
+    vec = F.col(vec_col).cast("array<double>")
+    usable = (F.size(vec) == width) & ~F.exists(vec, lambda x: x.isNull())
+    best = df.withColumn("_v", F.when(usable, vec)).withColumn("_best", F.lit(None).cast(f"struct<d:double,c:{kind.simpleString()}>"))
+    for k, rows in enumerate(blocks_of(centroids, "class", max(1, CENTROID_BYTES // (8 * width)))):
         if not rows:
             continue
-        ids = F.array(*[F.lit(r["class"]) for r in rows])
-        best = best.withColumn("_d", squared_distances("_v", [r["v"] for r in rows]))
-        here = F.struct(F.array_min("_d").alias("d"), F.element_at(ids, F.array_position("_d", F.array_min("_d")).cast("int")).alias("c"))
-        best = best.withColumn("_best", here if found is None else F.least("_best", here))
-        found = True
-    cluster = F.col("_best.c") if found else F.lit(None).cast(centroids.schema["class"].dataType)
-    return best.withColumn(out, cluster).drop("_v", "_d", "_best")
+        block = spark.sparkContext.broadcast(np.array([r["v"] for r in rows], dtype=float))
+        classes = spark.createDataFrame([(i, r["class"]) for i, r in enumerate(rows)], StructType(
+            [StructField("_n", LongType()), StructField("_class", kind)]))
+        names = best.drop("_v").columns
+        schema = StructType([*[best.schema[c] for c in names], best.schema["_v"], StructField("_d", DoubleType()), StructField("_n", LongType())])
+        found = best.select(*names, "_v").mapInArrow(Nearest(block), schema).join(F.broadcast(classes), "_n", "left")  # a bounded block
+        here = F.when(F.col("_n") >= 0, F.struct(F.col("_d").alias("d"), F.col("_class").alias("c")))
+        best = found.withColumn("_best", F.least("_best", here)).drop("_d", "_n", "_class")
+        if k:  # blocks after the first: not all are to be live at once
+            checkpoint_root(spark)
+            best = best.checkpoint()
+    return best.select(*[c for c in df.columns if c != out], F.col("_best.c").alias(out))
 
 
 # ------------------------------------------------------------ M4 / M5

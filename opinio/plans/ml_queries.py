@@ -15,6 +15,7 @@ from opinio.operators import features as FE
 from opinio.operators import metrics as ME
 from opinio.operators import models as MO
 from opinio.operators import shapley as SH
+from opinio.operators import subwords as SW
 from opinio.operators import wordvectors as WV
 from opinio.operators.lexicon import score_comments
 from opinio.plans.lexicon_queries import SQL_SCORE, sql_tokens
@@ -592,3 +593,28 @@ def q_mined_aspects(spark, sf):
     known = spark.createDataFrame([(w,) for w in DOCS_LEXICON.positive + DOCS_LEXICON.negative], "word string")
     stop = spark.createDataFrame([(w,) for w in DOCS_STOPWORDS], "word string")
     return WV.mine_aspects(_docs_tokens(spark, sf, 1), "ws", known, stop)
+
+
+@register("subword_encoding", family="ml", sql=f"""
+SELECT doc_id, CAST(coalesce(len(ws), 0) AS INTEGER) AS n_words, 0 AS n_unknown, true AS restored,
+       least(128, {SEQ_LEN}) AS length, true AS mask_fits
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '{T.WORD_RE}') AS ws FROM documents)
+""")
+def q_subword_encoding(spark, sf):
+    """M7 by pieces of a public tokenizer's vocabulary: no word is unknown, the pieces of a whole
+    document give back its words, and the padded sequence holds the first of them."""
+    import public_tokenizers
+    pieces = SW.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = _docs_tokens(spark, sf, 1).withColumn("ws", F.coalesce("ws", F.array().cast("array<string>")))
+    checkpoint_root(spark)
+    ids = SW.subword_ids(docs, "ws", pieces, ["doc_id", "ws"]).checkpoint()
+    vocabulary = spark.createDataFrame([(p, i) for p, i in pieces.items()], "piece string, id int")
+    text = SW.decode("ids", vocabulary, ids, "doc_id")
+    seq = SW.encode_subwords(docs, "ws", "doc_id", pieces, SEQ_LEN, begin_id=50256, end_id=50256)
+    body = F.slice("ids", 1, SEQ_LEN - 2)
+    inner = F.slice("input_ids", 2, F.size(body))
+    return ids.join(text, "doc_id").join(seq, "doc_id").select(
+        "doc_id", F.size("ws").alias("n_words"), F.size(F.filter("ids", lambda i: i < 0)).alias("n_unknown"),
+        (F.col("text") == F.array_join(F.transform("ws", lambda w: F.concat(F.lit(" "), w)), "")).alias("restored"),
+        F.size("input_ids").alias("length"),
+        ((F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x) == F.size(body) + 2) & (inner == body)).alias("mask_fits"))

@@ -183,7 +183,7 @@ def test_nearest_centroid_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "row_id long, v array<double>")
     cents = spark.createDataFrame([(c, [3.0 * c, 0.0]) for c in range(7)], "class int, v array<double>")
     whole = dict(MO.assign_nearest(df, "v", cents).select("row_id", "cluster").collect())
-    monkeypatch.setattr(MO.blocks_of, "__defaults__", (2,))
+    monkeypatch.setattr(MO, "CENTROID_BYTES", 2 * 8 * len(cents.first().v))
     assert dict(MO.assign_nearest(df, "v", cents).select("row_id", "cluster").collect()) == whole
     assert all(whole[i] == min(range(7), key=lambda c: (abs(3 * c - i), c)) for i in range(20))
 
