@@ -2,9 +2,10 @@
 
 Messages form trees by their parent.  Iterative self-joins with doubling steps enumerate
 root-to-leaf paths: round ``k`` joins the ancestor table with itself, so that each node knows
-its ancestor ``2^k`` levels up; going back down the steps, the path of a leaf doubles with
-each join.  A path of ``n`` messages takes ``log2(n)`` joins, not ``n``.  Branches of a tree are
-ranked by score, and each chosen path is formatted as one conversation.
+its ancestor ``2^k`` levels up and the scores on the way there.  Going back down the steps each
+leaf adds up the scores of its path, without enumerating it, and the branches of a tree are
+ranked; then the path of each chosen leaf doubles with each join.  A path of ``n`` messages takes
+``log2(n)`` joins, not ``n``.  Each chosen path is formatted as one conversation.
 
 Format: every message is ``<|turn|>role``, a line end, the text and ``<|end|>``.  Control strings
 inside roles and texts are escaped with a backslash, reversibly.  The loss mask is the list
@@ -42,71 +43,118 @@ def escape_role(role: Column) -> Column:
     return F.regexp_replace(escape(role), "\n", "\\\\\n")
 
 
-def paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``leaf, node, up``: the nodes on the path of each leaf, ``up`` levels above it.
+def _key(tree: Column, node: Column) -> Column:
+    """One string for a node of a tree, null ids included: ids are the tree's own."""
+    part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    return F.concat(part(tree), F.lit("/"), part(node))
 
-    ``nodes`` has ``node, parent``; a parent that is null or not a node makes a root.
+
+def _messages(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``tree, node, key, parent, role, text, score``: each node once, ``parent`` a key."""
+    parent = F.when(F.col("parent").isNotNull(), _key(F.col("tree"), F.col("parent")))
+    held = scratch.table(nodes.select("tree", "node", _key(F.col("tree"), F.col("node")).alias("key"), parent.alias("parent"), "role", "text",
+                                      F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
+    again = scratch.table(held.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"))
+    if again.isEmpty():
+        return held
+    best = F.min(F.struct((-F.col("score")).alias("s"), "parent", "role", "text", "tree", "node", "score")).alias("row")
+    one = held.join(again, "key", "left_semi").groupBy("key").agg(best)
+    return scratch.table(held.join(again, "key", "left_anti").unionByName(
+        one.select("row.tree", "row.node", "key", "row.parent", "row.role", "row.text", "row.score")))
+
+
+def ancestors(held: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables ``node, above, sum``: the ancestor 1, 2, 4, ... levels up, and the sum of the scores
+    from the node on to below it; or the least node of each cycle, if parents go in circles.
+
+    After more levels than a tree has nodes only nodes on or below a cycle still have an
+    ancestor, and all of these ancestors are on one.
     """
-    known = nodes.select(F.col("node").alias("parent"))
-    step = scratch.table(nodes.where("parent IS NOT NULL").select("node", "parent").join(known, "parent", "left_semi")
-                         .select("node", F.col("parent").alias("above")))
+    known = held.select(F.col("key").alias("parent"))
+    step = scratch.table(held.where("parent IS NOT NULL").join(known, "parent", "left_semi").select(
+        F.col("key").alias("node"), F.col("parent").alias("above"), F.col("score").alias("sum"), F.least("key", "parent").alias("low")))
+    largest = held.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     steps = []
-    while not step.isEmpty():  # ancestors 1, 2, 4, ... levels up, as long as any node has one
+    while not step.isEmpty():
+        if 1 << len(steps) > 2 * largest:
+            on = step.select(F.col("above").alias("node")).distinct()
+            return steps, scratch.table(step.join(on, "node", "left_semi").where("node = low").select(F.col("node").alias("key")))
         steps.append(step)
-        far = step.select(F.col("node").alias("above"), F.col("above").alias("far"))
-        step = scratch.table(step.join(far, "above").select("node", F.col("far").alias("above")))
-    inner = steps[0].select(F.col("above").alias("node")).distinct() if steps else None
-    leaves = nodes.select("node") if inner is None else nodes.select("node").join(inner, "node", "left_anti")
-    found = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    for k in range(len(steps) - 1, -1, -1):
-        higher = found.join(steps[k], "node").select("leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        found = scratch.table(found.union(higher))
-    return found
+        far = step.select(F.col("node").alias("above"), F.col("above").alias("far"), F.col("sum").alias("more"), F.col("low").alias("lower"))
+        step = scratch.table(step.join(far, "above").select(
+            "node", F.col("far").alias("above"), (F.col("sum") + F.col("more")).alias("sum"), F.least("low", "lower").alias("low")))
+    return steps, None
 
 
-def rank_paths(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``tree, leaf, score, place``: the paths of each tree from the best on.
+def rank_leaves(held: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """``tree, leaf, score, place``: the leaves of each tree from the best path on.
 
     The score of a path is the mean score of its messages; ties go to the longer path, then
-    to the smaller leaf.  ``place`` counts from 1.
+    to the smaller leaf.  ``place`` counts from 1.  A leaf is one row all the way.
     """
-    scored = (found.join(nodes.select("node", "tree", "score"), "node").groupBy("tree", "leaf")
-              .agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count(F.lit(1)).alias("n")))
+    leaves = held.select("tree", F.col("key").alias("leaf"))
+    if steps:
+        leaves = leaves.join(steps[0].select(F.col("above").alias("leaf")).distinct(), "leaf", "left_anti")
+    at = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0.0).alias("total"), F.lit(1).cast("long").alias("n"))
+    for k in range(len(steps) - 1, -1, -1):
+        at = at.join(steps[k].select("node", "above", "sum"), "node", "left").select(
+            "tree", "leaf", F.coalesce("above", "node").alias("node"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"),
+            (F.col("n") + F.when(F.col("above").isNotNull(), F.lit(1 << k)).otherwise(0)).alias("n"))
+    root = held.select(F.col("key").alias("node"), F.col("score").alias("own"))
+    scored = at.join(root, "node").select("tree", "leaf", "n", ((F.col("total") + F.col("own")) / F.col("n")).alias("score"))
     order = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("n").desc(), "leaf"))
     return scored.select("tree", "leaf", "score", order.alias("place"))
 
 
+def paths(leaves: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """``leaf, node, up``: the nodes on the path of each of ``leaves`` (``leaf``), ``up`` levels above it."""
+    found = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k in range(len(steps) - 1, -1, -1):
+        higher = found.join(steps[k], "node").select("leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        found = found.union(higher)
+    return found
+
+
 def conversations(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """``tree, leaf, score, formatted, loss``: the ``per_tree`` best paths of each tree.
 
-    ``nodes`` has ``tree, node, parent, role, text, score``.  ``formatted`` is the whole
+    ``nodes`` has ``tree, node, parent, role, text, score``; a node's id is its tree's own, and a
+    parent that is null or no node of the tree makes a root.  ``formatted`` is the whole
     conversation and ``loss`` the ``(start, end)`` places of assistant texts in it (code
-    points, end exclusive).  Null roles and texts are empty, a null score is 0; an empty
-    table gives none.  One conversation is one row, however long.
+    points, end exclusive).  Null roles and texts are empty, a null score is 0, null ids are ids
+    like others.  Of rows that repeat a node the one with the highest score stays, of these
+    the least by parent, role and text.  Parents that go in a circle: the least node of the
+    circle (by its key) becomes a root.  An empty table gives none.  One conversation is one
+    row, however long.
     """
     with Scratch(nodes.sparkSession, "chat") as scratch:
-        held = scratch.table(nodes.select("tree", "node", "parent", "role", "text", F.col("score").cast("double").alias("score")))
-        found = paths(held, scratch)
-        chosen = rank_paths(found, held).where(F.col("place") <= per_tree)
-        return settle(_format(found, chosen, held))
+        held = _messages(nodes, scratch)
+        steps, circles = ancestors(held, scratch)
+        if circles is not None:
+            cut = circles.withColumn("cut", F.lit(True))
+            held = scratch.table(held.join(cut, "key", "left").withColumn("parent", F.when(F.col("cut").isNull(), F.col("parent"))).drop("cut"))
+            steps, _ = ancestors(held, scratch)
+        chosen = scratch.table(rank_leaves(held, steps).where(F.col("place") <= per_tree))
+        return settle(_format(scratch.table(paths(chosen, steps)), chosen, held))
 
 
 def _format(found: DataFrame, chosen: DataFrame, nodes: DataFrame) -> DataFrame:
-    said = (found.join(chosen.select("leaf", "tree", F.col("score").alias("path_score")), "leaf")
-            .join(nodes.select("node", "role", "text"), "node"))
+    names = nodes.select(F.col("key").alias("leaf"), F.col("node").alias("leaf_node"))
+    said = (found.join(chosen.select("leaf", "tree", F.col("score").alias("path_score")).join(names, "leaf"), "leaf")
+            .join(nodes.select(F.col("key").alias("node"), "role", "text"), "node"))
     head = F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     piece = F.struct((-F.col("up")).alias("at"), F.concat(head, body, F.lit(END)).alias("s"),
                      F.length(head).alias("lead"), F.length(body).alias("n"),
                      F.coalesce(F.col("role") == ASSISTANT, F.lit(False)).alias("loss"))
-    told = said.groupBy("tree", "leaf", "path_score").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    told = said.groupBy("tree", "leaf", "leaf_node", "path_score").agg(F.sort_array(F.collect_list(piece)).alias("p"))
     start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("spans"))
     step = lambda acc, x: F.struct(
         (acc["at"] + x["lead"] + x["n"] + len(END)).alias("at"),
         F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct(
             (acc["at"] + x["lead"]).alias("start"), (acc["at"] + x["lead"] + x["n"]).alias("end")))))
         .otherwise(acc["spans"]).alias("spans"))
-    return told.select("tree", "leaf", F.col("path_score").alias("score"),
+    return told.select("tree", F.col("leaf_node").alias("leaf"), F.col("path_score").alias("score"),
                        F.array_join(F.transform("p", lambda x: x["s"]), "").alias("formatted"),
                        F.aggregate("p", start, step, lambda acc: acc["spans"]).alias("loss"))
 

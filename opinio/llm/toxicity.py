@@ -232,20 +232,24 @@ def training_texts(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
 
     Rows are chosen by a hash of their id.  Copies would count a passage many times, so
     texts that share the least of their three-word hashes (under either of two hashes)
-    count once.
+    count once: that of the least id, then the least text.  An id with several labels has the
+    least of them.  So the same rows are chosen however the tables are split.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), "toxic").where("toxic IS NOT NULL AND _id IS NOT NULL")
-    known = known.where(~held_out(F.col("_id"))).dropDuplicates(["_id"])
+    known = labels.select(column(labels, "doc_id").alias("__id"), column(labels, "toxic").alias("__toxic")) \
+        .where("__toxic IS NOT NULL AND __id IS NOT NULL")
+    known = known.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.min("__toxic").alias("__toxic"))
     n = known.count()
     if n > train_rows:
-        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+    slim = docs.select(column(docs, "doc_id").alias("doc"), column(docs, "text").alias("text")).where("text IS NOT NULL")
     # bounded by train_rows: 16 bytes each
-    texts = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_id")).select("text", "toxic").where("text IS NOT NULL")
+    texts = slim.join(F.broadcast(known), F.col("doc") == F.col("__id")).select("doc", "text", F.col("__toxic").alias("toxic"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD.pattern), F.lit(0))
     texts = texts.withColumn("w", words)
     for seed in (1, 2):
         least = F.array_min(F.transform("w", lambda x, i: F.xxhash64(F.lit(seed), x, F.get("w", i + 1), F.get("w", i + 2))))
-        texts = texts.withColumn("k", F.coalesce(least, F.xxhash64("text"))).dropDuplicates(["k"])
+        keyed = texts.withColumn("k", F.coalesce(least, F.xxhash64("text")))
+        texts = keyed.groupBy("k").agg(F.min(F.struct("doc", "text", "toxic", "w")).alias("row")).select("row.*")
     return texts.select("text", "toxic", F.array_distinct("w").alias("words"))
 
 
@@ -318,7 +322,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> L
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(labels, pa.float64())], ["x", "label"])
 
     rows = settle(train.select("text", "toxic").mapInArrow(featured, "x array<double>, label double"))
-    model = LogisticRegression(regParam=0.001, maxIter=100).fit(rows.select(array_to_vector("x").alias("features"), "label"))
+    # In one order (there are at most about train_rows rows of a few numbers): sums of doubles depend on it.
+    ordered = rows.repartition(1).sortWithinPartitions("x", "label")
+    model = LogisticRegression(regParam=0.001, maxIter=100).fit(ordered.select(array_to_vector("x").alias("features"), "label"))
     lexicon.weights, lexicon.intercept = [float(w) for w in model.coefficients], float(model.intercept)
     return lexicon
 

@@ -27,6 +27,7 @@ VERSION = "WARC/1.1"
 RECORD_END = CRLF + CRLF
 #: Time of the capture of page 0; page ids count seconds from it.
 EPOCH = 1704067200
+SPAN = 10 ** 11
 #: Copies of a duplicated payload are dealt over so many keys where its leader is joined.
 SALT = 16
 #: Index rows that one merge task holds, as near as sampled key ranges come to it.
@@ -89,9 +90,15 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.when(revisit, F.col("leader")).alias("refers_to"))
 
 
+def _second() -> Column:
+    """When a page was captured.  Large ids (hashes) and negative ones are taken modulo some
+    3,000 years, so that the year has four digits."""
+    return F.coalesce(F.pmod(F.col("page_id"), F.lit(SPAN)), F.lit(0))
+
+
 def _record(coded: Column) -> Column:
     """The text of a record without its end."""
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + _second()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     revisit = F.col("record_type") == "revisit"
@@ -116,7 +123,7 @@ def write_archives(records: DataFrame, path: str) -> None:
     """Write planned records; each file is sorted by URL key and time."""
     coded = (F.col("record_type") == "response") & F.col("payload").contains(VERSION)
     (records.select(_record(coded).alias("value"), url_key(one_line(F.col("url"))).alias("k"), "page_id")
-     .sortWithinPartitions("k", F.coalesce("page_id", F.lit(0)), F.col("page_id").asc_nulls_last()).select("value")
+     .sortWithinPartitions("k", _second(), F.col("page_id").asc_nulls_last()).select("value")
      .write.option("lineSep", RECORD_END).text(path))
 
 

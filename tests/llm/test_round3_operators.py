@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinio.llm import hardneg, queries, rtree, tokencount, whitening
+from opinio.llm import chat, hardneg, queries, rtree, tokencount, toxicity, warc, whitening
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
                         T.StructField("label", T.IntegerType()),
@@ -220,3 +220,61 @@ def test_whitening_without_variance_or_rows(vectors_of):
     assert {r.identity_error < 1e-9 for r in flat} == {True}
     big = whitening.whiten(vectors_of([(i, [3e38 * (i % 2), 1.0], 1) for i in range(4)])).collect()
     assert {r.deviation for r in big} == {None} and all(abs(abs(r.whitened) - 1) < 1e-9 for r in big if r.component == 1)
+
+
+# ---- 8 reply trees with odd links
+
+NODES = "tree string, node long, parent long, role string, text string, score double"
+
+
+def told(spark, rows, per_tree=100):
+    made = chat.conversations(spark.createDataFrame(rows, NODES), per_tree)
+    return {(r.tree, r.leaf): "".join(t.text for t in r.p) for r in
+            made.select("tree", "leaf", chat.parse(F.col("formatted")).alias("p")).collect()}
+
+
+def test_nodes_are_their_trees_own(spark):
+    rows = [("t", 1, None, "user", "a", 1.0), ("u", 1, None, "user", "b", 1.0), ("u", 2, 1, "user", "c", 1.0), (None, 1, None, "user", "d", 1.0),
+            ("t", 7, 2, "user", "e", None)]
+    assert told(spark, rows) == {("t", 1): "a", ("u", 2): "bc", (None, 1): "d", ("t", 7): "e"}
+
+
+def test_repeated_nodes_and_circles(spark):
+    rows = [("t", 1, None, "user", "low", 0.1), ("t", 1, None, "user", "high", 0.9), ("t", 1, None, "user", "high", 0.9), ("t", 2, 1, "user", "-x", 0.5),
+            ("c", 3, 5, "user", "c", 0.0), ("c", 4, 3, "user", "d", 0.0), ("c", 5, 4, "user", "e", 0.0), ("c", 6, 4, "user", "f", 0.0),
+            ("s", 8, 8, "user", "self", 0.0), ("s", 9, 8, "user", "-y", 0.0), ("n", None, None, "user", "none", 0.0)]
+    assert told(spark, rows) == {("t", 2): "high-x", ("c", 5): "cde", ("c", 6): "cdf", ("s", 9): "self-y", ("n", None): "none"}
+
+
+def test_ranking_adds_up_scores_without_paths(spark):
+    rng = random.Random(12)
+    parent = {i: None if i == 0 else (i - 1 if i < 150 or rng.random() < .8 else rng.randrange(i)) for i in range(400)}
+    score = {i: rng.randrange(8) / 8 for i in parent}
+    rows = [("t", i, p, "user", f"{i},", score[i]) for i, p in parent.items()]
+    up = lambda i: [] if i is None else [*up(parent[i]), i]
+    leaves = set(parent) - set(parent.values())
+    path = {i: up(i) for i in leaves}
+    mean = lambda i: sum(score[x] for x in path[i]) / len(path[i])
+    best = sorted(leaves, key=lambda i: (-mean(i), -len(path[i]), f"1:t/{len(str(i))}:{i}"))[:3]
+    assert told(spark, rows, 3) == {("t", i): "".join(f"{x}," for x in path[i]) for i in best}
+
+
+# ---- 7 and 3: layouts and odd ids
+
+def test_toxicity_does_not_depend_on_the_layout(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    named = docs.withColumn("toxic", F.lit("x")).withColumn("_id", F.lit(1)).withColumn("w", F.lit(2)).withColumn("k", F.lit(3))
+    one, two = toxicity.learn(docs, labels), toxicity.learn(named.repartition(7), labels.repartition(3))
+    assert one.terms == two.terms and one.seen == two.seen and (one.weights, one.intercept) == (two.weights, two.intercept)
+
+
+def test_archives_of_any_page_id(spark, tmp_path):
+    ids = [0, 5, 10 ** 13, 2 ** 63 - 1, -2 ** 63, -1, 253402300800, None]
+    pages = spark.createDataFrame([(i, f"http://x.org/{n % 2}", f"<p>{n}</p>") for n, i in enumerate(ids)], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(pages), str(tmp_path / "a"))
+    read = warc.merge_index(warc.read_archives(spark, str(tmp_path / "a")), rows=len(ids))
+    got = read.select("page_id", "url_key", "captured", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).collect()
+    assert sorted((r.page_id is None, r.page_id or 0) for r in got) == sorted((i is None, i or 0) for i in ids)
+    order = [(r.url_key, r.captured, r.page_id is None, r.page_id or 0) for r in sorted(got, key=lambda r: r["at"])]
+    assert order == sorted(order)
