@@ -1,10 +1,11 @@
 """Operator 10: removal of byte strings that also start in a smaller document.
 
-The method is prefix doubling: positions are ranked by a prefix of growing length, and only
-positions whose rank is shared go on to the next length.  Ranking every byte position of
-the corpus would shuffle many times the input, so the first ranks are taken at sampled
-positions chosen by content: a 50-byte window is represented by the least-hashed 20-byte
-string inside it, which equal windows choose alike.
+The method is content-sampled windows, not prefix doubling over all positions: ranking every
+byte position of the corpus would shuffle many times the input (README, with figures).  What is
+kept of doubling is that positions are ranked by longer prefixes round by round, and only those
+whose rank is shared go on.  The first ranks are taken at positions chosen by content: a
+50-byte window is represented by the least-hashed 20-byte string inside it, which equal
+windows choose alike.
 
 1. length 20: the digest of each chosen string is its rank.  Ranks that occur in one
    document only are dropped, with all windows they represent.
