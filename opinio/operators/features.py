@@ -33,6 +33,38 @@ def label_decoder(model, index_col: str, out: str) -> IndexToString:
     return IndexToString(inputCol=index_col, outputCol=out, labels=model.labels)
 
 
+def label_codes(df: DataFrame, label_col: str) -> DataFrame:
+    """M1 for any number of labels: ``(label, code)``, codes in alphabetical order from 0.
+
+    The distinct labels are numbered by ranges, and the table is written once: nothing per
+    label is on the driver.  Null labels have no code.
+    """
+    from opinio.operators.metrics import dense_index
+    from opinio.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    labels = df.select(F.col(label_col).alias("label")).where("label IS NOT NULL").distinct()
+    return dense_index(labels, "label", "code").select("label", "code").checkpoint()
+
+
+def encode_labels(df: DataFrame, label_col: str, codes: DataFrame, out: str = "label_index") -> DataFrame:
+    """``df`` with its labels' codes: a join with the table, broadcast when it is measured small.
+
+    A label that the table does not have is an error, as in the original encoder; a null label
+    has a null code.
+    """
+    side = bounded_broadcast(codes.select(F.col("label").alias("_label"), F.col("code").alias("_code")))
+    joined = df.join(side, F.col(label_col) == F.col("_label"), "left")
+    unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.col(label_col).cast("string")))
+    code = F.when(F.col("_code").isNull() & F.col(label_col).isNotNull(), unseen.cast("long")).otherwise(F.col("_code"))
+    return joined.withColumn(out, code).drop("_label", "_code")
+
+
+def decode_labels(df: DataFrame, index_col: str, codes: DataFrame, out: str) -> DataFrame:
+    """M1 inverse: the label of each code, null where there is none."""
+    side = bounded_broadcast(codes.select(F.col("code").alias("_code"), F.col("label").alias(out)))
+    return df.join(side, F.col(index_col) == F.col("_code"), "left").drop("_code")
+
+
 # ----------------------------------------------------------------- M2
 @dataclass(frozen=True)
 class TfidfVocab:

@@ -47,9 +47,10 @@ def _labelled(spark, sf):
 SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label_index FROM documents
 """)
 def q_label_encoding(spark, sf):
+    """M1: the languages' codes as a table, joined to the documents."""
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    model = FE.fit_label_encoder(d, "lang")
-    return model.transform(d).withColumn("label_index", F.col("label_index").cast("int"))
+    coded = FE.encode_labels(d, "lang", FE.label_codes(d, "lang"))
+    return coded.withColumn("label_index", F.col("label_index").cast("int"))
 
 
 @register("tfidf_weights", family="ml", sql=f"""
@@ -84,10 +85,9 @@ def q_tfidf_vectors(spark, sf):
     d = _docs_tokens(spark, sf, 2)
     vocab = FE.fit_tfidf(d, "ws", "doc_id", TFIDF_MAX_FEATURES)
     v = FE.tfidf_vectors(d, "ws", vocab)
-    arr = vector_to_array("features")
-    v = v.select("doc_id", arr.alias("a"))
-    return v.select("doc_id", F.size(F.filter("a", lambda x: x != 0.0)).alias("nnz"),
-                    F.round(F.array_max("a"), 6).alias("max_weight"), F.round(LB.array_sum("a"), 6).alias("sum_weight"))
+    v = v.select("doc_id", F.transform(F.filter(FE.cells("features"), lambda c: c["x"] != 0.0), lambda c: c["x"]).alias("a"))
+    return v.select("doc_id", F.size("a").alias("nnz"), F.round(F.coalesce(F.array_max("a"), F.lit(0.0)), 6).alias("max_weight"),
+                    F.round(LB.array_sum("a"), 6).alias("sum_weight"))
 
 
 _TFIDF_X_SQL = f"""

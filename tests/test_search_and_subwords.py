@@ -70,3 +70,17 @@ def test_sequences_have_marks_and_padding(spark):
     assert got == {1: ([7, 1, 2, 0, 2, 8], [1] * 6), 2: ([7, 8, 99, 99, 99, 99], [1, 1, 0, 0, 0, 0]), 3: ([7, 1, 1, 1, 1, 8], [1] * 6)}
     with pytest.raises(ValueError, match="no room"):
         SW.encode_subwords(df, "ws", "row_id", pieces, 1, begin_id=7, end_id=8)
+
+
+def test_label_codes_as_a_table(spark):
+    from opinio.operators import features as FE
+    names = [f"l{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(i, names[i * 7 % 3000]) for i in range(5000)] + [(9000, None)], "row_id long, label string")
+    codes = FE.label_codes(df, "label")
+    coded = FE.encode_labels(df, "label", codes)
+    got = {r.row_id: r.label_index for r in coded.collect()}
+    assert got == {**{i: i * 7 % 3000 for i in range(5000)}, 9000: None}
+    back = {r.row_id: r.again for r in FE.decode_labels(coded, "label_index", codes, "again").collect()}
+    assert back[10] == names[70] and back[9000] is None
+    with pytest.raises(Exception, match="unseen label: new"):
+        FE.encode_labels(spark.createDataFrame([(1, "new")], "row_id long, label string"), "label", codes).collect()
