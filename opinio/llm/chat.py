@@ -106,12 +106,15 @@ def rank_leaves(held: DataFrame, steps: list[DataFrame]) -> DataFrame:
     return scored.select("tree", "leaf", "score", order.alias("place"))
 
 
-def paths(leaves: DataFrame, steps: list[DataFrame]) -> DataFrame:
-    """``leaf, node, up``: the nodes on the path of each of ``leaves`` (``leaf``), ``up`` levels above it."""
+def paths(leaves: DataFrame, steps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``leaf, node, up``: the nodes on the path of each of ``leaves`` (``leaf``), ``up`` levels above it.
+
+    Each round is written: it reads the one before twice, so plans would double with it.
+    """
     found = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for k in range(len(steps) - 1, -1, -1):
         higher = found.join(steps[k], "node").select("leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        found = found.union(higher)
+        found = scratch.table(found.union(higher))
     return found
 
 
@@ -135,7 +138,7 @@ def conversations(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
             held = scratch.table(held.join(cut, "key", "left").withColumn("parent", F.when(F.col("cut").isNull(), F.col("parent"))).drop("cut"))
             steps, _ = ancestors(held, scratch)
         chosen = scratch.table(rank_leaves(held, steps).where(F.col("place") <= per_tree))
-        return settle(_format(scratch.table(paths(chosen, steps)), chosen, held))
+        return settle(_format(paths(chosen, steps, scratch), chosen, held))
 
 
 def _format(found: DataFrame, chosen: DataFrame, nodes: DataFrame) -> DataFrame:
