@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.session import checkpoint_root, work_dir
+from opinio.session import checkpoint_root, release_shuffles, remove_path, work_dir  # noqa: F401 (also imported from here)
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,22 +77,3 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column, max_bytes: int = 16_000
     """
     total = df.agg(F.sum(row_bytes)).first()[0] or 0
     return F.broadcast(df) if total <= max_bytes else df
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of written intermediates on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of results that are settled.
-
-    Files go when the driver's references are collected; without a hint that happens only
-    when its heap fills, long after a large job's disk could have been free.
-    """
-    for _ in range(2):  # the first collection frees what holds the shuffles, the second them
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

@@ -13,7 +13,10 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from opinio.functions import labels as LB
 from opinio.functions.arrays import explode_rows
 from opinio.functions.text import word_tokens
+from opinio.operators.arrowcounts import row_word_counts
 from opinio.operators.features import cells
+from opinio.operators.metrics import dense_index
+from opinio.session import checkpoint_root, release_shuffles, remove_path, work_dir
 from opinio.sources.tables import bounded_broadcast
 
 
@@ -100,7 +103,6 @@ def _concurrent(fn, items, parallelism: int, spark):
 def class_centroids(df: DataFrame, vec_col: str, class_col: str) -> DataFrame:
     """``(class, v)``: per-class mean vectors, aggregated distributedly over
     ``(class, position)``; written once, since assignment reads it in blocks."""
-    from opinio.session import checkpoint_root
     checkpoint_root(df.sparkSession)
     per_dim = (df.select(F.col(class_col).alias("class"), F.posexplode(F.col(vec_col).cast("array<double>")).alias("i", "x"))
                .groupBy("class", "i").agg(F.avg("x").alias("m")))
@@ -186,7 +188,6 @@ def assign_nearest(df: DataFrame, vec_col: str, centroids: DataFrame, out: str =
     length, has a null cluster.
     """
     import numpy as np
-    from opinio.session import checkpoint_root
     spark = df.sparkSession
     width = centroids.agg(F.max(F.size("v"))).first()[0]
     kind = centroids.schema["class"].dataType
@@ -285,7 +286,6 @@ def linear_attribution(weights: DataFrame, coefs: DataFrame, means: DataFrame,
     without any vocabulary word; nothing is made for other classes.  Coefficients are per
     vocabulary word and class and broadcast after a size check.
     """
-    from opinio.session import checkpoint_root
     checkpoint_root(weights.sparkSession)
     cm = bounded_broadcast(coefs.join(means, "word").checkpoint())  # read several times below
     full_base = bounded_broadcast(cm.groupBy("class").agg(F.sum(-F.col("coef") * F.col("mean")).alias("_all")).checkpoint())
@@ -353,49 +353,96 @@ def lda_topics(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_siz
     return ranked.select("topic", "rank", "weight", "word")
 
 
+#: Words whose topic counts are broadcast in a sweep, the most frequent ones; the tokens of all
+#: others, a few in a hundred, are joined by a shuffle.
+FREQUENT_WORDS = 1 << 19
+
+
 def lda_fit(df: DataFrame, ws_col: str, k: int = 3, seed: int = 42, vocab_size: int | None = None,
-            max_iter: int = 10, row_id: str | None = None, alpha: float = 0.1, beta: float = 0.01) -> DataFrame:
+            max_iter: int = 10, row_id: str | None = None, alpha: float = 0.1, beta: float = 0.01,
+            partitions: int | None = None) -> DataFrame:
     """M10 fit: ``(topic, word, weight, n)``: each topic's distribution over all words, and the
     expected number of tokens of the word in the topic.
 
-    Expectation-maximisation with collapsed counts.  Nothing per word is on the driver: the
-    topic counts of words are a table, joined to the corpus's ``(row, word, n)`` counts in
-    each sweep, as are those of rows; a sweep shares each count out over the topics and adds
-    the shares up per word and per row.  Only the ``k`` topic totals are collected.  Each
-    sweep's tables are written, so a lost executor costs one sweep at most.  Starts come from a
-    hash of row and word, the same on any cluster if ``row_id`` is given.
+    Expectation-maximisation with collapsed counts.  The ``(row, word, n)`` counts of the corpus
+    are numbers, dealt to ``partitions`` by row and persisted once; a sweep joins to them the topic
+    counts of rows (dealt alike, so the corpus stays where it is) and of words, shares each count
+    out over the topics and adds the shares up per word and per row in one aggregation.  Words are
+    numbered by their frequency: the counts of the first ``FREQUENT_WORDS`` are broadcast, the
+    tokens of the others meet theirs in a shuffle, so the vocabulary may have any size.  Only
+    the two tables of counts are written, those of the sweep before being removed with its shuffle
+    files; only the ``k`` topic totals are collected.  Starts come from a hash of row and word,
+    the same on any cluster if ``row_id`` is given.
     """
-    from opinio.session import checkpoint_root
-    checkpoint_root(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_root(spark)
     key = F.col(row_id) if row_id else F.monotonically_increasing_id()
-    words = explode_rows(df.select(key.alias("_row"), F.col(ws_col).alias("_ws")), "_ws", "word", "_row")
-    tokens = words.groupBy("_row", "word").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    if vocab_size:
-        kept = tokens.groupBy("word").agg(F.sum("n").alias("cf")).orderBy(F.desc("cf"), "word").limit(vocab_size)
-        tokens = tokens.join(kept.select("word"), "word", "left_semi").checkpoint()
     topics = range(k)
     total = lambda cols: sum(cols[1:], cols[0])
+    held = [work_dir(spark, "lda-counts")]
+    row_word_counts(df.select(key.alias("_row"), F.col(ws_col).alias("_ws")), "_ws", "_row").write.parquet(held[0])
+    counted = spark.read.parquet(held[0])
+    words = counted.groupBy("word").agg(F.sum("n").alias("cf"))
+    if vocab_size:
+        words = words.orderBy(F.desc("cf"), "word").limit(vocab_size)
+    # Numbers from 0, the most frequent word first.
+    ranked = dense_index(words.select(F.struct((-F.col("cf")).alias("less"), "word").alias("at")), "at", "w")
+    codes = ranked.select(F.col("at.word").alias("word"), "w").checkpoint()
+    size = codes.count()
+    rare = size > FREQUENT_WORDS
     start = [1.0 + F.pmod(F.xxhash64(F.lit(seed), F.lit(t), "_row", "word"), F.lit(1000)) / 1000.0 for t in topics]
-    start_sum = total([F.col(f"s{t}") for t in topics])
-    shares = tokens.select("_row", "word", "n", *[s.alias(f"s{t}") for t, s in zip(topics, start, strict=True)]) \
-        .select("_row", "word", *[(F.col("n") * F.col(f"s{t}") / start_sum).alias(f"r{t}") for t in topics])
-    sums = [F.sum(f"r{t}") for t in topics]
-    for sweep in range(max_iter + 1):
-        shares = shares.checkpoint()
-        by_word = shares.groupBy("word").agg(*[s.alias(f"w{t}") for t, s in zip(topics, sums, strict=True)]).checkpoint()
-        whole = by_word.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"w{t}").alias(f"w{t}") for t in topics]).first()
-        size = whole["v"]
-        if sweep == max_iter or not size:
-            break
-        by_row = shares.groupBy("_row").agg(*[s.alias(f"d{t}") for t, s in zip(topics, sums, strict=True)])
-        joined = tokens.join(by_word, "word").join(by_row, "_row")
-        likely = [(F.col(f"d{t}") + alpha) * (F.col(f"w{t}") + beta) / (whole[f"w{t}"] + size * beta) for t in topics]
-        p = joined.select("_row", "word", "n", *[x.alias(f"p{t}") for t, x in zip(topics, likely, strict=True)])
-        norm = total([F.col(f"p{t}") for t in topics])
-        shares = p.select("_row", "word", *[(F.col("n") * F.col(f"p{t}") / norm).alias(f"r{t}") for t in topics])
-    each = F.array(*[F.struct(F.lit(t).alias("topic"), F.col(f"w{t}").alias("n"),
-                              ((F.col(f"w{t}") + beta) / ((whole[f"w{t}"] or 0.0) + size * beta)).alias("weight")) for t in topics])
-    return by_word.select("word", F.explode(each).alias("x")).select("x.topic", "word", "x.weight", "x.n")
+    often = F.broadcast(codes.where(F.col("w") < FREQUENT_WORDS))
+    if rare:
+        met = counted.join(often, "word", "left")
+        seldom = met.where("w IS NULL").drop("w").join(codes.where(F.col("w") >= FREQUENT_WORDS).hint("merge"), "word")
+        coded = met.where("w IS NOT NULL").unionByName(seldom)
+    else:
+        coded = counted.join(often, "word")  # inner: with vocab_size other words are left out
+    coded = coded.select("_row", F.col("w").cast("int").alias("w") if size < 1 << 31 else "w", F.col("n").cast("double").alias("n"),
+                         *[s.alias(f"s{t}") for t, s in zip(topics, start, strict=True)])
+    dealt = coded.repartition(partitions, "_row") if partitions else coded.repartition("_row")
+    tokens = dealt.sortWithinPartitions("_row").persist()
+
+    def added(parts: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+        """The counts of words and of rows, written: ``parts`` read once, sums by either key."""
+        path = work_dir(spark, "lda-sweep")
+        sums = parts.groupingSets([["w"], ["_row"]], "w", "_row").agg(
+            F.grouping("w").alias("of_row"), *[F.sum(f"r{t}").alias(f"c{t}") for t in topics])
+        sums.write.partitionBy("of_row").parquet(path)
+        both = spark.read.schema(sums.drop("of_row").schema.add("of_row", "integer")).parquet(path)
+        pick = lambda of, name, c: both.where(F.col("of_row") == of).select(name, *[F.col(f"c{t}").alias(f"{c}{t}") for t in topics])
+        return pick(0, "w", "w"), pick(1, "_row", "d"), path
+
+    norm = total([F.col(f"s{t}") for t in topics])
+    shares = tokens.select("_row", "w", *[(F.col("n") * F.col(f"s{t}") / norm).alias(f"r{t}") for t in topics])
+    try:
+        for sweep in range(max_iter + 1):
+            by_word, by_row, path = added(shares)
+            whole = by_word.agg(*[F.sum(f"w{t}").alias(f"w{t}") for t in topics]).first()
+            held.append(path)
+            if len(held) > 2:  # nothing reads the sums of the sweep before any more
+                remove_path(spark, held.pop(1))
+            if sweep % 3 == 2:
+                release_shuffles(spark)
+            if sweep == max_iter or not size:
+                break
+            here = tokens.drop(*[f"s{t}" for t in topics]).join(by_row.hint("merge"), "_row")
+            joined = here.join(F.broadcast(by_word.where(F.col("w") < FREQUENT_WORDS)), "w")
+            if rare:
+                joined = joined.unionByName(here.where(F.col("w") >= FREQUENT_WORDS).join(
+                    by_word.where(F.col("w") >= FREQUENT_WORDS).hint("merge"), "w"))
+            likely = [(F.col(f"d{t}") + alpha) * (F.col(f"w{t}") + beta) / (whole[f"w{t}"] + size * beta) for t in topics]
+            p = joined.select("_row", "w", "n", *[x.alias(f"p{t}") for t, x in zip(topics, likely, strict=True)])
+            norm = total([F.col(f"p{t}") for t in topics])
+            shares = p.select("_row", "w", *[(F.col("n") * F.col(f"p{t}") / norm).alias(f"r{t}") for t in topics])
+        each = F.array(*[F.struct(F.lit(t).alias("topic"), F.col(f"w{t}").alias("n"),
+                                  ((F.col(f"w{t}") + beta) / ((whole[f"w{t}"] or 0.0) + size * beta)).alias("weight")) for t in topics])
+        found = by_word.join(codes, "w").select("word", F.explode(each).alias("x")).select("x.topic", "word", "x.weight", "x.n").checkpoint()
+    finally:
+        tokens.unpersist()
+    for path in held:
+        remove_path(spark, path)
+    return found
 
 
 # --------------------------------------------------------------- M11

@@ -439,7 +439,7 @@ def q_lda_topics(spark, sf):
     from pyspark.sql.window import Window
     docs = _docs_tokens(spark, sf, 2)
     checkpoint_root(spark)
-    topics = MO.lda_fit(docs, "ws", k=3, seed=42, row_id="doc_id").checkpoint()
+    topics = MO.lda_fit(docs, "ws", k=3, seed=42, row_id="doc_id", partitions=fit_partitions(spark, sf, bytes_each=4_000_000))
     stats = topics.groupBy("topic").agg(F.count(F.lit(1)).alias("n_words"), F.round(F.sum("weight"), 6).alias("weight_sum"),
                                         F.max("weight").alias("heaviest"), F.sum("n").alias("n"))
     every = F.sum("n").over(Window.partitionBy(F.lit(1)))  # three rows
