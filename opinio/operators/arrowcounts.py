@@ -51,11 +51,24 @@ def _out(columns: dict) -> Iterator[pa.RecordBatch]:
     yield from pa.table(columns).to_batches(max_chunksize=OUT_ROWS)
 
 
-def pair_counts(df: DataFrame, ws_col: str, window: int = 1, either_way: bool = False) -> DataFrame:
+def run_word_counts(df: DataFrame, ws_col: str) -> DataFrame:
+    """``(word, n)``: how often a word stands in the table; null words are passed over."""
+
+    def count(batches):
+        for run in _runs(batches, ws_col):
+            _, word, names = _numbered(run.column(ws_col))
+            n = np.bincount(word[word >= 0], minlength=len(names))
+            yield from _out({"word": names, "n": pa.array(n, pa.int64())})
+
+    return df.select(ws_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(df: DataFrame, ws_col: str, window: int = 1, either_way: bool = False, known: DataFrame | None = None) -> DataFrame:
     """``(a, b, n)``: how often ``b`` stands at most ``window`` words after ``a`` in a row.
 
     With ``either_way`` a pair counts in either order and is given once, the word that is less
-    in bytes first.  A null word is in no pair but keeps its place.
+    in bytes first.  A null word is in no pair but keeps its place.  Pairs with a word that
+    is not in ``known(word)``, if given, are dropped before the shuffle.
     """
 
     def count(batches):
@@ -83,6 +96,8 @@ def pair_counts(df: DataFrame, ws_col: str, window: int = 1, either_way: bool =
                                  "n": pa.array(n[at:at + OUT_ROWS], pa.int64())})
 
     made = df.select(ws_col).mapInArrow(count, "a string, b string, n long")
+    if known is not None:
+        made = made.join(known.select(F.col("word").alias("a")), "a", "left_semi").join(known.select(F.col("word").alias("b")), "b", "left_semi")
     return made.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 

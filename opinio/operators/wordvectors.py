@@ -12,26 +12,45 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinio.functions.arrays import explode_rows
-from opinio.operators.wordstats import word_counts
-from opinio.session import checkpoint_root
+from opinio.operators.arrowcounts import pair_counts, row_word_counts, run_word_counts
+from opinio.session import checkpoint_root, work_dir
 from opinio.sources.tables import bounded_broadcast
 
 
+def _both_ways(pairs: DataFrame, *values: str) -> DataFrame:
+    """``(word, ctx, *values)`` of written pairs that are given once; a word beside itself has one row."""
+    turned = pairs.where("a <> b").select(F.col("b").alias("word"), F.col("a").alias("ctx"), *values)
+    return pairs.select(F.col("a").alias("word"), F.col("b").alias("ctx"), *values).unionByName(turned)
+
+
+def _once(df: DataFrame, ws_col: str, window: int, known: DataFrame | None = None) -> DataFrame:
+    """``(a, b, n)``: each pair of words once, counted in either order; a word beside itself
+    counts for both places."""
+    pairs = pair_counts(df, ws_col, window, either_way=True, known=known)
+    return pairs.withColumn("n", F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")))
+
+
 def cooccurrences(df: DataFrame, ws_col: str, window: int = 2) -> DataFrame:
     """``(word, ctx, n)``: how often two words stand at most ``window`` apart, both ways round.
 
-    Pairs are made inside the row from the array and shifted copies of it, and counted in the
-    tasks before the shuffle, so a pair that fills the corpus is one row per task.
+    Pairs are counted in the tasks, by the words' numbers, before the one shuffle, in which each
+    pair is held in one order; a pair that fills the corpus is a row for each million words.
     """
-    nulls = lambda k: F.array_repeat(F.lit(None).cast("string"), k)
-    pairs = F.flatten(F.array(*[
-        F.zip_with(F.concat(nulls(k), F.col(ws_col)), F.concat(F.col(ws_col), nulls(k)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        for k in range(1, window + 1)]))
-    there = F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
-    ahead = explode_rows(df, there, "p").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    both = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("ctx")), F.struct(F.col("b").alias("word"), F.col("a").alias("ctx")))
-    return ahead.select(F.explode(both).alias("p"), "n").groupBy("p.word", "p.ctx").agg(F.sum("n").alias("n"))
+    return _both_ways(_written(_once(df, ws_col, window), "word-pairs"), "n")
+
+
+def _ppmi_once(df: DataFrame, ws_col: str, window: int, min_count: int) -> DataFrame:
+    """``(a, b, n, x)``: the pairs of :func:`ppmi`, each once."""
+    checkpoint_root(df.sparkSession)
+    kept = run_word_counts(df, ws_col).where(F.col("n") >= min_count).select("word").checkpoint()
+    pairs = _written(_once(df, ws_col, window, bounded_broadcast(kept)), "word-pairs")
+    sums = _both_ways(pairs, "n").groupBy("word").agg(F.sum("n").alias("m")).checkpoint()
+    own = bounded_broadcast(sums)
+    total = F.broadcast(sums.agg(F.sum("m").cast("double").alias("total")))  # one row
+    side = lambda c, m: own.select(F.col("word").alias(c), F.col("m").cast("double").alias(m))
+    scored = pairs.join(side("a", "ma"), "a").join(side("b", "mb"), "b").join(total, F.lit(True))
+    x = F.ln(F.col("n") * F.col("total") / (F.col("ma") * F.col("mb")))
+    return scored.select("a", "b", "n", x.alias("x")).where("x > 0")
 
 
 def ppmi(df: DataFrame, ws_col: str, window: int = 2, min_count: int = 5) -> DataFrame:
@@ -40,17 +59,14 @@ def ppmi(df: DataFrame, ws_col: str, window: int = 2, min_count: int = 5) -> Dat
     Only words that occur at least ``min_count`` times have a vector (so in any model of this
     kind: of a rarer word there is too little evidence); totals are over their pairs.
     """
-    checkpoint_root(df.sparkSession)
-    kept = word_counts(df, ws_col).where(F.col("n") >= min_count).select("word").checkpoint()
-    known = bounded_broadcast(kept)
-    pairs = cooccurrences(df, ws_col, window).join(known, "word", "left_semi") \
-        .join(known.withColumnRenamed("word", "ctx"), "ctx", "left_semi").checkpoint()
-    sums = pairs.groupBy("word").agg(F.sum("n").alias("m")).checkpoint()
-    own = bounded_broadcast(sums)
-    total = F.broadcast(sums.agg(F.sum("m").cast("double").alias("total")))  # one row
-    scored = pairs.join(own, "word").join(own.select(F.col("word").alias("ctx"), F.col("m").alias("mc")), "ctx").join(total, F.lit(True))
-    x = F.ln(F.col("n") * F.col("total") / (F.col("m").cast("double") * F.col("mc")))
-    return scored.select("word", "ctx", "n", x.alias("x")).where("x > 0")
+    return _both_ways(_ppmi_once(df, ws_col, window, min_count), "n", "x")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A large intermediate, written once as Parquet, which is smaller than a checkpoint."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _axes(size: int) -> list[Column]:
@@ -89,7 +105,7 @@ def word_vectors(table: DataFrame, size: int = 16, iterations: int = 6, seed: in
     columns as there are words; an empty table gives no rows.
     """
     checkpoint_root(table.sparkSession)
-    table = table.select("word", "ctx", "x").checkpoint()
+    table = _written(table.select("word", "ctx", "x"), "word-table")
     words = table.select("word").distinct().checkpoint()
     size = min(size, words.count())
     if not size:
@@ -115,14 +131,17 @@ def _orthonormal(y: DataFrame, size: int) -> DataFrame:
 def sentence_means(df: DataFrame, ws_col: str, row_id: str, vectors: DataFrame, out: str = "sentence_vector") -> DataFrame:
     """``(row_id, out)``: mean of the vectors of a row's words that have one; null without any.
 
-    A row's words are joined once and averaged in the tasks per component.
+    A row's words are counted, joined once and averaged in the tasks per component.
     """
     size = (vectors.select(F.max(F.size("vector"))).first()[0]) or 0
     flat = bounded_broadcast(vectors.select("word", *[F.get("vector", i).alias(f"v{i}") for i in range(size)]))
-    words = df.select(row_id, F.explode_outer(ws_col).alias("word")).join(flat, "word", "left")
-    means = words.groupBy(row_id).agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(size)])
-    return means.select(row_id, F.when(F.col("v0").isNotNull(), F.array(*_axes(size))).alias(out)) if size \
-        else means.select(row_id, F.lit(None).cast("array<double>").alias(out))
+    if not size:
+        return df.select(row_id).distinct().select(row_id, F.lit(None).cast("array<double>").alias(out))
+    hits = row_word_counts(df, ws_col, row_id).join(flat, "word")
+    sums = hits.select(row_id, "n", *[(F.col("n") * F.col(f"v{i}")).alias(f"v{i}") for i in range(size)])
+    every = df.select(row_id, F.lit(None).cast("long").alias("n"), *[F.lit(None).cast("double").alias(f"v{i}") for i in range(size)])
+    means = every.unionByName(sums).groupBy(row_id).agg(F.sum("n").alias("n"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(size)])
+    return means.select(row_id, F.when(F.col("n") > 0, F.array(*[c / F.col("n") for c in _axes(size)])).alias(out))
 
 
 def mine_aspects(df: DataFrame, ws_col: str, opinions: DataFrame, stopwords: DataFrame, rounds: int = 2,
@@ -137,8 +156,9 @@ def mine_aspects(df: DataFrame, ws_col: str, opinions: DataFrame, stopwords: Dat
     """
     spark = df.sparkSession
     checkpoint_root(spark)
-    near = cooccurrences(df, ws_col, 1).join(bounded_broadcast(stopwords.select("word").distinct()), "word", "left_anti").checkpoint()
-    said = word_counts(df, ws_col).withColumnRenamed("n", "said").checkpoint()
+    near = _both_ways(_written(_once(df, ws_col, 1), "neighbours"), "n").join(
+        bounded_broadcast(stopwords.select("word").distinct()), "word", "left_anti")
+    said = run_word_counts(df, ws_col).withColumnRenamed("n", "said").checkpoint()
     found = opinions.select("word").distinct().select("word", F.lit("opinion").alias("kind"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("hits"))
     found = found.checkpoint()
     fresh = {"opinion": found.select("word")}

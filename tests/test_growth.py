@@ -50,3 +50,36 @@ def test_lda_is_the_plain_sweep(spark):
     got = {(r.topic, r.word): r.n for r in MO.lda_fit(df, "ws", k=2, max_iter=3, row_id="row_id").collect()}
     assert got.keys() == {(t, x) for t in range(2) for x in words}
     assert all(math.isclose(got[t, x], w[x][t], rel_tol=1e-9) for t, x in got)
+
+
+def test_pairs_are_counted_in_runs(spark, monkeypatch):
+    """By the words' numbers, in runs that end inside the table, with nulls and rows without words."""
+    from opinio.operators import arrowcounts as AC
+    monkeypatch.setattr(AC, "OUT_ROWS", 5)
+    data = [(1, ["b", "a", None, "a", "b", "b"]), (2, None), (3, []), (4, [None]), (5, ["é", "z", "é"]), (5, ["a"])]
+    df = spark.createDataFrame(data, "row_id long, ws array<string>").coalesce(1)
+    plain, either = Counter(), Counter()
+    for _, ws in data:
+        for k in (1, 2):
+            for a, b in zip(ws or [], (ws or [])[k:]):
+                if a is not None and b is not None:
+                    plain[a, b] += 1
+                    either[tuple(sorted((a, b), key=str.encode))] += 1
+    for words in (2, 1 << 20):
+        monkeypatch.setattr(AC, "RUN_WORDS", words)
+        assert {(r.a, r.b): r.n for r in AC.pair_counts(df, "ws", 2).collect()} == plain
+        assert {(r.a, r.b): r.n for r in AC.pair_counts(df, "ws", 2, either_way=True).collect()} == either
+        known = spark.createDataFrame([("a",), ("b",)], "word string")
+        assert {(r.a, r.b): r.n for r in AC.pair_counts(df, "ws", 2, True, known).collect()} == {p: n for p, n in either.items() if set(p) <= {"a", "b"}}
+        assert {r.word: r.n for r in AC.run_word_counts(df, "ws").collect()} == Counter(w for _, ws in data for w in ws or [] if w is not None)
+        got = Counter({(r.row_id, r.word): r.n for r in AC.row_word_counts(df, "ws", "row_id").collect()})
+        assert got == Counter((i, w) for i, ws in data for w in ws or [] if w is not None)
+
+
+def test_pairs_leave_a_task_counted(spark):
+    """What the tasks send is counted over runs of words, not a row for each place in the text."""
+    from opinio.operators import wordvectors as WV
+    df = spark.createDataFrame([(["a", "b"] * 50,)] * 40, "ws array<string>").coalesce(2)
+    once = WV._once(df, "ws", 2)
+    assert "zip_with" not in once._jdf.queryExecution().toString() and "MapInArrow" in once._jdf.queryExecution().toString()
+    assert {(r.word, r.ctx): r.n for r in WV.cooccurrences(df, "ws", 1).collect()} == {("a", "b"): 40 * 99, ("b", "a"): 40 * 99}
