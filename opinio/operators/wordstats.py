@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions import text as T
 from opinio.functions.arrays import explode_rows
+from opinio.operators.arrowcounts import pair_counts, run_word_counts
 
 
 def label_counts(df: DataFrame, label_col: str) -> DataFrame:
@@ -110,13 +111,10 @@ def collocations(df: DataFrame, ws_col: str, threshold: float = 30.0) -> DataFra
     (``llr`` is null for words), and words of which none is left have no row.  All counts
     combine in the tasks, and nothing is collected: the total is joined as a table of one row.
     """
-    pairs = F.filter(F.zip_with(F.concat(F.array(F.lit(None).cast("string")), F.col(ws_col)), F.col(ws_col),
-                                lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-                     lambda p: p["a"].isNotNull() & p["b"].isNotNull())
     from opinio.session import checkpoint_root
     checkpoint_root(df.sparkSession)
-    words = word_counts(df, ws_col).checkpoint()
-    both = explode_rows(df, pairs, "p").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("k"))
+    words = run_word_counts(df, ws_col).checkpoint()
+    both = pair_counts(df, ws_col).withColumnRenamed("n", "k")
     total = F.broadcast(words.agg(F.sum("n").cast("double").alias("total")))  # one row
     counted = (both.join(words.select(F.col("word").alias("a"), F.col("n").cast("double").alias("na")), "a")
                .join(words.select(F.col("word").alias("b"), F.col("n").cast("double").alias("nb")), "b").join(total, F.lit(True)))
