@@ -607,14 +607,16 @@ def q_subword_encoding(spark, sf):
     pieces = SW.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     docs = _docs_tokens(spark, sf, 1).withColumn("ws", F.coalesce("ws", F.array().cast("array<string>")))
     checkpoint_root(spark)
-    ids = SW.subword_ids(docs, "ws", pieces, ["doc_id", "ws"]).checkpoint()
+    said = F.array_join(F.transform("ws", lambda w: F.concat(F.lit(" "), w)), "")
+    ids = SW.subword_ids(docs.select("doc_id", "ws", F.size("ws").alias("n_words"), said.alias("said")), "ws", pieces,
+                         ["doc_id", "n_words", "said"]).checkpoint()
     vocabulary = spark.createDataFrame([(p, i) for p, i in pieces.items()], "piece string, id int")
     text = SW.decode("ids", vocabulary, ids, "doc_id")
     seq = SW.encode_subwords(docs, "ws", "doc_id", pieces, SEQ_LEN, begin_id=50256, end_id=50256)
     body = F.slice("ids", 1, SEQ_LEN - 2)
     inner = F.slice("input_ids", 2, F.size(body))
     return ids.join(text, "doc_id").join(seq, "doc_id").select(
-        "doc_id", F.size("ws").alias("n_words"), F.size(F.filter("ids", lambda i: i < 0)).alias("n_unknown"),
-        (F.col("text") == F.array_join(F.transform("ws", lambda w: F.concat(F.lit(" "), w)), "")).alias("restored"),
+        "doc_id", "n_words", F.size(F.filter("ids", lambda i: i < 0)).alias("n_unknown"),
+        (F.col("text") == F.col("said")).alias("restored"),
         F.size("input_ids").alias("length"),
         ((F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x) == F.size(body) + 2) & (inner == body)).alias("mask_fits"))

@@ -83,3 +83,19 @@ def test_pairs_leave_a_task_counted(spark):
     once = WV._once(df, "ws", 2)
     assert "zip_with" not in once._jdf.queryExecution().toString() and "MapInArrow" in once._jdf.queryExecution().toString()
     assert {(r.word, r.ctx): r.n for r in WV.cooccurrences(df, "ws", 1).collect()} == {("a", "b"): 40 * 99, ("b", "a"): 40 * 99}
+
+
+def test_pieces_are_put_together_without_a_row_for_each(spark):
+    from opinio.operators import subwords as SW
+    pieces = {**{c: i for i, c in enumerate(SW.ALPHABET)}, SW.SPACE + "ab": 300, "ab": 301, "cd": 302}
+    data = [(1, ["ab", "abcd", None, "é"]), (2, None), (3, []), (4, [None]), (5, ["xab"] * 3)]
+    df = spark.createDataFrame(data, "row_id long, ws array<string>").coalesce(1)
+    trie = SW.Trie(pieces)
+    plain = {i: [x for w in ws or () if w is not None for x in trie.encode(SW.SPACE + "".join(SW.ALPHABET[b] for b in w.encode()), -1)] for i, ws in data}
+    ids = SW.subword_ids(df, "ws", pieces, ["row_id"])
+    assert {r.row_id: r.ids for r in ids.collect()} == plain
+    for most in (0, 1, 3):
+        assert {r.row_id: r.ids for r in SW.subword_ids(df, "ws", pieces, ["row_id"], most=most).collect()} == {i: x[:most] for i, x in plain.items()}
+    text = SW.decode("ids", spark.createDataFrame(list(pieces.items()), "piece string, id int"), ids, "row_id")
+    assert {r.row_id: r.text for r in text.collect()} == {i: "".join(" " + w for w in ws or () if w is not None) for i, ws in data}
+    assert "Generate" not in text._jdf.queryExecution().toString()
