@@ -240,12 +240,15 @@ def merge_index(captures: DataFrame, rows: int | None = None) -> DataFrame:
     ``captures`` are index rows with ``run, seq``, sorted inside each run.  Key ranges are
     sampled over the whole composite key, so a URL with very many captures is several
     ranges.  ``rows``, their count, sizes the ranges; if it is not known they are counted.
+    The captures are written once: sampling the ranges would read and digest the archives
+    another time.
     """
     spark = captures.sparkSession
+    names = [f.split()[0] for f in INDEX.split(", ")]
+    captures = settle(captures.select(*names, "run", "seq"))
     rows = captures.count() if rows is None else rows
     n = max(partitions_of(spark), -(-rows // RANGE_ROWS))
-    names = [f.split()[0] for f in INDEX.split(", ")]
-    dealt = (captures.select(*names, "run", "seq")
+    dealt = (captures
              .repartitionByRange(n, F.col("url_key").asc_nulls_last(), F.col("captured").asc_nulls_last(),
                                  F.col("page_id").asc_nulls_last())
              .sortWithinPartitions("run", "seq"))

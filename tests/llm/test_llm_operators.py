@@ -137,6 +137,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.merge_index(warc.read_archives(spark, empty)).count() == 0
 
 
+def test_the_index_reads_the_archives_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(key):
+        read.add(1)
+        return key
+
+    captures = spark.createDataFrame([(f"k{i}", 0, i, "response", None, 0, "", "r", i) for i in range(60)],
+                                     warc.INDEX + ", run string, seq long")
+    assert len(warc.merge_index(captures.withColumn("url_key", seen("url_key")), rows=60).collect()) == 60
+    assert read.value == 60
+
+
 def test_warc_key_ranges_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE_ROWS", 2)
     sf = "/root/testdata/sf0.001"
