@@ -9,6 +9,10 @@ The left chunk's words are those of the whole text up to ``margin`` characters b
 end; a chunk that begins a word where the whole text does goes on as the whole text does.
 Where an overlap holds no such place (one run without any word border), the overlaps of
 that text are widened fourfold and it is encoded again, in the end as one chunk.
+
+Where the tokenizer is known to end a word before each space between two visible ASCII
+characters, whole texts are cut there first, and of the equal pieces of a slice of texts the
+library encodes one.
 """
 
 from __future__ import annotations
@@ -17,22 +21,38 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from opinio.llm import tokens as kernels
 from opinio.llm.common import broadcast_if_small, column, settle
 
 #: Characters of a chunk without its overlap, and of the first overlap.
 CHUNK, OVERLAP = 1 << 15, 256
 #: Characters given to the library at once, so that its results stay small.
 SLICE_CHARS = 1 << 18
+#: Bytes of whole texts whose pieces are put together.
+SLICE_BYTES = 1 << 24
 #: Largest tokenizer file that is broadcast.
 MAX_FILE = 1 << 26
 
 Word = tuple[int, int]  # where a word begins, tokens before it
 
+VISIBLE = np.zeros(256, bool)
+VISIBLE[0x21:0x7F] = True
+
+
+def pieces(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces of the texts ``raw[bounds[i]:bounds[i + 1]]`` begin: at each text, and at
+    each space between two visible ASCII characters."""
+    seen = VISIBLE[raw]
+    spaces = np.flatnonzero((raw[1:-1] == 0x20) & seen[:-2] & seen[2:]) + 1
+    first = np.unique(np.concatenate([bounds[:-1], spaces]))
+    return first[first < len(raw)]
+
 
 class JsonTokenizer:
     """A ``tokenizers`` file.  ``provable`` says whether its kind of splitting is known to
@@ -59,6 +79,11 @@ class JsonTokenizer:
         #: A normalizer may join a character with the next: then borders lie between ASCII characters.
         self.ascii_borders = bool(normalizers)
         self.margin = 16 + max((len(t["content"]) for t in added), default=0)
+        # The words of this splitting hold no space but at their beginning, and where one begins
+        # does not depend on what is before a space that follows a visible character.
+        self.by_pieces = bool(
+            self.provable and not normalizers and len(splits) == 1 and splits[0]["type"] == "ByteLevel"
+            and not about["model"].get("dropout") and not any(" " in t["content"] for t in added))
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,6 +104,7 @@ class PieceTokenizer:
 
     SPACE = "▁"
     margin = 16
+    by_pieces = False
 
     def __init__(self, data: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -133,36 +159,46 @@ class _Task:
         return _LOADED[key]
 
 
+def _in_slices(lib: JsonTokenizer | PieceTokenizer, texts: list[str]) -> np.ndarray:
+    """Tokens of each text; the library gets some of them at once."""
+    out, lo, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= SLICE_CHARS:
+            out += lib.counts(texts[lo:i + 1])
+            lo, size = i + 1, 0
+    return np.array([*out, *(lib.counts(texts[lo:]) if lo < len(texts) else ())], np.int64)
+
+
+def whole_counts(lib: JsonTokenizer | PieceTokenizer, texts: pa.Array) -> np.ndarray:
+    """Tokens of each text of a column without nulls."""
+    if not lib.by_pieces:
+        return _in_slices(lib, texts.to_pylist())
+    raw, offsets = kernels.text_bytes(texts)
+    out = np.zeros(len(texts), np.int64)
+    for lo, hi in kernels.slices(offsets, SLICE_BYTES):
+        own, bounds = raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+        first = pieces(own, bounds)
+        ends = np.append(first, len(own))
+        cut = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(own)).dictionary_encode()
+        n = _in_slices(lib, cut.dictionary.to_pylist())
+        before = np.concatenate([[0], np.cumsum(n[cut.indices.to_numpy()])])
+        out[lo:hi] = np.diff(before[np.searchsorted(first, bounds)])
+    return out
+
+
 class CountWhole(_Task):
     """Tokens of the texts that have no ``__key``; the others' numbers stay null."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = self.tokenizer()
         for batch in batches:
-            texts, keys = batch.column("__text"), batch.column("__key").is_null().to_pylist()
-            n: list[int | None] = [None] * batch.num_rows
-            rows: list[int] = []
-            held: list[str] = []
-            size = 0
-
-            def flush(rows=rows, held=held, n=n):
-                for r, c in zip(rows, lib.counts(held), strict=True):
-                    n[r] = c
-                rows.clear()
-                held.clear()
-
-            for r, whole in enumerate(keys):
-                if whole:
-                    rows.append(r)
-                    held.append(texts[r].as_py() or "")
-                    size += len(held[-1])
-                    if size >= SLICE_CHARS:
-                        flush()
-                        size = 0
-            if held:
-                flush()
+            whole = batch.column("__key").is_null()
+            n = np.zeros(batch.num_rows, np.int64)
+            chosen = whole.to_numpy(zero_copy_only=False)
+            n[chosen] = whole_counts(lib, batch.column("__text").filter(whole))
             names = [c for c in batch.schema.names if c != "__text"]
-            arrays = [pa.array(n, pa.int64()) if c == "n_tokens" else batch.column(c) for c in names]
+            arrays = [pa.array(n, pa.int64(), mask=~chosen) if c == "n_tokens" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
 

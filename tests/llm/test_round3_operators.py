@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,6 +145,19 @@ def test_token_counts_equal_the_library(docs_of, name):
         assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), lib.counts([r.text or ""])[0]), r.text[:50]
 
 
+def test_equal_pieces_are_encoded_once():
+    lib = tokencount.load("json", tokencount.read_file(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(11)
+    parts = ["word", " ", " ", "  ", "\n", "\u00a0", "\u3000", "é", "e\u0301", "<|endoftext|>", "'s", "'", ",", "12", "漢", "x y", "\t"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(80))) for _ in range(3000)] + ["", " ", " a", "a "]
+    want = lib.counts(texts)
+    assert tokencount.whole_counts(lib, pa.array(texts)).tolist() == want
+    given = []
+    lib.counts = lambda held, real=lib.counts: (given.extend(held), real(held))[1]
+    tokencount.whole_counts(lib, pa.array(["plain words " * 400] * 5))
+    assert len(given) < 10 and set(given) >= {"plain", " plain", " words"}
+
+
 def test_widening_reaches_runs_without_borders(docs_of, monkeypatch):
     rounds = []
     real = tokencount.Cut.__init__
