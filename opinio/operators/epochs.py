@@ -3,9 +3,11 @@
 A softmax classifier is trained as a network's last layer is: in mini-batches, with Adam steps
 and weight decay that is decoupled from them, a row of metrics per epoch, and a stop once the
 validation loss has not improved for some epochs, after which the best state is restored.
-Rows are dealt to batches by a hash of their key and written as one folder per batch, so a
-step reads its batch only; a step's gradient is added up in the tasks and then over the
-cluster, entry by entry.  The driver holds the weights, never rows.
+Rows are dealt to batches by a hash of their key, and each batch is packed and written as one
+partition: a step is a job of one short task over its batch only, without planning, listing or
+a shuffle, since steps follow one another and there are as many as batches.  The validation
+loss is added up in the tasks and then over the cluster.  The driver holds the weights, never
+rows.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinio.operators.features import cells
-from opinio.session import work_dir
+from opinio.session import checkpoint_root, work_dir
 
-#: Entries of a result that are no weights: loss, hits and rows of a batch.
-LOSS, HITS, ROWS = -1, -2, -3
+#: What is added up of a batch.
+LOSS, HITS, ROWS = 0, 1, 2
 
 
 def hash_share(key: Column, seed: int) -> Column:
@@ -30,65 +32,94 @@ def hash_share(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-class Softmax:
-    """Tasks' part of a pass: per batch and entry, sums over the task's rows."""
+def _forward(w: np.ndarray, labels: np.ndarray, row: np.ndarray, at: np.ndarray, x: np.ndarray):
+    """Probabilities, losses and hits of rows given by their cells.  The last column of ``w``
+    (classes x (features + 1)) is the intercept."""
+    z = np.stack([np.bincount(row, c[at] * x, len(labels)) + c[-1] for c in w], axis=1)
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-15))
+    return p, loss, p.argmax(axis=1) == labels
 
-    def __init__(self, weights, gradient: bool):
-        self.weights, self.gradient = weights, gradient
+
+def _arrays(labels: pa.Array, own: pa.Array) -> tuple[np.ndarray, ...]:
+    """Labels, and of each cell its row, dimension and value."""
+    flat = own.flatten()
+    sizes = np.diff(own.offsets.to_numpy())
+    return (labels.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(own)), sizes),
+            flat.field("i").to_numpy(zero_copy_only=False), flat.field("x").to_numpy(zero_copy_only=False))
+
+
+class Losses:
+    """Tasks' part of a pass over the validation rows: per batch loss, hits and rows."""
+
+    def __init__(self, weights):
+        self.weights = weights
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = self.weights.value  # classes x (features + 1): the last column is the intercept
-        n_classes, width = w.shape
-        total: dict[int, np.ndarray] = {}
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            groups, labels = b.column("batch").to_numpy(), b.column("label").to_numpy()
-            own = b.column("cells")
-            offsets = own.offsets.to_numpy() - own.offsets[0].as_py()
-            flat = own.flatten()
-            at, x = flat.field("i").to_numpy(), flat.field("x").to_numpy()
-            row = np.repeat(np.arange(len(labels)), np.diff(offsets))
-            z = np.repeat(w[:, -1][None], len(labels), axis=0)
-            np.add.at(z, row, w[:, at].T * x[:, None])
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            loss = -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-15))
-            hit = p.argmax(axis=1) == labels
-            p[np.arange(len(labels)), labels] -= 1
+            groups = b.column("batch").to_numpy()
+            _, loss, hit = _forward(self.weights.value, *_arrays(b.column("label"), b.column("cells")))
             for g in np.unique(groups).tolist():
                 mine = groups == g
                 sums[g] = sums.get(g, np.zeros(3)) + (loss[mine].sum(), hit[mine].sum(), mine.sum())
-                if self.gradient:
-                    grad = total.setdefault(g, np.zeros_like(w))
-                    cell = mine[row]
-                    np.add.at(grad.T, at[cell], x[cell, None] * p[row[cell]])
-                    grad[:, -1] += p[mine].sum(axis=0)
-        for g, s in sums.items():
-            entries, values = [LOSS, HITS, ROWS], s.tolist()
-            if self.gradient:
-                flat = total[g].ravel()
-                live = np.flatnonzero(flat)
-                entries, values = [*entries, *live.tolist()], [*values, *flat[live].tolist()]
-            yield pa.RecordBatch.from_pydict({"batch": pa.array([g] * len(entries), pa.int32()),
-                                              "entry": pa.array(entries, pa.int64()), "v": pa.array(values, pa.float64())})
-
-
-def _sums(rows: DataFrame, weights: np.ndarray, gradient: bool) -> dict[int, dict[int, float]]:
-    """Per batch the sums of its entries: at most as many as there are weights."""
+        names = ("loss", "hits", "rows")
+        yield pa.RecordBatch.from_pydict({"batch": pa.array(list(sums), pa.int32()), **{
+            n: pa.array([float(s[i]) for s in sums.values()], pa.float64()) for i, n in enumerate(names)}})
+
+
+def _checked(rows: DataFrame, weights: np.ndarray) -> list[tuple[float, float, float]]:
+    """Loss, hits and rows of each validation batch."""
     sent = rows.sparkSession.sparkContext.broadcast(weights)
-    found = rows.mapInArrow(Softmax(sent, gradient), "batch int, entry long, v double").groupBy("batch", "entry").agg(F.sum("v").alias("v"))
-    out: dict[int, dict[int, float]] = {}
-    for r in found.collect():
-        out.setdefault(r.batch, {})[r.entry] = r.v
+    found = (rows.mapInArrow(Losses(sent), "batch int, loss double, hits double, rows double")
+             .groupBy("batch").agg(F.sum("loss"), F.sum("hits"), F.sum("rows")).orderBy("batch").collect())
     sent.destroy()
-    return out
+    return [tuple(r)[1:] for r in found]
+
 
+def _pack(rows: pa.Table) -> pa.Table:
+    """A batch as one row of byte strings."""
+    rows = rows.combine_chunks()
+    parts = _arrays(rows.column("label").combine_chunks(), rows.column("cells").combine_chunks())
+    kinds = (np.int32, np.int32, np.int32, np.float64)
+    packed = {n: pa.array([v.astype(k).tobytes()], pa.binary()) for n, v, k in zip(("label", "row", "at", "x"), parts, kinds, strict=True)}
+    return pa.table({"batch": rows.column("batch").slice(0, 1), **packed})
 
-def _metrics(sums: dict[int, dict[int, float]]) -> tuple[float, float]:
+
+class Step:
+    """A batch's sums and gradient: the live entries of the weights and their values."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __call__(self, packed):
+        w = self.weights
+        for _, (label, row, at, x) in packed:
+            labels, row, at = (np.frombuffer(v, np.int32) for v in (label, row, at))
+            x = np.frombuffer(x, np.float64)
+            p, loss, hit = _forward(w, labels, row, at, x)
+            p[np.arange(len(labels)), labels] -= 1
+            grad = np.stack([np.append(np.bincount(at, x * g[row], w.shape[1] - 1), g.sum()) for g in p.T]).ravel()
+            live = np.flatnonzero(grad)
+            yield (float(loss.sum()), float(hit.sum()), float(len(labels))), live, grad[live]
+
+
+def _dealt(rows: DataFrame, n_batches: int):
+    """The batches, packed, batch ``b`` in partition ``b``: written once to the shared folder."""
+    checkpoint_root(rows.sparkSession)
+    packed = rows.groupBy("batch").applyInArrow(_pack, "batch int, label binary, row binary, at binary, x binary")
+    dealt = packed.rdd.map(lambda r: (r[0], tuple(bytes(v) for v in r[1:]))).partitionBy(n_batches, int)
+    dealt.checkpoint()
+    dealt.count()
+    return dealt
+
+
+def _metrics(sums: list[tuple[float, float, float]]) -> tuple[float, float]:
     """Mean of the batches' mean losses, and accuracy over rows."""
-    losses = [s[LOSS] / s[ROWS] for s in sums.values()]
-    return float(np.mean(losses)), sum(s[HITS] for s in sums.values()) / sum(s[ROWS] for s in sums.values())
+    losses = [s[LOSS] / s[ROWS] for s in sums]
+    return float(np.mean(losses)), sum(s[HITS] for s in sums) / sum(s[ROWS] for s in sums)
 
 
 @dataclass(frozen=True)
@@ -124,32 +155,33 @@ def train_epochs(df: DataFrame, features_col: str, label_col: str, row_id: str,
     weights = np.zeros((n_classes, n_features + 1))
     if not n_train:
         return Fit(weights, (), -1, None, 0, n_valid)
-    path = work_dir(spark, "epochs")
     batch = F.pmod("dealt", F.when(F.col("valid"), F.lit(max(1, n_checks))).otherwise(F.lit(n_batches))).cast("int")
-    rows.select("valid", batch.alias("batch"), "label", "cells").repartition("valid", "batch").write.partitionBy("valid", "batch").parquet(path)
-    schema = f"label int, cells {rows.schema['cells'].dataType.simpleString()}, valid boolean, batch int"
+    path = work_dir(spark, "epochs")
+    rows.select("valid", batch.alias("batch"), "label", "cells").write.partitionBy("valid").parquet(path)
+    schema = f"batch int, label int, cells {rows.schema['cells'].dataType.simpleString()}, valid boolean"
     written = spark.read.schema(schema).parquet(path)
     checks = written.where("valid")
+    dealt = _dealt(written.where("NOT valid").drop("valid"), n_batches)
     first, second, step = np.zeros_like(weights), np.zeros_like(weights), 0
     table, best, best_weights, stop = [], None, weights, None
     for epoch in range(epochs):
-        seen = {}
+        seen = []
         for b in np.random.default_rng([seed, epoch]).permutation(n_batches).tolist():
-            got = _sums(written.where(~F.col("valid") & (F.col("batch") == b)), weights, True)
-            if b not in got:  # no row was dealt to it
+            got = spark.sparkContext.runJob(dealt, Step(weights), [b])
+            if not got:  # no row was dealt to it
                 continue
-            seen[b] = got[b]
+            sums, live, values = got[0]
+            seen.append(sums)
             grad = np.zeros(weights.size)
-            entries = [e for e in got[b] if e >= 0]
-            grad[entries] = [got[b][e] for e in entries]
-            grad = grad.reshape(weights.shape) / got[b][ROWS]
+            grad[live] = values
+            grad = grad.reshape(weights.shape) / sums[ROWS]
             step += 1
             first = 0.9 * first + 0.1 * grad
             second = 0.999 * second + 0.001 * grad * grad
             move = (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
             weights = weights * (1 - rate * decay) - rate * move
         train_loss, train_acc = _metrics(seen)
-        valid_loss, valid_acc = _metrics(_sums(checks, weights, False)) if n_valid else (train_loss, train_acc)
+        valid_loss, valid_acc = _metrics(_checked(checks, weights)) if n_valid else (train_loss, train_acc)
         improved = best is None or valid_loss < table[best]["valid_loss"]
         table.append({"epoch": epoch, "train_loss": train_loss, "train_acc": train_acc, "valid_loss": valid_loss,
                       "valid_acc": valid_acc, "improved": improved})

@@ -107,6 +107,19 @@ def test_epochs_equal_the_plain_training(spark, vectors):
     assert all(np.allclose(margins[k], weights @ np.append(v.toArray(), 1.0), atol=1e-9) for k, v, _ in vectors[:20])
 
 
+def test_a_step_is_one_job(spark, vectors):
+    def jobs(batch_rows):
+        spark.sparkContext.setJobGroup(f"steps{batch_rows}", "")
+        try:
+            fit = EP.train_epochs(frame(spark, vectors), "x", "y", "row_id", 3, 12, epochs=1, batch_rows=batch_rows)
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"steps{batch_rows}")), -(-fit.n_train // batch_rows)
+
+    (many, n_many), (few, n_few) = jobs(10), jobs(100)
+    assert n_many > n_few + 10 and many - few == n_many - n_few
+
+
 def test_epochs_without_rows(spark, vectors):
     fit = EP.train_epochs(frame(spark, vectors).where("false"), "x", "y", "row_id", 3, 12)
     assert fit.epochs == () and not fit.weights.any()
