@@ -17,18 +17,23 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than
-    the cluster has cores (e.g. one small file with a single row group).
+    """Round-robin repartition only when the rows lie in fewer partitions than the cluster has
+    cores, or mostly in a few of them.
 
-    At scale the scan already yields thousands of splits and this is a no-op,
-    so the CPU-heavy text expressions never pay an extra shuffle there.
+    The number of partitions does not tell: files are split by bytes, but a Parquet row group is
+    read by one task, so of the splits of a file with a few large row groups most are empty.  The
+    rows of each partition are counted (of a Parquet table from its footers, without any column).
+    Where the largest holds no more than twice its share the input is left as it is.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
     if have >= want:
-        return df
-    return df.repartition(want)
+        rows = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        most, every = rows.agg(F.max("n"), F.sum("n")).first()
+        if not every or most * want <= 2 * every:
+            return df
+    return df.repartition(max(want, have))
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = 64_000_000) -> DataFrame:

@@ -87,3 +87,22 @@ def test_with_bigrams_edges(spark):
     got = {r.k: r.t for r in df.select("k", with_bigrams("ws").alias("t")).collect()}
     assert got[1] == ["a", "b", "a", "b", "a b", "b a", "a b"]
     assert got[2] == ["x"] and got[3] == [] and got[4] is None
+
+
+def test_spread_deals_out_the_rows_of_one_row_group(spark, tmp_path):
+    """The splits of a file with one row group are many, and all but one are empty."""
+    from opinio.sources.tables import spread
+    path, kept = str(tmp_path / "one"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.range(200_000, numPartitions=1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        read = spark.read.parquet(path)
+        assert read.rdd.getNumPartitions() >= 4
+        sizes = spread(read).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(sizes) == 200_000 and max(sizes) <= 2 * 200_000 / 4
+        even = spark.range(200_000, numPartitions=8)
+        assert spread(even) is even
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
