@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 #: 128 MB splits of 2 PB, were all of them to.
 MAX_INSIDE = 1 << 24
 WHOLE, HEAD, MIDDLE, TAIL = 0, 1, 2, 3
+#: Lines of a batch that are Python strings at once, and characters of the records that leave
+#: a task together (a longer single record leaves alone).
+LINES, RECORD_CHARS = 256, 1 << 20
 
 
 def ends_inside(line: str, inside: bool, sep: str = ",", quote: str = '"') -> bool:
@@ -112,15 +115,19 @@ class Records:
         for batch in batches:
             lines, at = batch.column("value"), batch.column("at")
             for key, a, b in _runs(batch):
-                rows = []
+                rows, size = [], 0
                 if key != split:
                     if held:  # the last record of the split before goes on in the next
                         yield row(split, [(n, MIDDLE if part == HEAD else TAIL, "\n".join(held))])
                     split, held, n, state = key, [], 0, at[a].as_py() in starts_inside
                     part = HEAD if state else WHOLE
-                for line in lines.slice(a, b - a).to_pylist():
+                for line in (x for i in range(a, b, LINES) for x in lines.slice(i, min(LINES, b - i)).to_pylist()):
+                    if size >= RECORD_CHARS:
+                        yield row(key, rows)
+                        rows, size = [], 0
                     if not held and not state and self.quote not in line:
                         rows.append((n, WHOLE, line))
+                        size += len(line)
                         n += 1
                         continue
                     held.append(line)
@@ -128,6 +135,7 @@ class Records:
                         state = ends_inside(line, state, self.sep, self.quote)
                     if not state:
                         rows.append((n, part, "\n".join(held)))
+                        size += len(rows[-1][2])
                         held, part, n = [], WHOLE, n + 1
                 if rows:
                     yield row(key, rows)

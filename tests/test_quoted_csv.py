@@ -111,3 +111,20 @@ def test_stream_of_drops(spark, tiny_splits):
     got = {r.no: r.comment or "" for r in out.collect()}
     assert got == {i: c for i, c, _ in rows}
     assert out.where(F.col("predicted_label").isNull()).count() == 0
+
+
+def test_records_leave_a_task_in_small_batches():
+    """A task holds a bounded number of characters of records, whatever a batch of lines holds."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from opinio.sources import quoted
+    lines = [x for i in range(4000) for x in (f'{i},"{"a" * 500}', f'{"b" * 500}"', f"{i},{'c' * 500}")]
+    batch = pa.RecordBatch.from_pydict({"value": lines, "file": ["f"] * len(lines), "block": pa.array([0] * len(lines), pa.int64()),
+                                        "at": pa.array([1] * len(lines), pa.int64())})
+    out = list(quoted.Records(",", '"', SimpleNamespace(value=frozenset()))(iter([batch])))
+    assert max(o.nbytes for o in out) < 1.5 * quoted.RECORD_CHARS < sum(map(len, lines)) / 3
+    found = [x for o in out for x in zip(o.column("n").to_pylist(), o.column("record").to_pylist(), strict=True)]
+    assert [n for n, _ in found] == list(range(8000))
+    assert [r for _, r in found] == [r for i in range(4000) for r in ("\n".join(lines[3 * i:3 * i + 2]), lines[3 * i + 2])]
